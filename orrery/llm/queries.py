@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import decontaminate, sharding, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
@@ -17,10 +17,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.report(docs, items, window=10).drop("items")
+
+
+def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_read(spark, sf_dir, "documents", "doc_id", "text"), window=35)
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
     out = sharding.assign(docs, SHARDS, law="bytes")
-    return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +40,42 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op9_histogram_shards, pipeline)
+    every = (op2_suffix_automaton, op4_difference_cover, op9_histogram_shards, pipeline)
     return {f.__name__: f for f in every}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_OP2 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_ALNUM.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+i AS (SELECT item_id, {_ALNUM.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS s
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+k AS (SELECT DISTINCT k FROM g),
+o AS (SELECT r, p, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s
+      FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE len(w) >= k)),
+m AS (SELECT DISTINCT r, p, o.k, item_id FROM o JOIN g USING (s) WHERE o.k = g.k),
+h AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+_OP4 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+o AS (SELECT r, p, md5(array_to_string(list_slice(w, p, p + 34), ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+b AS (SELECT s FROM o GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, q FROM (SELECT r, unnest(range(p, p + 35)) AS q FROM o JOIN b USING (s))),
+u AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM d WHERE len(w) > 0),
+k AS (SELECT r, string_agg(x, ' ' ORDER BY q) AS s FROM u ANTI JOIN c USING (r, q) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffix_automaton": _OP2, "op4_difference_cover": _OP4}
