@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, substring
+from . import decontaminate, scratch, sharding, substring, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
@@ -22,10 +22,20 @@ def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(docs, items, window=10).drop("items")
 
 
+def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.report(pages, scratch.new_path(spark, "warc"))
+
+
 def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_read(spark, sf_dir, "documents", "doc_id", "text"), window=35)
 
 
+def op8_block_max_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
@@ -40,7 +50,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op2_suffix_automaton, op4_difference_cover, op9_histogram_shards, pipeline)
+    every = (op2_suffix_automaton, op3_warc_captures, op4_difference_cover, op8_block_max_topk, op9_histogram_shards, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -76,6 +86,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGIN
 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
 """
 
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to
+FROM p LEFT JOIN f USING (h)
+"""
+
+_OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_automaton": _OP2, "op4_difference_cover": _OP4}
+    return {"op2_suffix_automaton": _OP2, "op3_warc_captures": _OP3, "op8_block_max_topk": _OP8, "op4_difference_cover": _OP4}
