@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_HASHES = 1_500_000
 #: Bytes of text for each word, at least so many in common prose; only the buckets' sizes depend on it.
 _BYTES_PER_WORD = 6

@@ -17,6 +17,8 @@ _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes of text that one slice has at most, unless a single text is longer.
 SLICE_BYTES = 2 << 20
+#: Bytes that are hashed at a time, so that the tables of powers stay small.
+_HASH_BLOCK = 1 << 18
 
 _ALL = np.arange(256)
 LOWER = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.uint8)
@@ -77,12 +79,16 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _BYTE_POWERS.get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        out = np.zeros(len(self.start), np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(self.data), _HASH_BLOCK)), len(self.start)))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            low, high = self.start[i], self.end[j - 1]
+            up, down = _BYTE_POWERS.get(high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+            start, end = self.start[i:j] - low, self.end[i:j] - low
+            out[i:j] = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
+        return mix(out)
 
 
 def split(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool) -> Words:
