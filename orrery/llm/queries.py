@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, scratch, sharding, substring, topk, warc
+from . import decontaminate, langid, scratch, sharding, spm, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
+#: A public SentencePiece model; see `spm.encode` for others.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def _remainder(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,6 +37,17 @@ def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_read(spark, sf_dir, "documents", "doc_id", "text"), window=35)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(_read(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER, key="doc_id", ids=False)
+
+
+def op6_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "toxic")
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    scorer = toxicity.train(docs.where(~held), labels.where(~held))
+    return toxicity.score(docs.withColumn("held_out", held), scorer).drop("text")
+
+
 def op8_block_max_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
@@ -43,6 +60,13 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_language_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held = F.coalesce(_remainder(4) == 2, F.lit(False))
+    chain = langid.train(docs.where(~held))
+    return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), chain).drop("text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -50,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op2_suffix_automaton, op3_warc_captures, op4_difference_cover, op8_block_max_topk, op9_histogram_shards, pipeline)
+    every = (op2_suffix_automaton, op3_warc_captures, op4_difference_cover, op5_sentencepiece, op6_toxicity_trees, op8_block_max_topk, op9_histogram_shards, op10_language_chain, pipeline)
     return {f.__name__: f for f in every}
 
 

@@ -218,7 +218,8 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             out.append(raw[at:])
             texts[k] = b"\n".join(x for x in out if x.strip()).decode()
         nulls = table.column("__null").to_pylist()
-        columns = {c: table.column(c) for c in docs.columns if c != text} | {text: pa.array([None if z else t for t, z in zip(texts, nulls, strict=True)], pa.string())}
-        return pa.table({c: columns[c] for c in docs.columns})
+        columns = {c: table.column(c) for c in names if c != text} | {text: pa.array([None if z else t for t, z in zip(texts, nulls, strict=True)], pa.string())}
+        return pa.table({c: columns[c] for c in names})
 
+    names = docs.columns
     return _repeats(docs.withColumn("__null", F.col(text).isNull()), key, text, window, finish, docs.schema, chunk_bytes)

@@ -147,6 +147,7 @@ def report(pages: DataFrame, path: str, key: str = "page_id", url: str = "url",
     )
     captures = scratch.stored(captures, "captures")
     responses = captures.where("record_type = 'response'").groupBy(F.col("capture_id").alias("at")).agg(F.first(key).alias("refers_to"), F.first("own_bytes").alias("b"), F.first("own_sha256").alias("h"))
+    responses = scratch.stored(responses, "responses")
     return captures.join(responses, "at", "left").select(
         key, F.coalesce("b", "own_bytes").alias("payload_bytes"), F.coalesce("h", "own_sha256").alias("payload_digest"), "record_type", "refers_to"
     )
