@@ -1,7 +1,7 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a whole text: densities and strengths of words of a lexicon learned from labelled rows, the same after common
-disguises are undone, how close such words stand to second-person words, and rates of capitals, punctuation, repeated letters,
+Features of a whole text: densities and strengths of words of a lexicon learned from labelled rows (whole words, and stems: the
+first bytes of longer words), the same after common disguises are undone, how close such words stand to second-person words, and rates of capitals, punctuation, repeated letters,
 digits and disguised words. The trees boost the logistic loss over histograms of the features; out-of-fold scores are mapped to
 probabilities by isotonic regression.
 
@@ -26,9 +26,11 @@ from pyspark.sql import types as T
 from . import scratch, tokens
 
 #: Bounds of what is fitted: labelled rows, bytes of a row's text, words of the lexicon.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES, LEXICON_WORDS = 20_000, 64 << 10, 200
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES, LEXICON_WORDS = 20_000, 64 << 10, 400
 LEAST_TEXTS, LEAST_Z = 4, 3.5
 NEAR = 5
+#: Bytes of the stems that the lexicon tells apart.
+STEMS = (5, 6, 7, 8, 9)
 #: Second-person words (fixed values).
 SECOND_PERSON = (
     "you your yours yourself u ur ya youre du dich dir dein deine deiner deinen ihr euch euer sie ihnen "
@@ -62,6 +64,16 @@ def _hash(words: Iterable[str]) -> np.ndarray:
     return tokens.Words(data, np.array([0, len(data)]), starts, ends, np.array([0, len(raw)])).hashes()
 
 
+def _keys(words: tokens.Words) -> list[np.ndarray]:
+    """Hashes of the words and of their stems; 0 where a word has no such stem."""
+    out = [words.hashes()]
+    for k, n in enumerate(STEMS):
+        long = words.end - words.start > n
+        stem = tokens.Words(words.data, words.offsets, words.start, np.minimum(words.end, words.start + n), words.first)
+        out.append(np.where(long, tokens.mix(stem.hashes() ^ np.uint64(0xA5A5A5A5 + k)), np.uint64(0)))
+    return out
+
+
 def _undisguised(raw: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens with disguises undone (outer punctuation off, look-alikes replaced, other symbols and repeats dropped),
     and which tokens that changed."""
@@ -106,6 +118,15 @@ class Lexicon:
             out = np.where(self.hashes[at] == hashes, self.strengths[at], 0.0)
         return out
 
+    def best(self, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's strength, the greatest of its own and its stems', and the hash that has it."""
+        strength, which = self.of(keys[0]), keys[0]
+        for k in keys[1:]:
+            more = self.of(k)
+            which = np.where(more > strength, k, which)
+            strength = np.maximum(strength, more)
+        return strength, which
+
 
 def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """One row of features per text, in the order of NAMES."""
@@ -122,12 +143,12 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
         return per_text(kind[data], offsets)
 
     hashes = words.hashes()
-    strength = lexicon.of(hashes)
+    strength, entry = lexicon.best(_keys(words))
     bad = np.flatnonzero(strength)
     text_of = words.text_of_word()
     best = np.zeros(len(n))
     np.maximum.at(best, text_of[bad], strength[bad])
-    pairs = np.unique(np.stack([text_of[bad], np.searchsorted(lexicon.hashes, hashes[bad])], axis=1), axis=0) if len(bad) else np.zeros((0, 2), int)
+    pairs = np.unique(np.stack([text_of[bad], np.searchsorted(lexicon.hashes, entry[bad])], axis=1), axis=0) if len(bad) else np.zeros((0, 2), int)
     distinct = np.bincount(pairs[:, 0], minlength=len(n)).astype(float)
     hits = np.bincount(text_of[bad], minlength=len(n)).astype(float)
 
@@ -278,9 +299,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch, data, offsets in tokens.slices(batches, "t"):
             words = tokens.split(data, offsets, tokens.ALPHANUMERIC, True)
             y = np.array(batch.column("y").to_pylist(), np.int64)
-            seen = np.unique(np.stack([words.text_of_word().astype(np.uint64), words.hashes()], axis=1), axis=0) if len(words.start) else np.zeros((0, 2), np.uint64)
-            hashes, back = np.unique(seen[:, 1], return_inverse=True)
-            mine = y[seen[:, 0].astype(np.int64)]
+            keys = np.concatenate(_keys(words))
+            text_of = np.tile(words.text_of_word(), 1 + len(STEMS))
+            order = np.lexsort((text_of, keys))
+            keys, text_of = keys[order], text_of[order]
+            new = keys != 0
+            new[1:] &= (keys[1:] != keys[:-1]) | (text_of[1:] != text_of[:-1])
+            hashes, back = np.unique(keys[new], return_inverse=True)
+            mine = y[text_of[new]]
             ones = np.bincount(back, mine, len(hashes)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ones), pa.array(np.bincount(back, minlength=len(hashes)).astype(np.int64) - ones)], names=["h", "ones", "zeros"])
 
