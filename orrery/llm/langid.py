@@ -213,9 +213,10 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Chain | None:
 
 
 def train(docs: DataFrame, text: str = "text", language: str = "lang", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> Chain | None:
-    """A chain from at most `rows` of the labelled rows, those with the smallest hashes of their texts of up to `text_bytes`."""
+    """A chain from at most `rows` of the labelled rows with texts of up to `text_bytes`, chosen by a hash of the whole row."""
     usable = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= text_bytes))
-    sample = usable.select(F.col(text).alias("t"), F.col(language).alias("l")).orderBy(F.xxhash64("t"), "t", "l").limit(rows).collect()
+    hashed = usable.select(F.col(text).alias("t"), F.col(language).alias("l"), F.xxhash64(*docs.columns).alias("h"))
+    sample = sorted(scratch.sample(hashed, rows, "h").collect(), key=lambda r: (r["h"], r["t"], r["l"]))
     return fit([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROWS_PER_BATCH = 2000
 _BYTES_PER_BATCH = 16 << 20
@@ -50,8 +53,30 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_orrery_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="orrery-package-")) / "orrery.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(target))
+        context._orrery_shipped = True
+
+
+def sample(frame: DataFrame, rows: int, *by: str | Column) -> DataFrame:
+    """About `rows` of the rows, and never more: those whose hash of `by` falls below a share that their number sets."""
+    n = frame.count()
+    if n <= rows:
+        return frame
+    return frame.where(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int((1 << 30) * 0.97 * rows / n)).limit(rows)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches that go to Python workers small, so that very long texts don't add up in memory."""
+    ship(spark)
     for key, most in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", _ROWS_PER_BATCH),
         ("spark.sql.execution.arrow.maxBytesPerBatch", _BYTES_PER_BATCH),

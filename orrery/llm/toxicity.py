@@ -282,9 +282,9 @@ class Scorer:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, text_bytes: int) -> DataFrame:
-    """At most `rows` labelled rows, those with the smallest hashes of their ids; `half` deals them in two."""
+    """At most `rows` labelled rows, chosen by a hash of their ids; `half` deals them in two."""
     some = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(label).cast("int").alias("y"))
-    some = some.orderBy(F.xxhash64("__k"), "__k").limit(rows)
+    some = scratch.sample(some, rows, "__k")
     texts = docs.where(F.octet_length(text) <= text_bytes).select(F.col(key).alias("__k"), F.col(text).alias("t"))
     return texts.join(F.broadcast(some), "__k").select("t", "y", F.pmod(F.xxhash64(F.lit(3), "__k"), F.lit(2)).alias("half"))
 
