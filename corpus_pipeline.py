@@ -1 +1,81 @@
-STAGES = []
+"""Cleaning a corpus for training: five stages, each on all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as Parquet and reads back for the next.
+All but the last return the columns of documents. The stages' queries and tests belong to the training-data subpackage.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import decontaminate, langid, ngram_join, scratch, spm, substring
+from orrery.llm.queries import TOKENIZER
+
+#: A document whose language is less sure than this goes, as does one without any letter.
+LEAST_LANGUAGE_SCORE = 0.5
+NEAR_DUPLICATE_WORDS, NEAR_DUPLICATE_SIMILARITY = 5, (80, 100)
+REPEATED_WORDS = 35
+BENCHMARK_WORDS, MOST_BENCHMARK_SHARE = 10, 0.5
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """Lengths that follow the texts."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; null texts and texts without a letter go."""
+    chain = langid.train(docs)
+    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return langid.predict(docs, chain).where(sure).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that with the smallest id, and one of rows that repeat an id; rows with a null id all stay."""
+    groups = ngram_join.components(docs, size=NEAR_DUPLICATE_WORDS, similarity=NEAR_DUPLICATE_SIMILARITY)
+    groups = scratch.stored(groups.select("doc_id", "component_id"), "groups")
+    rest = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(rest, "doc_id", "left_anti").select(docs.columns)
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that also stand elsewhere."""
+    return _measured(substring.clean(docs, window=REPEATED_WORDS))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of test items; one that is mostly such passages goes."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return _measured(decontaminate.clean(docs, items, window=BENCHMARK_WORDS, most_coverage=MOST_BENCHMARK_SHARE))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces, with what checks them."""
+    return spm.encode(docs.select("doc_id", "source", "lang", "text"), TOKENIZER).drop("text")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages),
+    ("pieces", pieces),
+]
+
+#: SQL cannot express these stages; tests hold each against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.stored(stage(spark, docs, sf_dir), name)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, scratch, sharding, spm, substring, topk, toxicity, warc
+from . import decontaminate, katz, langid, ngram_join, scratch, sharding, spm, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
@@ -23,6 +23,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_read(spark, sf_dir, "documents", "doc_id", "text"), _remainder(7) == 2)
+
+
 def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.report(docs, items, window=10).drop("items")
@@ -48,6 +52,10 @@ def op6_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held), scorer).drop("text")
 
 
+def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_read(spark, sf_dir, "documents", "doc_id", "text"), size=3, similarity=(90, 100))
+
+
 def op8_block_max_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
@@ -74,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op2_suffix_automaton, op3_warc_captures, op4_difference_cover, op5_sentencepiece, op6_toxicity_trees, op8_block_max_topk, op9_histogram_shards, op10_language_chain, pipeline)
+    every = (op1_katz_backoff, op2_suffix_automaton, op3_warc_captures, op4_difference_cover, op5_sentencepiece, op6_toxicity_trees, op7_signature_trees, op8_block_max_topk, op9_histogram_shards, op10_language_chain, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -119,6 +127,23 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
 FROM p LEFT JOIN f USING (h)
 """
 
+_OP7 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(len(w), 3) - 1), ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+h AS (SELECT g.doc_id, s, n, row_number() OVER (PARTITION BY g.doc_id ORDER BY c, s) AS k
+      FROM g JOIN n USING (doc_id) JOIN (SELECT s, count(*) AS c FROM g GROUP BY s) USING (s)),
+f AS (SELECT doc_id, s FROM h WHERE k <= n - ceil(0.9 * n) + 2),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f AS a JOIN f AS b USING (s) WHERE a.doc_id < b.doc_id),
+i AS (SELECT c.a, c.b, count(*) AS i FROM c JOIN g AS x ON x.doc_id = c.a JOIN g AS y ON y.doc_id = c.b AND x.s = y.s GROUP BY c.a, c.b),
+l AS (SELECT i.a, i.b FROM i JOIN n AS x ON x.doc_id = i.a JOIN n AS y ON y.doc_id = i.b WHERE 100 * i.i >= 90 * (x.n + y.n - i.i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS v, a AS t FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.t = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.t, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(t) AS t FROM r GROUP BY v) AS m ON m.v = d.doc_id
+"""
+
 _OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -130,4 +155,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_automaton": _OP2, "op3_warc_captures": _OP3, "op8_block_max_topk": _OP8, "op4_difference_cover": _OP4}
+    return {"op2_suffix_automaton": _OP2, "op3_warc_captures": _OP3, "op7_signature_trees": _OP7, "op8_block_max_topk": _OP8, "op4_difference_cover": _OP4}
