@@ -5,13 +5,664 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import diff, evidence, fts, graph, matching, mining, packing, relational, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    frame = spark.read.parquet(f"{sf}/{name}.parquet")
+    return frame.select(*columns) if columns else frame
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# --- full-text search -----------------------------------------------------------------------------------------------
+
+
+def _bm25(source: str, key: str, columns: list[str], phrases: list[str], limit: int, where: str = "TRUE", extra: str = "") -> str:
+    """The ranking formula in SQL; phrases are terms, or terms joined by a space."""
+    lists = ", ".join(f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+') AS c{i}" for i, c in enumerate(columns))
+    length = " + ".join(f"len(c{i})" for i in range(len(columns)))
+
+    def times(phrase: str) -> str:
+        n = len(phrase.split())
+        one = lambda c: f"len(list_filter(range(1, len({c}) - {n - 1} + 1), lambda i: array_to_string(list_slice({c}, i, i + {n - 1}), ' ') = '{phrase}'))"
+        return " + ".join(one(f"c{i}") for i in range(len(columns)))
+
+    tf = ", ".join(f"{times(p)} AS t{k}" for k, p in enumerate(phrases))
+    idf = ", ".join(f"CASE WHEN ln((count(*) - count_if(t{k} > 0) + 0.5) / (count_if(t{k} > 0) + 0.5)) > 0 THEN ln((count(*) - count_if(t{k} > 0) + 0.5) / (count_if(t{k} > 0) + 0.5)) ELSE 1e-6 END AS i{k}" for k in range(len(phrases)))
+    score = " + ".join(f"i{k} * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(phrases)))
+    held = " AND ".join(f"t{k} > 0" for k in range(len(phrases)))
+    return f"""
+WITH l AS (SELECT *, {lists} FROM {source}), t AS (SELECT *, {length} AS dl, {tf} FROM l), s AS (SELECT avg(dl) AS avgdl, {idf} FROM t)
+SELECT {key}, round(-({score}), 6) AS score{extra} FROM t, s WHERE {held} AND {where} ORDER BY -({score}), {key} LIMIT {limit}"""
+
+
+def _documents_search(spark: SparkSession, sf: str, question: str, limit: int, where: str | None = None) -> DataFrame:
+    docs = _read(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    index = fts.Index.build(docs, "doc_id", ["text"])
+    found = fts.search(index, docs, "doc_id", question, limit, None if where is None else F.expr(where))
+    return found.select("doc_id", F.round("score", 6).alias("score"), "lang")
+
+
+@query(_bm25("documents", "doc_id", ["text"], ["the"], 20, extra=", lang"))
+def fts_single_term(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents_search(spark, sf, "the", 20)
+
+
+@query(_bm25("documents", "doc_id", ["text"], ["the", "and"], 20, extra=", lang"))
+def fts_and_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents_search(spark, sf, "the and", 20)
+
+
+@query(_bm25("documents", "doc_id", ["text"], ["de"], 10, "lang = 'fr'", ", lang"))
+def fts_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents_search(spark, sf, "de", 10, "lang = 'fr'")
+
+
+@query(_bm25("documents", "doc_id", ["text"], ["of the"], 20, extra=", lang"))
+def fts_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents_search(spark, sf, "of_the", 20)
+
+
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_BODY = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#039;', ''''), '\\s+', ' ', 'g'))"
+
+
+@query(_bm25(f"(SELECT page_id, {_TITLE} AS title, {_BODY} AS body FROM pages)", "page_id", ["title", "body"], ["the"], 20))
+def fts_multi_column(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _read(spark, sf, "pages", "page_id", "html").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), text.strip_html("html").alias("body"))
+    found = fts.search(fts.Index.build(pages, "page_id", ["title", "body"]), pages, "page_id", "the", 20)
+    return found.select("page_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def fts_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents", "doc_id", "text")
+    found = fts.search(fts.Index.build(docs, "doc_id", ["text"]), docs, "doc_id", "the and", 20)
+    return found.select("doc_id", fts.snippet("text", "the and").alias("snippet"))
+
+
+# --- lookups and counts ---------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH q(query) AS (VALUES ('small ring'), ('no such part'), ('red widget'))
+SELECT query, p_partkey, p_name FROM (SELECT query, p_partkey, p_name, row_number() OVER (PARTITION BY query ORDER BY p_brand <> 'Brand#1', p_partkey) AS n FROM q JOIN part ON p_name = query) WHERE n = 1""")
+def resolve_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    part = _read(spark, sf, "part", "p_partkey", "p_name", "p_brand").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_brand") == "Brand#1", "class").otherwise("other").alias("kind"), F.lit(None).cast("string").alias("parent_class"))
+    wanted = _values(spark, [("small ring",), ("no such part",), ("red widget",)], "query string")
+    return relational.resolve_names(wanted, part).select("query", F.col("id").alias("p_partkey"), F.col("name").alias("p_name"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def count_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.counts(_read(spark, sf, "events", "event_type"), "event_type")
+
+
+@query("""
+WITH d(event_type) AS (VALUES ('view'), ('click'), ('purchase'), ('refund'), ('chargeback'))
+SELECT d.event_type, CAST(coalesce(n, 0) AS BIGINT) AS n FROM d LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) USING (event_type)""")
+def zero_filled_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.counts_over(_read(spark, sf, "events", "event_type"), "event_type", ["view", "click", "purchase", "refund", "chargeback"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
+def top_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.top_counts(_read(spark, sf, "events", "event_type"), "event_type", 3)
+
+
+@query("SELECT count(*) AS n, CAST(count_if(event_type = 'purchase') AS BIGINT) AS hits, round(count_if(event_type = 'purchase') / count(*), 6) AS rate FROM events")
+def rate_metric(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.share(_read(spark, sf, "events", "event_type"), F.col("event_type") == "purchase").withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%'")
+def like_ci(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "part", "p_partkey", "p_name").where(relational.contains_ci("p_name", "RING"))
+
+
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'small')")
+def array_contains(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "part", "p_partkey", "p_name").where(F.array_contains(F.split("p_name", " "), "small")).select("p_partkey")
+
+
+@query("SELECT p_partkey, p_type, p_size FROM part WHERE p_size >= 10 AND p_name LIKE '%small%'")
+def optional_filters(spark: SparkSession, sf: str) -> DataFrame:
+    part = _read(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_size")
+    return relational.all_of(part, F.col("p_size") >= 10, None, F.contains("p_name", F.lit("small"))).select("p_partkey", "p_type", "p_size")
+
+
+@query("SELECT event_id, user_id FROM events WHERE CAST(ts AS VARCHAR) >= '2024-01-01' ORDER BY ts DESC, event_id LIMIT 25")
+def list_recent(spark: SparkSession, sf: str) -> DataFrame:
+    events = _read(spark, sf, "events", "event_id", "ts", "user_id").withColumn("updated_at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return relational.recent(events, "2024-01-01", 25, key="event_id").select("event_id", "user_id")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_type, event_id LIMIT 20 OFFSET 40")
+def paging(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.page(_read(spark, sf, "events", "event_id", "event_type"), ["event_type", "event_id"], 20, 40)
+
+
+@query("SELECT count(*) > 0 AS found FROM events WHERE event_type = 'refund'")
+def exists_probe(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "events", "event_type").agg((F.count_if(F.col("event_type") == "refund") > 0).alias("found"))
+
+
+# --- mutations ------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH o AS (SELECT * FROM events WHERE event_id % 3 <> 0), n AS (SELECT * FROM events WHERE event_id % 3 = 0),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM n) WHERE r = 1)
+SELECT event_id, user_id, event_type FROM l UNION ALL SELECT event_id, user_id, event_type FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = o.user_id AND l.event_type = o.event_type)""")
+def latest_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    events = _read(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
+    out = relational.upsert(events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0"), ["user_id", "event_type"], ["ts", "event_id"])
+    return out.select("event_id", "user_id", "event_type")
+
+
+@query("""
+WITH o AS (SELECT user_id AS k, max(value) AS value, min(ts) AS created_at FROM events WHERE event_type = 'view' GROUP BY user_id),
+n AS (SELECT user_id AS k, max(value) AS value, min(ts) AS created_at FROM events WHERE event_type = 'click' GROUP BY user_id)
+SELECT coalesce(o.k, n.k) AS k, round(coalesce(n.value, o.value), 6) AS value, CAST(epoch_us(coalesce(o.created_at, n.created_at)) AS BIGINT) AS created_us FROM o FULL JOIN n ON o.k = n.k""")
+def column_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    events = _read(spark, sf, "events", "user_id", "event_type", "value", "ts")
+    side = lambda kind: events.where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("k")).agg(F.max("value").alias("value"), F.min("ts").alias("created_at"))
+    return relational.merge(side("view"), side("click"), ["k"]).select("k", F.round("value", 6).alias("value"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"))
+
+
+@query("SELECT max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS latest FROM events")
+def cursor_max(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "events", "ts").agg(F.max(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("latest"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT LIKE 'c%' GROUP BY event_type")
+def scoped_delete(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.counts(relational.without(_read(spark, sf, "events", "event_type"), "event_type", "c", prefix=True), "event_type")
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_id % 100 = 7 THEN 'approved' ELSE 'pending' END AS status FROM events WHERE event_id < 500) GROUP BY status")
+def candidate_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "events", "event_id").where("event_id < 500").select(F.col("event_id").cast("string").alias("id"), F.lit("pending").alias("status"))
+    return relational.counts(relational.set_status(rows, [str(i) for i in range(7, 500, 100)], "approved"), "status")
+
+
+@query("""
+WITH d(status) AS (VALUES ('pending'), ('approved'), ('rejected'), ('promoted')),
+c AS (SELECT CASE event_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status FROM events)
+SELECT d.status, CAST(coalesce(n, 0) AS BIGINT) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM c), 6) AS rate FROM d LEFT JOIN (SELECT status, count(*) AS n FROM c GROUP BY status) USING (status)""")
+def mining_stats(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 4 == 0, "approved").when(F.col("event_id") % 4 == 1, "rejected").otherwise("pending")
+    return mining.stats(_read(spark, sf, "events", "event_id").select(kind.alias("status"))).withColumn("rate", F.round("rate", 6))
+
+
+# --- graphs ---------------------------------------------------------------------------------------------------------
+
+_EDGES = """
+SELECT 'c:' || o_custkey AS s, 'o:' || o_orderkey AS t FROM orders UNION ALL SELECT 'o:' || l_orderkey, 'p:' || l_partkey FROM lineitem
+UNION ALL SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier
+UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation"""
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    line = _read(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    pair = lambda f, a, x, b, y: f.select(F.concat(F.lit(f"{a}:"), F.col(x).cast("string")).alias("s"), F.concat(F.lit(f"{b}:"), F.col(y).cast("string")).alias("t"))
+    parts = [pair(_read(spark, sf, "orders"), "c", "o_custkey", "o", "o_orderkey"), pair(line, "o", "l_orderkey", "p", "l_partkey"), pair(line, "p", "l_partkey", "s", "l_suppkey").distinct(), pair(_read(spark, sf, "supplier"), "s", "s_suppkey", "n", "s_nationkey"), pair(_read(spark, sf, "nation"), "n", "n_nationkey", "r", "n_regionkey")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _bfs_sql(roots: str, depth: int, down: bool) -> str:
+    a, b = ("s", "t") if down else ("t", "s")
+    return f"""
+WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT v AS node, 0 AS d FROM (VALUES {roots}) AS x(v) UNION SELECT e.{b}, w.d + 1 FROM w JOIN e ON e.{a} = w.node WHERE w.d < {depth}),
+m AS (SELECT node, min(d) AS d FROM w GROUP BY node)
+SELECT s, t, CAST(d + 1 AS INTEGER) AS depth, count(*) AS n FROM e JOIN m ON e.{a} = m.node WHERE d < {depth} GROUP BY s, t, d"""
+
+
+def _roots(spark: SparkSession, *ids: str) -> DataFrame:
+    return _values(spark, [(i,) for i in ids], "id string")
+
+
+@query(_bfs_sql("('c:1'), ('c:2'), ('c:7')", 3, True))
+def bfs_down(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.downstream(_edges(spark, sf), _roots(spark, "c:1", "c:2", "c:7"), 3, "s", "t").groupBy("s", "t", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_bfs_sql("('p:5')", 2, False))
+def bfs_up(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.upstream(_edges(spark, sf), _roots(spark, "p:5"), 2, "s", "t").groupBy("s", "t", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH d AS ({_bfs_sql("('s:3')", 2, True)}), u AS ({_bfs_sql("('s:3')", 2, False)}) SELECT DISTINCT s, t FROM (SELECT s, t FROM d UNION SELECT s, t FROM u)""")
+def bfs_connected(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _edges(spark, sf).withColumn("id", F.concat_ws(">", "s", "t"))
+    return graph.connected(edges, _roots(spark, "s:3"), 2, "id", "s", "t").select("s", "t")
+
+
+@query(f"""
+WITH d AS ({_bfs_sql("('s:3')", 1, True)}), u AS ({_bfs_sql("('s:3')", 1, False)}), k AS (SELECT s AS id FROM d UNION SELECT t FROM d UNION SELECT s FROM u UNION SELECT t FROM u UNION SELECT 's:3') SELECT id FROM k""")
+def chain(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _edges(spark, sf).select(F.concat_ws(">", "s", "t").alias("id"), F.col("s").alias("source_node_id"), F.col("t").alias("target_node_id"))
+    nodes = edges.select(F.col("source_node_id").alias("id")).union(edges.select("target_node_id")).distinct()
+    return graph.chain(edges, nodes, "s:3", 1)[1]
+
+
+@query(f"WITH e AS ({_EDGES}) SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT s FROM e UNION SELECT t FROM e)) AS connected_nodes, CAST(1000000 - (SELECT count(*) FROM (SELECT s FROM e UNION SELECT t FROM e)) AS BIGINT) AS orphan_nodes FROM e")
+def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.stats(_edges(spark, sf), "s", "t", 1_000_000)
+
+
+_STAGE_ROWS = [("input", []), ("update", ["input"]), ("select", ["update"]), ("terrain", ["update"]), ("cull", ["select", "terrain"]), ("shadow", ["cull"]), ("depth", ["cull"]), ("draw", ["shadow", "depth"]), ("blend", ["draw"]), ("pick", ["draw"]), ("post", ["blend"]), ("present", ["post", "pick"])]
+_STAGE_SQL = "s(id, d) AS (VALUES " + ", ".join(f"('{i}', {d if d else '[]::VARCHAR[]'})" for i, d in _STAGE_ROWS) + "), e AS (SELECT unnest(d) AS f, id AS t FROM s)"
+
+
+def _stage_rows(spark: SparkSession) -> DataFrame:
+    return _values(spark, _STAGE_ROWS, "id string, dependsOn array<string>")
+
+
+@query(f"WITH RECURSIVE {_STAGE_SQL}, r AS (SELECT id, 0 AS level FROM s WHERE len(d) = 0 UNION SELECT e.t, r.level + 1 FROM r JOIN e ON e.f = r.id) SELECT id, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY id")
+def dag_toposort(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.topological_levels(_stage_rows(spark))
+
+
+@query(f"""
+WITH RECURSIVE {_STAGE_SQL}, u AS (SELECT f AS id FROM e WHERE t = 'draw' UNION SELECT e.f FROM u JOIN e ON e.t = u.id), w AS (SELECT t AS id FROM e WHERE f = 'cull' UNION SELECT e.t FROM w JOIN e ON e.f = w.id)
+SELECT id, 'before draw' AS side FROM u UNION ALL SELECT id, 'after cull' FROM w""")
+def stage_deps(spark: SparkSession, sf: str) -> DataFrame:
+    s = _stage_rows(spark)
+    return graph.reachable(s, "draw", down=False).withColumn("side", F.lit("before draw")).unionByName(graph.reachable(s, "cull", down=True).withColumn("side", F.lit("after cull")))
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT doc_id, list_transform(regexp_extract_all(b, '(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*#(\d+)', 1), lambda x: CAST(x AS BIGINT)) AS refs
+FROM (SELECT doc_id, 'Fixes #' || doc_id || ' and closed #' || (doc_id + 1) || '; see #3. ' || text AS b FROM documents)""")
+def closing_refs(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    body = F.concat(F.lit("Fixes #"), i.cast("string"), F.lit(" and closed #"), (i + 1).cast("string"), F.lit("; see #3. "), "text")
+    return _read(spark, sf, "documents", "doc_id", "text").select("doc_id", text.closing_references(body).alias("refs"))
+
+
+@query("""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-zA-Z]{2,}')) AS m, generate_subscripts(regexp_extract_all(text, '[A-Z][a-zA-Z]{2,}'), 1) AS p FROM documents)
+SELECT d.doc_id, coalesce(s, '') AS mentions FROM documents AS d LEFT JOIN (SELECT doc_id, string_agg(m, ' ' ORDER BY p) AS s FROM (SELECT doc_id, m, min(p) AS p FROM m GROUP BY doc_id, m) GROUP BY doc_id) USING (doc_id)""")
+def symbol_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents", "doc_id", "text").select("doc_id", F.array_join(text.symbol_mentions("text"), " ").alias("mentions"))
+
+
+@query(f"SELECT page_id, md5({_BODY}) AS body_md5 FROM pages")
+def html_strip(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "pages", "page_id", "html").select("page_id", F.md5(text.strip_html("html")).alias("body_md5"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+_ASKED = "regexp_replace(translate(substr(text, 1, 300), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\s-]', ' ', 'g')"
+_TOKENS = f"list_filter(regexp_split_to_array({_ASKED}, '\\s+'), lambda t: t <> '' AND NOT list_contains({_STOP}, t))"
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """A document's first 300 characters as a question, with ASCII letters lower-cased so that both sides lower alike."""
+    low = F.translate(F.substring("text", 1, 300), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _read(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("query_id"), low.alias("question"))
+
+
+@query(f"SELECT doc_id AS query_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
+def normalise_query(spark: SparkSession, sf: str) -> DataFrame:
+    plain = F.regexp_replace("question", r"[^\x00-\x7F]", " ")
+    return _questions(spark, sf).select("query_id", F.array_join(text.query_tokens(plain), " ").alias("tokens"))
+
+
+@query(r"""
+WITH q AS (SELECT conv_id * 1000 + turn AS query_id, 'Since 1.' || (100 + turn) || ' ' || text AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+SELECT DISTINCT query_id, 'version' AS type, unnest(regexp_extract_all(q, '1\.\d{2,3}(?:\.\d+)?')) AS value FROM q""")
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _read(spark, sf, "conversations").where("role = 'user' and text is not null")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("Since 1."), (100 + F.col("turn")).cast("string"), F.lit(" "), "text").alias("question"))
+    return matching.entities(asked).where("type = 'version'").select("query_id", "type", "value").distinct()
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS summary FROM documents")
+def summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents", "doc_id", "text").select("doc_id", text.summary("text", 60).alias("summary"))
+
+
+# --- identities -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, substr(md5('parts/' || p_type || ':' || p_name || ':' || p_brand), 1, 12) AS id FROM part")
+def symbol_id(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "part").select("p_partkey", text.symbol_id(F.concat(F.lit("parts/"), "p_type"), "p_name", "p_brand").alias("id"))
+
+
+@query("SELECT p_partkey, 'sym/' || sha1('function:Core.' || p_name) AS id FROM part")
+def stable_id(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("packages/engine/Source/Core/"), "p_brand", F.lit(".js"))
+    return _read(spark, sf, "part").select("p_partkey", text.stable_id("p_type", text.qualified_name("p_name", F.lit(None).cast("string"), path)).alias("id"))
+
+
+@query("""
+WITH h AS (SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split('part:' || p_partkey, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part)
+SELECT p_partkey, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS id FROM h""")
+def vector_point_id(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "part", "p_partkey").select("p_partkey", text.point_id(F.concat(F.lit("part:"), F.col("p_partkey").cast("string"))).alias("id"))
+
+
+# --- experience graph -----------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, unnest(list(DISTINCT l_partkey)) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey)
+SELECT 'fixes:pr_review:' || o_orderkey || ':issue:' || n AS id FROM r JOIN part ON p_partkey = n WHERE p_size > 25""")
+def fixes_edges(spark: SparkSession, sf: str) -> DataFrame:
+    orders, line = _read(spark, sf, "orders", "o_orderkey", "o_orderstatus"), _read(spark, sf, "lineitem", "l_orderkey", "l_partkey")
+    refs = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("closing_issue_refs"))
+    pulls = orders.select(F.col("o_orderkey").alias("id"), F.lit("r").alias("repo"), F.when(F.col("o_orderstatus") == "F", "2024").alias("merged_at")).join(refs, "id")
+    part = _read(spark, sf, "part", "p_partkey", "p_size")
+    issues = part.select(F.col("p_partkey").alias("id"), F.lit("r").alias("repo"), F.col("p_partkey").alias("number"))
+    nodes = part.where("p_size > 25").select(F.concat(F.lit("issue:"), F.col("p_partkey").cast("string")).alias("id")).union(orders.select(F.concat(F.lit("pr_review:"), F.col("o_orderkey").cast("string"))))
+    return matching.fixes_edges(pulls, issues, nodes).select("id")
+
+
+@query("SELECT o_orderkey, round(floor((CASE WHEN o_orderstatus = 'F' THEN 0.9 ELSE 0 END + least(o_totalprice / 100 / 1000.0, 0.1)) * 1000 + 0.5) / 1000, 6) AS quality FROM orders")
+def forum_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "orders").select("o_orderkey", F.round(matching.forum_quality(F.col("o_orderstatus") == "F", F.col("o_totalprice") / 100), 6).alias("quality"))
+
+
+# --- vectors --------------------------------------------------------------------------------------------------------
+
+_PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings AS a JOIN embeddings AS b ON a.vec_id <> b.vec_id"
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+@query(f"SELECT a AS query_id, b AS id, CAST(r AS INTEGER) AS rank, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM ({_PAIRS} WHERE a.vec_id < 50)) WHERE r <= 5")
+def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
+    points = _points(spark, sf)
+    asks = points.where("id < 50").select(F.col("id").alias("query_id"), "vector")
+    return vectors.nearest(asks, points, 5).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+
+
+@query("SELECT vec_id AS id, round(s, 5) AS score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)) AS s FROM embeddings) WHERE s >= 0.2 ORDER BY s DESC, vec_id LIMIT 20")
+def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    points = _points(spark, sf)
+    one = points.where("id = 3").first()["vector"]
+    return vectors.similar(points, one, 20, 0.2).select("id", F.round("score", 5).alias("score"))
+
+
+@query(f"""
+WITH k AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM ({_PAIRS}) WHERE s >= 0.35) WHERE r <= 5),
+p AS (SELECT least(a, b) AS x, greatest(a, b) AS y, bool_or(a < b) AS f, max(s) AS s FROM k GROUP BY 1, 2)
+SELECT CASE WHEN f THEN x ELSE y END AS source_node_id, CASE WHEN f THEN y ELSE x END AS target_node_id, round(s, 5) AS confidence FROM p""")
+def references_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.reference_edges(_points(spark, sf), 0.35, 5).select("source_node_id", "target_node_id", F.round("confidence", 5).alias("confidence"))
+
+
+@query()
+def cluster_greedy(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.clusters(_points(spark, sf), 0.4)
+
+
+@query("""
+WITH u AS (SELECT label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v, vec_id FROM embeddings)
+SELECT a.label, count(DISTINCT a.vec_id) AS size, round(avg(list_dot_product(a.v, b.v)), 6) AS score FROM u AS a JOIN u AS b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
+def cluster_cohesion(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.cohesion(_points(spark, sf), "label").select("label", "size", F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH m AS (SELECT a.vec_id AS id, b.vec_id AS best_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings AS a JOIN embeddings AS b ON a.label = 0 AND b.label <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, best_id) AS n FROM m)
+SELECT id, best_id, round(s, 5) AS score, CASE WHEN s > 0.4 THEN best_id END AS dup_of FROM r WHERE n = 1""")
+def dup_scorer(spark: SparkSession, sf: str) -> DataFrame:
+    points = _points(spark, sf)
+    return vectors.duplicates(points.where("label = 0"), points.where("label <> 0"), 0.4).select("id", "best_id", F.round("score", 5).alias("score"), "dup_of")
+
+
+@query()
+def canonical_problems(spark: SparkSession, sf: str) -> DataFrame:
+    points = _points(spark, sf)
+    members = vectors.clusters(points, 0.4).join(points, "id")
+    close = vectors.cohesion(members).select("cluster_id", "size", "score")
+    listed = members.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("issue:"), F.col("id").cast("string")))).alias("members"))
+    return mining.canonical_problems(close.join(listed, "cluster_id"))
+
+
+# --- rule engines ---------------------------------------------------------------------------------------------------
+
+#: Patterns whose words occur in the synthetic texts.
+_PATTERN_ROWS = [
+    ("p1", "First", "is", ["tion the"], ["thand", "erst"], ["ing the er", "thes ther"], ["The", "And"]),
+    ("p2", "Second", "der", ["der die"], ["und", "keit"], ["die und der"], ["Der"]),
+    ("p3", "Third", "que", ["de la", "la-de"], ["que", "ción"], ["la que de"], ["La"]),
+    ("p4", "Fourth", "le", ["le de", "le des"], ["les", "eaux"], ["la le que", "des les"], ["Le", "Des"]),
+]
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    rows = [(*r, i) for i, r in enumerate(_PATTERN_ROWS)]
+    return _values(spark, rows, "id string, name string, category string, aliases array<string>, triggerKeywords array<string>, symptoms array<string>, relatedSymbols array<string>, ordinal int")
+
+
+_P = "p(id, name, category, aliases, kw, sym, rel, o) AS (VALUES " + ", ".join(f"('{i}', '{n}', '{c}', {a}, {k}, {s}, {y}, {o})" for o, (i, n, c, a, k, s, y) in enumerate(_PATTERN_ROWS)) + ")"
+_SPLIT = "list_filter(regexp_split_to_array(lower({}), '[\\s_-]+'), lambda z: z <> '')"
+_MATCH = f"""
+WITH {_P}, q AS (SELECT doc_id AS query_id, {_TOKENS} AS t FROM documents),
+x AS (SELECT query_id, id, name, category, o,
+  len(list_filter(aliases, lambda a: len({_SPLIT.format('a')}) > 0 AND len(list_filter(range(1, len(t) - len({_SPLIT.format('a')}) + 2), lambda i: list_slice(t, i, i + len({_SPLIT.format('a')}) - 1) = {_SPLIT.format('a')})) > 0)) AS a,
+  len(list_filter(kw, lambda k: list_contains(t, lower(k)))) AS k, len(list_filter(sym, lambda s: len(list_filter({_SPLIT.format('s')}, lambda y: list_contains(t, y))) >= 2)) AS s,
+  len(list_filter(rel, lambda r: list_contains(t, lower(r)))) AS r, CAST(list_contains(t, lower(category)) AS INTEGER) AS c FROM q, p)
+"""
+_SCORED = "SELECT query_id, id, name, category, o, CAST(3 * a + 2 * k + 2 * s + r + c AS DOUBLE) AS score FROM x WHERE a + k + s > 0"
+
+
+def _plain_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return _questions(spark, sf).withColumn("question", F.regexp_replace("question", r"[^\x00-\x7F]", " "))
+
+
+@query(f"{_MATCH} SELECT query_id, id, score FROM ({_SCORED})")
+def pattern_match(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.match_patterns(_plain_questions(spark, sf), _patterns(spark)).select("query_id", "id", "score")
+
+
+@query(f"""
+{_MATCH}, v AS (SELECT *, CASE WHEN (query_id + o) % 5 = 0 THEN 0.8 WHEN (query_id + o) % 5 = 1 THEN 0.5 ELSE 0 END AS vs FROM x)
+SELECT query_id, id, round(3 * a + 2 * k + 2 * s + r + c + 3 * vs, 6) AS score FROM v WHERE 3 * a + 2 * k + 2 * s + r + c + 3 * vs > 0 AND (a + k + s > 0 OR vs >= 0.75)""")
+def hybrid_match(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _plain_questions(spark, sf)
+    n = F.pmod(F.col("query_id") + F.col("ordinal"), F.lit(5))
+    scores = asked.select("query_id").join(F.broadcast(_patterns(spark).select("id", "ordinal")), F.lit(True)).select("query_id", "id", F.when(n == 0, 0.8).when(n == 1, 0.5).otherwise(0.0).alias("vector_score"))
+    return matching.match_patterns(asked, _patterns(spark), vector_scores=scores).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"{_MATCH} SELECT id, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) AS n FROM ({_SCORED})) WHERE n <= 3 AND score >= 3 GROUP BY id")
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _plain_questions(spark, sf)
+    issues = asked.select(F.col("query_id").alias("id"), F.lit("").alias("title"), F.col("question").alias("body"))
+    return matching.coverage(issues, _patterns(spark), 3.0)
+
+
+_KEYWORDS = (("bug", 0.3, ["the", "thand", "ing"]), ("feature_request", 0.3, ["der", "und"]), ("enhancement", 0.2, ["de", "la", "que"]), ("refactor", 0.2, ["les"]))
+
+
+def _intent_sql() -> str:
+    counts = ", ".join(f"len(list_filter({w}, lambda k: contains(lower(text), k))) AS {n}" for n, _, w in _KEYWORDS)
+    best = "greatest(" + ", ".join(n for n, _, _ in _KEYWORDS) + ")"
+    intent = " ".join(f"WHEN {n} = {best} THEN '{n}'" for n, _, _ in _KEYWORDS)
+    sure = " ".join(f"WHEN {n} = {best} THEN least(0.95, 0.5 + {w} * least({n}, 5) / 5)" for n, w, _ in _KEYWORDS)
+    return f"""
+WITH k AS (SELECT doc_id, quality, {counts} FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN quality = 0 THEN 'bug' WHEN {best} = 0 THEN 'unknown' {intent} END AS intent, round(CASE WHEN quality = 0 THEN 0.9 WHEN {best} = 0 THEN 0.1 {sure} END, 6) AS confidence FROM k"""
+
+
+@query(_intent_sql())
+def intent_classify(spark: SparkSession, sf: str) -> DataFrame:
+    labels = _read(spark, sf, "labels", "doc_id", "quality").select("doc_id", F.when(F.col("quality") == 0, F.array(F.lit(" Defect "))).alias("labels"))
+    docs = _read(spark, sf, "documents", "doc_id", "text").join(labels, "doc_id", "left").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"), "labels")
+    return matching.intents(docs, keyword_rules=_KEYWORDS).select("doc_id", "intent", F.round("confidence", 6).alias("confidence"))
+
+
+_SKILLS = [("debug", ["thand", "erst"]), ("performance", ["ing the"]), ("shader", ["und", "der"]), ("api", ["que", "de la"]), ("general", ["the"])]
+_TURNS = "SELECT conv_id * 1000 + turn AS query_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL"
+
+
+@query(f"""
+WITH s(id, kw, o) AS (VALUES {", ".join(f"('{i}', {k}, {o})" for o, (i, k) in enumerate(_SKILLS))}), q AS ({_TURNS}),
+x AS (SELECT query_id, id, o, CASE WHEN id = 'general' THEN 0 ELSE len(list_filter(kw, lambda k: contains(q, k))) END AS n, len(list_filter(regexp_split_to_array(q, '[\\s_\\-.,;:!?]+'), lambda t: t <> '')) AS w FROM q, s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, o) AS k FROM x)
+SELECT query_id, CASE WHEN n > 0 THEN id ELSE 'general' END AS skill, round(floor(CASE WHEN w > 0 THEN least(n / w, 1.0) ELSE 0 END * 100 + 0.5) / 100, 6) AS confidence FROM r WHERE k = 1""")
+def skill_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    asked = _read(spark, sf, "conversations").where("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), low.alias("question"))
+    skills = _values(spark, [(i, k, o) for o, (i, k) in enumerate(_SKILLS)], "id string, triggerKeywords array<string>, ordinal int")
+    none = _values(spark, [], "query_id long, type string, value string, position int")
+    return matching.dispatch(asked, skills, none).select("query_id", "skill", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"{_MATCH} SELECT query_id, id AS source, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM ({_SCORED})")
+def evidence_rank(spark: SparkSession, sf: str) -> DataFrame:
+    found = evidence.collect(_plain_questions(spark, sf), _patterns(spark))
+    return evidence.rank(found).select("query_id", "source", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+{_MATCH}, e AS (SELECT query_id, max(score) AS m FROM ({_SCORED}) GROUP BY query_id), c AS (SELECT q.query_id, CASE WHEN m IS NULL THEN 0.0 ELSE least(m + 0.05, 1.0) END AS confidence FROM q LEFT JOIN e USING (query_id))
+SELECT query_id, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.9 THEN 'A' WHEN confidence >= 0.7 THEN 'B' WHEN confidence >= 0.5 THEN 'C' WHEN confidence >= 0.3 THEN 'D' ELSE 'F' END AS grade FROM c""")
+def confidence_grade(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.diagnose(_plain_questions(spark, sf), _patterns(spark)).select("query_id", F.round("confidence", 6).alias("confidence"), "grade")
+
+
+@query()
+def explanations(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.diagnose(_plain_questions(spark, sf), _patterns(spark)).drop("evidence_summary")
+
+
+# --- packing --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(ceil(len(text) / 4) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents", "doc_id", "text").select("doc_id", text.token_estimate("text").alias("tokens"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 400) || chr(10) || '... [truncated]' END) AS cut_md5 FROM documents")
+def text_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(text.truncate_text("text", 100)).alias("cut_md5"))
+
+
+@query("SELECT doc_id, lang, cost, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, lang, CAST(ceil(length(text) / 4) AS BIGINT) AS cost, sum(CAST(ceil(length(text) / 4) AS BIGINT)) OVER (PARTITION BY lang ORDER BY doc_id) AS running FROM documents) WHERE running <= 20000")
+def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.within_budget(_read(spark, sf, "documents", "doc_id", "lang", "text"), "lang", ["doc_id"], text.token_estimate("text"), 20000).select("doc_id", "lang", "cost", "running")
+
+
+@query()
+def section_caps(spark: SparkSession, sf: str) -> DataFrame:
+    """A context pack for each source of documents, its texts as sources and issues, cut to 3,500 tokens."""
+    docs = _read(spark, sf, "documents", "doc_id", "source", "text")
+    rank = F.row_number().over(_by_source())
+    some = docs.withColumn("n", rank).where("n <= 12")
+    body = lambda name: F.array_sort(F.collect_list(F.when(F.col("n") % 2 == (1 if name == "code" else 0), F.struct("n", F.lit("t").alias("title"), F.col("text").alias(name)))))
+    none = F.lit(None).cast("string")
+    symbol = F.struct(F.lit("id").alias("id"), F.first("source").alias("name"), none.alias("doc_comment"), none.alias("parent_class"), F.array().cast("array<string>").alias("exports"), F.array().cast("array<string>").alias("imports"))
+    edges = F.array_sort(F.collect_list(F.struct("n", F.col("doc_id").alias("target_id"))))
+    packs = some.groupBy("source").agg(body("code").alias("code_rows"), body("body").alias("issues"), edges.alias("callgraph"), symbol.alias("symbol")).withColumnRenamed("source", "pack_id").withColumnRenamed("code_rows", "source")
+    cut = packing.context_pack(packs, 3500)
+    return cut.select("pack_id", "total_tokens", "truncated", "unavoidable_overflow", F.size("source").alias("sources"), F.size("issues").alias("issues"), F.size("callgraph").alias("edges"))
+
+
+def _by_source():  # noqa: ANN202
+    from pyspark.sql import Window
+
+    return Window.partitionBy("source").orderBy("doc_id")
+
+
+# --- versions -------------------------------------------------------------------------------------------------------
+
+_OLD = "SELECT 'sym/' || p_partkey AS symbol_id, p_name AS name, 'a/' || p_brand AS file_path, 1 AS start_line, 1 + p_size AS end_line, p_type AS doc_comment, sha1(p_name) AS source_hash FROM part WHERE p_partkey % 11 <> 0"
+_NEW = """SELECT 'sym/' || p_partkey AS symbol_id, p_name AS name, CASE WHEN p_partkey % 13 = 0 THEN 'b/' ELSE 'a/' END || p_brand AS file_path, 1 AS start_line, 1 + p_size + CASE WHEN p_partkey % 5 = 0 THEN 4 ELSE 0 END AS end_line,
+CASE WHEN p_partkey % 7 = 0 THEN 'new' ELSE p_type END AS doc_comment, sha1(p_name || CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 3 = 0 THEN '!' ELSE '' END) AS source_hash FROM part WHERE p_partkey % 17 <> 0"""
+_DIFF = f"""
+WITH b AS ({_OLD}), a AS ({_NEW}), d AS (SELECT coalesce(b.symbol_id, a.symbol_id) AS symbol_id, coalesce(a.name, b.name) AS name, b.file_path AS bf, a.file_path AS af,
+CASE WHEN b.symbol_id IS NULL OR a.symbol_id IS NULL THEN NULL WHEN b.file_path <> a.file_path THEN 'location' WHEN b.doc_comment <> a.doc_comment AND b.source_hash <> a.source_hash AND a.end_line - a.start_line = b.end_line - b.start_line THEN 'doc'
+WHEN b.source_hash <> a.source_hash AND abs((a.end_line - a.start_line) - (b.end_line - b.start_line)) > 2 THEN 'signature' WHEN b.source_hash <> a.source_hash THEN 'implementation' ELSE 'none' END AS change_type,
+b.symbol_id IS NULL AS added, a.symbol_id IS NULL AS removed FROM b FULL JOIN a ON b.symbol_id = a.symbol_id),
+s AS (SELECT *, CASE WHEN added THEN 'added' WHEN removed THEN 'removed' WHEN change_type = 'none' THEN 'unchanged' ELSE 'modified' END AS status FROM d)
+"""
+
+
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    part = _read(spark, sf, "part")
+    base = {"symbol_id": F.concat(F.lit("sym/"), k.cast("string")), "kind": F.lit("function"), "start_line": F.lit(1)}
+    old = part.where(k % 11 != 0).select(*[c.alias(n) for n, c in base.items()], F.lit("1").alias("version"), F.col("p_name").alias("name"), F.concat(F.lit("a/"), "p_brand").alias("file_path"), (1 + F.col("p_size")).alias("end_line"), F.col("p_type").alias("doc_comment"), F.sha1("p_name").alias("source_hash"))
+    changed = F.when((k % 5 == 0) | (k % 7 == 0) | (k % 3 == 0), "!").otherwise("")
+    new = part.where(k % 17 != 0).select(*[c.alias(n) for n, c in base.items()], F.lit("2").alias("version"), F.col("p_name").alias("name"), F.concat(F.when(k % 13 == 0, "b/").otherwise("a/"), "p_brand").alias("file_path"), (1 + F.col("p_size") + F.when(k % 5 == 0, 4).otherwise(0)).alias("end_line"), F.when(k % 7 == 0, "new").otherwise(F.col("p_type")).alias("doc_comment"), F.sha1(F.concat("p_name", changed)).alias("source_hash"))
+    return old, new
+
+
+@query(f"{_DIFF} SELECT symbol_id, status, change_type FROM s")
+def version_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.compare(*_snapshots(spark, sf)).select("symbol_id", "status", "change_type")
+
+
+@query(f"{_DIFF}, z(status) AS (VALUES ('added'), ('removed'), ('modified'), ('unchanged')) SELECT z.status, CAST(coalesce(n, 0) AS BIGINT) AS n FROM z LEFT JOIN (SELECT status, count(*) AS n FROM s GROUP BY status) USING (status)")
+def version_diff_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.diff_stats(diff.compare(*_snapshots(spark, sf)))
+
+
+@query(f"""
+{_DIFF}, c AS (SELECT *, CASE WHEN status = 'removed' THEN 'removed' WHEN change_type = 'signature' THEN 'signature_changed' WHEN change_type = 'location' THEN 'renamed' END AS kind FROM s)
+SELECT 'breaking/' || sha1('1:2:' || symbol_id) AS id, symbol_id, kind AS change_type, 'Symbol ''' || name || ''' ' || CASE kind WHEN 'removed' THEN 'was removed' WHEN 'signature_changed' THEN 'signature changed' ELSE 'moved from ' || bf || ' to ' || af END AS description FROM c WHERE kind IS NOT NULL""")
+def breaking_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.breaking_changes(diff.compare(*_snapshots(spark, sf)), "1", "2").select("id", "symbol_id", "change_type", "description")
+
+
+@query(f"WITH b AS ({_OLD}), a AS ({_NEW}) SELECT (SELECT count(*) FROM b) AS total_old, (SELECT count(*) FROM a) AS total_new, count(*) AS matched, count(*) AS stable, CAST(1.0 AS DOUBLE) AS rate FROM b JOIN a ON b.symbol_id = a.symbol_id")
+def stability(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = (f.withColumn("fqn", F.col("symbol_id")) for f in _snapshots(spark, sf))
+    return diff.stability(old, new)
+
+
+@query("""
+WITH g AS (SELECT p_partkey AS id, p_name AS name, [p_type, p_brand] AS aliases FROM part WHERE p_partkey % 2 = 0), c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN p_name || '!' ELSE p_name END AS name, CASE WHEN p_partkey % 10 = 0 THEN [p_type] ELSE [p_type, p_brand] END AS aliases FROM part WHERE p_partkey % 7 <> 0)
+SELECT g.id, CASE WHEN c.id IS NULL THEN 'added' WHEN g.name <> c.name OR g.aliases <> c.aliases THEN 'updated' ELSE 'unchanged' END AS status FROM g LEFT JOIN c ON g.id = c.id""")
+def pattern_drift(spark: SparkSession, sf: str) -> DataFrame:
+    k, part = F.col("p_partkey"), _read(spark, sf, "part")
+    both = F.array("p_type", "p_brand")
+    generated = part.where(k % 2 == 0).select(k.alias("id"), F.col("p_name").alias("name"), both.alias("aliases"))
+    current = part.where(k % 7 != 0).select(k.alias("id"), F.when(k % 6 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("name"), F.when(k % 10 == 0, F.array("p_type")).otherwise(both).alias("aliases"))
+    return diff.pattern_drift(generated, current)
