@@ -308,12 +308,12 @@ def stage_deps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, list_transform(regexp_extract_all(b, '(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*#(\d+)', 1), lambda x: CAST(x AS BIGINT)) AS refs
+SELECT doc_id, array_to_string(regexp_extract_all(b, '(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*#(\d+)', 1), ',') AS refs
 FROM (SELECT doc_id, 'Fixes #' || doc_id || ' and closed #' || (doc_id + 1) || '; see #3. ' || text AS b FROM documents)""")
 def closing_refs(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     body = F.concat(F.lit("Fixes #"), i.cast("string"), F.lit(" and closed #"), (i + 1).cast("string"), F.lit("; see #3. "), "text")
-    return _read(spark, sf, "documents", "doc_id", "text").select("doc_id", text.closing_references(body).alias("refs"))
+    return _read(spark, sf, "documents", "doc_id", "text").select("doc_id", F.array_join(text.closing_references(body).cast("array<string>"), ",").alias("refs"))
 
 
 @query("""
@@ -439,7 +439,7 @@ def cluster_greedy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH u AS (SELECT label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v, vec_id FROM embeddings)
-SELECT a.label, count(DISTINCT a.vec_id) AS size, round(avg(list_dot_product(a.v, b.v)), 6) AS score FROM u AS a JOIN u AS b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
+SELECT a.label, (SELECT count(*) FROM embeddings AS e WHERE e.label = a.label) AS size, round(avg(list_dot_product(a.v, b.v)), 6) AS score FROM u AS a JOIN u AS b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
 def cluster_cohesion(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.cohesion(_points(spark, sf), "label").select("label", "size", F.round("score", 6).alias("score"))
 
