@@ -501,7 +501,7 @@ def pattern_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 {_MATCH}, v AS (SELECT *, CASE WHEN (query_id + o) % 5 = 0 THEN 0.8 WHEN (query_id + o) % 5 = 1 THEN 0.5 ELSE 0 END AS vs FROM x)
-SELECT query_id, id, round(3 * a + 2 * k + 2 * s + r + c + 3 * vs, 6) AS score FROM v WHERE 3 * a + 2 * k + 2 * s + r + c + 3 * vs > 0 AND (a + k + s > 0 OR vs >= 0.75)""")
+SELECT query_id, id, round(CAST(3 * a + 2 * k + 2 * s + r + c + 3 * vs AS DOUBLE), 6) AS score FROM v WHERE 3 * a + 2 * k + 2 * s + r + c + 3 * vs > 0 AND (a + k + s > 0 OR vs >= 0.75)""")
 def hybrid_match(spark: SparkSession, sf: str) -> DataFrame:
     asked = _plain_questions(spark, sf)
     n = F.pmod(F.col("query_id") + F.col("ordinal"), F.lit(5))
