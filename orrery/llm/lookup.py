@@ -45,7 +45,7 @@ def ranges(hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers as byte planes, compressed."""
-    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T).tobytes(), 1)
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:

@@ -204,6 +204,9 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     What separated words of a removed passage goes with it, and a line break takes its place.
     """
 
+    names = docs.columns
+    others = [c for c in names if c != text]
+
     def finish(table: pa.Table, words: tokens.Words, covered: np.ndarray) -> pa.Table:
         texts = table.column("__text").to_pylist()
         hits = np.diff(np.concatenate([[0], np.cumsum(covered)])[words.first])
@@ -217,9 +220,10 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 at = words.end[a + j - 1] - base
             out.append(raw[at:])
             texts[k] = b"\n".join(x for x in out if x.strip()).decode()
-        nulls = table.column("__null").to_pylist()
-        columns = {c: table.column(c) for c in names if c != text} | {text: pa.array([None if z else t for t, z in zip(texts, nulls, strict=True)], pa.string())}
+        row = table.column("__row").combine_chunks().flatten()
+        nulls = row[-1].to_pylist()
+        columns = dict(zip(others, row[:-1], strict=True)) | {text: pa.array([None if z else t for t, z in zip(texts, nulls, strict=True)], pa.string())}
         return pa.table({c: columns[c] for c in names})
 
-    names = docs.columns
-    return _repeats(docs.withColumn("__null", F.col(text).isNull()), key, text, window, finish, docs.schema, chunk_bytes)
+    carried = docs.select(key, text, F.struct(*others, F.col(text).isNull()).alias("__row"))
+    return _repeats(carried, key, text, window, finish, docs.schema, chunk_bytes)

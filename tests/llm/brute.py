@@ -75,3 +75,80 @@ class Katz:
 
     def base_score(self, text):
         return sum(math.log10((self.words[w] + 1) / (self.total + self.distinct + 1)) for w in self.tokens(text))
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def alnum_words(text):
+    return ALNUM.findall((text or "").translate(LOWER))
+
+
+def contamination(docs, items, window=10):
+    """docs: (id, text); items: (id, text). Per document: n_words, n_hit, sorted item ids."""
+    wanted = defaultdict(set)
+    for i, text in items:
+        w = alnum_words(text)
+        if w:
+            k = min(window, len(w))
+            for p in range(len(w) - k + 1):
+                wanted[tuple(w[p : p + k])].add(i)
+    sizes = {len(k) for k in wanted}
+    out = []
+    for i, text in docs:
+        w, hit, seen = alnum_words(text), set(), set()
+        for k in sizes:
+            for p in range(len(w) - k + 1):
+                found = wanted.get(tuple(w[p : p + k]))
+                if found:
+                    hit.update(range(p, p + k))
+                    seen |= found
+        out.append((i, len(w), len(hit), sorted(str(x) for x in seen if x is not None)))
+    return out
+
+
+def repeats(docs, window=35):
+    """Per document: n_words, kept words."""
+    words = [SPACED.findall(t or "") for _, t in docs]
+    count = Counter(tuple(w[p : p + window]) for w in words for p in range(len(w) - window + 1))
+    out = []
+    for (i, _), w in zip(docs, words):
+        gone = {q for p in range(len(w) - window + 1) if count[tuple(w[p : p + window])] > 1 for q in range(p, p + window)}
+        out.append((i, len(w), [x for q, x in enumerate(w) if q not in gone]))
+    return out
+
+
+def components(docs, size=3, p=90, q=100):
+    """Per document: set size, smallest id that links lead to."""
+    sets = []
+    for _, t in docs:
+        w = SPACED.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and q * both >= p * (len(sets[a]) + len(sets[b]) - both):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(s), (least.get(find(k)) if s else i)) for k, ((i, _), s) in enumerate(zip(docs, sets))]
+
+
+def top(rows, k=5, every=50):
+    """rows: (id, vector). (query, rank, id, score) of each query."""
+    good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = set()
+    for i, v in good:
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i)[:k]
+            out |= {(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)}
+    return sorted(out)
