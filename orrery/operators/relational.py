@@ -120,3 +120,10 @@ def set_status(frame: DataFrame, ids: Sequence[str], status: str, at: Column | N
 def ordered_distinct(lists: str | Column) -> Column:
     """Elements of a list of lists, each once, where it came first."""
     return F.array_distinct(F.flatten(lists))
+
+
+def display_order(name: str = "name", file_path: str = "file_path", kind: str = "kind") -> list[Column]:
+    """Symbols as they are shown: those in the file of their own name first, then by kind."""
+    own = F.contains(F.col(file_path), F.concat(F.lit("/"), F.col(name), F.lit(".js")))
+    place = F.array_position(F.array(*[F.lit(k) for k in ("class", "function", "enum", "method", "constant")]), F.col(kind))
+    return [own.desc(), F.when(place == 0, F.lit(9)).otherwise(place).asc(), F.col(name).asc()]
