@@ -1,4 +1,8 @@
-"""Connected components of large graphs by alternating large-star and small-star steps."""
+"""Connected components of large graphs by alternating large-star and small-star steps.
+
+The least neighbours of a step are checkpointed before they are joined to the edges: both sides of the join are then dealt for it,
+and a node with very many edges can be split.
+"""
 
 from __future__ import annotations
 
@@ -25,9 +29,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if not mark[0]:
             break
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         joined = large.join(low, "u")
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         then = small.distinct().checkpoint()
