@@ -179,7 +179,8 @@ def _automata(items: DataFrame, item_key: str, item_text: str, window: int, most
     yield build()
 
 
-Finish = Callable[[pa.RecordBatch, tokens.Words, np.ndarray, list[set[str | None]]], pa.RecordBatch]
+#: Makes a batch's rows from its words, which of them are hit, the items seen, and the last pass's automaton.
+Finish = Callable[[pa.RecordBatch, tokens.Words, np.ndarray, list[set[str | None]], Automaton], pa.RecordBatch]
 
 
 def _passes(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, window: int, most: int, finish: Finish, schema: T.StructType) -> DataFrame:
@@ -205,7 +206,7 @@ def _passes(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_te
                 own.scan(words.hashes(), words.first, hit, seen)
                 batch = batch.select([c for c in batch.schema.names if c not in (_HIT, _SEEN)])
                 if last:
-                    yield finish(batch, words, hit, seen)
+                    yield finish(batch, words, hit, seen, own)
                 else:
                     marks = [np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
                     columns = [*batch.columns, pa.array(marks, pa.binary()), pa.array([list(s) for s in seen], pa.list_(pa.string()))]
@@ -225,7 +226,7 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     docs = docs.select(key, text)
     schema = T.StructType([docs.schema[key], *T._parse_datatype_string("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean").fields])
 
-    def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]]) -> pa.RecordBatch:
+    def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]], own: Automaton) -> pa.RecordBatch:
         hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
         names = [sorted(s - {None}) for s in seen]
         digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
@@ -235,32 +236,44 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     return _passes(docs, text, items, item_key, item_text, window, automaton_bytes, finish, schema)
 
 
+def _cut(text: str, hit: np.ndarray) -> str:
+    """The text without each run of hit words, from the first word's beginning to the last one's end, and a line break there."""
+    raw = text.encode()
+    words = tokens.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), tokens.ALPHANUMERIC, True)
+    mine = np.concatenate([[False], hit, [False]])
+    out, at = [], 0
+    for i, j in zip(np.flatnonzero(mine[1:] & ~mine[:-1]), np.flatnonzero(~mine[1:] & mine[:-1]), strict=True):
+        out.append(raw[at : words.start[i]])
+        at = words.end[j - 1]
+    return b"\n".join([*out, raw[at:]]).decode()
+
+
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, most_coverage: float = 0.5, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """``docs`` without the spans of hit words; a row of whose words a larger share than `most_coverage` is hit goes as a whole.
 
     What a span held between its first and last word goes with it, and a line break takes its place. Texts without a hit, and
-    null texts, stay byte for byte. Where the words on both sides of a cut spell a window again, that goes too.
+    null texts, stay byte for byte. Where the words on both sides of a cut spell a window again (of the last automaton's items, where
+    the benchmark needs several), that goes too.
     """
 
-    def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]]) -> pa.RecordBatch:
+    def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]], own: Automaton) -> pa.RecordBatch:
         place = batch.schema.get_field_index(text)
         hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
-        texts = batch.column(place).to_pylist() if hits.any() else None
-        if texts is None:
+        if not hits.any():
             return batch
+        texts = batch.column(place).to_pylist()
         keep = hits <= most_coverage * words.counts
-        for k in np.flatnonzero(hits):
-            a, b = words.first[k], words.first[k + 1]
-            mine = np.concatenate([[False], hit[a:b], [False]])
-            begins, ends = np.flatnonzero(mine[1:] & ~mine[:-1]), np.flatnonzero(~mine[1:] & mine[:-1])
-            raw, base, out, at = texts[k].encode(), words.offsets[k], [], 0
-            for i, j in zip(begins, ends, strict=True):
-                out.append(raw[at : words.start[a + i] - base])
-                at = words.end[a + j - 1] - base
-            texts[k] = b"\n".join([*out, raw[at:]]).decode()
+        for k in np.flatnonzero((hits > 0) & keep):
+            mine = hit[words.first[k] : words.first[k + 1]]
+            while mine.any() and mine.sum() <= most_coverage * len(mine):
+                texts[k] = _cut(texts[k], mine)
+                raw = np.frombuffer(texts[k].encode(), np.uint8)
+                again = tokens.split(raw, np.array([0, len(raw)]), tokens.ALPHANUMERIC, True)
+                mine = np.zeros(len(again.start), bool)
+                own.scan(again.hashes(), again.first, mine, [set()])
+            keep[k] = not mine.any()
         columns = list(batch.columns)
         columns[place] = pa.array(texts, columns[place].type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
-    once = _passes(docs, text, items, item_key, item_text, window, automaton_bytes, finish, docs.schema)
-    return _passes(once, text, items, item_key, item_text, window, automaton_bytes, finish, docs.schema)
+    return _passes(docs, text, items, item_key, item_text, window, automaton_bytes, finish, docs.schema)

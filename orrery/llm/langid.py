@@ -32,7 +32,9 @@ GRAMS = (2, 3, 4)
 LEXICON_WORDS = 300
 LANE = 256
 UNKNOWN = "und"
-_SLICE = 6 << 20
+_SLICE = 2 << 20
+#: Words whose features are held at a time.
+_WORDS = 16_384
 _PIECE, _SEQUENCES, _BATCH, _EPOCHS = 24, 6144, 256, 3
 
 
@@ -80,9 +82,9 @@ class Chain:
             return np.zeros((0, len(self.languages)))
         _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         out = np.empty((len(first), len(self.languages)), np.float32)
-        for i in range(0, len(first), 50_000):
-            numbers, begin = _features(words, first[i : i + 50_000], hashes, self.lexicons)
-            out[i : i + 50_000] = np.add.reduceat(self.weights[numbers], begin, axis=0)
+        for i in range(0, len(first), _WORDS):
+            numbers, begin = _features(words, first[i : i + _WORDS], hashes, self.lexicons)
+            out[i : i + _WORDS] = np.add.reduceat(self.weights[numbers], begin, axis=0)
         return out[back].astype(np.float64)
 
     def posteriors(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -165,7 +167,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Chain | None:
     share = np.log((counts + 0.5) / (counts.sum(axis=0) + 1))
     gain = counts * (share - np.log((counts.sum(axis=1, keepdims=True) - counts + 0.5) / (counts.sum() - counts.sum(axis=0) + 1)))
     lexicons = [np.sort(unique[np.argsort(-gain[:, k])[:LEXICON_WORDS]]) for k in range(number)]
-    numbers, begin = _features(words, first, hashes, lexicons)
+    parts = [_features(words, first[i : i + _WORDS], hashes, lexicons) for i in range(0, len(first), _WORDS)]
+    before = np.cumsum([0] + [len(n) for n, _ in parts])
+    numbers, begin = np.concatenate([n for n, _ in parts]), np.concatenate([b + at for (_, b), at in zip(parts, before, strict=False)])
     ends = np.append(begin[1:], len(numbers))
 
     rng = np.random.default_rng(seed)
