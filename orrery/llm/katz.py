@@ -255,11 +255,11 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     schema = T.StructType([docs.schema[key], *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
     empty = to_arrow_schema(schema).empty_table()
 
-    asked = parts.groupBy("__chunk").applyInArrow(lambda t: _ask(_Chunk(t), n), "__bucket int, __chunk long, kind int, hashes binary, counts binary")
+    asked = parts.groupBy("__chunk").applyInArrow(tokens.released(lambda t: _ask(_Chunk(t), n)), "__bucket int, __chunk long, kind int, hashes binary, counts binary")
     told = "__chunk long, kind int, bucket int, told binary, owned binary"
-    answers = asked.groupBy("__bucket").applyInArrow(_answer, told)
-    shares = parts.groupBy("__chunk").cogroup(answers.where("__chunk >= 0").groupBy("__chunk")).applyInArrow(lambda t, a: _shares(t, a, n), "__bucket int, hashes binary, sums binary")
-    contexts = asked.groupBy("__bucket").cogroup(shares.groupBy("__bucket")).applyInArrow(_contexts, told)
+    answers = asked.groupBy("__bucket").applyInArrow(tokens.released(_answer), told)
+    shares = parts.groupBy("__chunk").cogroup(answers.where("__chunk >= 0").groupBy("__chunk")).applyInArrow(tokens.released(lambda t, a: _shares(t, a, n)), "__bucket int, hashes binary, sums binary")
+    contexts = asked.groupBy("__bucket").cogroup(shares.groupBy("__bucket")).applyInArrow(tokens.released(_contexts), told)
 
     def added(rows: pa.Table) -> pa.Table:
         sums = sum(np.frombuffer(x, np.int64) for x in rows.column("told").to_pylist())
@@ -268,4 +268,4 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     stats = answers.where(F.col("kind") == _STATS).groupBy("kind").applyInArrow(added, told)
     to_all = stats.union(contexts.where("__chunk < 0")).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     every = answers.where("__chunk >= 0").union(contexts.where("__chunk >= 0")).union(to_all)
-    return parts.groupBy("__chunk").cogroup(every.groupBy("__chunk")).applyInArrow(lambda t, a: _scored(t, a, key, empty), schema)
+    return parts.groupBy("__chunk").cogroup(every.groupBy("__chunk")).applyInArrow(tokens.released(lambda t, a: _scored(t, a, key, empty)), schema)

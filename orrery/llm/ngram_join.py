@@ -237,9 +237,9 @@ def _candidates(docs: DataFrame, key: str, text: str, size: int, p: int, q: int,
         }
         return pa.table(columns)
 
-    asked = parts.groupBy("__chunk").applyInArrow(first, "__bucket int, __chunk long, hashes binary, counts binary")
-    answers = asked.groupBy("__bucket").applyInArrow(_counts, "__chunk long, bucket int, counts binary")
-    return scratch.stored(parts.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(second, schema), "ngrams")
+    asked = parts.groupBy("__chunk").applyInArrow(tokens.released(first), "__bucket int, __chunk long, hashes binary, counts binary")
+    answers = asked.groupBy("__bucket").applyInArrow(tokens.released(_counts), "__chunk long, bucket int, counts binary")
+    return scratch.stored(parts.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(tokens.released(second), schema), "ngrams")
 
 
 def _joined(tiles: DataFrame, p: int, q: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _joined(tiles: DataFrame, p: int, q: int) -> DataFrame:
             out += [(classes[own[a]], classes[own[b]]) for a, b in links(sets, p, q, names)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    return tiles.groupBy("tile", "other").applyInArrow(run, "a binary, b binary")
+    return tiles.groupBy("tile", "other").applyInArrow(tokens.released(run), "a binary, b binary")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: tuple[int, int] = (90, 100), tree_ngrams: int = TREE_NGRAMS, chunk_bytes: int = lookup.CHUNK_BYTES) -> DataFrame:

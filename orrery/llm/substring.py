@@ -178,10 +178,10 @@ def _repeats(docs: DataFrame, key: str, text: str, window: int, finish: Finish,
         return to_arrow_schema(schema).empty_table()
 
     narrow = parts.select("__chunk", "__text", "__key", "__hash")
-    answers = narrow.groupBy("__chunk").applyInArrow(first, _QUESTION).groupBy("__bucket").applyInArrow(_answer, _ANSWER)
-    asked = narrow.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(second, _QUESTION)
-    more = asked.groupBy("__bucket").applyInArrow(_answer, _ANSWER)
-    return parts.groupBy("__chunk").cogroup(answers.union(more).groupBy("__chunk")).applyInArrow(third, schema)
+    answers = narrow.groupBy("__chunk").applyInArrow(tokens.released(first), _QUESTION).groupBy("__bucket").applyInArrow(tokens.released(_answer), _ANSWER)
+    asked = narrow.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(tokens.released(second), _QUESTION)
+    more = asked.groupBy("__bucket").applyInArrow(tokens.released(_answer), _ANSWER)
+    return parts.groupBy("__chunk").cogroup(answers.union(more).groupBy("__chunk")).applyInArrow(tokens.released(third), schema)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, chunk_bytes: int = lookup.CHUNK_BYTES) -> DataFrame:

@@ -6,7 +6,9 @@ to words and the work can be done on bytes. Word hashes have 64 bits; sequences
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,29 @@ SLICE_BYTES = 2 << 20
 #: Bytes that are hashed at a time, so that the tables of powers stay small.
 _HASH_BLOCK = 1 << 18
 
+def release() -> None:
+    """Give memory that is free but held back to the system: a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(task: Callable) -> Callable:
+    """The same task on a group of rows, with its memory given back when it is done."""
+
+    def done(*tables: pa.Table) -> pa.Table:
+        try:
+            return task(*tables)
+        finally:
+            release()
+
+    # Spark tells from the number of arguments whether a task wants the group's key too
+    if len(inspect.signature(task).parameters) == 1:
+        return lambda table: done(table)
+    return lambda left, right: done(left, right)
+
+
 _ALL = np.arange(256)
 LOWER = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.uint8)
 #: Words are runs of anything but white space.
@@ -160,6 +185,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    release()
 
 
 def joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

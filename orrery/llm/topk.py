@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tokens
+
 BLOCK_ROWS = 64
 SHARD_ROWS = (8192, 262_144)
 QUERY_ROWS = 8192
@@ -137,6 +139,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         return pa.table({"query_id": q[who], "__q": number[who], "__c": ids[who, slot], "score": scores[who, slot].astype(np.int64)})
 
     right = right.withColumn("__h", F.xxhash64("__v"))
-    found = left.groupBy("__shard", "__chunk").cogroup(right.groupBy("__shard", "__chunk")).applyInArrow(task, "query_id long, __q long, __c long, score long")
+    found = left.groupBy("__shard", "__chunk").cogroup(right.groupBy("__shard", "__chunk")).applyInArrow(tokens.released(task), "query_id long, __q long, __c long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "__q").orderBy(F.desc("score"), "__c"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("__c").alias(key), "score")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, tokens
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -109,6 +109,7 @@ def read(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFram
                         rows, held = [], 0
                 if rows:
                     yield flush(rows)
+        tokens.release()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc,txt}").load(path).select("content")
     return files.mapInArrow(run, RECORDS)
