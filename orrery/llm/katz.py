@@ -238,6 +238,15 @@ def _scored(table: pa.Table, answers: pa.Table, key: str, empty: pa.Table) -> pa
     })
 
 
+def _parts(docs: DataFrame, held_out: Column, key: str, text: str, chunk_bytes: int) -> tuple[DataFrame, int, int]:
+    """The texts dealt into chunks, and how many chunks and buckets there are."""
+    scratch.bound_batches(docs.sparkSession)
+    narrow = docs.select(F.col(key), F.col(text), (~F.coalesce(held_out, F.lit(False))).alias("__train"))
+    parts, total = lookup.dealt(narrow, key, text, chunk_bytes)
+    parts = parts.select("__chunk", F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), "__train", F.coalesce(text, F.lit("")).alias("__text"))
+    return parts, max(1, -(-total // chunk_bytes)), lookup.buckets(total, 0.8)
+
+
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, log10 both.
 
@@ -245,13 +254,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = docs.sparkSession
-    scratch.bound_batches(spark)
-    narrow = docs.select(F.col(key), F.col(text), (~F.coalesce(held_out, F.lit(False))).alias("__train"))
-    parts, total = lookup.dealt(narrow, key, text, chunk_bytes)
-    chunks = max(1, -(-total // chunk_bytes))
-    parts = parts.select("__chunk", F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), "__train", F.coalesce(text, F.lit("")).alias("__text"))
-    n = lookup.buckets(total, 0.8)
+    parts, chunks, n = _parts(docs, held_out, key, text, chunk_bytes)
     schema = T.StructType([docs.schema[key], *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
     empty = to_arrow_schema(schema).empty_table()
 
@@ -269,3 +272,83 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     to_all = stats.union(contexts.where("__chunk < 0")).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     every = answers.where("__chunk >= 0").union(contexts.where("__chunk >= 0")).union(to_all)
     return parts.groupBy("__chunk").cogroup(every.groupBy("__chunk")).applyInArrow(tokens.released(lambda t, a: _scored(t, a, key, empty)), schema)
+
+
+# --- stored tables --------------------------------------------------------------------------------------------------
+
+MODEL = "kind string, bucket int, hash long, n long, weight double"
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """A bucket's words and retained pairs with their training counts."""
+    out: list[pa.Table] = []
+    bucket = table.column("__bucket")[0].as_py()
+    for kind, name in ((_WORDS, "word"), (_PAIRS, "pair")):
+        rows = [r for r in table.to_pylist() if r["kind"] == kind]
+        hashes = np.concatenate([lookup.unpack_sorted(r["hashes"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
+        counts = np.concatenate([lookup.unpack(r["counts"], np.int32) for r in rows] or [np.zeros(0, np.int32)])
+        distinct, back = np.unique(hashes, return_inverse=True)
+        total = np.bincount(back, counts, len(distinct)).astype(np.int64)
+        keep = total > 0
+        out.append(pa.table({"kind": pa.array([name] * int(keep.sum()), pa.string()), "bucket": pa.array(np.full(int(keep.sum()), bucket, np.int32)), "hash": distinct[keep].view(np.int64), "n": total[keep]}))
+    return pa.concat_tables(out)
+
+
+def _events(spark_rows: DataFrame) -> DataFrame:
+    """(row, u, w, pair): each token of each text with the one before it, as hashes."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch, _, _ in tokens.slices(batches, "__text"):
+            table = pa.Table.from_batches([batch]).append_column("__chunk", pa.array([0] * batch.num_rows, pa.int64())).append_column("__hash", pa.array(range(batch.num_rows), pa.int64()))
+            c = _Chunk(table.append_column("__key", table.column("__hash")))
+            names = np.append(c.words, _BEGIN)
+            row = np.repeat(np.array(batch.column("__row").to_pylist(), np.int64), c.counts)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(names[c.before].view(np.int64)), pa.array(names[c.word].view(np.int64)), pa.array(c.pairs[c.pair].view(np.int64))], names=["row", "u", "w", "pair"])
+
+    return spark_rows.mapInArrow(run, "row long, u long, w long, pair long")
+
+
+def write(docs: DataFrame, held_out: Column, path: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> None:
+    """Store the model as one table partitioned by kind and bucket of hash: words (count, probability), retained pairs (count,
+    discounted share of their context), contexts (events, backoff weight), and one row for unseen words."""
+    train = docs.where(~F.coalesce(held_out, F.lit(False)))
+    parts, _, n = _parts(train, F.lit(False), key, text, chunk_bytes)
+    asked = parts.groupBy("__chunk").applyInArrow(tokens.released(lambda t: _ask(_Chunk(t), n)), "__bucket int, __chunk long, kind int, hashes binary, counts binary")
+    counted = scratch.stored(asked.groupBy("__bucket").applyInArrow(tokens.released(_counted), "kind string, bucket int, hash long, n long"), "counts")
+    of = lambda kind: counted.where(F.col("kind") == kind)
+    figures = {(r["kind"], r["n"]): r["c"] for r in counted.where(F.col("n") <= _COUNTS).groupBy("kind", "n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    whole = of("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    low = lambda kind: np.array([figures.get((kind, r), 0) for r in range(1, _COUNTS + 1)])
+    model = Model(whole["n"] or 0, whole["v"], good_turing(low("word"), 1), good_turing(low("pair"), LEAST_PAIR))
+    unseen = unseen_mass(np.append(model.tokens, low("word")), model.word_discount)
+    discount = lambda d: F.element_at(F.array(*[F.lit(float(x)) for x in [*d, 1.0]]), (F.least("n", F.lit(DISCOUNTED + 1)) + 1).cast("int"))
+    words = of("word").withColumn("weight", F.col("n") * discount(model.word_discount) / max(model.tokens + (unseen <= 0), 1))
+    held = of("pair").where(F.col("n") >= LEAST_PAIR).withColumn("mass", F.col("n") * discount(model.pair_discount))
+    rows = parts.select(F.lit(0).cast("long").alias("__row"), "__text", "__train")
+    kinds = _events(rows).groupBy("pair").agg(F.first("u").alias("u"), F.first("w").alias("w")).join(held.select(F.col("hash").alias("pair"), "bucket", "n", "mass"), "pair")
+    ends = of("word").where(F.col("hash") == F.lit(int(_END.view(np.int64)))).select(F.lit(int(_BEGIN.view(np.int64))).alias("hash"), F.lit(0).alias("bucket"), "n")
+    events = of("word").select("hash", "bucket", "n").unionByName(ends)
+    sums = kinds.join(words.select(F.col("hash").alias("w"), F.col("weight").alias("p")), "w").groupBy(F.col("u").alias("hash")).agg(F.sum("mass").alias("mass"), F.sum("p").alias("p"))
+    rest = F.col("n") - F.coalesce("mass", F.lit(0.0))
+    more = (rest <= 1e-9 * F.col("n")).cast("int")
+    contexts = events.join(sums, "hash", "left").withColumns({"base": F.col("n") + more, "weight": F.when(more == 1, F.lit(1.0)).otherwise(rest) / (F.col("n") + more) / (1 - F.coalesce("p", F.lit(0.0)))})
+    contexts = scratch.stored(contexts.select("hash", "bucket", "n", "base", "weight"), "contexts")
+    pairs = kinds.join(contexts.select(F.col("hash").alias("u"), "base"), "u").select(F.lit("pair").alias("kind"), "bucket", F.col("pair").alias("hash"), "n", (F.col("mass") / F.col("base")).alias("weight"))
+    none = docs.sparkSession.range(1).select(F.lit("unseen").alias("kind"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("n"), F.lit(model.left(unseen)).alias("weight"))
+    named = contexts.select(F.lit("context").alias("kind"), "bucket", "hash", "n", "weight")
+    words.select("kind", "bucket", "hash", "n", "weight").unionByName(pairs).unionByName(named).unionByName(none).write.partitionBy("kind", "bucket").parquet(path)
+
+
+def evaluate(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, score) of each row by a stored model, token by token: the pair, else the context's weight times the word, else
+    times what unseen words have. For texts that are few beside the model; `score` does the same for whole corpora."""
+    model = docs.sparkSession.read.schema(MODEL).parquet(path)
+    numbered = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias("__text"), F.lit(True).alias("__train"), F.monotonically_increasing_id().alias("__row"))
+    rows = scratch.stored(numbered, "rows")
+    of = lambda kind, on, name: model.where(F.col("kind") == kind).select(F.col("hash").alias(on), F.col("weight").alias(name))
+    unseen = F.broadcast(model.where("kind = 'unseen'").select(F.col("weight").alias("left")))
+    events = _events(rows.select("__row", "__text", "__train"))
+    told = events.join(of("pair", "pair", "p"), "pair", "left").join(of("context", "u", "a"), "u", "left").join(of("word", "w", "s"), "w", "left").crossJoin(unseen)
+    value = F.log10(F.coalesce("p", F.coalesce("a", F.lit(1.0)) * F.coalesce("s", "left")))
+    sums = told.groupBy("row").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(value).alias("score"))
+    return rows.join(sums, rows["__row"] == sums["row"]).select(key, "n_tokens", "score")

@@ -98,6 +98,15 @@ def test_op1_katz(docs, rows, none):
     assert set(alone) == {(0, 0, 0.0)}
 
 
+def test_op1_stored_tables(spark, docs, rows, tmp_path):
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    path = str(tmp_path / "model")
+    katz.write(docs, held, path, chunk_bytes=300_000)
+    by_text = lambda found: sorted(((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in found.collect()), key=str)
+    assert by_text(katz.evaluate(docs, path)) == by_text(katz.score(docs, held))
+    assert {r["kind"] for r in spark.read.parquet(path).select("kind").distinct().collect()} == {"word", "pair", "context", "unseen"}
+
+
 def items(rows):
     w = brute.alnum_words(rows[20][1])
     return [(1, " ".join(w[:14])), (2, "Two, words!"), (3, "one"), (None, " ".join(w[3:20])), (5, None), (6, "..."), (7, "a b c a b c a b c a"), (1, "c a b")]
