@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -43,12 +43,22 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for p in ([t for t in w.lower().split("_") if t] for w in words) if p]
 
 
+def _and_equal(term: str) -> Callable[[Column, Column], Column]:
+    return lambda held, t: held & (t == term)
+
+
 @dataclass
 class Index:
-    """postings: doc_id, col, pos, term. lengths: doc_id, dl (terms in all columns)."""
+    """postings: doc_id, col, pos, term. lengths: doc_id, dl (terms in all columns).
+
+    An index that has just been built also has `lists` (doc_id, and each column's terms as a list): a query then counts its phrases
+    in the lists, in one pass for the corpus's figures and one for the scores, without a shuffle. A stored one reads postings of
+    the query's terms only.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    lists: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, columns: Sequence[str], fold: bool = False) -> Index:
@@ -58,7 +68,7 @@ class Index:
         for p in parts[1:]:
             postings = postings.unionByName(p)
         lengths = lists.select("doc_id", sum((F.size(f"c{i}") for i in range(len(columns))), F.lit(0)).cast("long").alias("dl"))
-        return cls(postings, lengths)
+        return cls(postings, lengths, lists)
 
     def write(self, path: str, buckets: int = 64) -> None:
         """Store the index, postings dealt by term so that a term's filter prunes files."""
@@ -84,11 +94,35 @@ class Index:
             out = out.union(p)
         return out
 
+    def _counted(self, phrases: list[list[str]]) -> DataFrame:
+        """The scores by counting in the lists of terms."""
+        columns = [c for c in self.lists.columns if c != "doc_id"]
+
+        def times(phrase: list[str], c: str) -> Column:
+            # the list must stand outside the lambdas, or it would be made anew for each of its elements
+            begins = F.transform(c, lambda t: t == phrase[0])
+            for k, term in enumerate(phrase[1:], 2):
+                begins = F.zip_with(begins, F.slice(c, k, 1 << 30), _and_equal(term))
+            return F.size(F.filter(begins, lambda b: b))
+
+        add = lambda parts: sum(parts[1:], parts[0])
+        rows = self.lists.select("doc_id", add([F.size(c) for c in columns]).cast("double").alias("dl"), *[add([times(p, c) for c in columns]).cast("double").alias(f"t{k}") for k, p in enumerate(phrases)])
+        figures = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{k}") > 0).cast("double").alias(f"d{k}") for k in range(len(phrases))])
+        score, held = F.lit(0.0), F.lit(True)
+        for k in range(len(phrases)):
+            t, d = F.col(f"t{k}"), F.col(f"d{k}")
+            raw = F.log((F.col("n") - d + 0.5) / (d + 0.5))
+            score = score + F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+            held = held & (t > 0)
+        return rows.where(held).crossJoin(F.broadcast(figures)).select("doc_id", (-score).alias("score"))
+
     def scores(self, query: str) -> DataFrame:
         """(doc_id, score) of every document that holds all of the query's phrases."""
         phrases = query_phrases(query)
         if not phrases:
             return self.lengths.limit(0).select("doc_id", F.lit(0.0).alias("score"))
+        if self.lists is not None:
+            return self._counted(phrases)
         found = self._occurrences(phrases)
         corpus = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
         df = found.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))

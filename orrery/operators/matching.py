@@ -114,7 +114,8 @@ def intents(issues: DataFrame, title: str = "title", body: str = "body", labels:
     content = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
     out = issues.withColumn("__text", content)
     for intent, _, words in keyword_rules:
-        out = out.withColumn(f"__{intent}", F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("__text"), w)))
+        held = [F.when(F.contains(F.col("__text"), F.lit(w)), F.lit(w)) for w in words]
+        out = out.withColumn(f"__{intent}", F.array_compact(F.array(*held)))
     counts = [F.size(f"__{i}") for i, _, _ in keyword_rules]
     best = F.greatest(*counts)
     intent = confidence = reason = F.lit(None)
