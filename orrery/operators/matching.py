@@ -58,9 +58,10 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     return out.drop("__tokens", "__order", *(f"__{c}" for c in ("alias", "keyword", "symptom", "symbol", "category")))
 
 
-def coverage(issues: DataFrame, patterns: DataFrame, least: float, key: str = "id") -> DataFrame:
-    """Hits of each pattern over issues (title and body, 4,000 characters), an issue's best three of at least `least` counting."""
-    question = F.substring(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))), 1, 4000)
+def coverage(issues: DataFrame, patterns: DataFrame, least: float, key: str = "id", most_chars: int | None = 4000) -> DataFrame:
+    """Hits of each pattern over issues (title and body, so many characters, or all), an issue's best three of at least `least` counting."""
+    question = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
+    question = question if most_chars is None else F.substring(question, 1, most_chars)
     asked = issues.select(F.col(key).alias("query_id"), question.alias("question"))
     hits = match_patterns(asked, patterns, 3).where(F.col("score") >= least)
     return hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits"))

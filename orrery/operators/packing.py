@@ -21,23 +21,25 @@ def tokens(x: Column | str) -> Column:
     return text.token_estimate(x)
 
 
-def running(costs: Column) -> Column:
-    """Running sums of a list of numbers."""
-    step = F.sequence(F.lit(1), F.greatest(F.size(costs), F.lit(1)))
-    return F.transform(step, lambda i: F.aggregate(F.slice(costs, F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")))
+def _fitting(costs: Column, room: Column) -> Column:
+    """How many running sums of the costs, which are not negative, stay within the room: one fold."""
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
+
+    def step(a: Column, c: Column) -> Column:
+        total = a["s"] + c.cast("long")
+        return F.struct(total.alias("s"), (a["n"] + (total <= room).cast("int")).alias("n"))
+
+    return F.aggregate(costs, start, step, lambda a: a["n"])
 
 
 def prefix_within(costs: Column, room: Column, least: int = 0) -> Column:
     """How many of the first elements fit the room together, `least` at least."""
-    fits = F.size(F.filter(running(costs), lambda s: s <= room))
-    return F.greatest(F.least(fits, F.size(costs)), F.least(F.size(costs), F.lit(least)))
+    return F.greatest(_fitting(costs, room), F.least(F.size(costs), F.lit(least)))
 
 
 def json_prefix_within(elements: Column, room: Column) -> Column:
     """How many of the first elements fit as one JSON list, whose length counts in quarters."""
-    sizes = F.transform(elements, lambda e: text.utf16_length(F.to_json(e)) + 1)
-    fits = F.size(F.filter(running(sizes), lambda s: s + 1 <= 4 * room))
-    return F.least(fits, F.size(elements))
+    return _fitting(F.transform(elements, lambda e: text.utf16_length(F.to_json(e)) + 1), 4 * room - 1)
 
 
 def json_list_tokens(elements: Column) -> Column:

@@ -208,9 +208,9 @@ def scoped_delete(spark: SparkSession, sf: str) -> DataFrame:
     return relational.counts(relational.without(_read(spark, sf, "events", "event_type"), "event_type", "c", prefix=True), "event_type")
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_id % 100 = 7 THEN 'approved' ELSE 'pending' END AS status FROM events WHERE event_id < 500) GROUP BY status")
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_id IN (7, 107, 207, 307, 407) THEN 'approved' ELSE 'pending' END AS status FROM events) GROUP BY status")
 def candidate_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _read(spark, sf, "events", "event_id").where("event_id < 500").select(F.col("event_id").cast("string").alias("id"), F.lit("pending").alias("status"))
+    rows = _read(spark, sf, "events", "event_id").select(F.col("event_id").cast("string").alias("id"), F.lit("pending").alias("status"))
     return relational.counts(relational.set_status(rows, [str(i) for i in range(7, 500, 100)], "approved"), "status")
 
 
@@ -329,13 +329,13 @@ def html_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
-_ASKED = "regexp_replace(translate(substr(text, 1, 300), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\s-]', ' ', 'g')"
+_ASKED = "regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\s-]', ' ', 'g')"
 _TOKENS = f"list_filter(regexp_split_to_array({_ASKED}, '\\s+'), lambda t: t <> '' AND NOT list_contains({_STOP}, t))"
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    """A document's first 300 characters as a question, with ASCII letters lower-cased so that both sides lower alike."""
-    low = F.translate(F.substring("text", 1, 300), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Each document's whole text as a question, with ASCII letters lower-cased so that both sides lower alike."""
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return _read(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("query_id"), low.alias("question"))
 
 
@@ -410,10 +410,10 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-@query(f"SELECT a AS query_id, b AS id, CAST(r AS INTEGER) AS rank, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM ({_PAIRS} WHERE a.vec_id < 50)) WHERE r <= 5")
+@query(f"SELECT a AS query_id, b AS id, CAST(r AS INTEGER) AS rank, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM ({_PAIRS})) WHERE r <= 5")
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     points = _points(spark, sf)
-    asks = points.where("id < 50").select(F.col("id").alias("query_id"), "vector")
+    asks = points.select(F.col("id").alias("query_id"), "vector")
     return vectors.nearest(asks, points, 5).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
 
 
@@ -513,7 +513,7 @@ def hybrid_match(spark: SparkSession, sf: str) -> DataFrame:
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
     asked = _plain_questions(spark, sf)
     issues = asked.select(F.col("query_id").alias("id"), F.lit("").alias("title"), F.col("question").alias("body"))
-    return matching.coverage(issues, _patterns(spark), 3.0)
+    return matching.coverage(issues, _patterns(spark), 3.0, most_chars=None)
 
 
 _KEYWORDS = (("bug", 0.3, ["the", "thand", "ing"]), ("feature_request", 0.3, ["der", "und"]), ("enhancement", 0.2, ["de", "la", "que"]), ("refactor", 0.2, ["les"]))
@@ -591,25 +591,21 @@ def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def section_caps(spark: SparkSession, sf: str) -> DataFrame:
-    """A context pack for each source of documents, its texts as sources and issues, cut to 3,500 tokens."""
-    docs = _read(spark, sf, "documents", "doc_id", "source", "text")
-    rank = F.row_number().over(_by_source())
-    some = docs.withColumn("n", rank).where("n <= 12")
-    body = lambda name: F.array_sort(F.collect_list(F.when(F.col("n") % 2 == (1 if name == "code" else 0), F.struct("n", F.lit("t").alias("title"), F.col("text").alias(name)))))
+    """A context pack for each document, its lines in turn as sources and issues and its words as edges, cut to 1,500 tokens."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
     none = F.lit(None).cast("string")
-    symbol = F.struct(F.lit("id").alias("id"), F.first("source").alias("name"), none.alias("doc_comment"), none.alias("parent_class"), F.array().cast("array<string>").alias("exports"), F.array().cast("array<string>").alias("imports"))
-    edges = F.array_sort(F.collect_list(F.struct("n", F.col("doc_id").alias("target_id"))))
-    packs = some.groupBy("source").agg(body("code").alias("code_rows"), body("body").alias("issues"), edges.alias("callgraph"), symbol.alias("symbol")).withColumnRenamed("source", "pack_id").withColumnRenamed("code_rows", "source")
-    cut = packing.context_pack(packs, 3500)
+    symbol = F.struct(F.col("doc_id").cast("string").alias("id"), F.coalesce("source", F.lit("")).alias("name"), none.alias("doc_comment"), none.alias("parent_class"), F.array().cast("array<string>").alias("exports"), F.array().cast("array<string>").alias("imports"))
+    packs = _read(spark, sf, "documents", "doc_id", "source", "text").select(
+        F.col("doc_id").alias("pack_id"),
+        symbol.alias("symbol"),
+        F.transform(F.filter(lines, lambda x, i: i % 2 == 0), lambda x: F.struct(x.alias("code"))).alias("source"),
+        F.transform(F.filter(lines, lambda x, i: i % 2 == 1), lambda x: F.struct(F.lit("t").alias("title"), x.alias("body"))).alias("issues"),
+        F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: F.struct(x.alias("target_id"))).alias("callgraph"),
+    )
+    cut = packing.context_pack(packs, 1500)
     return cut.select("pack_id", "total_tokens", "truncated", "unavoidable_overflow", F.size("source").alias("sources"), F.size("issues").alias("issues"), F.size("callgraph").alias("edges"))
 
 
-def _by_source():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source").orderBy("doc_id")
-
-
 # --- versions -------------------------------------------------------------------------------------------------------
 
 _OLD = "SELECT 'sym/' || p_partkey AS symbol_id, p_name AS name, 'a/' || p_brand AS file_path, 1 AS start_line, 1 + p_size AS end_line, p_type AS doc_comment, sha1(p_name) AS source_hash FROM part WHERE p_partkey % 11 <> 0"
