@@ -100,26 +100,24 @@ def summary(text: str | Column, most: int = 500) -> Column:
 def query_tokens(query: str | Column) -> Column:
     """Lower-cased tokens of a question, without punctuation (hyphens stay) and stop words; repeats stay."""
     plain = F.regexp_replace(F.lower(_c(query)), r"[^a-z0-9\s-]", " ")
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.split(plain, r"\s+"), lambda t: (t != "") & ~F.array_contains(stop, t))
+    return F.filter(F.split(plain, r"\s+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
 def phrase_tokens(phrase: Column) -> Column:
     return F.filter(F.split(F.lower(phrase), r"[\s_-]+"), lambda t: t != "")
 
 
-def holds_phrase(tokens: Column, phrase: Column) -> Column:
-    """The phrase's tokens stand in a row among the tokens."""
-    wanted = phrase_tokens(phrase)
+def holds_phrase(tokens: Column, wanted: Column) -> Column:
+    """The wanted tokens (see `phrase_tokens`) stand in a row among the tokens."""
     n = F.size(wanted)
     last = F.size(tokens) - n
     rows = F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(tokens, i + 1, F.greatest(n, F.lit(1))) == wanted)
-    return (n > 0) & (last >= 0) & rows
+    return (n > 0) & (last >= 0) & F.array_contains(tokens, F.get(wanted, F.lit(0))) & ((n == 1) | rows)
 
 
-def overlap(tokens: Column, phrase: Column) -> Column:
-    """How many of the phrase's tokens, repeats counted, are among the tokens."""
-    return F.size(F.filter(phrase_tokens(phrase), lambda t: F.array_contains(tokens, t)))
+def overlap(tokens: Column, wanted: Column) -> Column:
+    """How many of the wanted tokens, repeats counted, are among the tokens."""
+    return F.size(F.filter(wanted, lambda t: F.array_contains(tokens, t)))
 
 
 def safe_id(text: str | Column) -> Column:

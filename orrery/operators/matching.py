@@ -31,7 +31,9 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     """
     asked = queries.select(query, text.query_tokens(question).alias("__tokens"))
     order = patterns.withColumn("__order", F.monotonically_increasing_id()) if "ordinal" not in patterns.columns else patterns.withColumn("__order", F.col("ordinal"))
-    pairs = asked.join(small(order), F.lit(True))
+    # what does not depend on the question is worked out once for each pattern
+    parts = {"__a": F.transform("aliases", text.phrase_tokens), "__s": F.transform("symptoms", text.phrase_tokens), "__k": F.transform("triggerKeywords", F.lower), "__y": F.transform("relatedSymbols", F.lower), "__c": F.lower("category")}
+    pairs = asked.join(small(order.withColumns(parts)), F.lit(True))
     if vector_scores is not None:
         scores = vector_scores.select(F.col(query), F.col("id"), F.col("vector_score"))
         pairs = pairs.join(scores, [query, "id"], "left")
@@ -40,11 +42,11 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     t, v = F.col("__tokens"), F.coalesce("vector_score", F.lit(0.0))
     w = fixed.MATCH_WEIGHTS
     pairs = pairs.withColumns({
-        "__alias": F.filter("aliases", lambda x: text.holds_phrase(t, x)),
-        "__keyword": F.filter("triggerKeywords", lambda x: F.array_contains(t, F.lower(x))),
-        "__symptom": F.array_distinct(F.filter("symptoms", lambda x: text.overlap(t, x) >= 2)),
-        "__symbol": F.filter("relatedSymbols", lambda x: F.array_contains(t, F.lower(x))),
-        "__category": F.filter(F.array("category"), lambda x: F.array_contains(t, F.lower(x))),
+        "__alias": F.filter("aliases", lambda x, i: text.holds_phrase(t, F.get("__a", i))),
+        "__keyword": F.filter("triggerKeywords", lambda x, i: F.array_contains(t, F.get("__k", i))),
+        "__symptom": F.array_distinct(F.filter("symptoms", lambda x, i: text.overlap(t, F.get("__s", i)) >= 2)),
+        "__symbol": F.filter("relatedSymbols", lambda x, i: F.array_contains(t, F.get("__y", i))),
+        "__category": F.filter(F.array("category"), lambda x: F.array_contains(t, F.col("__c"))),
     })
     count = lambda c: F.size(f"__{c}").cast("double") * w[c]
     score = sum((count(c) for c in ("alias", "keyword", "symptom", "symbol", "category")), F.lit(0.0)) + F.when(v > 0, v * w["vector"]).otherwise(F.lit(0.0))
@@ -55,7 +57,7 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     if limit is not None and limit > 0:
         rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "__order"))
         out = out.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return out.drop("__tokens", "__order", *(f"__{c}" for c in ("alias", "keyword", "symptom", "symbol", "category")))
+    return out.drop("__tokens", "__order", *parts, *(f"__{c}" for c in ("alias", "keyword", "symptom", "symbol", "category")))
 
 
 def coverage(issues: DataFrame, patterns: DataFrame, least: float, key: str = "id", most_chars: int | None = 4000) -> DataFrame:
