@@ -1,4 +1,4 @@
-"""Katz backoff language model of order 2: Good-Turing discounted counts, exactly normalised backoff weights.
+"""Katz backoff language model of order 2 or 3: Good-Turing discounted counts, exactly normalised backoff weights.
 
 Counts live in tables partitioned by ranges of the hash of a word or a pair of words. Chunks of documents ask them about
 their own distinct words and pairs, giving their training counts along, and get the corpus's counts back (see `lookup`).
@@ -11,8 +11,13 @@ probability is then found recursively: the discounted pair, else alpha(u) times
 saw, alpha(u) times what discounting left to all unseen words together. The probabilities of all words and of "unseen"
 after any context sum to 1.
 
-Counts up to `DISCOUNTED` are discounted by Good-Turing as Katz does, larger ones are trusted; pairs of fewer than
-`LEAST_PAIR` training occurrences are not retained (Katz's own advice on singletons). Where the counts of counts give no
+Order 3 does the same once more: the discounted triple v u w, else alpha(v u) times the probability of w after u; a text's
+first token has the beginning alone as its context. A triple's count is known without asking where one of its two pairs stands
+in no other chunk, or in no training text; only the others are asked about, once the answers about pairs have come back. The
+sums of a context that stands in one chunk alone are made there, those of the others in the tables.
+
+Counts up to `DISCOUNTED` are discounted by Good-Turing as Katz does, larger ones are trusted; pairs and triples of fewer than
+`least` training occurrences are not retained (1 keeps all; Katz's own advice on singletons is `LEAST_PAIR`). Where the counts of counts give no
 discount between 0 and 1, there is none; a context that would leave nothing to other words counts one event more.
 
 Defined cases: a null or empty text is the end token alone; ids may be null or repeat; without any training text every token
@@ -25,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +40,9 @@ from . import lookup, scratch, tokens
 DISCOUNTED, LEAST_PAIR = 5, 2
 CHUNK_BYTES = 6 << 20
 _BEGIN, _END = np.uint64(0x0B0B0B0B0B0B0B0B), np.uint64(0x0E0E0E0E0E0E0E0E)
-_WORDS, _PAIRS, _CONTEXTS, _STATS = 1, 2, 3, 4
+_WORDS, _PAIRS, _CONTEXTS, _STATS, _TRIPLES, _PAIR_CONTEXTS = 1, 2, 3, 4, 5, 6
+#: Rows of the counts of counts.
+_STAT_ROWS = {_WORDS: 0, _PAIRS: 1, _TRIPLES: 2}
 _COUNTS = DISCOUNTED + 1
 #: Of a context's retained pairs: pairs by count up to DISCOUNTED, the sum of larger counts, and the same of their second words.
 _VECTOR = 2 * _COUNTS
@@ -43,7 +51,7 @@ _VECTOR = 2 * _COUNTS
 class _Chunk:
     """A chunk's events: each token of each text with the one before it."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, order: int = 2) -> None:
         self.table = table = table.sort_by([("__key", "ascending"), ("__hash", "ascending"), ("__train", "ascending")])
         self.number = table.column("__chunk")[0].as_py()
         words = tokens.split(*tokens.buffers(table.column("__text")), tokens.NON_SPACE, True)
@@ -66,6 +74,39 @@ class _Chunk:
         self.pair_context, self.pair_word = before[first], self.word[first]
         self.pair_counts = np.bincount(self.pair[train], minlength=len(self.pairs))
         self.texts = texts
+        if order > 2:
+            inner = np.ones(len(word), bool)
+            inner[self.first[:-1]] = False
+            self.inner = np.flatnonzero(inner)
+            after = self.pair[self.inner - 1]
+            _, first, self.triple = np.unique(after * len(self.words) + self.word[self.inner], return_index=True, return_inverse=True)
+            self.triple_context, self.triple_pair = after[first], self.pair[self.inner[first]]
+            self.triple_counts = np.bincount(self.triple[train[self.inner]], minlength=len(first))
+
+    def open_triples(self, pairs: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pairs of training stand in other chunks too, and the triples of two such with their hashes, in the hashes' order."""
+        spread = shared & (pairs > 0)
+        at = np.flatnonzero(spread[self.triple_context] & spread[self.triple_pair])
+        hashes = tokens.mix(self.pairs[self.triple_context[at]] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.pair_word[self.triple_pair[at]]])
+        order = np.argsort(hashes)
+        return spread, at[order], hashes[order]
+
+    def all_triples(self, pairs: np.ndarray, shared: np.ndarray, told: np.ndarray, owned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pairs are spread, the triples' counts in the corpus, and those whose share in their context is this chunk's to add."""
+        spread, at, _ = self.open_triples(pairs, shared)
+        counts, own = self.triple_counts.astype(np.int64), np.ones(len(self.triple_counts), bool)
+        counts[at], own[at] = told, owned
+        return spread, counts, own
+
+
+def _sums(n: int, context: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """A row for each of n contexts: what retained events of these counts, and of these counts without the context's first word, add."""
+    out = np.zeros(n * _VECTOR, np.int64)
+    for base, c in ((0, counts), (_COUNTS, lower)):
+        low = c <= DISCOUNTED
+        out += np.bincount(context[low] * _VECTOR + base + c[low] - 1, minlength=n * _VECTOR)
+        np.add.at(out, context[~low] * _VECTOR + base + DISCOUNTED, c[~low])
+    return out.reshape(n, _VECTOR)
 
 
 def _ask(chunk: _Chunk, n: int) -> pa.Table:
@@ -76,12 +117,14 @@ def _ask(chunk: _Chunk, n: int) -> pa.Table:
     return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("__bucket", pa.int32()), ("__chunk", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())))})
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Each chunk's hashes' counts in the corpus, and which of them the chunk owns; and the bucket's counts of counts."""
+def _answer(table: pa.Table, kinds: tuple[int, ...] = (_WORDS, _PAIRS)) -> pa.Table:
+    """Each chunk's hashes' counts in the corpus, and which of them the chunk owns and which others asked about; and the bucket's counts of counts."""
     out: list[tuple] = []
+    if not table.num_rows:
+        return _told(out)
     bucket = table.column("__bucket")[0].as_py()
-    stats = np.zeros((2, 2 + _COUNTS), np.int64)
-    for kind in (_WORDS, _PAIRS):
+    stats = np.zeros((len(_STAT_ROWS), 2 + _COUNTS), np.int64)
+    for kind in kinds:
         rows = sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["__chunk"])
         if not rows:
             continue
@@ -91,11 +134,12 @@ def _answer(table: pa.Table) -> pa.Table:
         total = np.bincount(back, counts).astype(np.int64)
         owned = np.zeros(len(counts), bool)
         owned[first] = True
-        stats[kind - 1, :2] = total.sum(), (total > 0).sum()
-        stats[kind - 1, 2:] = np.bincount(total[total <= _COUNTS], minlength=_COUNTS + 1)[1:]
+        shared = (np.bincount(back) > 1)[back]
+        stats[_STAT_ROWS[kind], :2] = total.sum(), (total > 0).sum()
+        stats[_STAT_ROWS[kind], 2:] = np.bincount(total[total <= _COUNTS], minlength=_COUNTS + 1)[1:]
         cuts = np.cumsum([len(h) for h in hashes])[:-1]
         told = lookup.small(total)[back]
-        out += [(r["__chunk"], kind, bucket, lookup.pack(t), np.packbits(o).tobytes()) for r, t, o in zip(rows, np.split(told, cuts), np.split(owned, cuts), strict=True)]
+        out += [(r["__chunk"], kind, bucket, lookup.pack(t), np.packbits([o, x], axis=1).tobytes()) for r, t, o, x in zip(rows, np.split(told, cuts), np.split(owned, cuts), np.split(shared, cuts), strict=True)]
     out.append((-1, _STATS, bucket, stats.tobytes(), None))
     return _told(out)
 
@@ -104,37 +148,80 @@ def _told(rows: list[tuple]) -> pa.Table:
     return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("__chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("told", pa.binary()), ("owned", pa.binary())))})
 
 
-def _read(answers: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in the order asked, and which are the chunk's own."""
-    counts, owned = [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+def _read(answers: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in the order asked, which are the chunk's own, and which others asked about."""
+    counts, marks = [np.zeros(0, np.int32)], [np.zeros((2, 0), bool)]
     for r in sorted((r for r in answers if r["kind"] == kind), key=lambda r: r["bucket"]):
         counts.append(lookup.unpack(r["told"], np.int32))
-        owned.append(np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(counts[-1])).astype(bool))
-    return np.concatenate(counts).astype(np.int64), np.concatenate(owned)
+        marks.append(np.unpackbits(np.frombuffer(r["owned"], np.uint8).reshape(2, -1), axis=1, count=len(counts[-1])).astype(bool))
+    return np.concatenate(counts).astype(np.int64), *np.concatenate(marks, axis=1)
+
+
+_SECOND = "__bucket int, __chunk long, kind int, hashes binary, counts binary, sums binary"
+
 
+def _second(rows: list[tuple]) -> pa.Table:
+    names = (("__bucket", pa.int32()), ("__chunk", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary()))
+    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(names)})
 
-def _shares(table: pa.Table, answers: pa.Table, n: int) -> pa.Table:
-    """What the chunk's own retained pairs add to the sums of their contexts."""
-    chunk, rows = _Chunk(table), answers.to_pylist()
-    words, _ = _read(rows, _WORDS)
-    pairs, owned = _read(rows, _PAIRS)
-    at = np.flatnonzero(owned & (pairs >= LEAST_PAIR))
+
+def _shares(table: pa.Table, answers: pa.Table, n: int, order: int, least: int) -> pa.Table:
+    """What the chunk's own retained pairs add to the sums of their contexts; with order 3, questions about its open triples, and the
+    counts of counts of the others."""
+    chunk, rows = _Chunk(table, order), answers.to_pylist()
+    words, *_ = _read(rows, _WORDS)
+    pairs, owned, shared = _read(rows, _PAIRS)
+    at = np.flatnonzero(owned & (pairs >= least))
     context = chunk.pair_context[at]
     names = np.append(chunk.words, _BEGIN)[context]
     contexts, back = np.unique(names, return_inverse=True)
-    sums = np.zeros((len(contexts), _VECTOR), np.int64)
-    for base, counts in ((0, pairs[at]), (_COUNTS, words[chunk.pair_word[at]])):
-        low = counts <= DISCOUNTED
-        np.add.at(sums, (back[low], base + counts[low] - 1), 1)
-        np.add.at(sums, (back[~low], base + DISCOUNTED), counts[~low])
-    parts = [(b, lookup.pack_sorted(contexts[i:j]), lookup.pack(sums[i:j].T.ravel())) for b, i, j in lookup.ranges(contexts, n)]
-    return pa.table({"__bucket": pa.array([p[0] for p in parts], pa.int32()), "hashes": pa.array([p[1] for p in parts], pa.binary()), "sums": pa.array([p[2] for p in parts], pa.binary())})
+    sums = _sums(len(contexts), back, pairs[at], words[chunk.pair_word[at]])
+    out: list[tuple] = [(b, chunk.number, _CONTEXTS, lookup.pack_sorted(contexts[i:j]), None, lookup.pack(sums[i:j].T.ravel())) for b, i, j in lookup.ranges(contexts, n)]
+    if order > 2:
+        _, at, hashes = chunk.open_triples(pairs, shared)
+        counts = lookup.small(chunk.triple_counts[at])
+        out += [(b, chunk.number, _TRIPLES, lookup.pack_sorted(hashes[i:j]), lookup.pack(counts[i:j]), None) for b, i, j in lookup.ranges(hashes, n)]
+        known = np.delete(chunk.triple_counts, at)
+        stats = np.zeros((len(_STAT_ROWS), 2 + _COUNTS), np.int64)
+        stats[_STAT_ROWS[_TRIPLES], :2] = known.sum(), (known > 0).sum()
+        stats[_STAT_ROWS[_TRIPLES], 2:] = np.bincount(known[known <= _COUNTS], minlength=_COUNTS + 1)[1:]
+        out.append((chunk.number % n, chunk.number, _STATS, None, None, stats.tobytes()))
+    return _second(out)
+
+
+def _triple_shares(table: pa.Table, answers: pa.Table, n: int, least: int) -> pa.Table:
+    """What the chunk's own retained triples add to the sums of spread contexts, in the order in which the chunk asked about its pairs."""
+    chunk, rows = _Chunk(table, 3), answers.to_pylist()
+    pairs, _, shared = _read(rows, _PAIRS)
+    spread, counts, own = chunk.all_triples(pairs, shared, *_read(rows, _TRIPLES)[:2])
+    at = np.flatnonzero(own & (counts >= least) & spread[chunk.triple_context])
+    sums = _sums(len(pairs), chunk.triple_context[at], counts[at], pairs[chunk.triple_pair[at]])
+    parts = [(b, sums[i:j]) for b, i, j in lookup.ranges(chunk.pairs, n)]
+    return _second([(b, chunk.number, _PAIR_CONTEXTS, None, None, lookup.pack(x.T.ravel())) for b, x in parts if x.any()])
+
+
+def _pair_contexts(asked: pa.Table, shares: pa.Table) -> pa.Table:
+    """The sums of each spread context of two words, to every chunk that asked about it as a pair."""
+    rows = [r for r in asked.to_pylist() if r["kind"] == _PAIRS]
+    given = {r["__chunk"]: r["sums"] for r in shares.to_pylist()}
+    if not rows or not given:
+        return _told([])
+    hashes = [lookup.unpack_sorted(r["hashes"], np.uint64) for r in rows]
+    distinct, back = np.unique(np.concatenate(hashes), return_inverse=True)
+    places = np.split(back, np.cumsum([len(h) for h in hashes])[:-1])
+    total = np.zeros((len(distinct), _VECTOR), np.int64)
+    for r, at in zip(rows, places, strict=True):
+        if r["__chunk"] in given:
+            total[at] += lookup.unpack(given[r["__chunk"]], np.int64).reshape(_VECTOR, -1).T
+    return _told([(r["__chunk"], _PAIR_CONTEXTS, r["__bucket"], lookup.pack(total[at].T.ravel()), None) for r, at in zip(rows, places, strict=True)])
 
 
 def _contexts(asked: pa.Table, shares: pa.Table) -> pa.Table:
-    """The sums of each context that a chunk asked about as a word; those of the beginning go to every chunk."""
+    """The sums of each context that a chunk asked about as a word, those of the beginning for every chunk; and answers about triples."""
+    of = lambda kind: shares.filter(pa.compute.equal(shares.column("kind"), kind))
+    told = [_answer(of(_TRIPLES).drop_columns("sums"), (_TRIPLES,)), _told([(-1, _STATS, r["__bucket"], r["sums"], None) for r in of(_STATS).to_pylist()])]
     hashes, sums = [np.zeros(0, np.uint64)], [np.zeros((0, _VECTOR), np.int64)]
-    for r in shares.to_pylist():
+    for r in of(_CONTEXTS).to_pylist():
         hashes.append(lookup.unpack_sorted(r["hashes"], np.uint64))
         sums.append(lookup.unpack(r["sums"], np.int64).reshape(_VECTOR, -1).T)
     contexts, back = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -149,7 +236,7 @@ def _contexts(asked: pa.Table, shares: pa.Table) -> pa.Table:
             out.append((r["__chunk"], _CONTEXTS, r["__bucket"], lookup.pack(total[at].T.ravel()), None))
     if len(contexts) and (at := np.searchsorted(contexts, _BEGIN)) < len(contexts) and contexts[at] == _BEGIN:
         out.append((-1, _CONTEXTS, -1, total[at].tobytes(), None))
-    return _told(out)
+    return pa.concat_tables([_told(out), *told])
 
 
 @dataclass
@@ -160,10 +247,12 @@ class Model:
     distinct: int
     word_discount: np.ndarray
     pair_discount: np.ndarray
+    triple_discount: np.ndarray | None = None
+    least: int = LEAST_PAIR
 
     @classmethod
-    def of(cls, stats: np.ndarray) -> Model:
-        return cls(int(stats[0, 0]), int(stats[0, 1]), good_turing(stats[0, 2:], 1), good_turing(stats[1, 2:], LEAST_PAIR))
+    def of(cls, stats: np.ndarray, least: int) -> Model:
+        return cls(int(stats[0, 0]), int(stats[0, 1]), good_turing(stats[0, 2:], 1), good_turing(stats[1, 2:], least), good_turing(stats[2, 2:], least), least)
 
     def word_probabilities(self, counts: np.ndarray, unseen: float) -> np.ndarray:
         total = self.tokens + (unseen <= 0)
@@ -199,37 +288,65 @@ def unseen_mass(stats: np.ndarray, discount: np.ndarray) -> float:
     return float(sum((1 - discount[r]) * r * stats[r] for r in range(1, DISCOUNTED + 1)) / total) if total else 1.0
 
 
-def token_scores(model: Model, unseen: float, chunk: _Chunk, words: np.ndarray, pairs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability after the one before it. vectors: of the chunk's words, then of the beginning."""
+def backoff(events: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts' events as a divisor, and their backoff weights. mass: discounted events; lower: the followers' probability without the first word."""
+    rest = events - mass
+    more = (events > 0) & (rest <= 1e-9 * events)
+    base = np.maximum(events + more, 1)
+    return base, np.where(events > 0, np.where(more, 1.0, rest) / base / np.maximum(1 - lower, 1e-300), 1.0)
+
+
+def _masses(vectors: np.ndarray, discount: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted sums of contexts' events, and of the same events without the first word."""
+    level = np.arange(1, DISCOUNTED + 1)
+    return vectors[:, :DISCOUNTED] @ (level * discount[1:]) + vectors[:, DISCOUNTED], vectors[:, _COUNTS : _COUNTS + DISCOUNTED] @ (level * lower[1:]) + vectors[:, _COUNTS + DISCOUNTED]
+
+
+def token_scores(model: Model, unseen: float, chunk: _Chunk, words: np.ndarray, pairs: np.ndarray, vectors: np.ndarray, triples: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 of each token's probability after those before it. vectors: of the chunk's words, then of the beginning; triples: their
+    counts, and the vectors of the chunk's pairs."""
     single = model.word_probabilities(words, unseen)
     end = np.searchsorted(chunk.words, _END)
     events = np.append(words, words[end])
-    level = np.arange(1, DISCOUNTED + 1)
     total = max(model.tokens + (unseen <= 0), 1)
-    pair_mass = vectors[:, :DISCOUNTED] @ (level * model.pair_discount[1:]) + vectors[:, DISCOUNTED]
-    word_mass = (vectors[:, _COUNTS : _COUNTS + DISCOUNTED] @ (level * model.word_discount[1:]) + vectors[:, _COUNTS + DISCOUNTED]) / total
-    rest = events - pair_mass
-    more = (events > 0) & (rest <= 1e-9 * events)
-    base = np.maximum(events + more, 1)
-    alpha = np.where(events > 0, np.where(more, 1.0, rest) / base / np.maximum(1 - word_mass, 1e-300), 1.0)
+    mass, lower = _masses(vectors, model.pair_discount, model.word_discount)
+    base, alpha = backoff(events, mass, lower / total)
     count = pairs[chunk.pair]
     direct = model.discounted(count, model.pair_discount) / base[chunk.before]
-    return np.log10(np.where(count >= LEAST_PAIR, direct, alpha[chunk.before] * single[chunk.word]))
-
-
-def _scored(table: pa.Table, answers: pa.Table, key: str, empty: pa.Table) -> pa.Table:
+    out = np.where(count >= model.least, direct, alpha[chunk.before] * single[chunk.word])
+    if triples is not None:
+        counts, sums = triples
+        mass, lower = _masses(sums, model.triple_discount, model.pair_discount)
+        divisor, weight = backoff(pairs, mass, lower / base[chunk.pair_word])
+        count, context = counts[chunk.triple], chunk.pair[chunk.inner - 1]
+        direct = model.discounted(count, model.triple_discount) / divisor[context]
+        out[chunk.inner] = np.where(count >= model.least, direct, weight[context] * out[chunk.inner])
+    return np.log10(out)
+
+
+def _scored(table: pa.Table, answers: pa.Table, key: str, empty: pa.Table, n: int, order: int, least: int) -> pa.Table:
     if not table.num_rows:
         return empty
-    chunk, rows = _Chunk(table), answers.to_pylist()
-    stats = np.frombuffer(next(r["told"] for r in rows if r["kind"] == _STATS), np.int64).reshape(2, -1)
-    model = Model.of(stats)
+    chunk, rows = _Chunk(table, order), answers.to_pylist()
+    stats = np.frombuffer(next(r["told"] for r in rows if r["kind"] == _STATS), np.int64).reshape(len(_STAT_ROWS), -1)
+    model = Model.of(stats, least)
     unseen = unseen_mass(np.append(stats[0, 0], stats[0, 2:]), model.word_discount)
-    words, _ = _read(rows, _WORDS)
-    pairs, _ = _read(rows, _PAIRS)
+    words, *_ = _read(rows, _WORDS)
+    pairs, _, shared = _read(rows, _PAIRS)
     told = sorted((r for r in rows if r["kind"] == _CONTEXTS), key=lambda r: r["bucket"])
     begin = [np.frombuffer(r["told"], np.int64)[None, :] for r in told if r["bucket"] < 0] or [np.zeros((1, _VECTOR), np.int64)]
     vectors = np.concatenate([*(lookup.unpack(r["told"], np.int64).reshape(_VECTOR, -1).T for r in told if r["bucket"] >= 0), begin[0]])
-    score = np.add.reduceat(token_scores(model, unseen, chunk, words, pairs, vectors), chunk.first[:-1])
+    triples = None
+    if order > 2:
+        spread, counts, own = chunk.all_triples(pairs, shared, *_read(rows, _TRIPLES)[:2])
+        at = np.flatnonzero((counts >= least) & ~spread[chunk.triple_context])
+        sums = _sums(len(pairs), chunk.triple_context[at], counts[at], pairs[chunk.triple_pair[at]])
+        told = {r["bucket"]: r["told"] for r in rows if r["kind"] == _PAIR_CONTEXTS}
+        for b, i, j in lookup.ranges(chunk.pairs, n) if told else ():
+            if b in told:
+                sums[i:j][spread[i:j]] = lookup.unpack(told[b], np.int64).reshape(_VECTOR, -1).T[spread[i:j]]
+        triples = counts, sums
+    score = np.add.reduceat(token_scores(model, unseen, chunk, words, pairs, vectors, triples), chunk.first[:-1])
     count = words[chunk.word]
     base = np.add.reduceat(np.log10((count + 1) / (model.tokens + (model.distinct + 1))), chunk.first[:-1])
     return pa.table({
@@ -247,11 +364,14 @@ def _parts(docs: DataFrame, held_out: Column, key: str, text: str, chunk_bytes:
     return parts, max(1, -(-total // chunk_bytes)), lookup.buckets(total, 0.8)
 
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, order: int = 2, least: int = LEAST_PAIR) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, log10 both.
 
-    The model learns from the rows for which `held_out` is not true, and scores all.
+    The model learns from the rows for which `held_out` is not true, and scores all. It is of that order (2 or 3), and retains pairs
+    and triples of at least so many training occurrences.
     """
+    if order not in (2, 3):
+        raise ValueError("orders 2 and 3 are supported")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     parts, chunks, n = _parts(docs, held_out, key, text, chunk_bytes)
@@ -260,18 +380,22 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
     asked = parts.groupBy("__chunk").applyInArrow(tokens.released(lambda t: _ask(_Chunk(t), n)), "__bucket int, __chunk long, kind int, hashes binary, counts binary")
     told = "__chunk long, kind int, bucket int, told binary, owned binary"
-    answers = asked.groupBy("__bucket").applyInArrow(tokens.released(_answer), told)
-    shares = parts.groupBy("__chunk").cogroup(answers.where("__chunk >= 0").groupBy("__chunk")).applyInArrow(tokens.released(lambda t, a: _shares(t, a, n)), "__bucket int, hashes binary, sums binary")
+    answers = asked.groupBy("__bucket").applyInArrow(tokens.released(lambda t: _answer(t)), told)
+    shares = parts.groupBy("__chunk").cogroup(answers.where("__chunk >= 0").groupBy("__chunk")).applyInArrow(tokens.released(lambda t, a: _shares(t, a, n, order, least)), _SECOND)
     contexts = asked.groupBy("__bucket").cogroup(shares.groupBy("__bucket")).applyInArrow(tokens.released(_contexts), told)
 
     def added(rows: pa.Table) -> pa.Table:
         sums = sum(np.frombuffer(x, np.int64) for x in rows.column("told").to_pylist())
         return _told([(-1, _STATS, 0, sums.tobytes(), None)])
 
-    stats = answers.where(F.col("kind") == _STATS).groupBy("kind").applyInArrow(added, told)
-    to_all = stats.union(contexts.where("__chunk < 0")).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    every = answers.where("__chunk >= 0").union(contexts.where("__chunk >= 0")).union(to_all)
-    return parts.groupBy("__chunk").cogroup(every.groupBy("__chunk")).applyInArrow(tokens.released(lambda t, a: _scored(t, a, key, empty)), schema)
+    every = answers.where("__chunk >= 0").union(contexts.where("__chunk >= 0"))
+    if order > 2:
+        known = answers.where(F.col("kind") == _PAIRS).union(contexts.where(F.col("kind") == _TRIPLES))
+        triples = parts.groupBy("__chunk").cogroup(known.groupBy("__chunk")).applyInArrow(tokens.released(lambda t, a: _triple_shares(t, a, n, least)), _SECOND)
+        every = every.union(asked.groupBy("__bucket").cogroup(triples.groupBy("__bucket")).applyInArrow(tokens.released(_pair_contexts), told))
+    stats = answers.union(contexts).where(F.col("kind") == _STATS).groupBy("kind").applyInArrow(added, told)
+    to_all = stats.union(contexts.where((F.col("__chunk") < 0) & (F.col("kind") == _CONTEXTS))).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    return parts.groupBy("__chunk").cogroup(every.union(to_all).groupBy("__chunk")).applyInArrow(tokens.released(lambda t, a: _scored(t, a, key, empty, n, order, least)), schema)
 
 
 # --- stored tables --------------------------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(_read(spark, sf_dir, "documents", "doc_id", "text"), _remainder(7) == 2)
+    return katz.score(_read(spark, sf_dir, "documents", "doc_id", "text"), _remainder(7) == 2, order=3, least=1)
 
 
 def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
