@@ -8,10 +8,11 @@ traversal from the roots drops pairs of nodes that cannot hold a link, and what
 To deal the work out, each set asks how many sets hold each of its n-grams (see `lookup`) and puts them in order of rarity.
 Two sets that link share one of their first `n - ceil(t * n) + 1` n-grams in that order, and an n-gram that one set alone holds
 links nothing. Sets that share one are candidates; a component of candidates gets one tree, or, if it is large, a tree for
-each pair of its parts, of which those that add nothing are skipped: documents that are already connected need not be
-compared again. So the components are exact, while links within a component are not listed.
+each part and each pair of its parts. Every pair of sets that a tree leaves is verified, so each document's number of links is
+exact, and the components follow from the links. A tile tells each of its sets' links and least companion, not the pairs, so
+that its rows grow with the sets.
 
-Equal sets are one class and are compared once. n-grams are told by 64 bits of hash, classes by 128.
+Equal sets are one class and are compared once; their documents link with each other and share the class's links. n-grams are told by 64 bits of hash, classes by 128.
 
 Defined cases: null and empty texts have an empty set, which links with nothing, not even its like; a text of fewer words
 than n is one n-gram; rows with a null id belong to components but don't name them; repeated rows link with each other.
@@ -19,6 +20,8 @@ than n is one n-gram; rows with a null id belong to components but don't name th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,8 @@ FAN_OUT = 8
 #: n-grams that one tree's sets hold together at most, unless two sets alone have more.
 TREE_NGRAMS = 2_000_000
 _PAIRS = 1 << 11
+#: n-grams that are looked up at a time when pairs are verified.
+_VERIFIED = 1 << 20
 
 
 class Sets:
@@ -137,30 +142,49 @@ class Union:
             self.parent = up
 
 
-def links(sets: list[np.ndarray], p: int, q: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of sets of similarity p / q or more that, with those of equal labels, connect all that such pairs connect."""
-    n = len(sets)
-    if n < 2:
-        return []
+def _similar(values: np.ndarray, first: np.ndarray, mark: np.ndarray, i: np.ndarray, j: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Which pairs of sets values[first[k]:first[k + 1]] have a similarity of p / q or more; mark: a false for each value, left so."""
+    out = np.zeros(len(i), bool)
+    sizes = np.diff(first)
+    order = np.argsort(i, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(i[order], prepend=-1)), len(order))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        one = i[order[a]]
+        own = values[first[one] : first[one + 1]]
+        mark[own] = True
+        held = np.cumsum(sizes[j[order[a:b]]])
+        steps = np.append(np.unique(np.searchsorted(held, np.arange(0, held[-1], _VERIFIED))), b - a) + a
+        for x, y in zip(steps[:-1], steps[1:], strict=True):
+            others = j[order[x:y]]
+            counts = sizes[others]
+            hit = mark[values[np.repeat(first[others], counts) + tokens.within(counts)]]
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(counts) - counts)
+            out[order[x:y]] = q * both >= p * (sizes[one] + counts - both)
+        mark[own] = False
+    return out
+
+
+def links(sets: list[np.ndarray], p: int, q: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """All pairs of sets of similarity p / q or more; with parts, those of two parts."""
+    return [(int(a), int(b)) for i, j in _linked(sets, p, q, parts) for a, b in zip(i, j, strict=True)]
+
+
+def _linked(sets: list[np.ndarray], p: int, q: int, parts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same, as arrays of both sides."""
+    if len(sets) < 2:
+        return
     tree = Tree(sets)
-    union = Union(np.arange(n) if labels is None else labels[tree.order])
-    found: list[tuple[int, int]] = []
-    top = len(tree.levels) - 1
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    distinct, values = np.unique(np.concatenate([sets[k] for k in tree.order]), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(tree.levels[0][1])])
+    mark = np.zeros(len(distinct), bool)
+    stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
         if len(i) > _PAIRS:
             half = len(i) // 2
             stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
             continue
-        root = union.roots()
-        low = high = root
-        for _ in range(level):
-            cut = np.arange(0, len(low), FAN_OUT)
-            low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-        one = (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
-        i, j = i[~one], j[~one]
-        keep = tree.possible(level, i, j, p, q) if len(i) else np.zeros(0, bool)
+        keep = tree.possible(level, i, j, p, q)
         i, j = i[keep], j[keep]
         if not len(i):
             continue
@@ -169,17 +193,13 @@ def links(sets: list[np.ndarray], p: int, q: int, labels: np.ndarray | None = No
             a, b = (np.repeat(np.arange(FAN_OUT), FAN_OUT), np.tile(np.arange(FAN_OUT), FAN_OUT))
             x, y = (i[:, None] * FAN_OUT + a).ravel(), (j[:, None] * FAN_OUT + b).ravel()
             ok = (x < size) & (y < size) & (x <= y if level > 1 else x < y)
+            if level == 1 and parts is not None:
+                ok[ok] = parts[tree.order[x[ok]]] != parts[tree.order[y[ok]]]
             stack.append((level - 1, x[ok], y[ok]))
             continue
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if union.find(a) == union.find(b):
-                continue
-            s, t = sets[tree.order[a]], sets[tree.order[b]]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if q * both >= p * (len(s) + len(t) - both):
-                union.join(a, b)
-                found.append((int(tree.order[a]), int(tree.order[b])))
-    return found
+        good = _similar(values, first, mark, i, j, p, q)
+        if good.any():
+            yield tree.order[i[good]], tree.order[j[good]]
 
 
 def _candidates(docs: DataFrame, key: str, text: str, size: int, p: int, q: int, chunk_bytes: int) -> DataFrame:
@@ -243,11 +263,12 @@ def _candidates(docs: DataFrame, key: str, text: str, size: int, p: int, q: int,
 
 
 def _joined(tiles: DataFrame, p: int, q: int) -> DataFrame:
-    """Links of each component in each tile."""
+    """Of each class with a link in a tile: the least class that its links there lead to, and how many documents they lead to directly."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[bytes, bytes]] = []
-        component, classes, grams, labels = (table.column(c).to_pylist() for c in ("component", "class", "grams", "label"))
+        out: list[tuple[bytes, bytes, int]] = []
+        component, classes, grams, parts, copies = (table.column(c).to_pylist() for c in ("component", "class", "grams", "part", "copies"))
+        cross = table.column("cross")[0].as_py()
         order = sorted(range(len(classes)), key=lambda k: (component[k], classes[k]))
         at = 0
         while at < len(order):
@@ -256,16 +277,29 @@ def _joined(tiles: DataFrame, p: int, q: int) -> DataFrame:
                 to += 1
             own = order[at:to]
             at = to
-            sets = [lookup.unpack_sorted(grams[k], np.uint64) for k in own]
-            names = np.unique([labels[k] for k in own], return_inverse=True)[1]
-            out += [(classes[own[a]], classes[own[b]]) for a, b in links(sets, p, q, names)]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
-
-    return tiles.groupBy("tile", "other").applyInArrow(tokens.released(run), "a binary, b binary")
+            weight, linked = np.array([copies[k] for k in own]), np.zeros(len(own), np.int64)
+            union = Union(np.arange(len(own)))
+            for a, b in _linked([lookup.unpack_sorted(grams[k], np.uint64) for k in own], p, q, np.array([parts[k] for k in own]) if cross else None):
+                np.add.at(linked, a, weight[b])
+                np.add.at(linked, b, weight[a])
+                root = union.roots()
+                new = root[a] != root[b]
+                for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
+                    union.join(x, y)
+            root = union.roots()
+            out += [(classes[own[k]], classes[own[root[k]]], int(linked[k])) for k in np.flatnonzero(linked)]
+        return pa.table({"a": pa.array([x for x, _, _ in out], pa.binary()), "b": pa.array([y for _, y, _ in out], pa.binary()), "links": pa.array([n for *_, n in out], pa.int64())})
+
+    return tiles.groupBy("tile", "other").applyInArrow(tokens.released(run), "a binary, b binary, links long")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: tuple[int, int] = (90, 100), tree_ngrams: int = TREE_NGRAMS, chunk_bytes: int = lookup.CHUNK_BYTES) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest id that links lead to."""
+    return joined(docs, key, text, size, similarity, tree_ngrams, chunk_bytes).drop("n_links")
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: tuple[int, int] = (90, 100), tree_ngrams: int = TREE_NGRAMS, chunk_bytes: int = lookup.CHUNK_BYTES) -> DataFrame:
+    """Per row: key, n_shingles, component_id (the smallest id that links lead to) and n_links, the number of other rows it links with."""
     p, q = similarity
     spark = docs.sparkSession
     every = _candidates(docs, key, text, size, p, q, chunk_bytes)
@@ -274,33 +308,31 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     near = graph.connected_components(prefixes.join(shared, "gram").select("class", "lo").distinct(), "class", "lo")
     near = near.select(F.col("node").alias("class"), F.col("root").alias("component"))
     sets = every.where("kind = 2").groupBy("class").agg(F.first("grams").alias("grams"), F.first("n").alias("n"))
-    members = scratch.stored(near.join(sets, "class"), "members")
+    rows = every.where("kind = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    reps = scratch.stored(rows.where("n_shingles > 0").groupBy("class").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    members = scratch.stored(near.join(sets, "class").join(reps.select("class", "copies"), "class"), "members")
 
     held = members.groupBy("component").agg(F.sum("n").alias("held"))
-    large = held.where(F.col("held") > tree_ngrams).select("component", F.ceil(F.col("held") / (tree_ngrams / 2)).cast("int").alias("parts"))
+    large = held.where(F.col("held") > tree_ngrams).select("component", F.ceil(F.col("held") / (tree_ngrams / 2)).cast("long").alias("parts"))
     large = scratch.stored(large, "large")
     total = members.agg(F.sum("n")).first()[0] or 0
     groups = max(1, total // tree_ngrams + 1)
-    small = members.join(large, "component", "left_anti").withColumns({"tile": F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string"), "other": F.lit(0), "label": F.col("class")})
-    found = _joined(small.select("component", "class", "grams", "label", "tile", "other"), p, q)
+    columns = ("component", "class", "grams", "copies", "part", "cross", "tile", "other")
+    none = F.lit(0).cast("long")
+    small = members.join(large, "component", "left_anti").withColumns({"tile": F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string"), "other": none, "part": none, "cross": F.lit(False)})
+    found = _joined(small.select(*columns), p, q)
     if not large.isEmpty():
         dealt = members.join(large, "component").withColumns({"part": F.pmod(F.xxhash64("class"), F.col("parts")), "tile": F.hex("component")})
-        first = dealt.withColumns({"label": F.col("class"), "other": F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(1), F.greatest(F.col("parts") - 1, F.lit(1)))).otherwise(F.array(F.col("part").cast("int"))))})
-        one = scratch.stored(_joined(first.select("component", "class", "grams", "label", "tile", "other"), p, q), "links")
-        known = graph.connected_components(one, "a", "b")
-        labelled = dealt.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("root", "class"))
-        open_ = labelled.groupBy("component").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("component")
-        pairs = labelled.join(open_, "component", "left_semi").where("part > 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
-        pairs = pairs.where("parts > 2 and j <> part").withColumn("other", (F.least("part", "j") * F.col("parts") + F.greatest("part", "j")).cast("int"))
-        rest = _joined(pairs.select("component", "class", "grams", "label", "tile", "other"), p, q)
-        found = found.union(one).union(rest)
-    joined = graph.connected_components(scratch.stored(found, "links"), "a", "b").select(F.col("node").alias("class"), "root")
-
-    rows = every.where("kind = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    reps = rows.where("n_shingles > 0").groupBy("class").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    named = joined.join(reps, "class")
+        pairs = dealt.withColumn("j", F.explode(F.sequence(none, F.col("parts") - 1)))
+        pairs = pairs.withColumns({"other": F.least("part", "j") * F.col("parts") + F.greatest("part", "j"), "cross": F.col("part") != F.col("j")})
+        found = found.union(_joined(pairs.select(*columns), p, q))
+    found = scratch.stored(found, "links")
+    near_links = found.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    roots = graph.connected_components(found, "a", "b").select(F.col("node").alias("class"), "root")
+
+    named = roots.join(reps, "class").join(near_links, "class")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = joined.join(least, "root").select("class", "least")
-    copied = reps.where("copies > 1").join(linked, "class", "left_anti").select("class", F.col("rep").alias("least"))
+    linked = named.join(least, "root").select("class", "least", (F.col("links") + F.col("copies") - 1).alias("links"))
+    copied = reps.where("copies > 1").join(roots, "class", "left_anti").select("class", F.col("rep").alias("least"), (F.col("copies") - 1).alias("links"))
     special = scratch.stored(linked.union(copied), "components")
-    return rows.join(special, "class", "left").select(key, "n_shingles", F.coalesce("least", key).alias("component_id"))
+    return rows.join(special, "class", "left").select(key, "n_shingles", F.coalesce("least", key).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))

@@ -7,9 +7,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import katz, queries
+from orrery.llm import katz, ngram_join, queries
 
 from . import brute
 from .test_contracts import awkward, sentence
@@ -61,3 +62,17 @@ def test_op1_keeps_singletons_and_triples(spark, tmp_path, monkeypatch):
         found = sorted((str(r["doc_id"]), r["score"]) for r in found.collect())
         assert [f[0] for f in found] == [w[0] for w in want]
         assert np.allclose([f[1] for f in found], [w[1] for w in want], rtol=1e-9)
+
+
+@pytest.mark.parametrize("tree", [10**6, 400])
+def test_op7_counts_every_link(spark, tree):
+    rows = awkward()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    grams = []
+    for _, t in rows:
+        w = brute.SPACED.findall((t or "").translate(brute.LOWER))
+        grams.append({tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} if w else set())
+    near = lambda a, b: a and b and 10 * len(a & b) >= 9 * len(a | b)
+    want = sorted((str(i), sum(bool(near(a, b)) for k, b in enumerate(grams) if k != n)) for n, ((i, _), a) in enumerate(zip(rows, grams)))
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in ngram_join.joined(docs, tree_ngrams=tree, chunk_bytes=100_000).collect()) == want
+    assert max(n for _, n in want) > 4
