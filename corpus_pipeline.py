@@ -34,16 +34,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest id, and one of rows that repeat an id; rows with a null id all stay."""
-    groups = ngram_join.components(docs, size=NEAR_DUPLICATE_WORDS, similarity=NEAR_DUPLICATE_SIMILARITY)
-    groups = scratch.stored(groups.select("doc_id", "component_id"), "groups")
-    rest = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(rest, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    """One row of each component of near copies: that with the smallest id, of equal ids that with the smallest hash of its text, of
+    equal ids and texts that with the smallest hash of the row; null ids come last. Rows that link with none all stay, whatever their ids."""
+    groups = ngram_join.joined(docs, size=NEAR_DUPLICATE_WORDS, similarity=NEAR_DUPLICATE_SIMILARITY)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    groups = scratch.stored(groups.where("root is not null").groupBy("root", row.alias("row")).agg(F.count(F.lit(1)).alias("n")), "groups")
+    least = groups.groupBy("root").agg(F.min("row").alias("least"))
+    told = groups.join(least, "root").select("row", (F.col("row") == F.col("least")).alias("first"), "n")
+    told = scratch.stored(told.where("not first or n > 1"), "told")
+    hashed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash")))
+    of = lambda frame, how: hashed.join(frame.select(F.col("row").alias("__told")), F.col("__row").eqNullSafe(F.col("__told")), how)
+    kept = of(told, "left_anti").select(docs.columns)
+    repeated = told.where("first")
     if repeated.isEmpty():
         return kept
-    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    single = of(repeated, "left_semi").groupBy("__row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one"))
+    return kept.unionByName(single.select("one.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

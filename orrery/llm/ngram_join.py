@@ -203,7 +203,7 @@ def _linked(sets: list[np.ndarray], p: int, q: int, parts: np.ndarray | None = N
 
 
 def _candidates(docs: DataFrame, key: str, text: str, size: int, p: int, q: int, chunk_bytes: int) -> DataFrame:
-    """A stored table of rows of three kinds. 0: a document's id, size and class; 1: an n-gram of a class's prefix that more
+    """A stored table of rows of three kinds. 0: a document's id, size and class, and as `gram` the hash of its text; 1: an n-gram of a class's prefix that more
     than one set holds; 2: the n-grams of a class that has any such."""
     spark = docs.sparkSession
     scratch.bound_batches(spark)
@@ -252,7 +252,7 @@ def _candidates(docs: DataFrame, key: str, text: str, size: int, p: int, q: int,
             "id": pa.concat_arrays([ids, pa.nulls(none, ids.type)]),
             "n": pa.array(np.concatenate([sets.sizes, sizes[owner[picked]], sizes[asks]]), pa.int64()),
             "class": pa.array([*keys, *(keys[k] for k in classes[owner[picked]]), *(keys[k] for k in classes[asks])], pa.binary()),
-            "gram": pa.concat_arrays([pa.nulls(empty, pa.int64()), pa.array(values[picked].view(np.int64)), pa.nulls(len(asks), pa.int64())]),
+            "gram": pa.concat_arrays([table.column("__hash").combine_chunks(), pa.array(values[picked].view(np.int64)), pa.nulls(len(asks), pa.int64())]),
             "grams": pa.array([None] * (empty + len(picked)) + [lookup.pack_sorted(values[begin[k] : begin[k + 1]]) for k in asks], pa.binary()),
         }
         return pa.table(columns)
@@ -295,11 +295,12 @@ def _joined(tiles: DataFrame, p: int, q: int) -> DataFrame:
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: tuple[int, int] = (90, 100), tree_ngrams: int = TREE_NGRAMS, chunk_bytes: int = lookup.CHUNK_BYTES) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest id that links lead to."""
-    return joined(docs, key, text, size, similarity, tree_ngrams, chunk_bytes).drop("n_links")
+    return joined(docs, key, text, size, similarity, tree_ngrams, chunk_bytes).drop("n_links", "text_hash", "root")
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: tuple[int, int] = (90, 100), tree_ngrams: int = TREE_NGRAMS, chunk_bytes: int = lookup.CHUNK_BYTES) -> DataFrame:
-    """Per row: key, n_shingles, component_id (the smallest id that links lead to) and n_links, the number of other rows it links with."""
+    """Per row: key, n_shingles, component_id (the smallest id that links lead to), n_links (the number of other rows it links with),
+    text_hash (xxhash64 of its text) and root: equal for the rows of a component, null for a row that links with none."""
     p, q = similarity
     spark = docs.sparkSession
     every = _candidates(docs, key, text, size, p, q, chunk_bytes)
@@ -308,7 +309,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     near = graph.connected_components(prefixes.join(shared, "gram").select("class", "lo").distinct(), "class", "lo")
     near = near.select(F.col("node").alias("class"), F.col("root").alias("component"))
     sets = every.where("kind = 2").groupBy("class").agg(F.first("grams").alias("grams"), F.first("n").alias("n"))
-    rows = every.where("kind = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    rows = every.where("kind = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("gram").alias("text_hash"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
     reps = scratch.stored(rows.where("n_shingles > 0").groupBy("class").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     members = scratch.stored(near.join(sets, "class").join(reps.select("class", "copies"), "class"), "members")
 
@@ -332,7 +333,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     named = roots.join(reps, "class").join(near_links, "class")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = named.join(least, "root").select("class", "least", (F.col("links") + F.col("copies") - 1).alias("links"))
-    copied = reps.where("copies > 1").join(roots, "class", "left_anti").select("class", F.col("rep").alias("least"), (F.col("copies") - 1).alias("links"))
+    linked = named.join(least, "root").select("class", "root", "least", (F.col("links") + F.col("copies") - 1).alias("links"))
+    copied = reps.where("copies > 1").join(roots, "class", "left_anti").select("class", F.col("class").alias("root"), F.col("rep").alias("least"), (F.col("copies") - 1).alias("links"))
     special = scratch.stored(linked.union(copied), "components")
-    return rows.join(special, "class", "left").select(key, "n_shingles", F.coalesce("least", key).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    return rows.join(special, "class", "left").select(key, "n_shingles", F.coalesce("least", key).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "text_hash", "root")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from orrery.llm import katz, ngram_join, queries
 
 from . import brute
@@ -76,3 +77,14 @@ def test_op7_counts_every_link(spark, tree):
     want = sorted((str(i), sum(bool(near(a, b)) for k, b in enumerate(grams) if k != n)) for n, ((i, _), a) in enumerate(zip(rows, grams)))
     assert sorted((str(r["doc_id"]), r["n_links"]) for r in ngram_join.joined(docs, tree_ngrams=tree, chunk_bytes=100_000).collect()) == want
     assert max(n for _, n in want) > 4
+
+
+def test_pipeline_near_duplicates_go_by_row(spark):
+    rng = random.Random(8)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, d), (7, c), (7, c), (8, d + " more"), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (5, b), (6, c), (6, d), (8, ""), (8, "")])
+    null = spark.createDataFrame([(None, a, 1), (None, a, 2), (3, a, 3), (None, b, 4)], docs.schema)
+    assert sorted(r["n_chars"] for r in corpus_pipeline.near_duplicates(spark, null, "").collect()) == [3, 4]
