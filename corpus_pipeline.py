@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery.llm import decontaminate, langid, ngram_join, scratch, spm, substring
 from orrery.llm.queries import TOKENIZER
 
-#: A document whose language is less sure than this goes, as does one without any letter.
+#: A document whose words' labels are less sure than this on average goes, as does one without any letter.
 LEAST_LANGUAGE_SCORE = 0.5
 NEAR_DUPLICATE_WORDS, NEAR_DUPLICATE_SIMILARITY = 5, (80, 100)
 REPEATED_WORDS = 35
@@ -27,10 +27,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; null texts and texts without a letter go."""
+    """Documents in languages that the labelled ones teach, mixed ones too; null texts and texts without a letter go."""
     chain = langid.train(docs)
-    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return langid.predict(docs, chain).where(sure).select(docs.columns)
+    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("word_score") >= LEAST_LANGUAGE_SCORE)
+    return langid.predict(docs, chain, word_score=True).where(sure).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

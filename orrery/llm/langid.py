@@ -224,14 +224,15 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", rows: int
     return fit([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
 
 
-def predict(docs: DataFrame, chain: Chain | None, text: str = "text", spans: bool = False) -> DataFrame:
+def predict(docs: DataFrame, chain: Chain | None, text: str = "text", spans: bool = False, word_score: bool = False) -> DataFrame:
     """``docs`` with lang_pred and score (the mean posterior of that language); with spans, runs of words by label too.
 
+    With word_score, also that: the mean posterior of each word's own label, which is high for a text that is surely mixed.
     A span has lang, first_word and n_words; words are runs of digits, letters and bytes beyond ASCII.
     """
     spark = docs.sparkSession
     scratch.bound_batches(spark)
-    new = T._parse_datatype_string("lang_pred string, score double" + ", lang_spans array<struct<lang:string,first_word:int,n_words:int>>" * spans)
+    new = T._parse_datatype_string("lang_pred string, score double" + ", lang_spans array<struct<lang:string,first_word:int,n_words:int>>" * spans + ", word_score double" * word_score)
     kept = docs.drop(*new.names)
     passed = kept.columns
     schema = T.StructType([*kept.schema.fields, *new.fields])
@@ -248,6 +249,7 @@ def predict(docs: DataFrame, chain: Chain | None, text: str = "text", spans: boo
                 letter[:] = False
             known = letter & (words.counts > 0)
             names, scores = np.full(len(letter), UNKNOWN, object), np.zeros(len(letter))
+            sure = np.zeros(len(letter))
             marks: list[list | None] = [[] for _ in letter]
             if known.any():
                 each = own.posteriors(own.emissions(words), words.first)
@@ -256,6 +258,8 @@ def predict(docs: DataFrame, chain: Chain | None, text: str = "text", spans: boo
                 best = mean.argmax(axis=1)
                 names[known] = np.array(own.languages, object)[best[known]]
                 scores[known] = np.clip(mean[np.arange(len(best)), best][known], 0, 1)
+                tops = np.concatenate([[0.0], np.cumsum(each.max(axis=1))])
+                sure[known] = np.clip((tops[words.first[1:]] - tops[words.first[:-1]])[known] / words.counts[known], 0, 1)
                 if spans:
                     top = each.argmax(axis=1)
                     for k in np.flatnonzero(known):
@@ -263,6 +267,7 @@ def predict(docs: DataFrame, chain: Chain | None, text: str = "text", spans: boo
                         cuts = np.append(np.flatnonzero(np.diff(run_of, prepend=-1)), len(run_of))
                         marks[k] = [{"lang": own.languages[run_of[a]], "first_word": int(a), "n_words": int(b - a)} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             columns = [*batch.columns, pa.array(list(names), pa.string()), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks, span_type)] if spans else columns, names=schema.names)
+            columns += [pa.array(marks, span_type)] * spans + [pa.array(sure)] * word_score
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return kept.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)

@@ -88,3 +88,14 @@ def test_pipeline_near_duplicates_go_by_row(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (5, b), (6, c), (6, d), (8, ""), (8, "")])
     null = spark.createDataFrame([(None, a, 1), (None, a, 2), (3, a, 3), (None, b, 4)], docs.schema)
     assert sorted(r["n_chars"] for r in corpus_pipeline.near_duplicates(spark, null, "").collect()) == [3, 4]
+
+
+def test_pipeline_language_keeps_mixed_documents(spark):
+    rng = random.Random(12)
+    words = {"aa": ["kala", "kalen", "okala", "ka"], "bb": ["zwirt", "zwo", "izwir", "zwurt"], "cc": ["mimo", "momi", "umimo", "mom"]}
+    make = lambda k, n: " ".join(rng.choice(words[k]) + rng.choice(["", "s", "t"]) for _ in range(n))
+    rows = [(i, make(k := rng.choice(sorted(words)), rng.randrange(20, 90)), k) for i in range(300)]
+    rows += [(1001, make("aa", 30) + " " + make("bb", 30), None), (1002, " ".join(make(k, 30) for k in words), None), (1003, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert {1001, 1002} <= kept and 1003 not in kept
