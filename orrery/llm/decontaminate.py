@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from . import scratch, tokens
 
 AUTOMATON_BYTES = 8 << 20
-_HIT, _SEEN = "__hit", "__seen"
+_HIT, _SEEN, _CUT = "__hit", "__seen", "__cut"
 
 
 class Automaton:
@@ -183,16 +184,13 @@ def _automata(items: DataFrame, item_key: str, item_text: str, window: int, most
 Finish = Callable[[pa.RecordBatch, tokens.Words, np.ndarray, list[set[str | None]], Automaton], pa.RecordBatch]
 
 
-def _passes(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, window: int, most: int, finish: Finish, schema: T.StructType) -> DataFrame:
+def _passes(docs: DataFrame, text: str, automata: list[Broadcast], finish: Finish, schema: T.StructType) -> DataFrame:
     """One pass for each automaton; marks are handed on, and `finish` makes the last one's rows."""
     spark = docs.sparkSession
     scratch.bound_batches(spark)
     carried = T.StructType([*docs.schema.fields, T.StructField(_HIT, T.BinaryType()), T.StructField(_SEEN, T.ArrayType(T.StringType()))])
-    waiting: Automaton | None = None
-
-    def one(frame: DataFrame, automaton: Automaton, last: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(automaton)
 
+    def one(frame: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch, data, offsets in tokens.slices(batches, text):
@@ -214,11 +212,9 @@ def _passes(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_te
 
         return frame.mapInArrow(run, schema if last else carried)
 
-    for automaton in _automata(items, item_key, item_text, window, most):
-        if waiting is not None:
-            docs = one(docs, waiting, False)
-        waiting = automaton
-    return one(docs, waiting, True)
+    for shared in automata[:-1]:
+        docs = one(docs, shared, False)
+    return one(docs, automata[-1], True)
 
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -233,7 +229,8 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         columns = [batch.column(key), pa.array(words.counts), pa.array(hits), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(digests), pa.array(hits > 0)]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return _passes(docs, text, items, item_key, item_text, window, automaton_bytes, finish, schema)
+    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(items, item_key, item_text, window, automaton_bytes)]
+    return _passes(docs, text, automata, finish, schema)
 
 
 def _cut(text: str, hit: np.ndarray) -> str:
@@ -252,21 +249,29 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     """``docs`` without the spans of hit words; a row of whose words a larger share than `most_coverage` is hit goes as a whole.
 
     What a span held between its first and last word goes with it, and a line break takes its place. Texts without a hit, and
-    null texts, stay byte for byte. Where the words on both sides of a cut spell a window again (of the last automaton's items, where
-    the benchmark needs several), that goes too.
+    null texts, stay byte for byte. Where the words on both sides of a cut spell a window again, that goes too;
+    where the benchmark needs several automata, the rows that were cut are stored and pass through all of them until none is cut.
     """
+    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(items, item_key, item_text, window, automaton_bytes)]
+    several = len(automata) > 1
+
+    def marked(batch: pa.RecordBatch, cut: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut)], names=[*batch.schema.names, _CUT]) if several else batch
 
     def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]], own: Automaton) -> pa.RecordBatch:
         place = batch.schema.get_field_index(text)
         hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
         if not hits.any():
-            return batch
+            return marked(batch, np.zeros(batch.num_rows, bool))
         texts = batch.column(place).to_pylist()
         keep = hits <= most_coverage * words.counts
         for k in np.flatnonzero((hits > 0) & keep):
             mine = hit[words.first[k] : words.first[k + 1]]
             while mine.any() and mine.sum() <= most_coverage * len(mine):
                 texts[k] = _cut(texts[k], mine)
+                if several:
+                    mine = np.zeros(0, bool)
+                    break
                 raw = np.frombuffer(texts[k].encode(), np.uint8)
                 again = tokens.split(raw, np.array([0, len(raw)]), tokens.ALPHANUMERIC, True)
                 mine = np.zeros(len(again.start), bool)
@@ -274,6 +279,14 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
             keep[k] = not mine.any()
         columns = list(batch.columns)
         columns[place] = pa.array(texts, columns[place].type)
-        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-    return _passes(docs, text, items, item_key, item_text, window, automaton_bytes, finish, docs.schema)
+        return marked(pa.RecordBatch.from_arrays(columns, schema=batch.schema), hits > 0).filter(pa.array(keep))
+
+    if not several:
+        return _passes(docs, text, automata, finish, docs.schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(_CUT, T.BooleanType())])
+    out, left = None, docs
+    while out is None or not left.isEmpty():
+        passed = scratch.stored(_passes(left, text, automata, finish, schema), "decontaminated")
+        done, left = passed.where(~F.col(_CUT)).drop(_CUT), passed.where(_CUT).drop(_CUT)
+        out = done if out is None else out.unionByName(done)
+    return out

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import katz, ngram_join, queries
+from orrery.llm import decontaminate, katz, ngram_join, queries
 
 from . import brute
 from .test_contracts import awkward, sentence
@@ -99,3 +99,14 @@ def test_pipeline_language_keeps_mixed_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert {1001, 1002} <= kept and 1003 not in kept
+
+
+def test_pipeline_cuts_windows_of_every_automaton(spark):
+    x, y = ([f"{c}{k}" for k in range(12)] for c in "xy")
+    filler = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, " ".join([filler("a"), *x[:6], *y, *x[6:], filler("b")])), (2, " ".join([filler("c"), *y[:6], *x, *y[6:], filler("d")])), (3, filler("e"))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), [(1, " ".join(x)), (2, " ".join(y))]
+    for size in (30, 1 << 20):
+        kept = decontaminate.clean(docs, spark.createDataFrame(items, "item_id long, text string"), automaton_bytes=size).collect()
+        assert sorted(r["doc_id"] for r in kept) == [1, 2, 3]
+        assert all(h == 0 for _, _, h, _ in brute.contamination([(r["doc_id"], r["text"]) for r in kept], items))
