@@ -117,7 +117,7 @@ class KnowledgeEngine:
         symbols = relational.first_by(names.join(self.tables["symbols"], F.col("value") == F.col("name")), ["id"], ["at"]).persist()
         sources = symbols.select("id", "at", "name").join(self.tables["source_code"].select(F.col("symbol_id").alias("id"), "code"), "id")
         edges = graph.downstream(self.tables["call_edges"], symbols.select("id"), 1)
-        queries = [r[0] for r in listed("issueQueries").orderBy("o", "n").select("value").distinct().limit(25).collect()]
+        queries = [r[0] for r in listed("issueQueries").groupBy("value").agg(F.min(F.struct("o", "n")).alias("at")).orderBy("at").select("value").collect()]
         issues = None
         for k, q in enumerate(queries):
             part = self._search("issues", "id", ("title", "body"), q, 3).select(F.lit(k).alias("k"), "score", "id", "number", "title", "body")
