@@ -5,11 +5,13 @@ them), itself, and the languages in whose learned lexicon it stands. A word's em
 weights; learned transitions tie neighbours together. Forward-backward gives each word's posterior over languages, so that
 code-switched text gets a label per word; a document's language is that with the greatest mean posterior.
 
-Weights are fitted on a bounded sample of labelled rows, on sequences that join pieces of documents in different languages.
+Weights are fitted on a bounded sample of pieces of the labelled texts, the same number for each language, on sequences that join
+stretches of different lengths and languages. Every piece of every labelled text, however long, is as likely to be drawn.
 Long texts are run through in lanes of words whose transfer matrices are composed: exact, and in few steps.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled row every text is `und`;
-rows with a null language teach nothing; repeated rows are predicted alike.
+rows with a null language teach nothing; a language all of whose pieces exceed `PIECE_BYTES` is not learnt; pieces that repeat
+are drawn once, and repeated rows are predicted alike; columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 
 from . import scratch, tokens
 
-#: Bounds of the sample that the weights are fitted on.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 3000, 16 << 10
+#: Bounds of the sample that the weights are fitted on: pieces of all languages together, and bytes of a piece (of 24 words).
+SAMPLE_PIECES, PIECE_BYTES = 48_000, 4 << 10
 DIMENSIONS = 1 << 17
 GRAMS = (2, 3, 4)
 LEXICON_WORDS = 300
@@ -36,6 +38,8 @@ _SLICE = 2 << 20
 #: Words whose features are held at a time.
 _WORDS = 16_384
 _PIECE, _SEQUENCES, _BATCH, _EPOCHS = 24, 6144, 256, 3
+#: Words of a training sequence, and the fewest of a stretch in one language (of a longer piece).
+_LENGTH, _STRETCH = 48, 4
 
 
 def _features(words: tokens.Words, which: np.ndarray, hashes: np.ndarray, lexicons: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,15 +177,18 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Chain | None:
     ends = np.append(begin[1:], len(numbers))
 
     rng = np.random.default_rng(seed)
-    places = [np.concatenate([np.arange(a, b - 1, _PIECE) if b - a > _PIECE else np.array([a]) for a, b in zip(words.first[:-1], words.first[1:], strict=True) if b > a and of_word[a] == k] or [np.zeros(0, int)]) for k in range(number)]
-    stop_of = np.repeat(words.first[1:], words.counts)
-    usable = [k for k in range(number) if len(places[k])]
-    length = 2 * _PIECE
-    starts = rng.choice(usable, (_SEQUENCES, 2))
-    pieces = np.array([[rng.choice(places[k]) for k in pair] for pair in starts])
-    index = (pieces[:, :, None] + np.arange(_PIECE)).reshape(_SEQUENCES, length)
-    last = np.repeat(stop_of[pieces], _PIECE, axis=1) - 1
-    index = np.minimum(index, last)
+    firsts = [words.first[:-1][(words.counts > 0) & (label == k)] for k in range(number)]
+    usable, stop = [k for k in range(number) if len(firsts[k])], dict(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True))
+    length = _LENGTH
+    index = np.empty((_SEQUENCES, length), np.int64)
+    for row in index:
+        at = 0
+        while at < length:
+            own = firsts[usable[rng.integers(len(usable))]]
+            a = int(own[rng.integers(len(own))])
+            n = min(int(rng.integers(_STRETCH, _PIECE + 1)), stop[a] - a, length - at)
+            row[at : at + n] = np.arange(a, a + n)
+            at += n
     truth, word = of_word[index], back[index]
 
     weights = np.zeros((DIMENSIONS + number, number))
@@ -216,12 +223,46 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Chain | None:
     return Chain(languages, weights.astype(np.float32), steps, start, lexicons)
 
 
-def train(docs: DataFrame, text: str = "text", language: str = "lang", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> Chain | None:
-    """A chain from at most `rows` of the labelled rows with texts of up to `text_bytes`, chosen by a hash of the whole row."""
-    usable = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= text_bytes))
-    hashed = usable.select(F.col(text).alias("t"), F.col(language).alias("l"), F.xxhash64(*docs.columns).alias("h"))
-    sample = sorted(scratch.sample(hashed, rows, "h").collect(), key=lambda r: (r["h"], r["t"], r["l"]))
-    return fit([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
+def _pieces(docs: DataFrame, text: str, language: str, most: int) -> list[tuple[str, str]]:
+    """Pieces of labelled texts with their languages: those whose hash falls below a share that their language's bytes set."""
+    usable = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(language).alias("l"))
+    sizes = {r["l"]: r["b"] // (7 * _PIECE) + r["n"] // 2 + 1 for r in usable.groupBy("l").agg(F.sum(F.octet_length("t")).alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return []
+    each = max(1, most // len(sizes))
+    bound = {k: min(1.0, 1.2 * each / n) * 2.0**64 for k, n in sizes.items()}
+    scratch.bound_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in tokens.slices(batches, "t", _SLICE):
+            words = tokens.split(data, offsets, tokens.ALPHANUMERIC, True)
+            if not len(words.start):
+                continue
+            counts = -(-words.counts // _PIECE)
+            first = np.repeat(words.first[:-1], counts) + _PIECE * tokens.within(counts)
+            stop = np.minimum(first + _PIECE, np.repeat(words.first[1:], counts))
+            hashes = tokens.spans(words.hashes(), first, stop)
+            labels = batch.column("l").to_pylist()
+            below = np.repeat(np.array([bound[x] for x in labels]), counts)
+            a, b = words.start[first], words.end[stop - 1]
+            at = np.flatnonzero((hashes.astype(float) < below) & (b - a <= PIECE_BYTES))
+            owner = np.repeat(np.arange(len(labels)), counts)[at]
+            texts = [words.data[i:j].tobytes().decode() for i, j in zip(a[at], b[at], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([labels[k] for k in owner], pa.string()), pa.array(hashes[at].view(np.int64)), pa.array(texts, pa.string())], names=["l", "h", "t"])
+
+    drawn = usable.mapInArrow(run, "l string, h long, t string").dropDuplicates(["l", "h"]).orderBy("h", "l").limit(2 * most).collect()
+    out, held = [], dict.fromkeys(sizes, 0)
+    for r in drawn:
+        held[r["l"]] += 1
+        if held[r["l"]] <= each:
+            out.append((r["t"], r["l"]))
+    return out
+
+
+def train(docs: DataFrame, text: str = "text", language: str = "lang", pieces: int = SAMPLE_PIECES) -> Chain | None:
+    """A chain from at most `pieces` pieces of the labelled texts, as many of each language, chosen by a hash of their words."""
+    sample = _pieces(docs, text, language, pieces)
+    return fit([t for t, _ in sample], [x for _, x in sample]) if sample else None
 
 
 def predict(docs: DataFrame, chain: Chain | None, text: str = "text", spans: bool = False, word_score: bool = False) -> DataFrame:
