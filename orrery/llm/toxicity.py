@@ -9,7 +9,8 @@ The lexicon is fitted on one half of a bounded sample of labelled rows and the t
 how far the lexicon can be trusted on texts that it was not made from.
 
 Defined cases: null and empty texts are scored from features that are all 0; labels that are null, or of rows that are not
-there, teach nothing; where the labels have one value or none, every score is that value, or 0; repeated rows score alike.
+there, teach nothing; where the labels have one value or none, every score is that value, or 0; repeated rows score alike, and
+teach once; of an id with several texts each teaches; columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from . import scratch, tokens
 
-#: Bounds of what is fitted: labelled rows, bytes of a row's text, words of the lexicon.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES, LEXICON_WORDS = 20_000, 64 << 10, 400
+#: Bounds of what is fitted: labelled rows (their texts are read whole), words of the lexicon.
+SAMPLE_ROWS, LEXICON_WORDS = 20_000, 400
 LEAST_TEXTS, LEAST_Z = 4, 3.5
 NEAR = 5
 #: Bytes of the stems that the lexicon tells apart.
@@ -281,19 +282,22 @@ class Scorer:
         return np.clip(np.interp(self.trees.margins(features(data, offsets, self.lexicon)), *self.points), 0, 1)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, text_bytes: int) -> DataFrame:
-    """At most `rows` labelled rows, chosen by a hash of their ids; `half` deals them in two."""
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
+    """At most `rows` labelled rows, chosen by a hash of their ids and texts, whole and stored; `half` deals them in two."""
     some = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(label).cast("int").alias("y"))
     some = scratch.sample(some, rows, "__k")
-    texts = docs.where(F.octet_length(text) <= text_bytes).select(F.col(key).alias("__k"), F.col(text).alias("t"))
-    return texts.join(F.broadcast(some), "__k").select("t", "y", F.pmod(F.xxhash64(F.lit(3), "__k"), F.lit(2)).alias("half"))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__k"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
+    labelled = texts.join(F.broadcast(some), "__k")
+    drawn = scratch.sample(labelled.select("h").distinct(), rows, "h")
+    kept = labelled.join(F.broadcast(drawn), "h").groupBy("h").agg(F.first("t").alias("t"), F.first("y").alias("y"), F.first("__k").alias("k"))
+    return scratch.stored(kept.select("t", "y", F.pmod(F.xxhash64(F.lit(3), "k"), F.lit(2)).alias("half")), "labelled")
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> Scorer:
-    """A scorer from labelled rows. ``docs`` and ``labels`` must hold only rows that it may learn from."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Scorer:
+    """A scorer from at most `rows` labelled rows. ``docs`` and ``labels`` must hold only rows that it may learn from."""
     spark = docs.sparkSession
     scratch.bound_batches(spark)
-    sample = _sample(docs, labels, key, text, label, rows, text_bytes)
+    sample = _sample(docs, labels, key, text, label, rows)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tokens.slices(batches, "t"):
