@@ -1,27 +1,28 @@
 """Depth-bounded searches and orders of directed graphs.
 
 A search expands each node once, at its least depth, and emits every edge of the nodes it expands, those back to nodes already
-seen included. Frontiers are small beside the edges, so each step joins the frontier to the edges and stops when nothing new is
+seen included. Null ends lead nowhere, an unknown root finds nothing, parallel edges are all kept, and a repeated root counts once.
+Frontiers are small beside the edges, so each step joins the frontier to the edges and stops when nothing new is
 found. Steps are checkpointed, not cached on executors, so that a lost executor costs one step.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folders
+
 MOST_DEPTH = 10
 #: Rows of a frontier up to which it is sent to every executor.
 BROADCAST_ROWS = 100_000
 
 
 def _kept(frame: DataFrame) -> DataFrame:
-    """Checkpointed in the cluster's shared folder, or a temporary one where none is named."""
-    spark = frame.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="orrery-"))
+    """Checkpointed in the cluster's shared folder."""
+    folders.shared(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -113,21 +114,25 @@ def reachable(stages: DataFrame, stage: str, down: bool) -> DataFrame:
     return seen.where(F.col("id") != stage)
 
 
-def tree(edges: list[tuple[str, str]], root: str, depth: int, names: dict[str, str] | None = None) -> str:
-    """A drawing of the edges below a node; a node already on the way is marked, and not followed again."""
+#: How a tree marks calls that are more than plain ones (fixed values).
+EDGE_MARKS = {"construct": " [new]", "static_call": " [static]"}
+
+
+def tree(edges: Sequence[tuple[str, ...]], root: str, depth: int, names: dict[str, str] | None = None) -> str:
+    """A drawing of the edges (from, to, and their type if it is known) below a node; a node already on the way is marked, and not
+    followed again. Of several edges between two nodes the first one's type is told."""
     names = names or {}
-    below: dict[str, list[str]] = {}
-    for a, b in edges:
-        if b not in below.setdefault(a, []):
-            below[a].append(b)
+    below: dict[str, dict[str, str]] = {}
+    for a, b, *kind in edges:
+        below.setdefault(a, {}).setdefault(b, EDGE_MARKS.get(kind[0], "") if kind else "")
     lines = [names.get(root, root)]
 
     def draw(node: str, lead: str, way: tuple[str, ...]) -> None:
-        children = below.get(node, []) if len(way) <= depth else []
+        children = below.get(node, {}) if len(way) <= depth else {}
         for k, child in enumerate(children):
             last = k == len(children) - 1
             again = child in way
-            lines.append(f"{lead}{'└── ' if last else '├── '}{names.get(child, child)}{' (circular)' if again else ''}")
+            lines.append(f"{lead}{'└── ' if last else '├── '}{names.get(child, child)}{children[child]}{' (circular)' if again else ''}")
             if not again:
                 draw(child, lead + ("    " if last else "│   "), (*way, child))
 
