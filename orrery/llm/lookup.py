@@ -62,6 +62,34 @@ def unpack_sorted(data: bytes, kind: type) -> np.ndarray:
     return np.cumsum(unpack(data, kind), dtype=kind)
 
 
-def small(counts: np.ndarray) -> np.ndarray:
-    """Counts as 32-bit numbers; beyond two thousand million they stay there."""
-    return np.minimum(counts, (1 << 31) - 1).astype(np.int32)
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place at which each stands, and each value's place among them."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Non-negative integers, of one column or several, each column in as few bytes as its greatest needs (up to eight), compressed."""
+    table = counts if counts.ndim > 1 else counts[:, None]
+    sizes = [next(b for b in (1, 2, 4, 8) if b == 8 or int(x) >> 8 * b == 0) for x in (table.max(axis=0) if len(table) else np.zeros(table.shape[1], int))]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(table[:, k], f"<u{b}").view(np.uint8).reshape(-1, b).T).tobytes() for k, b in enumerate(sizes)]
+    return zstandard.compress(np.array([counts.ndim, *counts.shape, *sizes], "<i8").tobytes() + b"".join(planes), 1)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    number = lambda k: int(np.frombuffer(raw, "<i8", 1, 8 * k)[0])
+    shape = [number(1 + k) for k in range(number(0))]
+    n, wide = shape[0], shape[1] if len(shape) > 1 else 1
+    at = 8 * (1 + len(shape) + wide)
+    out = np.empty((n, wide), np.int64)
+    for k in range(wide):
+        b = number(1 + len(shape) + k)
+        out[:, k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * b, at).reshape(b, n).T).reshape(-1).view(f"<u{b}")
+        at += n * b
+    return out.reshape(shape)

@@ -76,11 +76,11 @@ def _counts(table: pa.Table) -> pa.Table:
     """For every chunk's question about this bucket: how many sets hold each n-gram."""
     rows = table.to_pylist()
     hashes = [lookup.unpack_sorted(r["hashes"], np.uint64) for r in rows]
-    counts = np.concatenate([lookup.unpack(r["counts"], np.int32) for r in rows])
+    counts = np.concatenate([lookup.unpack_counts(r["counts"]) for r in rows])
     _, back = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = lookup.small(np.bincount(back, counts).astype(np.int64))[back]
+    total = np.bincount(back, counts).astype(np.int64)[back]
     parts = np.split(total, np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"__chunk": [r["__chunk"] for r in rows], "bucket": pa.array([r["__bucket"] for r in rows], pa.int32()), "counts": [lookup.pack(p) for p in parts]})
+    return pa.table({"__chunk": [r["__chunk"] for r in rows], "bucket": pa.array([r["__bucket"] for r in rows], pa.int32()), "counts": [lookup.pack_counts(p) for p in parts]})
 
 
 class Tree:
@@ -226,8 +226,7 @@ def _candidates(docs: DataFrame, key: str, text: str, size: int, p: int, q: int,
         chunk = table.column("__chunk")[0].as_py()
         _, sets = sets_of(table)
         hashes, counts = np.unique(sets.values[chosen(sets, sets.classes())[0]], return_counts=True)
-        counts = lookup.small(counts)
-        rows = [(b, lookup.pack_sorted(hashes[i:j]), lookup.pack(counts[i:j])) for b, i, j in lookup.ranges(hashes, n)]
+        rows = [(b, lookup.pack_sorted(hashes[i:j]), lookup.pack_counts(counts[i:j])) for b, i, j in lookup.ranges(hashes, n)]
         return pa.table({"__bucket": pa.array([r[0] for r in rows], pa.int32()), "__chunk": pa.array([chunk] * len(rows), pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -235,7 +234,7 @@ def _candidates(docs: DataFrame, key: str, text: str, size: int, p: int, q: int,
         classes = sets.classes()
         place, begin = chosen(sets, classes)
         values = sets.values[place]
-        told = np.concatenate([lookup.unpack(r["counts"], np.int32) for r in sorted(answers.to_pylist(), key=lambda r: r["bucket"])] or [np.zeros(0, np.int32)])
+        told = np.concatenate([lookup.unpack_counts(r["counts"]) for r in sorted(answers.to_pylist(), key=lambda r: r["bucket"])] or [np.zeros(0, np.int64)])
         held = told[np.unique(values, return_inverse=True)[1]] if len(values) else told
         sizes = sets.sizes[classes]
         owner = np.repeat(np.arange(len(classes)), sizes)

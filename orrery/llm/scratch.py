@@ -1,7 +1,7 @@
 """Scratch tables in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
 Every table here is written through Spark, so that executors and the driver see the same files and a lost executor
-costs no more than a re-read. Only where the setting is absent (tests, a laptop) is a temporary folder used.
+costs no more than a re-read. Only where the setting is absent and Spark runs in this process is a temporary folder used.
 """
 
 from __future__ import annotations
@@ -15,19 +15,17 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import folders
+
+#: Spark's setting to remove the shuffles of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROWS_PER_BATCH = 2000
 _BYTES_PER_BATCH = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    """The shared folder; an error on a cluster whose session names none."""
+    return folders.shared(spark)
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -47,10 +45,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def stored(frame: DataFrame, what: str) -> DataFrame:
-    """Write ``frame`` as a scratch table and read it back: lineage is cut, and later passes don't recompute it."""
-    path = new_path(frame.sparkSession, what)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Write ``frame`` as a scratch table and read it back: lineage is cut, later passes don't recompute it, and its shuffles go at once."""
+    spark, path = frame.sparkSession, new_path(frame.sparkSession, what)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -67,11 +70,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def sample(frame: DataFrame, rows: int, *by: str | Column) -> DataFrame:
-    """About `rows` of the rows, and never more: those whose hash of `by` falls below a share that their number sets."""
+    """About `rows` of the rows, and never more: those whose hash of `by` falls below a share that their number sets, least hashes first."""
     n = frame.count()
     if n <= rows:
         return frame
-    return frame.where(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int((1 << 30) * 0.97 * rows / n)).limit(rows)
+    place = F.pmod(F.xxhash64(*by), F.lit(1 << 30))
+    return frame.where(place < int((1 << 30) * 0.97 * rows / n)).orderBy(place, *by).limit(rows)
 
 
 def bound_batches(spark: SparkSession) -> None:

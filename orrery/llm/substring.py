@@ -97,22 +97,22 @@ def _distinct(hashes: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray
 def _ask(chunk: int, kind: int, n: int, hashes: np.ndarray, checks: np.ndarray | None) -> list[tuple]:
     order, new = _distinct(hashes, checks)
     begins = np.flatnonzero(new)
-    counts = lookup.small(np.diff(np.append(begins, len(order))))
+    counts = np.diff(np.append(begins, len(order)))
     keys = hashes[order][begins]
     extra = None if checks is None else checks[order][begins]
-    return [(b, chunk, kind, lookup.pack_sorted(keys[i:j]), None if extra is None else lookup.pack(extra[i:j]), lookup.pack(counts[i:j])) for b, i, j in lookup.ranges(keys, n)]
+    return [(b, chunk, kind, lookup.pack_sorted(keys[i:j]), None if extra is None else lookup.pack(extra[i:j]), lookup.pack_counts(counts[i:j])) for b, i, j in lookup.ranges(keys, n)]
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """For every chunk's question about this bucket: which of its hashes occur more than once in the corpus."""
     rows = table.to_pylist()
     hashes = [lookup.unpack_sorted(r["hashes"], np.uint64) for r in rows]
-    counts = np.concatenate([lookup.unpack(r["counts"], np.int32) for r in rows])
+    counts = np.concatenate([lookup.unpack_counts(r["counts"]) for r in rows])
     checks = None if rows[0]["checks"] is None else np.concatenate([lookup.unpack(r["checks"], np.uint32) for r in rows])
     sizes = [len(h) for h in hashes]
     order, new = _distinct(np.concatenate(hashes), checks)
     shared = np.empty(len(order), bool)
-    shared[order] = (np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
+    shared[order] = (np.add.reduceat(counts[order], np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
     parts = np.split(shared, np.cumsum(sizes)[:-1])
     return pa.table({"__chunk": [r["__chunk"] for r in rows], "kind": pa.array([r["kind"] for r in rows], pa.int32()), "bucket": pa.array([r["__bucket"] for r in rows], pa.int32()), "n": pa.array(sizes, pa.int32()), "shared": [np.packbits(p).tobytes() for p in parts]})
 

@@ -80,6 +80,10 @@ def test_packing_round_trip():
     for n in (0, 1, 1000):
         x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         assert (lookup.unpack_sorted(lookup.pack_sorted(x), np.uint64) == x).all()
+    for x in (np.zeros(0, int), np.array([1 << 40, 3]), np.arange(24).reshape(8, 3), np.array([[1, 1 << 33], [255, (1 << 62) + 5]])):
+        y = lookup.unpack_counts(lookup.pack_counts(x))
+        assert y.shape == x.shape and (y == x).all()
+    x = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
     parts = lookup.ranges(x, 7)
     assert [i for _, i, _ in parts] == [0, *[j for *_, j in parts[:-1]]] and parts[-1][2] == len(x)
 
@@ -98,13 +102,15 @@ def test_op1_katz(docs, rows, none):
     assert set(alone) == {(0, 0, 0.0)}
 
 
-def test_op1_stored_tables(spark, docs, rows, tmp_path):
+@pytest.mark.parametrize("least", [1, 2])
+def test_op1_stored_tables(spark, docs, rows, tmp_path, least):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     path = str(tmp_path / "model")
-    katz.write(docs, held, path, chunk_bytes=300_000)
+    katz.write(docs, held, path, least=least, bucket_rows=5000)
     by_text = lambda found: sorted(((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in found.collect()), key=str)
-    assert by_text(katz.evaluate(docs, path)) == by_text(katz.score(docs, held))
-    assert {r["kind"] for r in spark.read.parquet(path).select("kind").distinct().collect()} == {"word", "pair", "context", "unseen"}
+    assert by_text(katz.evaluate(docs, path)) == by_text(katz.score(docs, held, order=3, least=least))
+    kinds = spark.read.parquet(path).groupBy("kind").agg(F.countDistinct("bucket").alias("n")).collect()
+    assert {r["kind"] for r in kinds} == {"word", "pair", "triple", "context", "pair_context", "unseen"} and max(r["n"] for r in kinds) > 1
 
 
 def items(rows):
