@@ -1,6 +1,6 @@
 """Asking the whole corpus about hashes, a chunk of documents at a time.
 
-Documents are dealt into chunks by a hash of their id and text, one exchange for all passes of an operator. A chunk asks
+Documents are dealt into chunks by a hash of their id, text and place, one exchange for all passes of an operator. A chunk asks
 about its distinct hashes in sorted order, cut into ranges of the hash space (buckets); each bucket is answered by one task
 that sees every chunk's question about that range, in the order asked, so that an answer needs no keys. A hash that a third
 of all documents hold is asked once by each chunk, so no bucket gets more of it than there are chunks.
@@ -20,10 +20,14 @@ _BYTES_PER_WORD = 6
 
 
 def dealt(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with a `__chunk` of about so many bytes of text, and the bytes of all texts."""
+    """``docs`` with a `__chunk` of about so many bytes of text, and the bytes of all texts.
+
+    Rows are also told apart by their place in the input, so that rows of one id and text don't all come to one chunk. A task that runs
+    again must read its rows in the same order, as tasks over files do.
+    """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    return docs.withColumn("__chunk", F.pmod(F.xxhash64(key, text), F.lit(chunks))), total
+    return docs.withColumn("__chunk", F.pmod(F.xxhash64(key, text, F.monotonically_increasing_id()), F.lit(chunks))), total
 
 
 def buckets(total_bytes: int, hashes_per_word: float = 1.0, most: int = BUCKET_HASHES) -> int:

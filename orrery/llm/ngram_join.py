@@ -7,8 +7,9 @@ traversal from the roots drops pairs of nodes that cannot hold a link, and what
 
 To deal the work out, each set asks how many sets hold each of its n-grams (see `lookup`) and puts them in order of rarity.
 Two sets that link share one of their first `n - ceil(t * n) + 1` n-grams in that order, and an n-gram that one set alone holds
-links nothing. Sets that share one are candidates; a component of candidates gets one tree, or, if it is large, a tree for
-each part and each pair of its parts. Every pair of sets that a tree leaves is verified, so each document's number of links is
+links nothing. Sets that share one are candidates; a component of candidates gets one tree. A large component's upper nodes are dealt
+over tasks: its sets are parted by size, into bands of which only neighbours can hold a link, and bands into parts of a tree's
+size. Nodes whose size ranges are too far apart are never brought together; each two of the others get a tree. Every pair of sets that a tree leaves is verified, so each document's number of links is
 exact, and the components follow from the links. A tile tells each of its sets' links and least companion, not the pairs, so
 that its rows grow with the sets.
 
@@ -20,6 +21,7 @@ than n is one n-gram; rows with a null id belong to components but don't name th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ FAN_OUT = 8
 #: n-grams that one tree's sets hold together at most, unless two sets alone have more.
 TREE_NGRAMS = 2_000_000
 _PAIRS = 1 << 11
+#: A class of more rows than this, and than this share of all rows, is joined to them by a broadcast: at most so many classes.
+_OFTEN, _MOST_OFTEN = 64, 2000
 #: n-grams that are looked up at a time when pairs are verified.
 _VERIFIED = 1 << 20
 
@@ -292,6 +296,30 @@ def _joined(tiles: DataFrame, p: int, q: int) -> DataFrame:
     return tiles.groupBy("tile", "other").applyInArrow(tokens.released(run), "a binary, b binary, links long")
 
 
+def _tiles(members: DataFrame, p: int, q: int, tree_ngrams: int) -> DataFrame:
+    """The sets of large components, each in every tile that could hold a link of it: with the other parts of its band of sizes, and
+    with the parts of the bands beside it."""
+    # a link's sizes differ by a factor of q / p at most; the bands are wider by what floating point may be off
+    band = F.col("n") if p == q else F.floor(F.log(F.col("n").cast("double")) / (math.log(q / p) * (1 + 1e-9))).cast("long")
+    banded = members.withColumn("band", band)
+    sizes = banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / (tree_ngrams / 2)).cast("long").alias("parts"))
+    sizes = scratch.stored(sizes, "bands")
+    beside = lambda step, name: sizes.select("component", (F.col("band") - step).alias("band"), F.col("parts").alias(name))
+    dealt = banded.join(sizes, ["component", "band"]).join(beside(1, "above"), ["component", "band"], "left").join(beside(-1, "below"), ["component", "band"], "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("parts")))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    each = lambda n, tile: F.transform(F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<bigint>")), tile)
+    node = lambda low, high, i, j: F.concat_ws(":", low.cast("string"), high.cast("string"), i.cast("string"), j.cast("string"))
+    tile = lambda other, part, cross: F.struct(other.alias("other"), part.alias("part"), cross.alias("cross"))
+    band, salt = F.col("band"), F.col("salt")
+    own = each(F.col("parts"), lambda j: tile(node(band, band, F.least(salt, j), F.greatest(salt, j)), salt, salt != j))
+    none = F.lit(0).cast("long")
+    over = each(F.coalesce("above", none), lambda j: tile(node(band, band + 1, salt, j), zero, F.lit(True)))
+    under = each(F.coalesce("below", none), lambda j: tile(node(band - 1, band, j, salt), one, F.lit(True)))
+    beside_too = F.array().cast("array<struct<other:string,part:bigint,cross:boolean>>") if p == q else F.concat(over, under)
+    return dealt.withColumn("t", F.explode(F.concat(own, beside_too))).select("component", "class", "grams", "copies", "t.*", F.hex("component").alias("tile"))
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, similarity: tuple[int, int] = (90, 100), tree_ngrams: int = TREE_NGRAMS, chunk_bytes: int = lookup.CHUNK_BYTES) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest id that links lead to."""
     return joined(docs, key, text, size, similarity, tree_ngrams, chunk_bytes).drop("n_links", "text_hash", "root")
@@ -312,27 +340,25 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     reps = scratch.stored(rows.where("n_shingles > 0").groupBy("class").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     members = scratch.stored(near.join(sets, "class").join(reps.select("class", "copies"), "class"), "members")
 
-    held = members.groupBy("component").agg(F.sum("n").alias("held"))
-    large = held.where(F.col("held") > tree_ngrams).select("component", F.ceil(F.col("held") / (tree_ngrams / 2)).cast("long").alias("parts"))
-    large = scratch.stored(large, "large")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, total // tree_ngrams + 1)
     columns = ("component", "class", "grams", "copies", "part", "cross", "tile", "other")
-    none = F.lit(0).cast("long")
-    small = members.join(large, "component", "left_anti").withColumns({"tile": F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string"), "other": none, "part": none, "cross": F.lit(False)})
+    held = members.groupBy("component").agg(F.sum("n").alias("held"))
+    large = scratch.stored(held.where(F.col("held") > tree_ngrams).select("component"), "large")
+    groups = max(1, (members.agg(F.sum("n")).first()[0] or 0) // tree_ngrams + 1)
+    small = members.join(large, "component", "left_anti").withColumns({"tile": F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string"), "other": F.lit(""), "part": F.lit(0).cast("long"), "cross": F.lit(False)})
     found = _joined(small.select(*columns), p, q)
     if not large.isEmpty():
-        dealt = members.join(large, "component").withColumns({"part": F.pmod(F.xxhash64("class"), F.col("parts")), "tile": F.hex("component")})
-        pairs = dealt.withColumn("j", F.explode(F.sequence(none, F.col("parts") - 1)))
-        pairs = pairs.withColumns({"other": F.least("part", "j") * F.col("parts") + F.greatest("part", "j"), "cross": F.col("part") != F.col("j")})
-        found = found.union(_joined(pairs.select(*columns), p, q))
+        found = found.union(_joined(_tiles(members.join(large, "component", "left_semi"), p, q, tree_ngrams).select(*columns), p, q))
     found = scratch.stored(found, "links")
     near_links = found.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     roots = graph.connected_components(found, "a", "b").select(F.col("node").alias("class"), "root")
 
     named = roots.join(reps, "class").join(near_links, "class")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = named.join(least, "root").select("class", "root", "least", (F.col("links") + F.col("copies") - 1).alias("links"))
-    copied = reps.where("copies > 1").join(roots, "class", "left_anti").select("class", F.col("class").alias("root"), F.col("rep").alias("least"), (F.col("copies") - 1).alias("links"))
+    linked = named.join(least, "root").select("class", "root", "least", (F.col("links") + F.col("copies") - 1).alias("links"), "copies")
+    copied = reps.where("copies > 1").join(roots, "class", "left_anti").select("class", F.col("class").alias("root"), F.col("rep").alias("least"), (F.col("copies") - 1).alias("links"), "copies")
     special = scratch.stored(linked.union(copied), "components")
-    return rows.join(special, "class", "left").select(key, "n_shingles", F.coalesce("least", key).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "text_hash", "root")
+    # a class of very many rows would put them all into one task of a join, so these few classes go to the rows instead
+    often = max(_OFTEN, (reps.agg(F.sum("copies")).first()[0] or 0) // _MOST_OFTEN)
+    hot = F.broadcast(special.where(F.col("copies") > often))
+    told = rows.join(hot, "class").unionByName(rows.join(hot.select("class"), "class", "left_anti").join(special, "class", "left"))
+    return told.select(key, "n_shingles", F.coalesce("least", key).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "text_hash", "root")

@@ -110,3 +110,24 @@ def test_pipeline_cuts_windows_of_every_automaton(spark):
         kept = decontaminate.clean(docs, spark.createDataFrame(items, "item_id long, text string"), automaton_bytes=size).collect()
         assert sorted(r["doc_id"] for r in kept) == [1, 2, 3]
         assert all(h == 0 for _, _, h, _ in brute.contamination([(r["doc_id"], r["text"]) for r in kept], items))
+
+
+@pytest.mark.parametrize(("p", "q"), [(90, 100), (80, 100), (100, 100)])
+def test_op7_links_at_the_limit_across_bands_of_sizes(spark, p, q):
+    words = [f"w{i}" for i in range(260)]
+    rows = [(n, " ".join(words[:n])) for n in [*range(3, 60), *(9 * k + 2 for k in range(7, 28)), *(10 * k + 2 for k in range(6, 26))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.joined(docs, similarity=(p, q), tree_ngrams=150, chunk_bytes=2000).collect()}
+    size = Counter(n - 2 for n, _ in rows)
+    links = {n: sum(c for m, c in size.items() if q * min(m, n - 2) >= p * max(m, n - 2)) - 1 for n, _ in rows}
+    want = {(i, s, c, links[i]) for i, s, c in brute.components(rows, 3, p, q)}
+    assert found == want
+
+
+def test_repeated_rows_are_dealt_over_chunks(spark):
+    from orrery.llm import lookup
+
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same words here").alias("text"))
+    parts, total = lookup.dealt(docs, "doc_id", "text", 3000)
+    sizes = [r["count"] for r in parts.groupBy("__chunk").count().collect()]
+    assert total == 60_000 and len(sizes) == 20 and max(sizes) < 300
