@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -23,3 +25,25 @@ def shared(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path below the shared folder, removed when the driver's Python ends."""
+    path = f"{shared(spark).rstrip('/')}/orrery-{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def few_splits(frame: DataFrame) -> DataFrame:
+    """``frame`` dealt over all cores where its source has fewer splits than there are cores, as one small file has; else as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    files = len(frame.inputFiles())
+    return frame.repartition(cores) if 0 < files < cores else frame

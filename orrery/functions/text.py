@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a problem description (fixed values).
 STOPWORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought "
-    "i me my we our you your he him his she her it its they them their what which who whom this that these those am of in to for with "
-    "on at by from as into about not no nor but and or so if then than when where how why all any both each few more most other some "
-    "such only own same too very just also now here there"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "need", "dare", "ought", "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her",
+    "it", "its", "they", "them", "their", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "of", "in", "to", "for", "with",
+    "on", "at", "by", "from", "as", "into", "about", "not", "no", "nor", "but", "and", "or", "so", "if", "then", "than", "when", "where", "how",
+    "why", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "only", "own", "same", "too", "very", "just", "also", "now",
+    "here", "there",
+)
 
 #: HTML entities that are undone, in this order (fixed values).
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"))
 
+#: How names, closing references, versions and members are spelt, and the mark of a cut text (fixed values).
 CAMEL_CASE = "[A-Z][a-zA-Z]{2,}"
 CLOSING = r"(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*#(\d+)"
 VERSION = r"1\.\d{2,3}(?:\.\d+)?"
@@ -137,10 +140,20 @@ def token_estimate(text: str | Column) -> Column:
     return F.coalesce(F.ceil(utf16_length(_c(text)) / 4), F.lit(0)).cast("long")
 
 
+def utf16_prefix(text: str | Column, units: Column) -> Column:
+    """The first so many UTF-16 units; a character that the end would cut in two is left out."""
+    raw = F.encode(_c(text), "UTF-16BE")
+    # a unit from D800 to DBFF is the first half of a character
+    half = F.hex(F.substring(raw, 2 * units - 1, F.lit(1))).rlike("^D[89AB]")
+    return F.decode(F.substring(raw, F.lit(1), 2 * F.when(half, units - 1).otherwise(units)), "UTF-16BE")
+
+
 def truncate_text(text: str | Column, most_tokens: int | Column) -> Column:
     """The text, or as much of it as so many tokens hold, with a mark."""
-    n = F.lit(most_tokens) if isinstance(most_tokens, int) else most_tokens
-    return F.when(n <= 0, F.lit("")).when(utf16_length(_c(text)) <= 4 * n, _c(text)).otherwise(F.concat(F.substring(_c(text), F.lit(1), (4 * n).cast("int")), F.lit(TRUNCATED)))
+    n = (F.lit(most_tokens) if isinstance(most_tokens, int) else most_tokens).cast("int")
+    plain = F.octet_length(_c(text)) == F.char_length(_c(text))
+    cut = F.when(plain, F.substring(_c(text), F.lit(1), 4 * n)).otherwise(utf16_prefix(text, 4 * n))
+    return F.when(n <= 0, F.lit("")).when(utf16_length(_c(text)) <= 4 * n, _c(text)).otherwise(F.concat(cut, F.lit(TRUNCATED)))
 
 
 def round_half_up(x: Column, digits: int) -> Column:

@@ -57,46 +57,37 @@ def breaking_changes(changes: DataFrame, from_version: str, to_version: str) ->
     symbol = F.coalesce("a_name", "b_name")
     kind = F.when(F.col("status") == "removed", "removed").when(F.col("change_type") == "signature", "signature_changed").when(F.col("change_type") == "location", "renamed")
     rows = changes.withColumns({"change_type": kind, "symbol_name": symbol}).where(F.col("change_type").isNotNull())
-    quoted = F.concat(F.lit("'"), F.col("symbol_name"), F.lit("'"))
-    says = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    description = (
-        F.when(F.col("change_type") == "removed", says("Symbol ", quoted, " was removed"))
-        .when(F.col("change_type") == "signature_changed", says("Symbol ", quoted, " signature changed"))
-        .otherwise(says("Symbol ", quoted, " moved from ", F.col("b_file_path"), " to ", F.col("a_file_path")))
-    )
-    guide = (
-        F.when(F.col("change_type") == "removed", says("Check if ", quoted, " was renamed or replaced by another symbol"))
-        .when(F.col("change_type") == "signature_changed", says("Review the new signature of ", quoted, " and update your code"))
-        .otherwise(says("Update imports for ", quoted, " to new location"))
-    )
     v, w = F.lit(from_version), F.lit(to_version)
-    return rows.select(text.breaking_id(v, w, "symbol_id").alias("id"), v.alias("from_version"), w.alias("to_version"), "symbol_id", "symbol_name", "change_type", description.alias("description"), guide.alias("migration_guide"))
+    told = rows.withColumns({"from_version": v, "to_version": w})
+    return told.select(text.breaking_id(v, w, "symbol_id").alias("id"), "from_version", "to_version", "symbol_id", "symbol_name", "change_type", _filled(HAPPENED).alias("description"), _filled(TO_DO).alias("migration_guide"))
+
+
+#: Our own wording of each kind of breaking change: what happened, what to do, and a longer guide. {name}, {before} and {after} are
+#: the symbol and the two versions, {old} and {new} its files.
+HAPPENED = {"removed": "{name} is gone", "signature_changed": "{name} takes or returns something else", "renamed": "{name} moved from {old} to {new}"}
+TO_DO = {"removed": "Find out what took the place of {name}.", "signature_changed": "Compare calls of {name} with its new declaration.", "renamed": "Import {name} from its new file."}
+GUIDE = {
+    "removed": "## {name} is gone\n\nIt was there in {before} and is not in {after}.\n\n- Search {after} for what does the same.\n- Replace every use of {name}.\n- Read the release notes of {after}.",
+    "signature_changed": "## {name} is declared differently\n\nIts declaration in {after} is not that of {before}.\n\n- Read the new declaration.\n- Go through every call of {name}.\n- Run the tests that cover them.",
+    "renamed": "## {name} has another place\n\n{after} keeps it in another file than {before}.\n\n- Change the imports of {name}.\n- Its use should stay as it is.",
+}
+
+
+def _filled(wording: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    marks = {"{name}": "symbol_name", "{before}": "from_version", "{after}": "to_version", "{old}": "b_file_path", "{new}": "a_file_path"}
+    for kind, template in wording.items():
+        said = F.lit(template)
+        for mark, column in marks.items():
+            if mark in template:
+                said = F.replace(said, F.lit(mark), F.col(column))
+        out = F.when(F.col("change_type") == kind, said).otherwise(out)
+    return out
 
 
 def migration_text() -> Column:
     """A longer guide for one breaking change, as Markdown."""
-    n, a, b = F.col("symbol_name"), F.col("from_version"), F.col("to_version")
-    head = {"removed": "Symbol Removed", "signature_changed": "Signature Changed", "renamed": "Symbol Moved"}
-    what = {"removed": ("The symbol '", "' was removed in version "), "signature_changed": ("The signature of '", "' changed in version "), "renamed": ("The symbol '", "' was moved to a new location in version ")}
-    steps = {
-        "removed": ("Search for the symbol in the new version to find its replacement", "Update your code to use the new symbol", "Check the CHANGES.md file for detailed migration instructions"),
-        "signature_changed": ("Review the new signature in the documentation", "Update all call sites to match the new signature", "Test your code thoroughly after the update"),
-        "renamed": ("Update your import statements", "The symbol API should remain compatible"),
-    }
-    use = {
-        "removed": (F.concat(F.lit("const result = "), n, F.lit(".someMethod();")), F.lit("// Find the replacement symbol and update accordingly")),
-        "signature_changed": (F.concat(F.lit("const result = "), n, F.lit("(oldParam1, oldParam2);")), F.concat(F.lit("const result = "), n, F.lit("(newParam1, newParam2, newParam3);"))),
-        "renamed": (F.concat(F.lit("import { "), n, F.lit(" } from 'old/module/path';")), F.concat(F.lit("import { "), n, F.lit(" } from 'new/module/path';"))),
-    }
-    out = F.concat(F.lit("Review changes to '"), n, F.lit("' in version "), b, F.lit("."))
-    for kind in CHANGES:
-        listed = "\n".join(f"{i}. {s}" for i, s in enumerate(steps[kind], 1))
-        own = F.concat(
-            F.lit(f"## {head[kind]}: "), n, F.lit("\n\n" + what[kind][0]), n, F.lit(what[kind][1]), b, F.lit(f".\n\n### Migration Steps\n{listed}\n\n### Example\n```javascript\n// Before (v"), a, F.lit(")\n"),
-            use[kind][0], F.lit("\n\n// After (v"), b, F.lit(")\n"), use[kind][1], F.lit("\n```"),
-        )
-        out = F.when(F.col("change_type") == kind, own).otherwise(out)
-    return out
+    return F.coalesce(_filled(GUIDE), F.concat(F.lit("## "), "symbol_name", F.lit(" changed in "), "to_version"))
 
 
 def migration_guide(changes: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ enums, exports and imports, and the call forms `new X()`, `this.m()`, `X.m()` an
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,10 +71,19 @@ def close_of(code: str, at: int, pair: str = "{}") -> int:
     return len(code) - 1
 
 
+def comment_before(source: str, at: int, opening: str = "/**") -> str | None:
+    """The whole block comment that ends just before a place, if it begins with `opening`."""
+    end = len(source[:at].rstrip())
+    if not source.startswith("*/", end - 2):
+        return None
+    begin = source.rfind("/*", 0, end - 2)
+    return source[begin:end] if begin >= 0 and source.startswith(opening, begin) else None
+
+
 def doc_before(source: str, at: int) -> str | None:
-    """The documentation comment that ends just before a place, without its marks and from its tags on."""
-    block = re.search(r"/\*\*((?:(?!\*/)[\s\S])*)\*/\s*$", source[:at])
-    return block.group(1) if block else None
+    """The documentation comment that ends just before a place, without its marks."""
+    whole = comment_before(source, at)
+    return None if whole is None else whole[3:-2]
 
 
 def described(doc: str | None) -> str | None:
@@ -107,10 +118,7 @@ def script_symbols(source: str) -> list[dict]:
     exported += re.findall(rf"^export\s+(?:default\s+)?(?:async\s+)?(?:class|function|const|let|var)\s+({_NAME})", code, re.M)
     frozen = re.search(rf"^export\s+default\s+(?:Object\.freeze|Frozen)\(({_NAME})\)", code, re.M)
     default_names = {frozen.group(1)} if frozen else {default.group(1)} if default and default.group(1) else set()
-    depth, at_depth = 0, []
-    for c in code:
-        at_depth.append(depth)
-        depth += (c == "{") - (c == "}")
+    at_depth = _depths(code)
 
     out: list[dict] = []
     classes: set[str] = set()
@@ -189,83 +197,64 @@ def script_calls(source: str) -> list[dict]:
             if object_.startswith("new "):
                 continue
         else:
-            if m.group(4) in _NOT_METHODS | {"super"} or re.search(r"(?:function|new)\s*\*?\s*$", code[: m.start()]) or re.match(r"[^()]*\)\s*\{", code[m.end() :]):
+            if m.group(4) in _NOT_METHODS | {"super"} or re.search(r"(?:function|new)\s*\*?\s*$", code[max(0, m.start() - 40) : m.start()]) or re.match(r"[^()]*\)\s*\{", code[m.end() :]):
                 continue
             kind, object_, member = "bare", None, m.group(4)
         out.append({"enclosing": inner[2] if inner else None, "enclosing_class": inner[3] if inner else None, "form": kind, "object": object_, "member": member})
     return [c | {"ordinal": i} for i, c in enumerate(out)]
 
 
-def snapshot_symbols(source: str) -> list[dict]:
-    """Symbols of one script by line patterns: classes, functions, methods of the class above, frozen enums."""
-    lines = source.split("\n")
-    out: list[dict] = []
-    owner, docs = None, _Docs("/**")
-    for i, line in enumerate(lines):
-        docs.see(line, i)
+_DECLARED = re.compile(rf"^(?:export\s+(?:default\s+)?)?(?:(?:var|let|const)\s+({_NAME})\s*=\s*)?(?:(class|function)\b\s*\*?\s*({_NAME})?|(Object\.freeze)\b)", re.M)
+_MEMBER = re.compile(rf"({_NAME})\s*\(")
 
-        def add(name: str, kind: str, parent: str | None = None, i: int = i) -> None:
-            end = block_end(lines, i)
-            out.append({"name": name, "kind": kind, "start_line": i + 1, "end_line": end, "doc_comment": docs.take(), "parent_class": parent, "code": "\n".join(lines[i:end]), "exports": [], "imports": []})
 
-        if m := re.match(r"(?:export\s+)?(?:class|var\s+\w+\s*=\s*class)\s+(\w+)", line):
-            owner = m.group(1)
-            add(owner, "class")
+def _depths(code: str) -> list[int]:
+    """How many braces are open before each character, and at the end."""
+    return [0, *accumulate((c == "{") - (c == "}") for c in code)]
+
+
+def _block(code: str, at: int, stop: int | None = None) -> tuple[int, int] | None:
+    """Places of the first brace from `at` on (before `stop`) and of the one that closes it."""
+    begin = code.find("{", at, len(code) if stop is None else stop)
+    return None if begin < 0 else (begin, close_of(code, begin))
+
+
+def snapshot_symbols(source: str) -> list[dict]:
+    """Symbols of one script by its braces: classes, functions and frozen enums outside any block, and what stands directly in a
+    class's block as `name(...) {`, accessors and private members included, constructors not. Comments keep their marks."""
+    code, lines = masked(source), source.split("\n")
+    depth = _depths(code)
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    line = lambda at: bisect_right(starts, at)
+    found: list[tuple[int, int, str, str, str | None]] = []
+    for m in _DECLARED.finditer(code):
+        variable, kind, own, frozen = m.groups()
+        name = variable if frozen else own or variable
+        if depth[m.start()] or name is None:
             continue
-        if m := re.match(r"(?:export\s+)?(?:function|var\s+\w+\s*=\s*function)\s+(\w+)", line):
-            add(m.group(1), "function")
+        block = _block(code, m.end())
+        end = block[1] if block else m.start()
+        found.append((m.start(), end, name, "enum" if frozen else kind, None))
+        if kind != "class" or not block:
             continue
-        m = re.match(r"\s+(?:(?:get|set)\s+)?(\w+)\s*\(", line)
-        if m and owner and m.group(1) not in ("if", "for", "while", "switch", "catch", "constructor"):
-            add(m.group(1), "method", owner)
-        if m := re.match(r"(?:export\s+)?var\s+(\w+)\s*=\s*Object\.freeze", line):
-            add(m.group(1), "enum")
-        if re.match(r"export\s+", line) and not re.match(r"export\s+class", line):
-            owner = None
-    return [s | {"ordinal": k} for k, s in enumerate(out)]
-
-
-class _Docs:
-    """The comment that stands before a line, as lines are seen one by one."""
-
-    def __init__(self, *opening: str) -> None:
-        self.opening, self.text, self.open = opening, None, False
-
-    def see(self, line: str, at: int) -> None:
-        bare = line.strip()
-        if bare.startswith(self.opening):
-            self.text, self.open = "", True
-        if self.open:
-            self.text += line + "\n"
-            self.open = not bare.endswith("*/")
-
-    def take(self) -> str | None:
-        said, self.text = self.text, None
-        return said.strip() if said is not None else None
-
-
-def block_end(lines: list[str], start: int) -> int:
-    """The number of the line that closes the first brace at or after a line; the line's own number if none does."""
-    depth, opened = 0, False
-    for i in range(start, len(lines)):
-        for c in lines[i]:
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-                if opened and not depth:
-                    return i + 1
-    return start + 1
-
-
-_SHADER_LINES = (
-    ("uniform", re.compile(r"uniform\s+\w+\s+(?P<name>\w+)\s*(\[.*\])?\s*;")),
-    ("varying", re.compile(r"(in|out|varying)\s+\w+\s+(?P<name>\w+)\s*(\[.*\])?\s*;")),
-    ("function", re.compile(r"(void|float|vec[234]|mat[234]|int|bool|sampler\w+)\s+(?P<name>\w+)\s*\(")),
-    ("struct", re.compile(r"struct\s+(?P<name>\w+)\s*\{?")),
-    ("define", re.compile(r"#define\s+(?P<name>\w+)")),
-    ("const", re.compile(r"const\s+(float|vec[234]|mat[234]|int|bool)\s+(?P<name>\w+)\s*=")),
-)
+        for x in _MEMBER.finditer(code, block[0], block[1]):
+            body = close_of(code, x.end() - 1, "()") + 1
+            opens = re.compile(r"\s*\{").match(code, body)
+            if depth[x.start()] == depth[block[0]] + 1 and opens and x.group(1) not in _NOT_METHODS:
+                first = max(starts[line(x.start()) - 1], block[0] + 1)
+                lead = code[first : x.start()]
+                found.append((first + len(lead) - len(lead.lstrip()), close_of(code, opens.end() - 1), x.group(1), "method", name))
+    out = []
+    for k, (at, end, name, kind, parent) in enumerate(sorted(found)):
+        a, b = line(at), line(end)
+        out.append({"name": name, "kind": kind, "start_line": a, "end_line": b, "doc_comment": comment_before(source, at), "parent_class": parent, "code": "\n".join(lines[a - 1 : b]), "exports": [], "imports": [], "ordinal": k})
+    return out
+
+
+#: What a shader's declarations begin with, and the types of the functions and constants that are told (fixed values).
+INTERFACE = {"uniform": "uniform", "in": "varying", "out": "varying", "varying": "varying"}
+RETURNED = re.compile(r"void|float|vec[234]|mat[234]|int|bool|sampler\w+")
+CONSTANT = re.compile(r"float|vec[234]|mat[234]|int|bool")
 
 
 def shader_path(path: str) -> str:
@@ -274,32 +263,58 @@ def shader_path(path: str) -> str:
     return f"Source/{found.group(1)}" if found else re.split(r"[\\/]", path)[-1]
 
 
-def shader_symbols(source: str, path: str) -> list[dict]:
-    """Uniforms, varyings, functions, structs, defines and constants of one shader."""
-    lines = source.split("\n")
-    out: list[dict] = []
-    docs = _Docs("/*")
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        docs.see(line, i)
-        if not bare or bare.startswith("//"):
+def _shader_declarations(code: str) -> Iterator[tuple[int, int, str, str]]:
+    """(begin, end, kind, name) of each declaration outside blocks. A declaration is a run of words up to `;`, `{` or `=`; brackets
+    and, after a function's name, its parameters are passed over."""
+    words: list[tuple[int, str]] = []
+    call, at = False, 0
+    token = re.compile(r"\w+|[;{}()\[\]=]")
+    while m := token.search(code, at):
+        at, sign = m.end(), m.group()
+        if sign[0].isalnum() or sign[0] == "_":
+            words.append((m.start(), sign))
             continue
-        kind, found = next(((k, m) for k, p in _SHADER_LINES if (m := p.match(bare)) and not (k == "struct" and ";" in bare)), (None, None))
-        if kind is None:
-            if not docs.open and not bare.startswith("*"):
-                docs.text = docs.text if bare.endswith("*/") and docs.text is not None and bare.startswith("/*") else None
+        if sign in "([":
+            call = call or (sign == "(" and len(words) == 2)
+            at = close_of(code, m.start(), "()" if sign == "(" else "[]") + 1
             continue
-        end = i + 1
-        if kind == "function":
-            end = block_end(lines, i)
-        elif kind == "struct":
-            at = next((j for j in range(i, min(i + 5, len(lines))) if "{" in lines[j]), None)
-            if at is None:
-                continue
-            end = block_end(lines, at)
-        body = "\n".join(lines[i:end]) if kind in ("function", "struct") else line
-        out.append({"name": found.group("name"), "type": kind, "file": shader_path(path), "source": body, "doc_comment": docs.take(), "start_line": i + 1, "end_line": end})
-    return [s | {"ordinal": k} for k, s in enumerate(out)]
+        names = [w for _, w in words]
+        first = names[0] if names else ""
+        end = close_of(code, m.start()) if sign == "{" else m.start()
+        if first in INTERFACE and sign == ";" and len(names) > 2:
+            yield words[0][0], end, INTERFACE[first], names[-1]
+        elif first == "struct" and sign == "{" and len(names) == 2:
+            yield words[0][0], end, "struct", names[1]
+        elif first == "const" and sign == "=" and len(names) == 3 and CONSTANT.fullmatch(names[1]):
+            yield words[0][0], end, "const", names[2]
+        elif call and sign in "{;" and RETURNED.fullmatch(first):
+            yield words[0][0], end, "function", names[1]
+        words, call = [], False
+        if sign == "=":
+            at = code.find(";", at) + 1 or len(code)
+        elif sign == "{":
+            at = end + 1
+
+
+def shader_symbols(source: str, path: str) -> list[dict]:
+    """Uniforms, varyings, functions, structs, defines and constants of one shader that stand outside blocks. The source of functions
+    and structs is all their lines, that of the others the line they begin on."""
+    code, lines = masked(source), source.split("\n")
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    line = lambda at: bisect_right(starts, at)
+    directive = re.compile(r"^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", re.M)
+    found = []
+    for m in directive.finditer(code):
+        if name := re.match(r"\s*#\s*define\s+(\w+)", m.group()):
+            found.append((m.start() + len(m.group()) - len(m.group().lstrip()), m.start(), "define", name.group(1)))
+    plain = directive.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), code)
+    found += _shader_declarations(plain)
+    out = []
+    for k, (at, end, kind, name) in enumerate(sorted(found)):
+        a = line(at)
+        b = line(end) if kind in ("function", "struct") else a
+        out.append({"name": name, "type": kind, "file": shader_path(path), "source": "\n".join(lines[a - 1 : b]), "doc_comment": comment_before(source, at, "/*"), "start_line": a, "end_line": b, "ordinal": k})
+    return out
 
 
 def _each(files: DataFrame, scan, schema: str) -> DataFrame:  # noqa: ANN001

@@ -1,16 +1,21 @@
 """Ranked full-text search over materialised postings.
 
-The index is three derived tables: postings (term, doc, column, position), lengths of documents, and corpus figures. It is
-rebuilt from the base rows, so it cannot go stale. Terms are runs of letters and digits, lower-cased, without diacritics; a
-query's words are ASCII words, and one that holds underscores is a phrase. A document must hold every phrase. Scores are
-negative BM25 (k1 = 1.2, b = 0.75), the best first; inverse frequencies that would not be positive count as 1e-6. Figures are those
-of the whole corpus: filters choose rows, they do not change scores.
+A stored index is two derived tables: postings (term, document, occurrences, places, the document's length), partitioned by a hash of
+the term and sorted by it, so that a query reads its own terms' row groups only; and one row of corpus figures. It is rebuilt from the
+base rows, so it cannot go stale. Terms are runs of letters and digits, lower-cased, without the marks of Latin letters; a query's
+words are ASCII words, and one that holds underscores is a phrase. A document must hold every phrase. Scores are negative BM25
+(k1 = 1.2, b = 0.75), the best first; inverse frequencies that would not be positive count as 1e-6. Figures are those of the whole
+corpus: filters choose rows, they do not change scores.
+
+Defined cases: null and empty texts have no terms but count as documents; a query without words finds nothing; ties go by key; keys
+must be unique.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -22,17 +27,26 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TERM = r"[\p{L}\p{N}]+"
 
 
-def _fold(text: str | None) -> str | None:
-    return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+def _marked_letters() -> tuple[str, str]:
+    """Latin letters with marks, and in the same order the letters without; the marks themselves come last and have no counterpart."""
+    found = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.combining(m) for m in marks):
+            found.append((chr(code), base))
+    return "".join(c for c, _ in found) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in found)
+
+
+_MARKED, _PLAIN = _marked_letters()
+_FOLDED = str.maketrans(_MARKED[: len(_PLAIN)], _PLAIN, _MARKED[len(_PLAIN) :])
 
 
 def folded(text: Column) -> Column:
-    """Without diacritics. Only texts beyond ASCII cross to Python."""
-    plain = F.pandas_udf(lambda s: s.map(_fold), "string")
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain(text))
+    """Without the marks of Latin letters. ASCII texts are left as they are."""
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, _MARKED, _PLAIN))
 
 
-def terms(text: str | Column, fold: bool = False) -> Column:
+def terms(text: str | Column, fold: bool = True) -> Column:
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return F.regexp_extract_all(F.lower(folded(text) if fold else text), F.lit(TERM), 0)
 
@@ -47,52 +61,75 @@ def _and_equal(term: str) -> Callable[[Column, Column], Column]:
     return lambda held, t: held & (t == term)
 
 
+_POSTING = "bucket int, term string, doc_id {key}, tf long, places array<struct<col:int,pos:int>>, dl long"
+_CORPUS = "n double, avgdl double, buckets int"
+
+
 @dataclass
 class Index:
-    """postings: doc_id, col, pos, term. lengths: doc_id, dl (terms in all columns).
-
-    An index that has just been built also has `lists` (doc_id, and each column's terms as a list): a query then counts its phrases
-    in the lists, in one pass for the corpus's figures and one for the scores, without a shuffle. A stored one reads postings of
-    the query's terms only.
-    """
+    """Either `lists` (doc_id, and each column's terms as a list), as an index that has just been built has: a query then counts its
+    phrases in the lists, in one pass for the corpus's figures and one for the scores, without a shuffle. Or a stored index's
+    `postings` and `corpus`."""
 
-    postings: DataFrame
-    lengths: DataFrame
     lists: DataFrame | None = None
+    postings: DataFrame | None = None
+    corpus: DataFrame | None = None
 
     @classmethod
-    def build(cls, docs: DataFrame, key: str, columns: Sequence[str], fold: bool = False) -> Index:
-        lists = docs.select(F.col(key).alias("doc_id"), *[terms(c, fold).alias(f"c{i}") for i, c in enumerate(columns)])
-        parts = [lists.select("doc_id", F.lit(i).alias("col"), F.posexplode(f"c{i}").alias("pos", "term")) for i in range(len(columns))]
-        postings = parts[0]
-        for p in parts[1:]:
-            postings = postings.unionByName(p)
-        lengths = lists.select("doc_id", sum((F.size(f"c{i}") for i in range(len(columns))), F.lit(0)).cast("long").alias("dl"))
-        return cls(postings, lengths, lists)
+    def build(cls, docs: DataFrame, key: str, columns: Sequence[str], fold: bool = True) -> Index:
+        return cls(docs.select(F.col(key).alias("doc_id"), *[terms(c, fold).alias(f"c{i}") for i, c in enumerate(columns)]))
 
     def write(self, path: str, buckets: int = 64) -> None:
-        """Store the index, postings dealt by term so that a term's filter prunes files."""
-        self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
-        self.lengths.write.parquet(f"{path}/lengths")
+        """Store the index. A term of very many documents is parted over several files of its bucket."""
+        columns = [c for c in self.lists.columns if c != "doc_id"]
+        length = sum((F.size(c) for c in columns), F.lit(0)).cast("long")
+        sized = self.lists.withColumn("dl", length)
+        every = None
+        for i, c in enumerate(columns):
+            rows = sized.select("doc_id", "dl", F.lit(i).alias("col"), F.posexplode(c).alias("pos", "term"))
+            every = rows if every is None else every.unionByName(rows)
+        held = every.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list(F.struct("col", "pos"))).alias("places"), F.first("dl").alias("dl"))
+        dealt = held.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        figures = sized.agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), F.lit(buckets).alias("buckets"))
+        figures.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/lengths"))
-
-    def _occurrences(self, phrases: list[list[str]]) -> DataFrame:
-        """(phrase, doc_id, tf): how often each phrase stands in each document."""
-        wanted = sorted({t for p in phrases for t in p})
-        hits = self.postings.where(F.col("term").isin(*wanted))
-        parts = []
-        for k, phrase in enumerate(phrases):
-            rows = hits.where(F.col("term") == phrase[0]).select("doc_id", "col", "pos")
-            for step, term in enumerate(phrase[1:], 1):
-                rows = rows.join(hits.where(F.col("term") == term).select("doc_id", "col", (F.col("pos") - step).alias("pos")), ["doc_id", "col", "pos"])
-            parts.append(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tf")).select(F.lit(k).alias("phrase"), "doc_id", "tf"))
-        out = parts[0]
+    def read(cls, spark: SparkSession, path: str, key_type: str = "bigint") -> Index:
+        return cls(None, spark.read.schema(_POSTING.format(key=key_type)).parquet(f"{path}/postings"), spark.read.schema(_CORPUS).parquet(f"{path}/corpus"))
+
+    def _occurrences(self, phrase: list[str], buckets: int) -> DataFrame:
+        """(doc_id, tf, dl) of the documents that hold a phrase."""
+        of = lambda t: self.postings.where((F.col("bucket") == zlib.crc32(t.encode()) % buckets) & (F.col("term") == t))
+        rows = of(phrase[0])
+        if len(phrase) == 1:
+            return rows.select("doc_id", "tf", "dl")
+        rows = rows.select("doc_id", "dl", "places")
+        for step, term in enumerate(phrase[1:], 1):
+            there = of(term).select("doc_id", F.transform("places", lambda x: F.struct(x["col"].alias("col"), (x["pos"] - F.lit(step)).alias("pos"))).alias("there"))
+            rows = rows.join(there, "doc_id").select("doc_id", "dl", F.array_intersect("places", "there").alias("places"))
+        return rows.where(F.size("places") > 0).select("doc_id", F.size("places").cast("long").alias("tf"), "dl")
+
+    def _looked_up(self, phrases: list[list[str]]) -> DataFrame:
+        """The scores from the stored postings of the query's terms."""
+        corpus = self.corpus.first()
+        parts = [self._occurrences(p, corpus["buckets"]).withColumn("phrase", F.lit(k)) for k, p in enumerate(phrases)]
+        found = parts[0]
         for p in parts[1:]:
-            out = out.union(p)
-        return out
+            found = found.unionByName(p)
+        # one row for each phrase reaches the driver
+        held = {r["phrase"]: r["n"] for r in found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).collect()}
+        idf = F.lit(0.0)
+        for k, d in held.items():
+            raw = F.log((F.lit(corpus["n"]) - F.lit(float(d)) + 0.5) / (F.lit(float(d)) + 0.5))
+            idf = F.when(F.col("phrase") == k, F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))).otherwise(idf)
+        tf = F.col("tf").cast("double")
+        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(corpus["avgdl"])))
+        if len(phrases) == 1:
+            return found.select("doc_id", (-part).alias("score"))
+        # summed in the phrases' order, so that equal documents have equal scores
+        scored = found.withColumn("part", part).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("phrase", "part"))).alias("p"))
+        return scored.where(F.size("p") == len(phrases)).select("doc_id", (-F.aggregate("p", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))
 
     def _counted(self, phrases: list[list[str]]) -> DataFrame:
         """The scores by counting in the lists of terms."""
@@ -120,18 +157,9 @@ class Index:
         """(doc_id, score) of every document that holds all of the query's phrases."""
         phrases = query_phrases(query)
         if not phrases:
-            return self.lengths.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-        if self.lists is not None:
-            return self._counted(phrases)
-        found = self._occurrences(phrases)
-        corpus = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        df = found.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.broadcast(df.crossJoin(corpus).withColumn("idf", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))).drop("df", "n_docs"))
-        tf = F.col("tf").cast("double")
-        part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scored = found.join(idf, "phrase").join(self.lengths, "doc_id").groupBy("doc_id").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("n"))
-        return scored.where(F.col("n") == len(phrases)).drop("n")
+            rows = self.lists if self.lists is not None else self.postings
+            return rows.limit(0).select("doc_id", F.lit(0.0).alias("score"))
+        return self._counted(phrases) if self.lists is not None else self._looked_up(phrases)
 
 
 def search(index: Index, docs: DataFrame, key: str, query: str, limit: int = 20, condition: Column | None = None) -> DataFrame:
@@ -151,7 +179,7 @@ def snippet(text: str | Column, query: str, most: int = 20, before: str = ">>>",
         if not spans:
             return body
         starts = range(max(1, len(spans) - most + 1))
-        best = max(starts, key=lambda i: (len({body[a:b].lower() for a, b, hit in spans[i : i + most] if hit}), -i))
+        best = max(starts, key=lambda i: (len({body[a:b].translate(_FOLDED).lower() for a, b, hit in spans[i : i + most] if hit}), -i))
         chosen = spans[best : best + most]
         out, at = [gap if best else body[: chosen[0][0]]], chosen[0][0]
         for a, b, hit in chosen:

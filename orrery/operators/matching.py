@@ -14,39 +14,74 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 
-#: Rows up to which a knowledge table is sent to every executor.
-KNOWLEDGE_ROWS = 20_000
+#: Bytes, as JSON, up to which a knowledge table is sent to every executor.
+KNOWLEDGE_BYTES = 16 << 20
 
 
-def small(frame: DataFrame, most: int = KNOWLEDGE_ROWS) -> DataFrame:
-    """The frame marked to be sent to every executor, if it has few rows; else as it is."""
-    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+def small(frame: DataFrame, most: int = KNOWLEDGE_BYTES) -> bool:
+    """Whether the frame has few enough bytes to be sent to every executor. Looks at no more rows than that takes."""
+    sized = frame.select(F.octet_length(F.to_json(F.struct(*frame.columns))).alias("n")).limit(most // 16)
+    row = sized.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    return (row["n"] or 0) <= most and row["rows"] < most // 16
 
 
-def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None = None, vector_scores: DataFrame | None = None, query: str = "query_id", question: str = "question") -> DataFrame:
+def _padded(tokens: Column) -> Column:
+    """Tokens as one text in which each stands between two spaces, so that a run of tokens is a part of the text."""
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+
+
+def _lead_terms(patterns: DataFrame) -> DataFrame:
+    """(id, term): for each way to match strongly, the tokens of which a question must have one: an alias's first, a keyword, any of a
+    symptom's."""
+    first = F.transform(F.filter("__aliases", lambda p: F.size(p) > 0), lambda p: p[0])
+    terms = F.array_distinct(F.concat(first, "__keywords", F.flatten("__symptoms")))
+    return patterns.select("__place", F.explode(terms).alias("__term"))
+
+
+def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None = None, vector_scores: DataFrame | None = None, query: str = "query_id", question: str = "question", most_bytes: int = KNOWLEDGE_BYTES) -> DataFrame:
     """(query, pattern columns, score, vector_score, matched): patterns that match a question strongly, best first.
 
     An alias counts if its tokens stand in a row, a keyword if it is a token, a symptom if two of its tokens occur; these, or a
     vector score of `fixed.STRONG_VECTOR`, make a match strong. Symbols and the category only add. `matched` says by what.
+
+    Patterns of up to `most_bytes` meet every question on the executors. Beyond that, a question meets only the patterns of which it
+    has a leading term, or that its vector is near to: these are all that can match strongly.
+
+    Null and empty questions match nothing; null lists of a pattern count as empty ones; ties of the score go by the patterns'
+    `ordinal` (or the order they come in); ids of questions must be unique, else a question's rows are ranked together.
     """
     asked = queries.select(query, text.query_tokens(question).alias("__tokens"))
-    order = patterns.withColumn("__order", F.monotonically_increasing_id()) if "ordinal" not in patterns.columns else patterns.withColumn("__order", F.col("ordinal"))
+    asked = asked.withColumn("__text", _padded(F.col("__tokens")))
+    order = F.col("ordinal") if "ordinal" in patterns.columns else F.monotonically_increasing_id()
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("aliases", "symptoms", "triggerKeywords", "relatedSymbols")}
     # what does not depend on the question is worked out once for each pattern
-    parts = {"__a": F.transform("aliases", text.phrase_tokens), "__s": F.transform("symptoms", text.phrase_tokens), "__k": F.transform("triggerKeywords", F.lower), "__y": F.transform("relatedSymbols", F.lower), "__c": F.lower("category")}
-    pairs = asked.join(small(order.withColumns(parts)), F.lit(True))
-    if vector_scores is not None:
-        scores = vector_scores.select(F.col(query), F.col("id"), F.col("vector_score"))
+    plain = lambda c: F.filter(F.transform(c, F.lower), lambda k: ~k.rlike(r"\s") & (k != ""))
+    parts = {"__aliases": F.transform("aliases", text.phrase_tokens), "__symptoms": F.transform("symptoms", text.phrase_tokens), "__keywords": plain("triggerKeywords")}
+    held = patterns.withColumn("__place", order).withColumns(lists).withColumns(parts)
+    scores = None if vector_scores is None else vector_scores.select(F.col(query), F.col("id"), F.col("vector_score"))
+    if small(patterns, most_bytes):
+        pairs = asked.join(F.broadcast(held), F.lit(True))
+    else:
+        terms = asked.select(query, F.explode(F.array_distinct("__tokens")).alias("__term"))
+        near = terms.join(_lead_terms(held), "__term").select(query, "__place")
+        if scores is not None:
+            near = near.union(scores.where(F.col("vector_score") >= fixed.STRONG_VECTOR).join(held.select("id", "__place"), "id").select(query, "__place"))
+        pairs = near.distinct().join(asked, query).join(held, "__place")
+    if scores is not None:
         pairs = pairs.join(scores, [query, "id"], "left")
     else:
         pairs = pairs.withColumn("vector_score", F.lit(None).cast("double"))
-    t, v = F.col("__tokens"), F.coalesce("vector_score", F.lit(0.0))
+    v = F.coalesce("vector_score", F.lit(0.0))
     w = fixed.MATCH_WEIGHTS
+    has = lambda token: F.contains(F.col("__text"), F.concat(F.lit(" "), token, F.lit(" ")))
+    one = lambda token: has(F.lower(token)) & ~token.rlike(r"\s") & (token != "")
+    overlap = lambda words: F.size(F.filter(words, has))
     pairs = pairs.withColumns({
-        "__alias": F.filter("aliases", lambda x, i: text.holds_phrase(t, F.get("__a", i))),
-        "__keyword": F.filter("triggerKeywords", lambda x, i: F.array_contains(t, F.get("__k", i))),
-        "__symptom": F.array_distinct(F.filter("symptoms", lambda x, i: text.overlap(t, F.get("__s", i)) >= 2)),
-        "__symbol": F.filter("relatedSymbols", lambda x, i: F.array_contains(t, F.get("__y", i))),
-        "__category": F.filter(F.array("category"), lambda x: F.array_contains(t, F.col("__c"))),
+        "__alias": F.filter("aliases", lambda x, i: (F.size(F.get("__aliases", i)) > 0) & F.contains(F.col("__text"), _padded(F.get("__aliases", i)))),
+        "__keyword": F.filter("triggerKeywords", one),
+        "__symptom": F.array_distinct(F.filter("symptoms", lambda x, i: overlap(F.get("__symptoms", i)) >= 2)),
+        "__symbol": F.filter("relatedSymbols", one),
+        "__category": F.filter(F.array("category"), one),
     })
     count = lambda c: F.size(f"__{c}").cast("double") * w[c]
     score = sum((count(c) for c in ("alias", "keyword", "symptom", "symbol", "category")), F.lit(0.0)) + F.when(v > 0, v * w["vector"]).otherwise(F.lit(0.0))
@@ -55,9 +90,28 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     vector = F.when(v >= fixed.STRONG_VECTOR, F.array(F.format_string("vector:%.3f", v))).otherwise(F.array().cast("array<string>"))
     out = pairs.withColumns({"score": score, "matched": F.concat(*named, vector)}).where((F.col("score") > 0) & strong)
     if limit is not None and limit > 0:
-        rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "__order"))
+        rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "__place"))
         out = out.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return out.drop("__tokens", "__order", *parts, *(f"__{c}" for c in ("alias", "keyword", "symptom", "symbol", "category")))
+    return out.drop("__tokens", "__text", "__place", *parts, *(f"__{c}" for c in ("alias", "keyword", "symptom", "symbol", "category")))
+
+
+def related_symbols(found: DataFrame, symbols: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, at, symbol columns): symbols that matched patterns name, each once for a question, where the best pattern names it.
+
+    found: matches with score, ordinal and relatedSymbols. `at` orders a question's symbols: score (negative), the pattern's place, the
+    place in its list.
+    """
+    listed = found.select(query, F.struct((-F.col("score")).alias("s"), "ordinal").alias("o"), F.posexplode("relatedSymbols").alias("n", "__name"))
+    named = listed.groupBy(query, "__name").agg(F.min(F.struct("o", "n")).alias("at"))
+    joined = named.join(symbols, F.col("__name") == F.col("name")).drop("__name")
+    first = F.row_number().over(Window.partitionBy(query, "id").orderBy("at"))
+    return joined.withColumn("__r", first).where("__r = 1").drop("__r").select(query, "at", *symbols.columns)
+
+
+def ordered_union(found: DataFrame, column: str, query: str = "query_id") -> DataFrame:
+    """(query, values): the values of a list column of a question's matches, best match first, each where it came first."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ordinal", F.col(column).alias("v"))))
+    return found.groupBy(query).agg(rows.alias("r")).select(query, F.array_distinct(F.flatten(F.transform("r", lambda x: x["v"]))).alias("values"))
 
 
 def coverage(issues: DataFrame, patterns: DataFrame, least: float, key: str = "id", most_chars: int | None = 4000) -> DataFrame:
@@ -77,7 +131,9 @@ def entities(queries: DataFrame, stages: DataFrame | None = None, patterns: Data
     parts = [lists("version", F.regexp_extract_all(q, F.lit(text.VERSION), 0)).withColumn("g", F.lit(0))]
     if stages is not None:
         named = F.contains(F.lower(q), F.lower("name")) | F.exists("symptomHints", lambda h: F.contains(F.lower(q), F.lower(h)))
-        parts.append(base.join(small(stages), named).select(query, F.lit("stage").alias("type"), F.col("order").alias("n"), F.col("id").alias("value"), F.lit(1).alias("g")))
+        if not small(stages):
+            raise ValueError("stages are a knowledge table: they must be small")
+        parts.append(base.join(F.broadcast(stages), named).select(query, F.lit("stage").alias("type"), F.col("order").alias("n"), F.col("id").alias("value"), F.lit(1).alias("g")))
     if patterns is not None:
         best = match_patterns(queries, patterns, 3, query=query, question=question)
         parts.append(best.select(query, F.lit("problem").alias("type"), F.col("rank").alias("n"), F.col("id").alias("value"), F.lit(2).alias("g")))
@@ -100,7 +156,9 @@ def dispatch(queries: DataFrame, skills: DataFrame, found: DataFrame, query: str
     types = found.groupBy(query).agg(*[F.count_if(F.col("type") == t).alias(f"__{t}") for t in ("problem", "stage", "symbol")], F.count(F.lit(1)).alias("__entities"))
     asked = queries.select(query, question).join(types, query, "left").fillna(0)
     words = F.size(F.filter(F.split(F.lower(question), r"[\s_\-.,;:!?]+"), lambda t: t != ""))
-    pairs = asked.withColumn("__words", words).join(small(skills), F.lit(True))
+    if not small(skills):
+        raise ValueError("skills are a knowledge table: they must be small")
+    pairs = asked.withColumn("__words", words).join(F.broadcast(skills), F.lit(True))
     hits = F.filter("triggerKeywords", lambda k: F.contains(F.lower(F.col(question)), F.lower(k)))
     extra = F.when(F.col("id") == "debug", 2 * F.col("__problem")).when(F.col("id").isin("performance", "shader"), F.col("__stage")).when(F.col("id") == "api", F.col("__symbol")).otherwise(F.lit(0))
     scored = pairs.withColumns({"matched": hits, "score": F.size(hits) + extra})

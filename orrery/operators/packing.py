@@ -1,7 +1,10 @@
 """Context packs under a token budget.
 
 A pack is a row; its sections are columns. Giving up the last element until the pack fits keeps the longest prefix whose cost leaves
-room, so it is one expression over running sums; any number of packs is cut in one job.
+room, so it is one expression over running sums; any number of packs is cut in one job. What an element costs is worked out once, as a
+list of numbers beside the section, and the steps that cut a pack fold over those numbers.
+
+Defined cases: null texts cost nothing; an empty list section costs what its empty text does; a pack that cannot fit is marked.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ def tokens(x: Column | str) -> Column:
     return text.token_estimate(x)
 
 
+def _sum(costs: Column) -> Column:
+    return F.aggregate(costs, F.lit(0).cast("long"), lambda s, c: s + c)
+
+
 def _fitting(costs: Column, room: Column) -> Column:
     """How many running sums of the costs, which are not negative, stay within the room: one fold."""
     start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
 
     def step(a: Column, c: Column) -> Column:
-        total = a["s"] + c.cast("long")
+        total = a["s"] + c
         return F.struct(total.alias("s"), (a["n"] + (total <= room).cast("int")).alias("n"))
 
     return F.aggregate(costs, start, step, lambda a: a["n"])
@@ -34,58 +41,98 @@ def _fitting(costs: Column, room: Column) -> Column:
 
 def prefix_within(costs: Column, room: Column, least: int = 0) -> Column:
     """How many of the first elements fit the room together, `least` at least."""
-    return F.greatest(_fitting(costs, room), F.least(F.size(costs), F.lit(least)))
-
+    return F.greatest(_fitting(F.transform(costs, lambda c: c.cast("long")), room), F.least(F.size(costs), F.lit(least)))
 
-def json_prefix_within(elements: Column, room: Column) -> Column:
-    """How many of the first elements fit as one JSON list, whose length counts in quarters."""
-    return _fitting(F.transform(elements, lambda e: text.utf16_length(F.to_json(e)) + 1), 4 * room - 1)
 
+def _json(e: Column) -> Column:
+    """What an element adds to the length of a JSON list: itself and a comma."""
+    return text.utf16_length(F.to_json(e)) + 1
 
-def json_list_tokens(elements: Column) -> Column:
-    inner = F.aggregate(elements, F.lit(0).cast("long"), lambda s, e: s + text.utf16_length(F.to_json(e)) + 1)
-    return F.ceil((1 + F.greatest(inner, F.lit(1))) / 4).cast("long")
 
-
-def each(cost: Cost) -> Cost:
-    """The cost of a list, from that of an element."""
-    return lambda c: F.aggregate(F.transform(c, cost), F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+def _json_tokens(costs: Column) -> Column:
+    """Tokens of the JSON list of elements that add so much: the brackets, less the comma that the last has too many."""
+    return F.ceil((1 + F.greatest(_sum(costs), F.lit(1))) / 4).cast("long")
 
 
 @dataclass
 class Budget:
-    """A pack's sections with their costs, and steps that cut it."""
+    """A pack's sections with their costs, and steps that cut it.
+
+    element: what an element of a list costs; whole: what other sections cost; as_json: lists that cost what their JSON does, of which
+    those in free_if_empty cost nothing while empty.
+    """
 
     frame: DataFrame
     budget: Column
-    costs: dict[str, Cost]
-    element: dict[str, Cost] = field(default_factory=dict)
+    element: dict[str, Cost]
+    whole: dict[str, Cost] = field(default_factory=dict)
     as_json: Sequence[str] = ()
+    free_if_empty: Sequence[str] = ()
 
     def __post_init__(self) -> None:
-        if "truncated" not in self.frame.columns:
-            self.frame = self.frame.withColumn("truncated", F.lit(False))
-
-    def total(self) -> Column:
-        return sum((c(F.col(n)) for n, c in self.costs.items()), F.lit(0).cast("long"))
-
-    def _step(self, section: str, new: Callable[[Column, Column], Column], marks: bool = True) -> None:
-        """Replace the section where the pack is over its budget; new gets the section and the room that the rest leaves it."""
-        held = self.frame.withColumn("__total", self.total())
-        room = self.budget - (F.col("__total") - self.costs[section](F.col(section)))
-        held = held.withColumn("__new", F.when(F.col("__total") > self.budget, new(F.col(section), room)).otherwise(F.col(section)))
+        new = {} if "truncated" in self.frame.columns else {"truncated": F.lit(False)}
+        for n in (*self.element, *self.as_json):
+            new[self._at(n)] = self._each(n, F.col(n))
+        for n, cost in self.whole.items():
+            new[self._at(n)] = cost(F.col(n)).cast("long")
+        self.frame = self.frame.withColumns(new)
+
+    @staticmethod
+    def _at(section: str) -> str:
+        return f"__cost_{section}"
+
+    def _each(self, section: str, elements: Column) -> Column:
+        cost = _json if section in self.as_json else self.element[section]
+        return F.transform(elements, lambda e: cost(e).cast("long"))
+
+    def of(self, section: str) -> Column:
+        costs = F.col(self._at(section))
+        if section in self.whole:
+            return costs
+        if section not in self.as_json:
+            return _sum(costs)
+        return F.when(F.size(costs) == 0, F.lit(0).cast("long")).otherwise(_json_tokens(costs)) if section in self.free_if_empty else _json_tokens(costs)
+
+    def total(self, but: Sequence[str] = ()) -> Column:
+        return sum((self.of(n) for n in (*self.element, *self.as_json, *self.whole) if n not in but), F.lit(0).cast("long"))
+
+    def _replace(self, section: str, new: Column, costs: Column) -> None:
+        """Put in the section's new value, with its costs, where the pack is over its budget."""
+        over = F.col("__total") > self.budget
+        held = self.frame.withColumn("__new", F.when(over, new).otherwise(F.col(section)))
         changed = ~F.col("__new").eqNullSafe(F.col(section))
-        self.frame = held.withColumn("truncated", F.col("truncated") | changed if marks else F.col("truncated")).withColumn(section, F.col("__new")).drop("__new", "__total")
+        held = held.withColumns({"truncated": F.col("truncated") | changed, section: F.col("__new"), self._at(section): F.when(over, costs).otherwise(F.col(self._at(section)))})
+        self.frame = held.drop("__new", "__total", "__room", "__keep")
 
-    def drop_last(self, section: str, least: int = 0) -> None:
-        def new(c: Column, room: Column) -> Column:
-            keep = json_prefix_within(c, room) if section in self.as_json else prefix_within(F.transform(c, self.element[section]), room, least)
-            return F.slice(c, F.lit(1), keep)
+    def _weighed(self, section: str) -> DataFrame:
+        out = self.frame.withColumn("__total", self.total())
+        return out.withColumn("__room", self.budget - (F.col("__total") - self.of(section)))
 
-        self._step(section, new)
+    def drop_last(self, section: str, least: int = 0) -> None:
+        """Keep the first elements that the rest leaves room for, `least` at least."""
+        costs = F.col(self._at(section))
+        room = 4 * F.col("__room") - 1 if section in self.as_json else F.col("__room")
+        self.frame = self._weighed(section).withColumn("__keep", prefix_within(costs, room, least))
+        self._replace(section, F.slice(section, F.lit(1), F.col("__keep")), F.slice(costs, F.lit(1), F.col("__keep")))
 
     def clear(self, section: str) -> None:
-        self._step(section, lambda c, _: F.slice(c, 1, 0))
+        self.frame = self._weighed(section)
+        self._replace(section, F.slice(section, 1, 0), F.slice(self._at(section), 1, 0))
+
+    def clear_together(self, sections: Sequence[str]) -> None:
+        """Give up all of some sections at once."""
+        out = self.frame.withColumn("__over", self.total() > self.budget)
+        for n in sections:
+            empty = lambda c: F.when(F.col("__over"), F.slice(c, 1, 0)).otherwise(F.col(c))
+            out = out.withColumns({"truncated": F.col("truncated") | (F.col("__over") & (F.size(n) > 0)), n: empty(n), self._at(n): empty(self._at(n))})
+        self.frame = out.drop("__over")
+
+    def change(self, section: str, new: Callable[[Column, Column], Column]) -> None:
+        """Another value for the section, from it and from the room that the rest leaves."""
+        self.frame = self._weighed(section)
+        value = new(F.col(section), F.col("__room"))
+        cost = F.col("__new")
+        self._replace(section, value, self.whole[section](cost).cast("long") if section in self.whole else self._each(section, cost))
 
     def cut_texts(self, section: str, most: int, name: str | None = None) -> None:
         def one(e: Column) -> Column:
@@ -93,14 +140,14 @@ class Budget:
             cut = F.when(tokens(value) > most, text.truncate_text(value, most)).otherwise(value)
             return e.withField(name, cut) if name else cut
 
-        self._step(section, lambda c, _: F.transform(c, one))
+        self.change(section, lambda c, _: F.transform(c, one))
 
     def finish(self, minimum: Sequence[str]) -> DataFrame:
         """Adds total_tokens, token_budget, unavoidable_overflow and minimum_possible_tokens (what is left without `minimum`)."""
         out = self.frame.withColumns({"total_tokens": self.total(), "token_budget": self.budget})
-        rest = sum((c(F.col(n)) for n, c in self.costs.items() if n not in minimum), F.lit(0).cast("long"))
         over = F.col("total_tokens") > F.col("token_budget")
-        return out.withColumns({"unavoidable_overflow": over, "minimum_possible_tokens": F.when(over, rest)})
+        out = out.withColumns({"unavoidable_overflow": over, "minimum_possible_tokens": F.when(over, self.total(minimum))})
+        return out.drop(*(self._at(n) for n in (*self.element, *self.as_json, *self.whole)))
 
 
 def _issue(e: Column) -> Column:
@@ -115,24 +162,31 @@ def _stage(e: Column) -> Column:
     return tokens(e["name"]) + tokens(e["description"]) + 10
 
 
-def fold_caps(elements: Column, cost: Cost, name: str, cap: int, overhead: int, keep_first: bool) -> Column:
+def fold_caps(frame: DataFrame, section: str, cost: Cost, name: str, cap: int, overhead: int, keep_first: bool) -> DataFrame:
     """Elements in order while they fit a section's cap together. One that does not is cut if more than 100 tokens are left, else
-    left out; later, smaller ones may still fit. The first source is always kept, cut to the cap if it must be."""
-    empty = F.slice(elements, 1, 0)
-    start = F.struct(F.lit(0).cast("long").alias("used"), empty.alias("kept"), F.lit(True).alias("first"), F.lit(False).alias("cut"))
+    left out; later, smaller ones may still fit. The first source is always kept, cut to the cap if it must be.
+
+    The fold is over the costs; it keeps places, of which there are no more than the cap has room for.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"), F.lit(-1).alias("cut"), F.lit(0).cast("long").alias("room"), F.lit(False).alias("over"))
 
-    def step(a: Column, e: Column) -> Column:
-        c = cost(e).cast("long")
+    def step(a: Column, x: Column) -> Column:
         left = F.lit(cap).cast("long") - a["used"]
-        cut = e.withField(name, text.truncate_text(e[name], (left - overhead).cast("int")))
-        put = lambda x: F.concat(a["kept"], F.array(x))
-        first = F.lit(keep_first) & a["first"]
-        fits, some = c <= left, left > 100
-        used = F.when(fits, a["used"] + c).when(some | first, F.lit(cap).cast("long")).otherwise(a["used"])
-        kept = F.when(fits, put(e)).when(some | first, put(cut)).otherwise(a["kept"])
-        return F.struct(used.alias("used"), kept.alias("kept"), F.lit(False).alias("first"), (a["cut"] | ~fits).alias("cut"))
+        first = (x["i"] == 0) if keep_first else F.lit(False)
+        fits, cut = x["c"] <= left, (x["c"] > left) & ((left > 100) | first)
+        put = F.when(fits | cut, F.concat(a["kept"], F.array(x["i"]))).otherwise(a["kept"])
+        used = F.when(fits, a["used"] + x["c"]).when(cut, F.lit(cap).cast("long")).otherwise(a["used"])
+        return F.struct(used.alias("used"), put.alias("kept"), F.when(cut, x["i"]).otherwise(a["cut"]).alias("cut"), F.when(cut, left - overhead).otherwise(a["room"]).alias("room"), (a["over"] | ~fits).alias("over"))
+
+    costs = F.transform(section, lambda e, i: F.struct(cost(e).cast("long").alias("c"), i.alias("i")))
+    held = frame.withColumn("__costs", costs).withColumn("__fold", F.aggregate("__costs", start, step))
+    fold = F.col("__fold")
 
-    return F.aggregate(elements, start, step)
+    def kept(i: Column) -> Column:
+        e = F.get(section, i)
+        return F.when(i == fold["cut"], e.withField(name, text.truncate_text(e[name], fold["room"]))).otherwise(e)
+
+    return held.withColumns({section: F.transform(fold["kept"], kept), "truncated": F.col("truncated") | fold["over"]}).drop("__costs", "__fold")
 
 
 def context_pack(packs: DataFrame, budget: int | Column) -> DataFrame:
@@ -144,14 +198,15 @@ def context_pack(packs: DataFrame, budget: int | Column) -> DataFrame:
     long_doc = (json(F.col("symbol")) > cap["symbol"]) & (tokens(doc) > cap["symbol"] - 50)
     out = packs.withColumn("truncated", F.coalesce(long_doc, F.lit(False)))
     out = out.withColumn("symbol", F.when(F.col("truncated"), F.col("symbol").withField("doc_comment", text.truncate_text(doc, cap["symbol"] - 50))).otherwise(F.col("symbol")))
-    out = out.withColumn("__s", fold_caps(F.col("source"), _source, "code", cap["source"], 20, True)).withColumn("__i", fold_caps(F.col("issues"), _issue, "body", cap["issues"], 30, False))
-    edges = F.when(json_list_tokens(F.col("callgraph")) > cap["callgraph"], F.slice("callgraph", F.lit(1), json_prefix_within(F.col("callgraph"), F.lit(cap["callgraph"])))).otherwise(F.col("callgraph"))
-    out = out.withColumn("__e", edges).withColumn("truncated", F.col("truncated") | F.col("__s")["cut"] | F.col("__i")["cut"] | (F.size("__e") < F.size("callgraph")))
-    out = out.withColumns({"source": F.col("__s")["kept"], "issues": F.col("__i")["kept"], "callgraph": F.col("__e")}).drop("__s", "__i", "__e")
+    out = fold_caps(out, "source", _source, "code", cap["source"], 20, True)
+    out = fold_caps(out, "issues", _issue, "body", cap["issues"], 30, False)
+    lengths = out.withColumn("__costs", F.transform("callgraph", lambda e: _json(e).cast("long")))
+    lengths = lengths.withColumn("__keep", F.when(_json_tokens(F.col("__costs")) > cap["callgraph"], _fitting(F.col("__costs"), F.lit(4 * cap["callgraph"] - 1))).otherwise(F.size("callgraph")))
+    out = lengths.withColumns({"truncated": F.col("truncated") | (F.col("__keep") < F.size("callgraph")), "callgraph": F.slice("callgraph", F.lit(1), F.col("__keep"))}).drop("__costs", "__keep")
 
-    b = Budget(out, limit, {"symbol": json, "source": each(_source), "callgraph": json_list_tokens, "issues": each(_issue)}, {"source": _source, "issues": _issue}, ["callgraph"])
+    b = Budget(out, limit, {"source": _source, "issues": _issue}, {"symbol": json}, ["callgraph"])
     b.drop_last("source", 1)
-    b._step("source", lambda c, room: F.transform(c, lambda e: e.withField("code", text.truncate_text(e["code"], F.greatest(room, F.lit(0)).cast("int")))))
+    b.change("source", lambda c, room: F.transform(c, lambda e: e.withField("code", text.truncate_text(e["code"], F.greatest(room, F.lit(0)).cast("int")))))
     b.drop_last("issues")
     b.drop_last("callgraph")
 
@@ -159,9 +214,9 @@ def context_pack(packs: DataFrame, budget: int | Column) -> DataFrame:
         left = room - (tokens(F.to_json(c)) - tokens(c["doc_comment"]))
         return F.when(c["doc_comment"].isNull(), c).otherwise(c.withField("doc_comment", text.truncate_text(c["doc_comment"], F.greatest(left, F.lit(0)).cast("int"))))
 
-    b._step("symbol", shorter)
+    b.change("symbol", shorter)
     none = F.array().cast("array<string>")
-    b._step("symbol", lambda c, _: c.withField("exports", none).withField("imports", none).withField("parent_class", F.lit(None).cast("string")).withField("doc_comment", F.lit(None).cast("string")))
+    b.change("symbol", lambda c, _: c.withField("exports", none).withField("imports", none).withField("parent_class", F.lit(None).cast("string")).withField("doc_comment", F.lit(None).cast("string")))
     done = b.finish(())
     name = F.when(F.coalesce(F.col("symbol")["parent_class"], F.lit("")) != "", F.concat_ws(".", F.col("symbol")["parent_class"], F.col("symbol")["name"])).otherwise(F.col("symbol")["name"])
     return done.withColumn("symbol_resolved", name)
@@ -175,7 +230,7 @@ def diagnostic_pack(packs: DataFrame, budget: int | Column = 6000) -> DataFrame:
         "matched_patterns": pattern, "related_symbols": lambda e: tokens(e["name"]) + tokens(e["kind"]) + 10, "related_source": _source, "related_issues": _issue,
         "related_experiences": lambda e: tokens(e["title"]) + tokens(e["type"]) + 20, "render_stages": _stage, "investigation_steps": tokens, "fix_suggestions": tokens,
     }
-    b = Budget(packs, limit, {n: each(c) for n, c in element.items()} | {"callgraph": json_list_tokens}, element, ["callgraph"])
+    b = Budget(packs, limit, element, {}, ["callgraph"])
     b.drop_last("related_source")
 
     def bodies(c: Column, _: Column) -> Column:
@@ -185,7 +240,7 @@ def diagnostic_pack(packs: DataFrame, budget: int | Column = 6000) -> DataFrame:
 
         return F.transform(c, one)
 
-    b._step("related_issues", bodies)
+    b.change("related_issues", bodies)
     for section in ("related_issues", "related_experiences", "callgraph"):
         b.drop_last(section)
     b.cut_texts("render_stages", 50, "description")
@@ -207,11 +262,8 @@ def skill_pack(packs: DataFrame, budget: int | Column) -> DataFrame:
         "source": _source, "issues": _issue, "render_stages": _stage, "forum": _issue, "experience": lambda e: tokens(e["title"]) + tokens(e["summary"]) + 20,
         "investigation_steps": tokens, "diagnosis_fixes": tokens, "fix_suggestions": tokens,
     }
-    costs: dict[str, Cost] = {n: each(c) for n, c in element.items()} | {
-        "callgraph": json_list_tokens, "query": lambda c: tokens(c) + 20, "dispatch": lambda c: tokens(F.to_json(c)) + 10,
-        "symbol": lambda c: tokens(F.to_json(c)), "matched_patterns": lambda c: F.when(F.size(c) > 0, json_list_tokens(c)).otherwise(F.lit(0).cast("long")),
-    }
-    b = Budget(packs, limit, costs, element, ["callgraph"])
+    whole: dict[str, Cost] = {"query": lambda c: tokens(c) + 20, "dispatch": lambda c: tokens(F.to_json(c)) + 10, "symbol": lambda c: tokens(F.to_json(c))}
+    b = Budget(packs, limit, element, whole, ["callgraph", "matched_patterns"], ["matched_patterns"])
     b.clear("experience")
     b.clear("forum")
     b.drop_last("callgraph")
@@ -221,11 +273,7 @@ def skill_pack(packs: DataFrame, budget: int | Column) -> DataFrame:
     b.cut_texts("render_stages", 50, "description")
     b.drop_last("render_stages")
     b.clear("fix_suggestions")
-    over = b.total() > limit
-    b.frame = b.frame.withColumn("__over", over)
-    for section in ("matched_patterns", "investigation_steps", "diagnosis_fixes"):
-        b.frame = b.frame.withColumns({"truncated": F.col("truncated") | (F.col("__over") & (F.size(section) > 0)), section: F.when(F.col("__over"), F.slice(section, 1, 0)).otherwise(F.col(section))})
-    b.frame = b.frame.drop("__over")
+    b.clear_together(("matched_patterns", "investigation_steps", "diagnosis_fixes"))
     return b.finish(("source", "callgraph", "issues", "render_stages", "matched_patterns", "investigation_steps", "diagnosis_fixes", "forum", "experience", "fix_suggestions"))
 
 

@@ -16,7 +16,8 @@ Encoder = Callable[[list[str]], list[list[float]]]
 class KnowledgeEngine:
     """Answers from tables (see `schemas.TABLES`; missing ones count as empty) and knowledge files."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], patterns: DataFrame | None = None, stages: DataFrame | None = None, skills: DataFrame | None = None, encoder: Encoder | None = None) -> None:
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], patterns: DataFrame | None = None, stages: DataFrame | None = None, skills: DataFrame | None = None, encoder: Encoder | None = None, index_root: str | None = None) -> None:
+        """index_root: a folder that Spark can write to, for full-text indexes that are stored once and read by every query."""
         from .. import schemas
 
         self.spark = spark
@@ -26,12 +27,18 @@ class KnowledgeEngine:
         self.skills = skills if skills is not None else knowledge.skills(spark)
         self.encoder = encoder or (lambda texts: [vectors.hashed_embedding(t) for t in texts])
         self._indexes: dict[str, fts.Index] = {}
+        self._index_root = index_root
 
     # --- helpers ---
 
     def _index(self, name: str, key: str, *columns: str) -> fts.Index:
         if name not in self._indexes:
-            self._indexes[name] = fts.Index.build(self.tables[name], key, columns)
+            fresh = fts.Index.build(self.tables[name], key, columns)
+            if self._index_root is not None:
+                path = f"{self._index_root.rstrip('/')}/{name}"
+                fresh.write(path)
+                fresh = fts.Index.read(self.spark, path, dict(self.tables[name].dtypes)[key])
+            self._indexes[name] = fresh
         return self._indexes[name]
 
     def _search(self, name: str, key: str, columns: tuple[str, ...], query: str, limit: int, condition: Column | None = None) -> DataFrame:

@@ -321,7 +321,7 @@ def test_versions(spark):
     assert changes == {"createRay": ("modified", "doc"), "oldOne": ("removed", None), "newOne": ("added", None)}
     broken = diff.breaking_changes(diff.compare(old, new), "1", "2")
     assert [(r["symbol_name"], r["change_type"]) for r in broken.collect()] == [("oldOne", "removed")]
-    assert "Migration Steps" in diff.migration_guide(broken).first()["guide"]
+    assert "## oldOne is gone" in diff.migration_guide(broken).first()["guide"]
 
 
 def test_files(spark, tmp_path):
