@@ -51,6 +51,15 @@ def qualified_name(name: str | Column, parent: str | Column, file_path: str | Co
     return F.when(has_parent, F.concat_ws(".", _c(parent), _c(name))).when(module != "", F.concat_ws(".", module, _c(name))).otherwise(_c(name))
 
 
+def identity(name: str | Column, kind: str | Column, parent: str | Column, file_path: str | Column) -> Column:
+    """What names a symbol in every version: a struct of its plain kind and its full name."""
+    return F.struct(normal_kind(kind).alias("kind"), qualified_name(name, parent, file_path).alias("fqn"))
+
+
+def same_identity(a: Column, b: Column) -> Column:
+    return (a["kind"] == b["kind"]) & (a["fqn"] == b["fqn"])
+
+
 def stable_id(kind: str | Column, fqn: str | Column) -> Column:
     """An id of a symbol that stays the same from version to version."""
     return F.concat(F.lit("sym/"), F.sha1(F.concat_ws(":", normal_kind(kind), _c(fqn))))

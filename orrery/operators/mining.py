@@ -164,6 +164,25 @@ def candidates(drafts: DataFrame) -> DataFrame:
     )
 
 
+def of_intent(issues: DataFrame, intent: str) -> DataFrame:
+    return issues.where(F.col("intent") == intent)
+
+
+def review(found: DataFrame, problems: DataFrame, status: str = "pending", limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of candidates of a status, newest first, each with its problem's title, what it comes from, and how many there are."""
+    from .relational import page
+
+    chosen = found.where(F.col("status") == status)
+    total = chosen.agg(F.count(F.lit(1)).alias("total"))
+    rows = page(chosen, [F.desc("created_at"), "id"], limit, offset)
+    titles = problems.select(F.col("id").alias("canonical_id"), F.col("title").alias("__title"))
+    told = F.format_string("src=%d(i=%d/f=%d/e=%d)", "source_count", "issue_count", "forum_count", "experience_count")
+    return rows.join(titles, "canonical_id", "left").crossJoin(F.broadcast(total)).select(
+        "id", F.coalesce("draft_category", F.lit("?")).alias("category"), "dup_of", "failed_draft", "canonical_id", F.coalesce(F.nullif("__title", F.lit("")), F.lit("(untitled)")).alias("title"),
+        F.slice("draft_alias", 1, 6).alias("aliases"), F.size("draft_symptoms").alias("symptoms"), F.size("draft_symbols").alias("symbols"), told.alias("sources"), "total",
+    )
+
+
 def stats(found: DataFrame) -> DataFrame:
     """Candidates by status, those of no row counting 0, with the share approved."""
     from .relational import counts_over
@@ -178,7 +197,7 @@ def run(issues: DataFrame, points: DataFrame, patterns: DataFrame, backend: Back
     Gives clusters, problems and candidates. Empty inputs, or none of the intent, are errors.
     """
     rows = issues if since is None else issues.where(F.col("updated_at") >= since)
-    chosen = rows if intent == "unknown" else classify(rows).where(F.col("intent") == intent)
+    chosen = rows if intent == "unknown" else of_intent(classify(rows), intent)
     named = chosen.select(F.concat(F.lit("issue:"), F.col("id").cast("string")).alias("id"), "title", "body")
     kept = points.where(F.size("vector") > 0).select("id", "vector").join(named, "id")
     if points.isEmpty():
@@ -191,6 +210,9 @@ def run(issues: DataFrame, points: DataFrame, patterns: DataFrame, backend: Back
     listed = member.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", summary.alias("s")))).alias("m"))
     whole = listed.join(close, "cluster_id").select("cluster_id", "size", "score", F.transform("m", lambda x: x["id"]).alias("members"), F.transform("m", lambda x: x["s"]).alias("summaries"))
     problems = canonical_problems(whole)
+    many = problems.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if many:
+        raise ValueError(f"several clusters make one problem: {many[0]['id']}")
     asked = problems.withColumn("cluster_id", F.col("cluster_ids")[0]).join(whole.select("cluster_id", "summaries", "size"), "cluster_id").select(F.col("id").alias("canonical_id"), "cluster_id", "title", "confidence", "aliases", "summaries", F.col("size").alias("issue_count"))
     drafts = draft(asked, backend)
     probe = vectors.embed(drafts.select(F.col("canonical_id").alias("id"), F.concat_ws(" ", F.array_join("draft_alias", " "), F.array_join("draft_symptoms", " ")).alias("t")), "t", embed)

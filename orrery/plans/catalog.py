@@ -26,13 +26,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
+def _all() -> None:
+    """The other parts of the catalog register their queries when they are imported."""
+    from . import catalog_packs, catalog_sources, catalog_tools  # noqa: F401
+
+
 def _read(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     frame = spark.read.parquet(f"{sf}/{name}.parquet")
     return frame.select(*columns) if columns else frame
@@ -588,11 +595,6 @@ def confidence_grade(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.diagnose(_plain_questions(spark, sf), _patterns(spark)).select("query_id", F.round("confidence", 6).alias("confidence"), "grade")
 
 
-@query()
-def explanations(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.diagnose(_plain_questions(spark, sf), _patterns(spark)).drop("evidence_summary")
-
-
 # --- packing --------------------------------------------------------------------------------------------------------
 
 

@@ -47,7 +47,8 @@ class KnowledgeEngine:
     def _asked(self, question: str) -> DataFrame:
         return self.spark.range(1).select(F.lit("q").alias("query_id"), F.lit(question).alias("question"))
 
-    def _resolved(self, symbol: str) -> DataFrame:
+    def resolve(self, symbol: str) -> DataFrame:
+        """(query, symbol columns) of the symbol that a name means: `Class.member` exactly; else exactly; else the search's best of five."""
         wanted = self.spark.range(1).select(F.lit(symbol).alias("query"))
         best = self.search_symbol(symbol, 5).withColumn("__n", F.row_number().over(_by_score())).where("__n = 1").drop("__n", "score").withColumn("query", F.lit(symbol)) if "." not in symbol else None
         return relational.resolve_names(wanted, self.tables["symbols"], best)
@@ -91,7 +92,7 @@ class KnowledgeEngine:
     # --- graphs ---
 
     def trace_callgraph(self, symbol: str, direction: str = "down", depth: int = 2) -> DataFrame:
-        roots = self._resolved(symbol).select("id")
+        roots = self.resolve(symbol).select("id")
         return (graph.downstream if direction == "down" else graph.upstream)(self.tables["call_edges"], roots, depth)
 
     def get_experience_chain(self, node_id: str, depth: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +162,7 @@ class KnowledgeEngine:
 
     def build_context_pack(self, symbol: str, depth: int = 2, budget: int = 5000) -> DataFrame:
         """One row: a symbol, its source and that of up to three callees, its edges, and up to five issues about its class."""
-        found = self._resolved(symbol).limit(1).persist()
+        found = self.resolve(symbol).limit(1).persist()
         edges = graph.downstream(self.tables["call_edges"], found.select("id"), depth).persist()
         code = self.tables["source_code"].select("symbol_id", F.col("name").alias("n"), "code")
         main = found.select(F.lit(0).alias("k"), F.col("id").alias("symbol_id")).join(code, "symbol_id")
@@ -179,7 +180,7 @@ class KnowledgeEngine:
         chosen = self.dispatch_skill(question).first()
         config = self.skills.where(F.col("id") == chosen["skill"]).first()["retrieval"]
         entity = [r["value"] for r in self.entities(question).where("type = 'symbol'").orderBy("position").collect()]
-        symbol = self._resolved(entity[0]).limit(1) if entity else self.tables["symbols"].limit(0)
+        symbol = self.resolve(entity[0]).limit(1) if entity else self.tables["symbols"].limit(0)
         pack = self.spark.range(1).select(F.lit(question).alias("query"), F.struct(F.lit(chosen["skill"]).alias("skill"), F.lit(chosen["confidence"]).alias("confidence")).alias("dispatch"))
         one = _packed(symbol, "s", ["id", "name", "kind", "file_path", "doc_comment", "parent_class"])
         pack = pack.crossJoin(one).withColumn("symbol", F.get("s", F.lit(0))).drop("s")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
@@ -45,6 +47,22 @@ def check_skills(rows: list[dict]) -> list[str]:
     return errors + ([] if any(r.get("id") == "general" for r in rows) else ['A "general" fallback skill must be defined'])
 
 
+def errors(rows: DataFrame, required: Sequence[str] = (), references: str | None = None) -> DataFrame:
+    """(id, error, n) for knowledge tables of any size: empty and repeated ids, required lists that are empty, references to ids that
+    are not there."""
+    named = F.trim(F.coalesce("id", F.lit(""))) != ""
+    count = lambda frame, said, *more: frame.groupBy("id", *more).agg(F.count(F.lit(1)).alias("n")).select("id", said.alias("error"), "n")
+    out = count(rows.where(~named), F.lit("empty id"))
+    out = out.unionByName(count(rows.where(named), F.lit("duplicate id")).where("n > 1").withColumn("n", F.col("n") - 1))
+    for name in required:
+        out = out.unionByName(count(rows.where(F.size(F.coalesce(name, F.array().cast("array<string>"))) == 0), F.lit(f"{name} must not be empty")))
+    if references is not None:
+        refs = rows.select("id", F.explode(references).alias("__to"))
+        unknown = refs.join(rows.select(F.col("id").alias("__to")).distinct(), "__to", "left_anti")
+        out = out.unionByName(count(unknown, F.concat(F.lit("unknown reference "), "__to"), "__to"))
+    return out
+
+
 def _load(spark: SparkSession, path: str | Path, schema: T.StructType, check) -> DataFrame:  # noqa: ANN001
     rows = json.loads(Path(path).read_text("utf-8"))
     if not isinstance(rows, list):
