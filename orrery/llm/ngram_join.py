@@ -36,8 +36,6 @@ FAN_OUT = 8
 #: n-grams that one tree's sets hold together at most, unless two sets alone have more.
 TREE_NGRAMS = 2_000_000
 _PAIRS = 1 << 11
-#: A class of more rows than this, and than this share of all rows, is joined to them by a broadcast: at most so many classes.
-_OFTEN, _MOST_OFTEN = 64, 2000
 #: n-grams that are looked up at a time when pairs are verified.
 _VERIFIED = 1 << 20
 
@@ -357,8 +355,5 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     linked = named.join(least, "root").select("class", "root", "least", (F.col("links") + F.col("copies") - 1).alias("links"), "copies")
     copied = reps.where("copies > 1").join(roots, "class", "left_anti").select("class", F.col("class").alias("root"), F.col("rep").alias("least"), (F.col("copies") - 1).alias("links"), "copies")
     special = scratch.stored(linked.union(copied), "components")
-    # a class of very many rows would put them all into one task of a join, so these few classes go to the rows instead
-    often = max(_OFTEN, (reps.agg(F.sum("copies")).first()[0] or 0) // _MOST_OFTEN)
-    hot = F.broadcast(special.where(F.col("copies") > often))
-    told = rows.join(hot, "class").unionByName(rows.join(hot.select("class"), "class", "left_anti").join(special, "class", "left"))
+    told = scratch.join_hot(rows, special, "class", "copies")
     return told.select(key, "n_shingles", F.coalesce("least", key).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "text_hash", "root")

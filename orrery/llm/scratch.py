@@ -56,6 +56,22 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: A key of more rows than this, and than this share of all rows, is joined by a broadcast: at most so many keys.
+OFTEN, MOST_OFTEN = 64, 2000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: str, copies: str, how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each value of `on` once and in `copies` how many rows have it.
+
+    A value of very many rows would put them all into one task of a join. There can be only a few such values, so these go to the rows
+    instead; null finds nothing.
+    """
+    often = max(OFTEN, (table.agg(F.sum(copies)).first()[0] or 0) // MOST_OFTEN)
+    hot = F.broadcast(table.where(F.col(copies) > often))
+    others = rows.join(hot.select(on), on, "left_anti").join(table.where(F.col(copies) <= often), on, how)
+    return rows.join(hot, on).unionByName(others)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per Spark context."""
     context = spark.sparkContext

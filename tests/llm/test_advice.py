@@ -131,3 +131,30 @@ def test_repeated_rows_are_dealt_over_chunks(spark):
     parts, total = lookup.dealt(docs, "doc_id", "text", 3000)
     sizes = [r["count"] for r in parts.groupBy("__chunk").count().collect()]
     assert total == 60_000 and len(sizes) == 20 and max(sizes) < 300
+
+
+def test_op5_long_texts_in_segments_and_parity(spark):
+    from orrery.llm import spm
+
+    from .test_contracts import MODEL
+
+    rng = random.Random(13)
+    long = sentence(rng, 60_000)
+    texts = [long, "a" * 400_000, " " + long[:300_000] + "  é \n" + long[:9], *(sentence(rng, 40) for _ in range(200)), None, ""]
+    worker = spm._Worker(open(MODEL, "rb").read(), 1)
+    assert len(worker.segments(long)) > 3 and len(worker.segments("a" * 400_000)) == 1
+    assert " ".join(worker.segments(long)) == long and spm.verify(worker.model, [t for t in texts if t]) == []
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = spm.encode(docs, MODEL, key="doc_id", ids=False, verified=3).collect()
+    seen = [r["parity"] for r in found if r["parity"] is not None]
+    assert 40 < len(seen) < 100 and all(seen) and all(r["parity"] is None for r in found if texts[r["doc_id"]] is None)
+    assert spm.encode(docs, MODEL, key="doc_id", ids=False, verified=0).where("parity is not null").count() == 0
+
+
+def test_joins_of_hot_keys_keep_every_row(spark):
+    from orrery.llm import scratch
+
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 101 == 0, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.where("k is not null and k % 7 <> 2").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("left", "inner"):
+        assert sorted(map(str, scratch.join_hot(rows, table, "k", "n", how).collect())) == sorted(map(str, rows.join(table, "k", how).collect()))
