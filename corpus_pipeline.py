@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_join.joined(docs, size=NEAR_DUPLICATE_WORDS, similarity=NEAR_DUPLICATE_SIMILARITY)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     groups = scratch.stored(groups.where("root is not null").groupBy("root", row.alias("row")).agg(F.count(F.lit(1)).alias("n")), "groups")
-    least = groups.groupBy("root").agg(F.min("row").alias("least"))
-    told = groups.join(least, "root").select("row", (F.col("row") == F.col("least")).alias("first"), "n")
+    least = groups.groupBy("root").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("rows"))
+    told = scratch.join_hot(groups, scratch.stored(least, "least"), "root", "rows", "inner").select("row", (F.col("row") == F.col("least")).alias("first"), "n")
     told = scratch.stored(told.where("not first or n > 1"), "told")
     hashed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash")))
     of = lambda frame, how: hashed.join(frame.select(F.col("row").alias("__told")), F.col("__row").eqNullSafe(F.col("__told")), how)
