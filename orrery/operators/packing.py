@@ -10,7 +10,6 @@ Defined cases: null texts cost nothing; an empty list section costs what its emp
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,85 +53,90 @@ def _json_tokens(costs: Column) -> Column:
     return F.ceil((1 + F.greatest(_sum(costs), F.lit(1))) / 4).cast("long")
 
 
-@dataclass
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` mentions it and wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+Step = Callable[[Column], Column]
+
+
 class Budget:
     """A pack's sections with their costs, and steps that cut it.
 
     element: what an element of a list costs; whole: what other sections cost; as_json: lists that cost what their JSON does, of which
-    those in free_if_empty cost nothing while empty.
+    those in free_if_empty cost nothing while empty. A pack is one struct that goes from step to step: sections, their costs, the budget
+    and whether anything was cut. A step leaves a pack within its budget as it is.
     """
 
-    frame: DataFrame
-    budget: Column
-    element: dict[str, Cost]
-    whole: dict[str, Cost] = field(default_factory=dict)
-    as_json: Sequence[str] = ()
-    free_if_empty: Sequence[str] = ()
-
-    def __post_init__(self) -> None:
-        new = {} if "truncated" in self.frame.columns else {"truncated": F.lit(False)}
-        for n in (*self.element, *self.as_json):
-            new[self._at(n)] = self._each(n, F.col(n))
-        for n, cost in self.whole.items():
-            new[self._at(n)] = cost(F.col(n)).cast("long")
-        self.frame = self.frame.withColumns(new)
+    def __init__(self, frame: DataFrame, budget: Column, element: dict[str, Cost], whole: dict[str, Cost] | None = None, as_json: Sequence[str] = (), free_if_empty: Sequence[str] = ()) -> None:
+        self.frame, self.budget, self.element, self.whole, self.as_json, self.free_if_empty = frame, budget, element, whole or {}, as_json, free_if_empty
+        self.sections = (*element, *as_json, *self.whole)
+        self.fields = ("truncated", "budget", *self.sections, *map(self._at, self.sections))
+        self.steps: list[Step] = []
 
     @staticmethod
     def _at(section: str) -> str:
         return f"__cost_{section}"
 
-    def _each(self, section: str, elements: Column) -> Column:
+    def _costs(self, section: str, value: Column) -> Column:
+        if section in self.whole:
+            return self.whole[section](value).cast("long")
         cost = _json if section in self.as_json else self.element[section]
-        return F.transform(elements, lambda e: cost(e).cast("long"))
+        return F.transform(value, lambda e: cost(e).cast("long"))
 
-    def of(self, section: str) -> Column:
-        costs = F.col(self._at(section))
+    def of(self, pack: Column, section: str) -> Column:
+        costs = pack[self._at(section)]
         if section in self.whole:
             return costs
         if section not in self.as_json:
             return _sum(costs)
         return F.when(F.size(costs) == 0, F.lit(0).cast("long")).otherwise(_json_tokens(costs)) if section in self.free_if_empty else _json_tokens(costs)
 
-    def total(self, but: Sequence[str] = ()) -> Column:
-        return sum((self.of(n) for n in (*self.element, *self.as_json, *self.whole) if n not in but), F.lit(0).cast("long"))
+    def total(self, pack: Column, but: Sequence[str] = ()) -> Column:
+        return sum((self.of(pack, n) for n in self.sections if n not in but), F.lit(0).cast("long"))
+
+    def _with(self, pack: Column, **new: Column) -> Column:
+        return F.struct(*[new.get(f, pack[f]).alias(f) for f in self.fields])
+
+    def _when_over(self, then: Callable[[Column, Column], Column]) -> None:
+        """A step for packs over their budget; `then` gets the pack and its total."""
+        self.steps.append(lambda pack: let(self.total(pack), lambda total: F.when(total > pack["budget"], then(pack, total)).otherwise(pack)))
 
-    def _replace(self, section: str, new: Column, costs: Column) -> None:
-        """Put in the section's new value, with its costs, where the pack is over its budget."""
-        over = F.col("__total") > self.budget
-        held = self.frame.withColumn("__new", F.when(over, new).otherwise(F.col(section)))
-        changed = ~F.col("__new").eqNullSafe(F.col(section))
-        held = held.withColumns({"truncated": F.col("truncated") | changed, section: F.col("__new"), self._at(section): F.when(over, costs).otherwise(F.col(self._at(section)))})
-        self.frame = held.drop("__new", "__total", "__room", "__keep")
+    def _replace(self, section: str, new: Callable[[Column, Column], Column]) -> None:
+        """new: the section's new value and its costs, as a struct of v and c, from the pack and the room that the rest leaves."""
 
-    def _weighed(self, section: str) -> DataFrame:
-        out = self.frame.withColumn("__total", self.total())
-        return out.withColumn("__room", self.budget - (F.col("__total") - self.of(section)))
+        def then(pack: Column, total: Column) -> Column:
+            room = pack["budget"] - (total - self.of(pack, section))
+            return let(let(room, lambda r: new(pack, r)), lambda n: self._with(pack, **{section: n["v"], self._at(section): n["c"], "truncated": pack["truncated"] | ~n["v"].eqNullSafe(pack[section])}))
+
+        self._when_over(then)
 
     def drop_last(self, section: str, least: int = 0) -> None:
         """Keep the first elements that the rest leaves room for, `least` at least."""
-        costs = F.col(self._at(section))
-        room = 4 * F.col("__room") - 1 if section in self.as_json else F.col("__room")
-        self.frame = self._weighed(section).withColumn("__keep", prefix_within(costs, room, least))
-        self._replace(section, F.slice(section, F.lit(1), F.col("__keep")), F.slice(costs, F.lit(1), F.col("__keep")))
+
+        def new(pack: Column, room: Column) -> Column:
+            costs = pack[self._at(section)]
+            keep = prefix_within(costs, 4 * room - 1 if section in self.as_json else room, least)
+            return let(keep, lambda k: F.struct(F.slice(pack[section], F.lit(1), k).alias("v"), F.slice(costs, F.lit(1), k).alias("c")))
+
+        self._replace(section, new)
 
     def clear(self, section: str) -> None:
-        self.frame = self._weighed(section)
-        self._replace(section, F.slice(section, 1, 0), F.slice(self._at(section), 1, 0))
+        self._replace(section, lambda pack, _: F.struct(F.slice(pack[section], 1, 0).alias("v"), F.slice(pack[self._at(section)], 1, 0).alias("c")))
 
     def clear_together(self, sections: Sequence[str]) -> None:
         """Give up all of some sections at once."""
-        out = self.frame.withColumn("__over", self.total() > self.budget)
-        for n in sections:
-            empty = lambda c: F.when(F.col("__over"), F.slice(c, 1, 0)).otherwise(F.col(c))
-            out = out.withColumns({"truncated": F.col("truncated") | (F.col("__over") & (F.size(n) > 0)), n: empty(n), self._at(n): empty(self._at(n))})
-        self.frame = out.drop("__over")
+
+        def then(pack: Column, _: Column) -> Column:
+            held = sum((F.size(pack[n]) for n in sections), F.lit(0))
+            return self._with(pack, truncated=pack["truncated"] | (held > 0), **{f: F.slice(pack[f], 1, 0) for n in sections for f in (n, self._at(n))})
+
+        self._when_over(then)
 
     def change(self, section: str, new: Callable[[Column, Column], Column]) -> None:
         """Another value for the section, from it and from the room that the rest leaves."""
-        self.frame = self._weighed(section)
-        value = new(F.col(section), F.col("__room"))
-        cost = F.col("__new")
-        self._replace(section, value, self.whole[section](cost).cast("long") if section in self.whole else self._each(section, cost))
+        self._replace(section, lambda pack, room: let(new(pack[section], room), lambda v: F.struct(v.alias("v"), self._costs(section, v).alias("c"))))
 
     def cut_texts(self, section: str, most: int, name: str | None = None) -> None:
         def one(e: Column) -> Column:
@@ -143,11 +147,20 @@ class Budget:
         self.change(section, lambda c, _: F.transform(c, one))
 
     def finish(self, minimum: Sequence[str]) -> DataFrame:
-        """Adds total_tokens, token_budget, unavoidable_overflow and minimum_possible_tokens (what is left without `minimum`)."""
-        out = self.frame.withColumns({"total_tokens": self.total(), "token_budget": self.budget})
-        over = F.col("total_tokens") > F.col("token_budget")
-        out = out.withColumns({"unavoidable_overflow": over, "minimum_possible_tokens": F.when(over, self.total(minimum))})
-        return out.drop(*(self._at(n) for n in (*self.element, *self.as_json, *self.whole)))
+        """The cut packs with truncated, total_tokens, token_budget, unavoidable_overflow and minimum_possible_tokens (what is left
+        without `minimum`)."""
+        cut = F.col("truncated") if "truncated" in self.frame.columns else F.lit(False)
+        pack = F.struct(cut.alias("truncated"), self.budget.cast("long").alias("budget"), *[F.col(n) for n in self.sections], *[self._costs(n, F.col(n)).alias(self._at(n)) for n in self.sections])
+        out = self.frame.withColumn("__pack", pack)
+        for step in self.steps:
+            out = out.withColumn("__pack", let(F.col("__pack"), step))
+        done = let(F.col("__pack"), lambda p: F.struct(p.alias("p"), self.total(p).alias("t"), self.total(p, minimum).alias("m")))
+        rest = [c for c in self.frame.columns if c not in (*self.sections, "truncated")]
+        d = F.col("__done")
+        over = d["t"] > d["p"]["budget"]
+        return out.withColumn("__done", done).select(
+            *rest, *[d["p"][n].alias(n) for n in (*self.sections, "truncated")], d["t"].alias("total_tokens"), d["p"]["budget"].alias("token_budget"), over.alias("unavoidable_overflow"), F.when(over, d["m"]).alias("minimum_possible_tokens")
+        )
 
 
 def _issue(e: Column) -> Column:
@@ -179,14 +192,16 @@ def fold_caps(frame: DataFrame, section: str, cost: Cost, name: str, cap: int, o
         return F.struct(used.alias("used"), put.alias("kept"), F.when(cut, x["i"]).otherwise(a["cut"]).alias("cut"), F.when(cut, left - overhead).otherwise(a["room"]).alias("room"), (a["over"] | ~fits).alias("over"))
 
     costs = F.transform(section, lambda e, i: F.struct(cost(e).cast("long").alias("c"), i.alias("i")))
-    held = frame.withColumn("__costs", costs).withColumn("__fold", F.aggregate("__costs", start, step))
-    fold = F.col("__fold")
 
-    def kept(i: Column) -> Column:
-        e = F.get(section, i)
-        return F.when(i == fold["cut"], e.withField(name, text.truncate_text(e[name], fold["room"]))).otherwise(e)
+    def kept(fold: Column) -> Column:
+        def one(i: Column) -> Column:
+            e = F.get(section, i)
+            return F.when(i == fold["cut"], e.withField(name, text.truncate_text(e[name], fold["room"]))).otherwise(e)
+
+        return F.struct(F.transform(fold["kept"], one).alias("v"), fold["over"].alias("over"))
 
-    return held.withColumns({section: F.transform(fold["kept"], kept), "truncated": F.col("truncated") | fold["over"]}).drop("__costs", "__fold")
+    held = frame.withColumn("__kept", let(F.aggregate(costs, start, step), kept))
+    return held.withColumns({section: F.col("__kept")["v"], "truncated": F.col("truncated") | F.col("__kept")["over"]}).drop("__kept")
 
 
 def context_pack(packs: DataFrame, budget: int | Column) -> DataFrame:
@@ -200,9 +215,9 @@ def context_pack(packs: DataFrame, budget: int | Column) -> DataFrame:
     out = out.withColumn("symbol", F.when(F.col("truncated"), F.col("symbol").withField("doc_comment", text.truncate_text(doc, cap["symbol"] - 50))).otherwise(F.col("symbol")))
     out = fold_caps(out, "source", _source, "code", cap["source"], 20, True)
     out = fold_caps(out, "issues", _issue, "body", cap["issues"], 30, False)
-    lengths = out.withColumn("__costs", F.transform("callgraph", lambda e: _json(e).cast("long")))
-    lengths = lengths.withColumn("__keep", F.when(_json_tokens(F.col("__costs")) > cap["callgraph"], _fitting(F.col("__costs"), F.lit(4 * cap["callgraph"] - 1))).otherwise(F.size("callgraph")))
-    out = lengths.withColumns({"truncated": F.col("truncated") | (F.col("__keep") < F.size("callgraph")), "callgraph": F.slice("callgraph", F.lit(1), F.col("__keep"))}).drop("__costs", "__keep")
+    lengths = F.transform("callgraph", lambda e: _json(e).cast("long"))
+    keep = let(lengths, lambda c: F.when(_json_tokens(c) > cap["callgraph"], _fitting(c, F.lit(4 * cap["callgraph"] - 1))).otherwise(F.size(c)))
+    out = out.withColumn("__keep", keep).withColumns({"truncated": F.col("truncated") | (F.col("__keep") < F.size("callgraph")), "callgraph": F.slice("callgraph", F.lit(1), F.col("__keep"))}).drop("__keep")
 
     b = Budget(out, limit, {"source": _source, "issues": _issue}, {"symbol": json}, ["callgraph"])
     b.drop_last("source", 1)

@@ -613,23 +613,6 @@ def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return packing.within_budget(_read(spark, sf, "documents", "doc_id", "lang", "text"), "lang", ["doc_id"], text.token_estimate("text"), 20000).select("doc_id", "lang", "cost", "running")
 
 
-@query()
-def section_caps(spark: SparkSession, sf: str) -> DataFrame:
-    """A context pack for each document, its lines in turn as sources and issues and its words as edges, cut to 1,500 tokens."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
-    none = F.lit(None).cast("string")
-    symbol = F.struct(F.col("doc_id").cast("string").alias("id"), F.coalesce("source", F.lit("")).alias("name"), none.alias("doc_comment"), none.alias("parent_class"), F.array().cast("array<string>").alias("exports"), F.array().cast("array<string>").alias("imports"))
-    packs = _read(spark, sf, "documents", "doc_id", "source", "text").select(
-        F.col("doc_id").alias("pack_id"),
-        symbol.alias("symbol"),
-        F.transform(F.filter(lines, lambda x, i: i % 2 == 0), lambda x: F.struct(x.alias("code"))).alias("source"),
-        F.transform(F.filter(lines, lambda x, i: i % 2 == 1), lambda x: F.struct(F.lit("t").alias("title"), x.alias("body"))).alias("issues"),
-        F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: F.struct(x.alias("target_id"))).alias("callgraph"),
-    )
-    cut = packing.context_pack(packs, 1500)
-    return cut.select("pack_id", "total_tokens", "truncated", "unavoidable_overflow", F.size("source").alias("sources"), F.size("issues").alias("issues"), F.size("callgraph").alias("edges"))
-
-
 # --- versions -------------------------------------------------------------------------------------------------------
 
 _OLD = "SELECT 'sym/' || p_partkey AS symbol_id, p_name AS name, 'a/' || p_brand AS file_path, 1 AS start_line, 1 + p_size AS end_line, p_type AS doc_comment, sha1(p_name) AS source_hash FROM part WHERE p_partkey % 11 <> 0"
