@@ -142,7 +142,7 @@ def test_op5_long_texts_in_segments_and_parity(spark):
     long = sentence(rng, 60_000)
     texts = [long, "a" * 400_000, " " + long[:300_000] + "  é \n" + long[:9], *(sentence(rng, 40) for _ in range(200)), None, ""]
     worker = spm._Worker(open(MODEL, "rb").read(), 1)
-    assert len(worker.segments(long)) > 3 and len(worker.segments("a" * 400_000)) == 1
+    assert len(worker.segments(long)) > 2 and len(worker.segments("a" * 400_000)) == 1
     assert " ".join(worker.segments(long)) == long and spm.verify(worker.model, [t for t in texts if t]) == []
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     found = spm.encode(docs, MODEL, key="doc_id", ids=False, verified=3).collect()
