@@ -254,11 +254,12 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares non-decreasing fit by pooling adjacent violators: points between which to interpolate."""
-    order = np.argsort(score, kind="stable")
+    points, place = np.unique(score, return_inverse=True)
+    weight = np.bincount(place).astype(float)
     blocks: list[list[float]] = []
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+    for s, v, w in zip(points.tolist(), (np.bincount(place, y) / weight).tolist(), weight.tolist(), strict=True):
+        blocks.append([v, w, s, s])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b = blocks.pop()
             a = blocks[-1]
             a[0], a[1], a[3] = (a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], b[3]

@@ -158,3 +158,51 @@ def test_joins_of_hot_keys_keep_every_row(spark):
     table = rows.where("k is not null and k % 7 <> 2").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     for how in ("left", "inner"):
         assert sorted(map(str, scratch.join_hot(rows, table, "k", "n", how).collect())) == sorted(map(str, rows.join(table, "k", how).collect()))
+
+
+def test_op3_files_are_bounded_by_bytes_and_records_are_members(spark, tmp_path):
+    import glob
+    import gzip
+    import hashlib
+
+    from orrery.llm import warc
+
+    rng = np.random.default_rng(3)
+    big = "".join(map(chr, rng.integers(0x20, 0x2FF, 2 << 20))) * 14 + "end"
+    rows = [(i, "u", f"<p>{i}</p>" * 400) for i in range(300)] + [(1000, "big", big), (1001, "big", big), (1002, "u", None)]
+    assert len(big.encode()) > 50_000_000
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = f"file://{tmp_path}/w"
+    warc.write(pages, path, file_bytes=200_000)
+    files = glob.glob(f"{tmp_path}/w/*.txt")
+    raw = [gzip.decompress(open(f, "rb").read()) for f in files]
+    assert len(files) > 5 and sorted(map(len, raw))[-3] < 202_000
+    assert sum(len(list(warc.parse(r))) for r in raw) == 3 * len(rows)
+    nested = warc.assemble(warc.read(spark, path)).collect()
+    assert len(nested) == len(rows) and all(r["request"] and r["metadata"] for r in nested)
+    found = {(r["main"]["type"], r["main"]["payload_bytes"], r["main"]["payload_sha256"]) for r in nested if r["main"]["target_uri"] == "big"}
+    head = ("response", len(big.encode()), hashlib.sha256(big.encode()).hexdigest())
+    assert found == {head, ("revisit", 0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_op3_reads_others_archives(spark, tmp_path):
+    import gzip
+
+    from orrery.llm import warc
+
+    def record(kind, fields, block):
+        lines = "".join(f"{n}: {v}\r\n" for n, v in fields)
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    records = [
+        record("warcinfo", [], b"software: x\r\n"), record("response", [("WARC-Record-ID", "<a>"), ("WARC-Target-URI", "x")], b"A"), record("response", [("WARC-Record-ID", "<b>")], b"B" * 300_000),
+        record("request", [("WARC-Record-ID", "<r>"), ("WARC-Concurrent-To", "<a>"), ("warc-concurrent-to", "<b>")], b"GET"), record("metadata", [("WARC-Concurrent-To", "<nobody>")], b""), record("response", [], b"C"), record("response", [], b"D"),
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    for name in ("plain.warc", "members.warc.gz"):
+        found = warc.assemble(warc.read(spark, f"file://{tmp_path}/{name}")).collect()
+        told = sorted((bytes(r["main"]["payload"])[:1], bytes(r["request"]["payload"]) if r["request"] else None, r["metadata"] is None) for r in found)
+        assert told == [(b"A", b"GET", True), (b"B", b"GET", True), (b"C", None, True), (b"D", None, True)]
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(records[2][:-6]))
