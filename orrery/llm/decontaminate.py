@@ -17,6 +17,7 @@ judged each by itself; columns of the input stay as they are (new ones replace t
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -33,77 +34,106 @@ _HIT, _SEEN, _CUT = "__hit", "__seen", "__cut"
 
 
 class Automaton:
-    """All substrings of some sequences of words, by states; `link` is the state of the longest suffix in another state."""
+    """All substrings of some sequences of words, by states; `link` is the state of the longest suffix in another state.
+
+    Most states have one way on and belong to one item: these stand in arrays of four bytes a state, and only further ways and items in
+    dictionaries.
+    """
 
     def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int) -> None:
         self.vocabulary = np.unique(np.concatenate([h for _, h in items] or [np.zeros(0, np.uint64)]))
-        numbers = [np.searchsorted(self.vocabulary, h).tolist() for _, h in items]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        numbers = [np.searchsorted(self.vocabulary, h).astype(np.int32) for _, h in items]
+        self.word, self.to, self.link, self.length = array("i"), array("i"), array("i"), array("i")
+        self.ways: dict[int, dict[int, int]] = {}
+        self._add(0, -1)
         for sequence in numbers:
             last = 0
-            for word in sequence:
+            for word in sequence.tolist():
                 last = self._extend(last, word)
         self.window = window
         self.ids = [i for i, _ in items]
         whole: dict[int, list[tuple[int, int]]] = {}
-        self.items: dict[int, set[int]] = {}
+        self.item, self.others = array("i", [-1]) * len(self.link), {}
         shortest = window
         for k, sequence in enumerate(numbers):
             state = 0
-            for word in sequence:
-                state = self.next[state][word]
+            for word in sequence.tolist():
+                state = self.next(state, word)
                 if len(sequence) >= window and self.length[state] >= window:
-                    self.items.setdefault(self._holding(state, window), set()).add(k)
+                    self._belongs(self._holding(state, window), k)
             if 0 < len(sequence) < window:
                 shortest = min(shortest, len(sequence))
                 whole.setdefault(self._holding(state, len(sequence)), []).append((len(sequence), k))
         self.shortest = shortest
-        order = sorted(range(len(self.length)), key=self.length.__getitem__)
-        self.at_window = [0] * len(order)
+        order = np.argsort(np.array(self.length), kind="stable")
+        self.at_window = array("i", [0]) * len(self.link)
         self.whole: dict[int, list[tuple[int, int]]] = {}
-        for state in order[1:]:
+        for state in order[1:].tolist():
             up = self.link[state]
             self.at_window[state] = self.at_window[up] or (state if self.length[state] >= window else 0)
             if mine := whole.get(state, []) + self.whole.get(up, []):
                 self.whole[state] = mine
-        pairs = [np.array(s[:-1], np.int64) * len(self.vocabulary) + np.array(s[1:], np.int64) for s in numbers if len(s) > 1]
+        pairs = [s[:-1].astype(np.int64) * len(self.vocabulary) + s[1:] for s in numbers if len(s) > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         self.likely = np.zeros(1 << 16, bool)
         self.likely[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
+    def next(self, state: int, word: int) -> int:
+        """The state that a word leads to, -1 for none."""
+        if self.word[state] == word:
+            return self.to[state]
+        ways = self.ways.get(state)
+        return -1 if ways is None else ways.get(word, -1)
+
+    def _lead(self, state: int, word: int, target: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, target
+        else:
+            self.ways.setdefault(state, {})[word] = target
+
+    def _belongs(self, state: int, item: int) -> None:
+        if self.item[state] in (-1, item):
+            self.item[state] = item
+        else:
+            self.others.setdefault(state, set()).add(item)
+
     def _holding(self, state: int, length: int) -> int:
         """The state, on the way up from `state`, of the suffix of that length."""
         while self.length[self.link[state]] >= length:
             state = self.link[state]
         return state
 
-    def _add(self, length: int, link: int, following: dict[int, int]) -> int:
-        self.next.append(following)
+    def _add(self, length: int, link: int, like: int = -1) -> int:
+        """A new state, with the ways on of another."""
+        state = len(self.link)
+        self.word.append(self.word[like] if like >= 0 else -1)
+        self.to.append(self.to[like] if like >= 0 else -1)
+        if like in self.ways:
+            self.ways[state] = dict(self.ways[like])
         self.length.append(length)
         self.link.append(link)
-        return len(self.next) - 1
+        return state
 
     def _split(self, parent: int, word: int, child: int) -> int:
         """`child` is reached by longer sequences too: part those that end in `parent` and `word` from them."""
-        copy = self._add(self.length[parent] + 1, self.link[child], dict(self.next[child]))
+        copy = self._add(self.length[parent] + 1, self.link[child], child)
         self.link[child] = copy
-        while parent >= 0 and self.next[parent].get(word) == child:
-            self.next[parent][word] = copy
+        while parent >= 0 and self.next(parent, word) == child:
+            self._lead(parent, word, copy)
             parent = self.link[parent]
         return copy
 
     def _extend(self, last: int, word: int) -> int:
-        known = self.next[last].get(word)
-        if known is not None:
+        known = self.next(last, word)
+        if known >= 0:
             return known if self.length[known] == self.length[last] + 1 else self._split(last, word, known)
-        state = self._add(self.length[last] + 1, 0, {})
+        state = self._add(self.length[last] + 1, 0)
         at = last
-        while at >= 0 and word not in self.next[at]:
-            self.next[at][word] = state
+        while at >= 0 and self.next(at, word) < 0:
+            self._lead(at, word, state)
             at = self.link[at]
         if at >= 0:
-            child = self.next[at][word]
+            child = self.next(at, word)
             self.link[state] = child if self.length[child] == self.length[at] + 1 else self._split(at, word, child)
         return state
 
@@ -137,11 +167,11 @@ class Automaton:
         state = length = 0
         following, link, lengths = self.next, self.link, self.length
         for place, word in enumerate(words):
-            while state and word not in following[state]:
+            while (to := following(state, word)) < 0 and state:
                 state = link[state]
                 length = lengths[state]
-            if word in following[state]:
-                state, length = following[state][word], length + 1
+            if to >= 0:
+                state, length = to, length + 1
             yield place, state, length
 
     def scan(self, hashes: np.ndarray, first: np.ndarray, hit: np.ndarray, seen: list[set[str | None]]) -> None:
@@ -152,7 +182,9 @@ class Automaton:
             for place, state, length in self.matched(numbers[start:stop].tolist()):
                 if length >= self.window:
                     hit[start + place - self.window + 1 : start + place + 1] = True
-                    seen[text].update(self.ids[k] for k in self.items[self.at_window[state]])
+                    own = self.at_window[state]
+                    seen[text].add(self.ids[self.item[own]])
+                    seen[text].update(self.ids[k] for k in self.others.get(own, ()))
                 for size, k in self.whole.get(state, ()):
                     if size <= length:
                         hit[start + place - size + 1 : start + place + 1] = True
