@@ -6,6 +6,9 @@ unresolved boundary; only those counts reach the driver. A boundary is settled w
 tolerance of its target. After that the rows are exchanged once, to buckets of bounded size, and their slots follow from
 the counts already known.
 
+A group of equal texts stands together, but no shard can be near equal in size if a group of a third of all rows may not be
+split: where a boundary falls inside a group, the group goes on in the next shard, and nowhere else.
+
 Defined cases: a null text has no bytes; null ids sort together; rows equal in id and text have equal keys and are not
 told apart, so they stay in one bucket; columns of the input named like an output column are replaced; an empty table gives
 an empty result.
