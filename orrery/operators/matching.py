@@ -6,7 +6,7 @@ answers any number of them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +30,11 @@ def _padded(tokens: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
 
+def _named(kind: str) -> Callable[[Column], Column]:
+    """By what a pattern matched: its kind and itself."""
+    return lambda x: F.concat(F.lit(f"{kind}:"), x)
+
+
 def _lead_terms(patterns: DataFrame) -> DataFrame:
     """(id, term): for each way to match strongly, the tokens of which a question must have one: an alias's first, a keyword, any of a
     symptom's."""
@@ -86,7 +91,7 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     count = lambda c: F.size(f"__{c}").cast("double") * w[c]
     score = sum((count(c) for c in ("alias", "keyword", "symptom", "symbol", "category")), F.lit(0.0)) + F.when(v > 0, v * w["vector"]).otherwise(F.lit(0.0))
     strong = (F.size("__alias") + F.size("__keyword") + F.size("__symptom") > 0) | (v >= fixed.STRONG_VECTOR)
-    named = [F.transform(f"__{c}", lambda x, c=c: F.concat(F.lit(f"{c}:"), x)) for c in ("alias", "keyword", "symptom", "symbol", "category")]
+    named = [F.transform(f"__{c}", _named(c)) for c in ("alias", "keyword", "symptom", "symbol", "category")]
     vector = F.when(v >= fixed.STRONG_VECTOR, F.array(F.format_string("vector:%.3f", v))).otherwise(F.array().cast("array<string>"))
     out = pairs.withColumns({"score": score, "matched": F.concat(*named, vector)}).where((F.col("score") > 0) & strong)
     if limit is not None and limit > 0:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, folders, text
 from . import matching, vectors
 
 INTENTS = ("bug", "feature_request", "enhancement", "refactor")
@@ -204,17 +204,19 @@ def run(issues: DataFrame, points: DataFrame, patterns: DataFrame, backend: Back
         raise ValueError("no vectors found")
     if kept.isEmpty():
         raise ValueError(f"no issues matched the intent {intent!r}")
-    member = vectors.clusters(kept.select("id", "vector"), threshold, least, most).join(kept, "id")
+    # stored, so that neither the clustering nor the model's answers are ever made twice
+    folders.shared(issues.sparkSession)
+    member = vectors.clusters(kept.select("id", "vector"), threshold, least, most).join(kept, "id").checkpoint()
     close = vectors.cohesion(member).select("cluster_id", "size", "score")
     summary = F.concat("title", F.coalesce(F.concat(F.lit("\n  "), F.nullif(F.substring("body", 1, 200), F.lit(""))), F.lit("")))
     listed = member.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", summary.alias("s")))).alias("m"))
-    whole = listed.join(close, "cluster_id").select("cluster_id", "size", "score", F.transform("m", lambda x: x["id"]).alias("members"), F.transform("m", lambda x: x["s"]).alias("summaries"))
+    whole = listed.join(close, "cluster_id").select("cluster_id", "size", "score", F.transform("m", lambda x: x["id"]).alias("members"), F.transform("m", lambda x: x["s"]).alias("summaries")).checkpoint()
     problems = canonical_problems(whole)
     many = problems.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
     if many:
         raise ValueError(f"several clusters make one problem: {many[0]['id']}")
     asked = problems.withColumn("cluster_id", F.col("cluster_ids")[0]).join(whole.select("cluster_id", "summaries", "size"), "cluster_id").select(F.col("id").alias("canonical_id"), "cluster_id", "title", "confidence", "aliases", "summaries", F.col("size").alias("issue_count"))
-    drafts = draft(asked, backend)
+    drafts = draft(asked, backend).checkpoint()
     probe = vectors.embed(drafts.select(F.col("canonical_id").alias("id"), F.concat_ws(" ", F.array_join("draft_alias", " "), F.array_join("draft_symptoms", " ")).alias("t")), "t", embed)
     score = vectors.duplicates(probe.where("vector is not null"), patterns.select("id", "vector"), duplicate).select(F.col("id").alias("canonical_id"), F.col("score").alias("best_score"), "dup_of")
     full = drafts.join(score, "canonical_id", "left").withColumns({"forum_count": F.lit(0), "experience_count": F.lit(0)})
