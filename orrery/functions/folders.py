@@ -45,5 +45,4 @@ def _remove(spark: SparkSession, path: str) -> None:
 def few_splits(frame: DataFrame) -> DataFrame:
     """``frame`` dealt over all cores where its source has fewer splits than there are cores, as one small file has; else as it is."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    files = len(frame.inputFiles())
-    return frame.repartition(cores) if 0 < files < cores else frame
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

@@ -364,7 +364,7 @@ _TOKENS = f"list_filter(regexp_split_to_array({_ASKED}, '\\s+'), lambda t: t <>
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's whole text as a question, with ASCII letters lower-cased so that both sides lower alike."""
     low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return _read(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("query_id"), low.alias("question"))
+    return folders.few_splits(_read(spark, sf, "documents", "doc_id", "text")).select(F.col("doc_id").alias("query_id"), low.alias("question"))
 
 
 @query(f"SELECT doc_id AS query_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import folders
 from ..operators import packing
 from .catalog import _MATCH, _PATTERN_ROWS, _SCORED, _bm25, _patterns, _read, _values, query
 
@@ -114,7 +115,7 @@ def section_caps(spark: SparkSession, sf: str) -> DataFrame:
     """A context pack for each document, its lines in turn as sources and issues and its words as edges, cut to 1,500 tokens."""
     none = F.lit(None).cast("string")
     symbol = F.struct(F.col("doc_id").cast("string").alias("id"), F.coalesce("source", F.lit("")).alias("name"), none.alias("doc_comment"), none.alias("parent_class"), F.array().cast("array<string>").alias("exports"), F.array().cast("array<string>").alias("imports"))
-    packs = _read(spark, sf, "documents", "doc_id", "source", "text").select(
+    packs = folders.few_splits(_read(spark, sf, "documents", "doc_id", "source", "text")).select(
         F.col("doc_id").alias("pack_id"), symbol.alias("symbol"), _each(2, 0, lambda x: F.struct(x.alias("code"))).alias("source"), _each(2, 1, lambda x: F.struct(F.lit("t").alias("title"), x.alias("body"))).alias("issues"),
         F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: F.struct(x.alias("target_id"))).alias("callgraph"),
     )
@@ -147,7 +148,7 @@ SELECT doc_id AS pack_id, CAST({_DIAGNOSIS.total} AS BIGINT) AS total_tokens, cu
 CAST(len(callgraph) AS INTEGER) AS edges, CAST(len(render_stages) AS INTEGER) AS stages, CAST(len(fix_suggestions) + len(investigation_steps) AS INTEGER) AS advice FROM {_DIAGNOSIS.last}""")
 def diagnosis_budget(spark: SparkSession, sf: str) -> DataFrame:
     """A diagnosis pack for each document, from its lines, cut to budgets of 200 to 2,000 tokens."""
-    docs = _read(spark, sf, "documents", "doc_id", "text")
+    docs = folders.few_splits(_read(spark, sf, "documents", "doc_id", "text"))
     k = F.col("doc_id")
     empty = lambda kind: F.array().cast(f"array<struct<{kind}>>")
     seen = F.struct(F.lit("xxxx").alias("title"), F.lit("issue").alias("type"))
@@ -185,7 +186,7 @@ def skill_budget(spark: SparkSession, sf: str) -> DataFrame:
     """A skill pack for each document, from its lines, cut to budgets of 200 to 2,000 tokens."""
     k = F.col("doc_id")
     issue = lambda x: F.struct(F.lit("t").alias("title"), x.alias("body"))
-    packs = _read(spark, sf, "documents", "doc_id", "text").select(
+    packs = folders.few_splits(_read(spark, sf, "documents", "doc_id", "text")).select(
         k.alias("pack_id"), (200 + k % 7 * 300).alias("budget"), F.lit("abc").alias("query"), F.struct(F.lit("debug").alias("skill")).alias("dispatch"), F.lit(None).cast("struct<id:string>").alias("symbol"), F.array().cast("array<struct<id:string>>").alias("matched_patterns"),
         _each(2, 0, lambda x: F.struct(x.alias("code"))).alias("source"), _each(2, 1, issue).alias("issues"), F.transform(_lines(), lambda x: F.struct(F.substring(x, 1, 10).alias("target_id"))).alias("callgraph"), _each(9, 3, issue).alias("forum"),
         _each(8, 2, lambda x: F.struct(F.lit("t").alias("title"), x.alias("summary"))).alias("experience"), _each(5, 0, lambda x: F.struct(F.lit("n").alias("name"), x.alias("description"))).alias("render_stages"),

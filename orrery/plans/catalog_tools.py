@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, folders, text
 from ..operators import diff, evidence, extract, graph, matching, mining, relational, vectors
 from ..sources import knowledge
 from .catalog import _DIFF, _MATCH, _SCORED, _bm25, _patterns, _plain_questions, _points, _read, _snapshots, _values, query
@@ -488,7 +488,7 @@ def _scripts(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("import Q from './q.js';\n/**\n * Part "), n(k), F.lit(".\n * @see x\n */\nexport class P"), n(k), F.lit(" {\n  constructor(a) {\n    this.a = a;\n  }\n\n  /** Runs. */\n  run(x) {\n    const p = new P"), n(k + 1),
         F.lit("();\n    if (x) {\n      this.stop();\n    }\n    return P"), n(k + 1), F.lit(".make(p);\n  }\n  static make(y) { return y; }\n  stop() {\n  }\n  _hidden() {}\n}\nfunction local() {}\nexport function open"), n(k), F.lit("() {\n  return 1;\n}\n"),
     )
-    return _read(spark, sf, "part").select(F.concat(F.lit("Source/"), F.col("p_brand"), F.lit("/P"), n(k), F.lit(".js")).alias("path"), code.alias("content"))
+    return folders.few_splits(_read(spark, sf, "part")).select(F.concat(F.lit("Source/"), F.col("p_brand"), F.lit("/P"), n(k), F.lit(".js")).alias("path"), code.alias("content"))
 
 
 _SCRIPT_SYMBOLS = """
@@ -542,7 +542,7 @@ def _shaders(spark: SparkSession, sf: str) -> DataFrame:
     n = k.cast("string")
     folder = F.get(F.array(*map(F.lit, _SHADER_PARTS)), (k % 5).cast("int"))
     code = F.concat(F.lit("#define D"), n, F.lit(" 1\nuniform vec3 u"), n, F.lit(";\nin vec2 v"), n, F.lit("[2];\n// no\n/** Lights. */\nvec4 f"), n, F.lit("(vec3 n)\n{\n  if (n.x > 0.) { discard; }\n  return vec4(n, 1.);\n}\nstruct S"), n, F.lit(" {\n  float a;\n};\nconst float c"), n, F.lit(" = 2.;\n"))
-    return _read(spark, sf, "part").select(F.concat(folder, F.lit("x"), n, F.lit(".glsl")).alias("path"), code.alias("content"))
+    return folders.few_splits(_read(spark, sf, "part")).select(F.concat(folder, F.lit("x"), n, F.lit(".glsl")).alias("path"), code.alias("content"))
 
 
 @query(f"""
