@@ -288,3 +288,30 @@ def skill_pack_tool(spark: SparkSession, sf: str) -> DataFrame:
     engine = _knowledge(spark, sf)
     pack = engine.build_skill_pack(f"bug in The.x {_QUESTION}", 1_000_000)
     return _listed(pack, source="code", callgraph="target_id", issues="number", matched_patterns="id", render_stages="id")
+
+
+@query(f"""
+{_FOUND}, one AS (SELECT t AS id FROM ed WHERE f = 's5'), i AS ({_bm25("(SELECT n_nationkey AS id, 'Part' || (n_nationkey % 7) || ' und' AS title, 'the ' || n_name AS body, n_nationkey % 10 / 10 AS quality FROM nation)", "id", ["title", "body"], ["part3"], 10, "quality >= 0.5")})
+SELECT 'get_source' AS tool, 'code of s4' AS value UNION ALL SELECT 'trace_callgraph', f || '>' || t FROM ed WHERE f = 's5' OR f IN (SELECT id FROM one) UNION ALL SELECT 'trace_callgraph up', f || '>' || t FROM ed WHERE t = 's60'
+UNION ALL SELECT 'query_render_stage', unnest(['shadow', 'draw']) UNION ALL SELECT 'dispatch_skill', 'debug' UNION ALL SELECT 'search_symbol', 's5' UNION ALL SELECT 'search_forum', CAST(id AS VARCHAR) FROM i
+UNION ALL SELECT 'search_shader', 'shader/' || k FROM sy WHERE k % 4 = 2 AND name LIKE 'Part%' UNION ALL SELECT 'diagnose_root_cause', 'Known problem ' || id FROM m WHERE r = 1""")
+def tool_results(spark: SparkSession, sf: str) -> DataFrame:
+    """What other tools answer over the small knowledge base."""
+    from .engine import KnowledgeEngine
+
+    base = _knowledge(spark, sf)
+    k, n = F.col("p_partkey"), F.col("n_nationkey")
+    shaders = base.tables["symbols"].select(F.concat(F.lit("shader/"), F.substring("id", 2, 9)).alias("id"), F.upper("name").alias("name"), F.lit("uniform").alias("type"), F.lit("f").alias("file"), F.when(F.substring("id", 2, 9).cast("int") % 4 == 2, "globe").otherwise("pick").alias("related_render_stage"), F.array().cast("array<string>").alias("related_js_symbols"))
+    posts = _read(spark, sf, "nation").select(n.cast("long").alias("id"), F.concat(F.lit("Part"), (n % 7).cast("string"), F.lit(" und")).alias("title"), F.concat(F.lit("the "), "n_name").alias("body"), ((n % 10) / 10).alias("quality_score"))
+    engine = KnowledgeEngine(spark, base.tables | {"shader_symbol": shaders, "forum_posts": posts}, base.patterns, base.stages)
+    edge = F.concat_ws(">", "source_id", "target_id")
+    answers = {
+        "get_source": engine.get_source("s4").select("code"), "trace_callgraph": engine.trace_callgraph("Part5", "down", 2).select(edge), "trace_callgraph up": engine.trace_callgraph("Part60", "up", 1).select(edge),
+        "query_render_stage": engine.query_render_stage(problem="p1").select("id"), "dispatch_skill": engine.dispatch_skill("a bug, it will flicker").select("skill"), "search_symbol": engine.search_symbol("Part5").select("id"),
+        "search_forum": engine.search_forum("part3", 10, 0.5).select(F.col("id").cast("string")), "search_shader": engine.search_shader("part", "uniform", stage="globe").select("id"), "diagnose_root_cause": engine.diagnose_root_cause(_QUESTION).select("primary_cause"),
+    }
+    out = None
+    for tool, rows in answers.items():
+        named = rows.toDF("value").select(F.lit(tool).alias("tool"), "value")
+        out = named if out is None else out.unionByName(named)
+    return out
