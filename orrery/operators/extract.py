@@ -3,6 +3,9 @@
 Files are scanned one by one in Python, since the scans carry state from line to line; names are then resolved by joins. The script
 scanner reads tokens and braces, not types: it covers classes and their methods, functions, prototype methods, tagged aliases and
 enums, exports and imports, and the call forms `new X()`, `this.m()`, `X.m()` and `value.m()`.
+
+Defined cases: files without content have no symbols; source that does not close its braces, comments or strings is read to its end;
+of symbols with equal ids the last in the file stays; names that several classes have resolve to none; a file must fit one task.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""From clustered issues to reviewed patterns: classify, cluster, name, draft, score, review, promote."""
+"""From clustered issues to reviewed patterns: classify, cluster, name, draft, score, review, promote.
+
+Defined cases: issues without labels go by their words, without either they are unknown; vectors that are null or empty take no part; a
+model's failure is its row's own; an empty input, or one without issues of the intent, is an error; ids of issues must be unique.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Lookups, counts, upserts and ordered selections over the engine's tables."""
+"""Lookups, counts, upserts and ordered selections over the engine's tables.
+
+Defined cases: null keys are a group of their own in counts and match nothing in joins and upserts, so that old rows with null keys stay
+and new ones are added; of repeated new keys the last by the given order stays, which must be total to be the same in every run; an empty
+table gives no rows, but zero-filled counts and shares give theirs; nulls in a condition count as false.
+"""
 
 from __future__ import annotations
 

@@ -44,6 +44,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip())["name"] == "u_x"
 
 
+def test_versions_and_trees_on_the_command_line(spark, tmp_path, capsys):
+    source = tmp_path / "tree/Source"
+    source.mkdir(parents=True)
+    db, root = str(tmp_path / "db"), str(tmp_path / "tree")
+    (source / "Scene.js").write_text("export class Scene {\n  update() { this.render(); new Pass(); }\n  render() {}\n}\nexport class Pass {\n}\n")
+    command.main(["init", "--db", db])
+    command.main(["index", "--db", db, "--root", root])
+    command.main(["snapshot", "--db", db, "--root", root, "--version", "1"])
+    (source / "Scene.js").write_text("export class Scene {\n  update() {\n    this.draw();\n  }\n  draw() {}\n}\n")
+    command.main(["snapshot", "--db", db, "--root", root, "--version", "2"])
+    command.main(["tree", "--db", db, "--symbol", "Scene.update"])
+    assert set(capsys.readouterr().out.replace("└", "├").strip().split("\n")) == {"Scene.update", "├── Scene.render", "├── Pass [new]"}
+    command.main(["diff", "--db", db, "--from", "1", "--to", "2"])
+    said = capsys.readouterr().out
+    assert said.startswith("1 -> 2: 1 added, 2 removed, 2 modified, 0 unchanged") and "  + draw (method)" in said and "  - Pass (class)" in said
+    command.main(["diff", "--db", db, "--from", "1", "--to", "2", "--format", "json"])
+    assert json.loads(capsys.readouterr().out)["stats"]["removed"] == 2
+    command.main(["review", "--db", db])
+    assert capsys.readouterr().out.strip() == "no pending candidates here"
+
+
 def test_renderings(spark):
     engine = KnowledgeEngine(spark, {})
     said = engine.diagnose_root_cause("z fighting flicker").first().asDict()
