@@ -15,6 +15,15 @@ from . import scratch
 MOST_ROUNDS = 60
 
 
+#: Edges that one partition of a step holds, about.
+PART_EDGES = 100_000
+
+
+def _kept(frame: DataFrame, edges: int) -> DataFrame:
+    """Checkpointed, in no more partitions than that many edges fill: a step over few edges is few tasks and files."""
+    return frame.coalesce(max(1, -(-edges // PART_EDGES))).checkpoint()
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
     return row["n"], row["h"] or 0
@@ -29,12 +38,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if not mark[0]:
             break
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        least = _kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * mark[0])
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        low = _kept(large.groupBy("u").agg(F.min("v").alias("m")), 2 * mark[0])
         joined = large.join(low, "u")
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        then = small.distinct().checkpoint()
+        then = _kept(small.distinct(), 2 * mark[0])
         new = _mark(then)
         now, same = then, new == mark
         mark = new
