@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as registered queries: each over its whole table, with production parameters."""
+"""The thirteen operators and the pipeline as registered queries: each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, langid, ngram_join, scratch, sharding, spm, substring, topk, toxicity, warc
+from . import byte_bpe, decontaminate, divergence, katz, langid, ngram_join, scratch, sharding, spm, substring, topk, toxicity, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
+PARTS, ROUNDS = 4, 4
 #: A public SentencePiece model; see `spm.encode` for others.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public file of byte-level ranks; see `byte_bpe.encode` for others.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _remainder(divisor: int) -> Column:
@@ -75,6 +78,20 @@ def op10_language_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), chain).drop("text")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode(_read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, key="doc_id", ids=False)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), parts=PARTS, entries=256, rounds=ROUNDS, scale=1024)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents", "text", "lang", "source"), least_documents=30, ranks=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_katz_backoff, op2_suffix_automaton, op3_warc_captures, op4_difference_cover, op5_sentencepiece, op6_toxicity_trees, op7_signature_trees, op8_block_max_topk, op9_histogram_shards, op10_language_chain, pipeline)
+    every = (op1_katz_backoff, op2_suffix_automaton, op3_warc_captures, op4_difference_cover, op5_sentencepiece, op6_toxicity_trees, op7_signature_trees, op8_block_max_topk, op9_histogram_shards, op10_language_chain, op11_byte_bpe, op12_vector_codes, op13_source_divergence, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -154,5 +171,61 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+
+
+def _op12() -> str:
+    """Rounds of assignment and means, unrolled: `a` has each part's nearest entry, `c` the codebooks that come of it."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT r, p, min([d, e]) AS best FROM (
+  SELECT v.r, v.p, c.e, list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x) AS d FROM parts AS v JOIN c{r} AS c USING (p)) GROUP BY r, p)""")
+        if r < ROUNDS:
+            steps.append(f"""m{r} AS (SELECT p, e, list(m ORDER BY k) AS x FROM (
+  SELECT p, e, k, CAST((s - ((s % n) + n) % n) // n AS DOUBLE) AS m FROM (
+    SELECT a.p, CAST(best[2] AS BIGINT) AS e, k, CAST(sum(CAST(v.x[k] AS BIGINT)) AS BIGINT) AS s, count(*) AS n
+    FROM a{r} AS a JOIN parts AS v ON v.r = a.r AND v.p = a.p, unnest(range(1, len(v.x) + 1)) AS u(k) GROUP BY ALL)) GROUP BY p, e),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{r} AS c LEFT JOIN m{r} AS m ON m.p = c.p AND m.e = c.e)""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, w) AS r, vec_id, label, w FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+parts AS MATERIALIZED (SELECT r, p, list_slice(w, p * (len(w) // {PARTS}) + 1, (p + 1) * (len(w) // {PARTS})) AS x FROM kept, range({PARTS}) AS t(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM parts WHERE r <= 256),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(format('{{:02x}}', CAST(best[2] AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r),
+told AS (SELECT vec_id, label, code, error FROM kept JOIN coded USING (r)),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM told, digest
+"""
+
+
+_SHARE = "1 + (1000000000 * (CAST({} AS HUGEINT) + 5)) // ({} + 5 * {})"
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+g AS (SELECT lang, source, count(term) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT t.* FROM t JOIN k USING (lang, term)) USING (lang, source) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, {_SHARE.format("coalesce(c.c, 0)", "g.n", "v.v")} AS p, {_SHARE.format("k.n", "v.n", "v.v")} AS q
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.f, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_automaton": _OP2, "op3_warc_captures": _OP3, "op7_signature_trees": _OP7, "op8_block_max_topk": _OP8, "op4_difference_cover": _OP4}
+    return {
+        "op2_suffix_automaton": _OP2,
+        "op3_warc_captures": _OP3,
+        "op4_difference_cover": _OP4,
+        "op7_signature_trees": _OP7,
+        "op8_block_max_topk": _OP8,
+        "op12_vector_codes": _op12(),
+        "op13_source_divergence": _OP13,
+    }
