@@ -5,13 +5,16 @@ them), itself, and the languages in whose learned lexicon it stands. A word's em
 weights; learned transitions tie neighbours together. Forward-backward gives each word's posterior over languages, so that
 code-switched text gets a label per word; a document's language is that with the greatest mean posterior.
 
-Weights are fitted on a bounded sample of pieces of the labelled texts, the same number for each language, on sequences that join
-stretches of different lengths and languages. Every piece of every labelled text, however long, is as likely to be drawn.
+Words are runs of digits, letters and bytes beyond ASCII; a run of more than `WORD_BYTES` is cut into words of about that size, between
+characters, so that a language written without spaces has words and pieces like any other.
+
+Weights are fitted on a bounded sample of pieces of 24 words of the labelled texts, the same number for each language, on sequences that join
+stretches of different lengths and languages. Every piece of every labelled text of a language, however long, is as likely to be drawn.
 Long texts are run through in lanes of words whose transfer matrices are composed: exact, and in few steps.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled row every text is `und`;
-rows with a null language teach nothing; a language all of whose pieces exceed `PIECE_BYTES` is not learnt; pieces that repeat
-are drawn once, and repeated rows are predicted alike; columns named like an output column are replaced.
+rows with a null language teach nothing; every language with a word is learnt; pieces that repeat are drawn once, and repeated rows
+are predicted alike; columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch, tokens
 
-#: Bounds of the sample that the weights are fitted on: pieces of all languages together, and bytes of a piece (of 24 words).
-SAMPLE_PIECES, PIECE_BYTES = 48_000, 4 << 10
+#: The bound of the sample that the weights are fitted on, pieces of all languages together, and bytes after which a word is cut.
+SAMPLE_PIECES, WORD_BYTES = 48_000, 64
 DIMENSIONS = 1 << 17
 GRAMS = (2, 3, 4)
 LEXICON_WORDS = 300
@@ -42,6 +45,22 @@ _PIECE, _SEQUENCES, _BATCH, _EPOCHS = 24, 6144, 256, 3
 _LENGTH, _STRETCH = 48, 4
 
 
+def _split(data: np.ndarray, offsets: np.ndarray) -> tokens.Words:
+    """Words of the texts, those of more than `WORD_BYTES` cut between characters after about as many bytes."""
+    words = tokens.split(data, offsets, tokens.ALPHANUMERIC, True)
+    parts = -(-(words.end - words.start) // WORD_BYTES)
+    if not len(parts) or parts.max() == 1:
+        return words
+    step = tokens.within(parts)
+    start, inner = np.repeat(words.start, parts) + WORD_BYTES * step, step > 0
+    for _ in range(3):  # a character has at most three bytes after its first
+        start -= inner & ((words.data[start] & 0xC0) == 0x80)
+    end = np.append(start[1:], 0)
+    last = np.cumsum(parts) - 1
+    end[last] = words.end
+    return tokens.Words(words.data, words.offsets, start, end, np.searchsorted(start, words.offsets))
+
+
 def _features(words: tokens.Words, which: np.ndarray, hashes: np.ndarray, lexicons: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of the given words, one word's after another's, and where each word's begin."""
     start, length = words.start[which], words.end[which] - words.start[which]
@@ -157,7 +176,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Chain | None:
     """A chain from labelled texts; None without any word."""
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-    words = tokens.split(data, offsets, tokens.ALPHANUMERIC, True)
+    words = _split(data, offsets)
     languages = sorted(set(labels))
     number = len(languages)
     if not len(words.start):
@@ -224,9 +243,13 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Chain | None:
 
 
 def _pieces(docs: DataFrame, text: str, language: str, most: int) -> list[tuple[str, str]]:
-    """Pieces of labelled texts with their languages: those whose hash falls below a share that their language's bytes set."""
+    """Pieces of labelled texts with their languages: of each language those of least hashes, `most` in all at most.
+
+    Only pieces below a share of all hashes are shuffled. A language's bytes tell how many pieces it has at least, and so a share that some more
+    than its number of pieces fall below; words are mostly shorter, and then several times as many do.
+    """
     usable = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(language).alias("l"))
-    sizes = {r["l"]: r["b"] // (7 * _PIECE) + r["n"] // 2 + 1 for r in usable.groupBy("l").agg(F.sum(F.octet_length("t")).alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["l"]: r["b"] // (_PIECE * (WORD_BYTES + 3)) + 1 for r in usable.groupBy("l").agg(F.sum(F.octet_length("t")).alias("b")).collect()}
     if not sizes:
         return []
     each = max(1, most // len(sizes))
@@ -235,7 +258,7 @@ def _pieces(docs: DataFrame, text: str, language: str, most: int) -> list[tuple[
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tokens.slices(batches, "t", _SLICE):
-            words = tokens.split(data, offsets, tokens.ALPHANUMERIC, True)
+            words = _split(data, offsets)
             if not len(words.start):
                 continue
             counts = -(-words.counts // _PIECE)
@@ -244,19 +267,14 @@ def _pieces(docs: DataFrame, text: str, language: str, most: int) -> list[tuple[
             hashes = tokens.spans(words.hashes(), first, stop)
             labels = batch.column("l").to_pylist()
             below = np.repeat(np.array([bound[x] for x in labels]), counts)
-            a, b = words.start[first], words.end[stop - 1]
-            at = np.flatnonzero((hashes.astype(float) < below) & (b - a <= PIECE_BYTES))
+            at = np.flatnonzero(hashes.astype(float) < below)
             owner = np.repeat(np.arange(len(labels)), counts)[at]
-            texts = [words.data[i:j].tobytes().decode() for i, j in zip(a[at], b[at], strict=True)]
+            texts = [words.data[i:j].tobytes().decode() for i, j in zip(words.start[first][at], words.end[stop - 1][at], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([labels[k] for k in owner], pa.string()), pa.array(hashes[at].view(np.int64)), pa.array(texts, pa.string())], names=["l", "h", "t"])
 
-    drawn = usable.mapInArrow(run, "l string, h long, t string").dropDuplicates(["l", "h"]).orderBy("h", "l").limit(2 * most).collect()
-    out, held = [], dict.fromkeys(sizes, 0)
-    for r in drawn:
-        held[r["l"]] += 1
-        if held[r["l"]] <= each:
-            out.append((r["t"], r["l"]))
-    return out
+    drawn = usable.mapInArrow(run, "l string, h long, t string").dropDuplicates(["l", "h"])
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    return [(r["t"], r["l"]) for r in drawn.withColumn("n", place).where(F.col("n") <= each).orderBy("l", "h").select("t", "l").collect()]
 
 
 def train(docs: DataFrame, text: str = "text", language: str = "lang", pieces: int = SAMPLE_PIECES) -> Chain | None:
@@ -269,7 +287,7 @@ def predict(docs: DataFrame, chain: Chain | None, text: str = "text", spans: boo
     """``docs`` with lang_pred and score (the mean posterior of that language); with spans, runs of words by label too.
 
     With word_score, also that: the mean posterior of each word's own label, which is high for a text that is surely mixed.
-    A span has lang, first_word and n_words; words are runs of digits, letters and bytes beyond ASCII.
+    A span has lang, first_word and n_words.
     """
     spark = docs.sparkSession
     scratch.bound_batches(spark)
@@ -285,7 +303,7 @@ def predict(docs: DataFrame, chain: Chain | None, text: str = "text", spans: boo
         for batch, data, offsets in tokens.slices(batches, text, _SLICE):
             letter = np.array(batch.column("__letter").to_pylist(), bool)
             batch = batch.select(passed)
-            words = tokens.split(data, offsets, tokens.ALPHANUMERIC, True)
+            words = _split(data, offsets)
             if own is None:
                 letter[:] = False
             known = letter & (words.counts > 0)

@@ -124,7 +124,37 @@ def test_op10_fits_what_its_samples_show(spark):
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
     drawn = langid._pieces(docs, "text", "lang", 400)
     count = {k: sum(x == k for _, x in drawn) for k in ("aa", "bb", "cc", "dd")}
-    assert 80 <= count["aa"] <= 100 and 60 <= count["bb"] <= 100 and 60 <= count["cc"] <= 100 and count["dd"] == 0
+    assert 80 <= count["aa"] <= 100 and 60 <= count["bb"] <= 100 and 60 <= count["cc"] <= 100 and count["dd"] == 2
     assert len({t for t, k in drawn if k == "aa"}) == count["aa"] and all(len(t.split()) <= 24 for t, _ in drawn)
     chain = langid.train(docs, pieces=400)
     assert langid.predict(spark.createDataFrame([("kalu kalu7",)], "text string"), chain).first()["lang_pred"] == "aa"
+
+
+def test_op10_learns_languages_without_spaces(spark):
+    """A language whose texts are single runs of characters is learnt and told like any other."""
+    rng = random.Random(15)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    chinese = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    latin = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    german, english = ["der", "und", "nicht", "zwischen", "haben"], ["the", "and", "between", "having", "those"]
+    rows = [x for _ in range(60) for x in ((chinese(3000), "zh"), (latin(german, 300), "de"), (latin(english, 300), "en"))]
+    chain = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), pieces=3000)
+    assert chain.languages == ["de", "en", "zh"]
+    asked = [(chinese(500), "zh"), (chinese(5), "zh"), (latin(german, 40), "de"), (latin(english, 40), "en"), (chinese(200_000), "zh")]
+    found = langid.predict(spark.createDataFrame(asked, "text string, want string"), chain, spans=True).collect()
+    assert all(r["lang_pred"] == r["want"] and r["score"] > 0.7 for r in found)
+    words = langid._split(np.frombuffer("字".encode() * 100 + b" abc " + b"x" * 130, np.uint8), np.array([0, 300, 435]))
+    assert all(len(w) <= langid.WORD_BYTES + 3 and w.decode() for w in (words.data[a:b].tobytes() for a, b in zip(words.start, words.end)))
+    assert b"".join(words.data[a:b].tobytes() for a, b in zip(words.start, words.end)) == ("字" * 100 + "abc" + "x" * 130).encode()
+    assert words.first.tolist() == [0, 5, 9]
+
+
+def test_op10_every_language_gets_its_share(spark):
+    """Short words make many pieces of few bytes: they crowd no other language out."""
+    rng = random.Random(16)
+    short = [(" ".join(rng.choice("abcdefgh") + rng.choice("ijkl") for _ in range(4800)), "aa") for _ in range(40)]
+    long = [(" ".join("wort" * 6 + str(rng.randrange(10**6)) for _ in range(24)), "bb") for _ in range(150)]
+    docs = spark.createDataFrame(short + long, "text string, lang string").repartition(3)
+    drawn = langid._pieces(docs, "text", "lang", 400)
+    count = {k: sum(x == k for _, x in drawn) for k in ("aa", "bb")}
+    assert count == {"aa": 200, "bb": 150}
