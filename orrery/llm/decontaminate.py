@@ -6,7 +6,8 @@ one window of its own. Runs whose neighbouring pairs of words occur in no item c
 automaton is only entered where they do.
 
 Words are runs of digits, letters and bytes beyond ASCII, with A-Z lower-cased. Items are taken to the workers in automata of
-at most `AUTOMATON_BYTES` of item text each, one pass over the training texts for each: what is broadcast has a fixed bound
+at most `AUTOMATON_BYTES` of item text each (a longer single item has one of its own). A benchmark of several automata is one stored pass over
+the training texts for each: an automaton is built, broadcast, used and destroyed before the next is built, so that memory has a fixed bound
 whatever the size of the benchmark.
 
 Defined cases: null and empty texts have no words; an item without words never occurs; items with equal ids count once, and
@@ -212,41 +213,57 @@ def _automata(items: DataFrame, item_key: str, item_text: str, window: int, most
     yield build()
 
 
-#: Makes a batch's rows from its words, which of them are hit, the items seen, and the last pass's automaton.
-Finish = Callable[[pa.RecordBatch, tokens.Words, np.ndarray, list[set[str | None]], Automaton], pa.RecordBatch]
+#: Makes a batch's rows from its words, which of them are hit, the items seen, and the automaton if there is only one.
+Finish = Callable[[pa.RecordBatch, tokens.Words, np.ndarray, list[set[str | None]], Automaton | None], pa.RecordBatch]
 
 
-def _passes(docs: DataFrame, text: str, automata: list[Broadcast], finish: Finish, schema: T.StructType) -> DataFrame:
-    """One pass for each automaton; marks are handed on, and `finish` makes the last one's rows."""
-    spark = docs.sparkSession
-    scratch.bound_batches(spark)
-    carried = T.StructType([*docs.schema.fields, T.StructField(_HIT, T.BinaryType()), T.StructField(_SEEN, T.ArrayType(T.StringType()))])
+def _several(items: DataFrame, item_text: str, most: int) -> bool:
+    """Whether items may need more than one automaton."""
+    return (items.agg(F.sum(F.octet_length(item_text)).alias("b")).first()["b"] or 0) > most
+
+
+def _pass(docs: DataFrame, text: str, shared: Broadcast | None, finish: Finish | None, schema: T.StructType) -> DataFrame:
+    """Scans with an automaton, if there is one; marks of earlier scans are taken up. Without `finish` marks are handed on."""
 
-    def one(frame: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch, data, offsets in tokens.slices(batches, text):
-                words = tokens.split(data, offsets, tokens.ALPHANUMERIC, True)
-                hit = np.zeros(len(words.start), bool)
-                seen: list[set[str | None]] = [set() for _ in words.counts]
-                if _HIT in batch.schema.names:
-                    hit |= np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(batch.column(_HIT).to_pylist(), words.counts, strict=True)])
-                    for s, more in zip(seen, batch.column(_SEEN).to_pylist(), strict=True):
-                        s.update(more)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value if shared is not None else None
+        for batch, data, offsets in tokens.slices(batches, text):
+            words = tokens.split(data, offsets, tokens.ALPHANUMERIC, True)
+            hit = np.zeros(len(words.start), bool)
+            seen: list[set[str | None]] = [set() for _ in words.counts]
+            if _HIT in batch.schema.names:
+                hit |= np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(batch.column(_HIT).to_pylist(), words.counts, strict=True)])
+                for s, more in zip(seen, batch.column(_SEEN).to_pylist(), strict=True):
+                    s.update(more)
+            if own is not None:
                 own.scan(words.hashes(), words.first, hit, seen)
-                batch = batch.select([c for c in batch.schema.names if c not in (_HIT, _SEEN)])
-                if last:
-                    yield finish(batch, words, hit, seen, own)
-                else:
-                    marks = [np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                    columns = [*batch.columns, pa.array(marks, pa.binary()), pa.array([list(s) for s in seen], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, _HIT, _SEEN])
+            batch = batch.select([c for c in batch.schema.names if c not in (_HIT, _SEEN)])
+            if finish is not None:
+                yield finish(batch, words, hit, seen, own)
+            else:
+                marks = [np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+                columns = [*batch.columns, pa.array(marks, pa.binary()), pa.array([list(s) for s in seen], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, _HIT, _SEEN])
 
-        return frame.mapInArrow(run, schema if last else carried)
+    return docs.mapInArrow(run, schema)
 
-    for shared in automata[:-1]:
-        docs = one(docs, shared, False)
-    return one(docs, automata[-1], True)
+
+def _passes(docs: DataFrame, text: str, automata: Iterator[Automaton], several: bool, finish: Finish, schema: T.StructType) -> DataFrame:
+    """The rows that `finish` makes once all automata have scanned. One automaton is one pass; of several each pass is stored before the next."""
+    spark = docs.sparkSession
+    scratch.bound_batches(spark)
+    if not several:
+        return _pass(docs, text, spark.sparkContext.broadcast(next(automata)), finish, schema)
+    carried = T.StructType([*docs.schema.fields, T.StructField(_HIT, T.BinaryType()), T.StructField(_SEEN, T.ArrayType(T.StringType()))])
+    before = None
+    for automaton in automata:
+        shared = spark.sparkContext.broadcast(automaton)
+        docs, path = scratch.stored_at(_pass(docs, text, shared, None, carried), "marked")
+        shared.destroy()
+        if before is not None:
+            scratch.remove(spark, before)
+        before = path
+    return _pass(docs, text, None, finish, schema)
 
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -254,15 +271,15 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     docs = docs.select(key, text)
     schema = T.StructType([docs.schema[key], *T._parse_datatype_string("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean").fields])
 
-    def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]], own: Automaton) -> pa.RecordBatch:
+    def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]], own: Automaton | None) -> pa.RecordBatch:
         hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
         names = [sorted(s - {None}) for s in seen]
         digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
         columns = [batch.column(key), pa.array(words.counts), pa.array(hits), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(digests), pa.array(hits > 0)]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(items, item_key, item_text, window, automaton_bytes)]
-    return _passes(docs, text, automata, finish, schema)
+    automata = _automata(items, item_key, item_text, window, automaton_bytes)
+    return _passes(docs, text, automata, _several(items, item_text, automaton_bytes), finish, schema)
 
 
 def _cut(text: str, hit: np.ndarray) -> str:
@@ -284,13 +301,13 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     null texts, stay byte for byte. Where the words on both sides of a cut spell a window again, that goes too;
     where the benchmark needs several automata, the rows that were cut are stored and pass through all of them until none is cut.
     """
-    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(items, item_key, item_text, window, automaton_bytes)]
-    several = len(automata) > 1
+    several = _several(items, item_text, automaton_bytes)
+    automata = lambda: _automata(items, item_key, item_text, window, automaton_bytes)
 
     def marked(batch: pa.RecordBatch, cut: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut)], names=[*batch.schema.names, _CUT]) if several else batch
 
-    def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]], own: Automaton) -> pa.RecordBatch:
+    def finish(batch: pa.RecordBatch, words: tokens.Words, hit: np.ndarray, seen: list[set[str | None]], own: Automaton | None) -> pa.RecordBatch:
         place = batch.schema.get_field_index(text)
         hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
         if not hits.any():
@@ -314,11 +331,11 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
         return marked(pa.RecordBatch.from_arrays(columns, schema=batch.schema), hits > 0).filter(pa.array(keep))
 
     if not several:
-        return _passes(docs, text, automata, finish, docs.schema)
+        return _passes(docs, text, automata(), False, finish, docs.schema)
     schema = T.StructType([*docs.schema.fields, T.StructField(_CUT, T.BooleanType())])
     out, left = None, docs
     while out is None or not left.isEmpty():
-        passed = scratch.stored(_passes(left, text, automata, finish, schema), "decontaminated")
+        passed = scratch.stored(_passes(left, text, automata(), True, finish, schema), "decontaminated")
         done, left = passed.where(~F.col(_CUT)).drop(_CUT), passed.where(_CUT).drop(_CUT)
         out = done if out is None else out.unionByName(done)
     return out

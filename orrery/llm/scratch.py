@@ -46,6 +46,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def stored(frame: DataFrame, what: str) -> DataFrame:
     """Write ``frame`` as a scratch table and read it back: lineage is cut, later passes don't recompute it, and its shuffles go at once."""
+    return stored_at(frame, what)[0]
+
+
+def stored_at(frame: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The same, with the table's path for whoever removes it before the end."""
     spark, path = frame.sparkSession, new_path(frame.sparkSession, what)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -53,7 +58,7 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
         frame.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
 
 
 #: A key of more rows than this, and than this share of all rows, is joined by a broadcast: at most so many keys.
