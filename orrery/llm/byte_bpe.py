@@ -87,6 +87,10 @@ class Vocabulary:
             right.append(none if last is None or none == -2 else ranks[last[1]])
         return cls(order, [ranks[raw] for raw in order], left, right, pattern, _odd_characters())
 
+    @property
+    def digest(self) -> str:
+        return hashlib.sha256(repr((self.pattern, self.ids, self.pieces)).encode()).hexdigest()
+
     @cached_property
     def ranks(self) -> dict[bytes, int]:
         return dict(zip(self.pieces, self.ids, strict=True))
@@ -108,13 +112,6 @@ def _odd_characters() -> dict[int, str]:
     return {ord(c): _STAND_IN[theirs.get(c, "other")] for c in theirs.keys() | ours.keys() if theirs.get(c) != ours.get(c)}
 
 
-def _ranges(points: list[int]) -> str:
-    """Code points in order as the ranges of a character class."""
-    first = [p for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
-    last = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True))
-
-
 class Encoder:
     """Ids of texts and bytes of ids, for one task."""
 
@@ -136,15 +133,16 @@ class Encoder:
         for text, i in self.reached.items():
             self.trie.add_word(text, i)
         self.paths: dict[str, int] = {}
-        self.fits: dict[int, int] = {}
+        self.fits: list[dict[int, int]] = [{} for _ in range(most)]
+        self.pairs = 0
         self.findall, self.odd = regex.compile(vocabulary.pattern).findall, vocabulary.odd
-        self.has_odd = re.compile(f"[{_ranges(sorted(self.odd))}]").search if self.odd else None
+        self.odd_set = frozenset(map(chr, self.odd))
         self.known = _Known(self)
         lengths = np.array(self.size, np.int64)
         self.bytes, self.lengths, self.starts = np.frombuffer(b"".join(r or b"" for r in self.raw), np.uint8), lengths, np.cumsum(lengths) - lengths
 
     def split(self, text: str) -> list[str]:
-        if self.has_odd is None or text.isascii() or not self.has_odd(text):
+        if text.isascii() or self.odd_set.isdisjoint(set(text)):
             return self.findall(text)
         out, at = [], 0
         for piece in self.findall(text.translate(self.odd)):
@@ -160,12 +158,15 @@ class Encoder:
 
     def fitting(self, before: int, token: int) -> int:
         """The longest of a token and those it begins with that may stand after `before`, -1 if none may."""
-        if len(self.fits) >= _MOST_PAIRS:
-            self.fits.clear()
+        if self.pairs >= _MOST_PAIRS:
+            self.pairs = 0
+            for held in self.fits:
+                held.clear()
         found = token
         while found >= 0 and not self.may_stand(before, found):
             found = self.shorter(found)
-        self.fits[before << 32 | token] = found
+        self.fits[before][token] = found
+        self.pairs += 1
         return found
 
     def _border(self, a: int, b: int) -> bool:
@@ -204,13 +205,13 @@ class Encoder:
         whole = self.ranks.get(raw)
         if whole is not None or not raw:
             return array("i", [] if whole is None else [whole])
-        text, n, size, fits, most = raw.decode("latin-1"), len(raw), self.size, self.fits.get, self.most
+        text, n, size, fits, most = raw.decode("latin-1"), len(raw), self.size, self.fits, self.most
         path, paths = self.trie.longest_prefix, self.paths.get
         out, dead, at, before, token = array("i"), bytearray(n + 1), 0, -1, self.longest(text[: path(text[:most])])
         while True:
             while token >= 0:
                 if before >= 0:
-                    fit = fits(before << 32 | token)
+                    fit = fits[before].get(token)
                     token = self.fitting(before, token) if fit is None else fit
                     if token < 0:
                         break
@@ -278,6 +279,16 @@ class _Known(dict):
             self.clear()
 
 
+#: The encoder of this Python worker and the vocabulary it was made for: the next task of the same job finds its pieces known.
+_OWN: list[tuple[str, Encoder]] = []
+
+
+def _encoder(vocabulary: Vocabulary, name: str) -> Encoder:
+    if not _OWN or _OWN[0][0] != name:
+        _OWN[:] = [(name, Encoder(vocabulary))]
+    return _OWN[0][1]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str | None = None, ids: bool = True, decoded: bool = True) -> DataFrame:
     """``docs`` (or only its `key`) with the ids of `text`.
 
@@ -286,7 +297,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     """
     spark = docs.sparkSession
     scratch.bound_batches(spark)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary.load(ranks_path, pattern))
+    loaded = Vocabulary.load(ranks_path, pattern)
+    vocabulary, name = spark.sparkContext.broadcast(loaded), loaded.digest
     fields = [
         ("token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), ids),
         ("n_tokens", T.LongType(), pa.int64(), True),
@@ -299,7 +311,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     schema = T.StructType([*passed, *(T.StructField(n, t) for n, t, _, use in fields if use)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = _encoder(vocabulary.value, name)
         for batch, _, _ in tokens.slices(batches, text, _SLICE_BYTES):
             rows: list[list] = [[] for _ in fields]
             for value in batch.column(text):
