@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -163,9 +163,77 @@ class Index:
 
 
 def search(index: Index, docs: DataFrame, key: str, query: str, limit: int = 20, condition: Column | None = None) -> DataFrame:
-    """The best `limit` rows of ``docs`` that meet the condition, with their score; ties by key."""
-    rows = docs if condition is None else docs.where(condition)
-    return index.scores(query).withColumnRenamed("doc_id", key).join(rows, key).orderBy("score", key).limit(limit)
+    """The best `limit` rows of ``docs`` that meet the condition, with their score; ties by key.
+
+    Only keys and scores are ranked, and of the rows only the best are looked up; a condition is met by keys before that.
+    """
+    scored = index.scores(query).withColumnRenamed("doc_id", key)
+    if condition is not None:
+        scored = scored.join(docs.where(condition).select(key), key, "left_semi")
+    best = scored.orderBy("score", key).limit(limit)
+    return best.join(docs, key).orderBy("score", key)
+
+
+def phrases(question: str | Column) -> Column:
+    """A question's words, each as the terms it is indexed by; the same as `query_phrases`."""
+    question = F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit(""))
+    words = F.regexp_extract_all(question, F.lit(r"[0-9a-zA-Z_]+"), 0)
+    return F.filter(F.transform(words, lambda w: F.filter(F.split(F.lower(w), "_"), lambda t: t != "")), lambda p: F.size(p) > 0)
+
+
+def asked(questions: DataFrame, key: str, text: str) -> DataFrame:
+    """(q, phrase, unit, terms) of each word of each question; a unit is a word's terms joined by underscores."""
+    words = questions.select(F.col(key).alias("q"), F.posexplode(phrases(text)).alias("phrase", "terms"))
+    return words.withColumn("unit", F.array_join("terms", "_"))
+
+
+def weight(held: Column, documents: Column) -> Column:
+    """Inverse frequency of what `held` of so many documents have."""
+    raw = F.log((documents - held + 0.5) / (held + 0.5))
+    return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
+
+
+def part(idf: Column, tf: Column, dl: Column, mean: Column) -> Column:
+    """What one word adds to a document's score."""
+    times = tf.cast("double")
+    return idf * times * (K1 + 1) / (times + K1 * (1 - B + B * dl / mean))
+
+
+def whole(parts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(q, doc_id, score) of the documents that hold all words of a question.
+
+    parts: q, doc_id and parts (a list of phrase and part) for each unit that a document holds; needed: q and its units. Parts are summed in the
+    words' order, so that equal documents have equal scores.
+    """
+    held = parts.groupBy("q", "doc_id").agg(F.count(F.lit(1)).alias("held"), F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts")).join(needed, "q").where("held = units")
+    return held.select("q", "doc_id", (-F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))
+
+
+def search_many(index: Index, questions: DataFrame, limit: int = 10, key: str = "query_id", text: str = "question", name: str = "id") -> DataFrame:
+    """(`key`, rank from 1, `name`, score): each question's best documents in a fresh index, all questions in one plan.
+
+    Ids of questions must be unique. The lists of terms are gone through once for the words of all questions; `ranked.Index` is for tables that
+    are too large for that.
+    """
+    lists = index.lists
+    columns = [c for c in lists.columns if c != "doc_id"]
+    sized = lists.withColumn("dl", sum((F.size(c) for c in columns), F.lit(0)).cast("long"))
+    figures = sized.agg(F.count(F.lit(1)).cast("double").alias("documents"), F.avg("dl").alias("mean"))
+    words = asked(questions, key, text)
+    needed = words.groupBy("q").agg(F.countDistinct("unit").alias("units"))
+    units = words.select("unit", "terms").distinct()
+    spread = sized.select("doc_id", "dl", F.explode(F.concat(*columns)).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    single = spread.join(units.where(F.size("terms") == 1).select("unit"), F.col("term") == F.col("unit")).select("unit", "doc_id", "tf", "dl")
+    begun = spread.select("doc_id", "term").join(units.where(F.size("terms") > 1), F.col("term") == F.get("terms", F.lit(0))).select("unit", "terms", "doc_id").join(sized, "doc_id")
+    times = lambda c: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(c) - F.size("terms") + 1, F.lit(1))), lambda i: F.slice(c, i, F.size("terms")) == F.col("terms")))
+    several = begun.select("unit", "doc_id", sum((times(c) for c in columns), F.lit(0)).cast("long").alias("tf"), "dl").where("tf > 0")
+    found = single.unionByName(several)
+    idf = found.groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(figures)).select("unit", "mean", weight(F.col("df"), F.col("documents")).alias("idf"))
+    units_of = words.groupBy("q", "unit").agg(F.collect_list("phrase").alias("phrases")).join(idf, "unit")
+    parts = found.join(units_of, "unit").select("q", "doc_id", F.transform("phrases", lambda p: F.struct(p.alias("phrase"), part(F.col("idf"), F.col("tf"), F.col("dl"), F.col("mean")).alias("part"))).alias("parts"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "doc_id"))
+    best = whole(parts, needed).withColumn("rank", rank).where(F.col("rank") <= limit)
+    return best.select(F.col("q").alias(key), "rank", F.col("doc_id").alias(name), "score")
 
 
 def snippet(text: str | Column, query: str, most: int = 20, before: str = ">>>", after: str = "<<<", gap: str = "...") -> Column:

@@ -61,13 +61,6 @@ class State:
         return sum(s["length"] for s in self.segments.values()) / max(1, self.documents)
 
 
-def phrases(question: str | Column) -> Column:
-    """A question's words, each as the terms it is indexed by; the same as `fts.query_phrases`."""
-    question = F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit(""))
-    words = F.regexp_extract_all(F.lower(question), F.lit(r"[0-9a-zA-Z_]+"), 0)
-    return F.filter(F.transform(words, lambda w: F.filter(F.split(w, "_"), lambda t: t != "")), lambda p: F.size(p) > 0)
-
-
 def peaks(documents: str) -> Column:
     """The pairs of (tf, dl) in a list of documents that no other beats by more occurrences in fewer terms."""
     pairs = F.array_sort(F.array_distinct(F.transform(documents, lambda d: F.struct(d["dl"].alias("dl"), (-d["tf"]).alias("less")))))
@@ -226,11 +219,6 @@ class Index:
 
     # --- searching ---
 
-    def _asked(self, questions: DataFrame, key: str, text: str) -> DataFrame:
-        """(q, phrase, unit, terms) of each word of each question; a unit is a word's terms joined by underscores."""
-        words = questions.select(F.col(key).alias("q"), F.posexplode(phrases(text)).alias("phrase", "terms"))
-        return words.withColumn("unit", F.array_join("terms", "_"))
-
     def _scanned(self, table: str, state: State, terms: DataFrame) -> DataFrame | None:
         """Rows of a table whose term is among `terms` (each once), with the few terms of a small search in the scan's filter."""
         names = list(state.segments) + (state.deletions if table == "heads" else [])
@@ -272,7 +260,7 @@ class Index:
         With `report` instead a row for each question: the blocks that hold all its words, and how many of them were scored first and later.
         """
         state = self.state()
-        asked = _stored(self._asked(questions, key, text), "asked")
+        asked = _stored(fts.asked(questions, key, text), "asked")
         needed = asked.groupBy("q").agg(F.countDistinct("unit").alias("units"))
         heads = self._scanned("heads", state, asked.where(F.size("terms") == 1).select(F.col("unit").alias("term")).distinct())
         own_key = self.spark.read.parquet(f"{self.root}/docs/segment={next(iter(state.segments))}").schema["doc_id"].dataType if state.segments else None
@@ -289,13 +277,11 @@ class Index:
         heads = _stored(heads, "heads")
 
         documents, mean = float(state.documents), state.mean_length
-        raw = F.log((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = heads.groupBy("unit").agg(F.sum("n").cast("double").alias("df")).select("unit", F.when(raw > 0, raw).otherwise(F.lit(fts.LEAST_IDF)).alias("idf"))
+        idf = heads.groupBy("unit").agg(F.sum("n").cast("double").alias("df")).select("unit", fts.weight(F.col("df"), F.lit(documents)).alias("idf"))
         weighed = _stored(asked.join(idf, "unit").select("q", "phrase", "unit", "idf"), "weighed")
 
         def part(idf: Column, tf: Column, dl: Column) -> Column:
-            times = tf.cast("double")
-            return idf * times * (fts.K1 + 1) / (times + fts.K1 * (1 - fts.B + fts.B * dl / F.lit(mean)))
+            return fts.part(idf, tf, dl, F.lit(mean))
 
         most = F.array_max(F.transform("peaks", lambda p: part(F.col("idf"), p["tf"], p["dl"])))
         bounds = weighed.join(heads, "unit").select("q", "block", "unit", "n", most.alias("most"))
@@ -320,9 +306,7 @@ class Index:
             if chosen is not None:
                 spread = spread.join(chosen, "doc_id", "left_semi")
             parts = spread.select("q", "doc_id", F.transform("phrases", lambda p: F.struct(p.alias("phrase"), part(F.col("idf"), F.col("tf"), F.col("dl")).alias("part"))).alias("parts"))
-            whole = parts.groupBy("q", "doc_id").agg(F.count(F.lit(1)).alias("held"), F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts")).join(needed, "q").where("held = units")
-            # summed in the words' order, so that equal documents have equal scores
-            return whole.select("q", "doc_id", (-F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"])).alias("score"))
+            return fts.whole(parts, needed)
 
         def best(rows: DataFrame) -> DataFrame:
             return rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "doc_id"))).where(F.col("rank") <= limit)

@@ -203,23 +203,24 @@ def skill_budget(spark: SparkSession, sf: str) -> DataFrame:
 _QUESTION = "tion the thand: Der die und ing ther"
 _STAGE_IDS = ["shadow", "draw", "cull", "input"]
 _CODE = "'code of ' || id"
-_KB_SYMBOLS = "sy AS (SELECT 's' || p_partkey AS id, p_partkey AS k, CASE p_partkey % 9 WHEN 1 THEN 'The' WHEN 2 THEN 'Der' WHEN 3 THEN 'And' ELSE 'Part' || p_partkey END AS name FROM part WHERE p_partkey <= 60)"
-_KB_EDGES = "ed AS (SELECT 's' || k AS f, 's' || (k * m) AS t, m FROM (SELECT k, unnest([2, 3]) AS m FROM sy) WHERE k > 0 AND k * m <= 60)"
+_KB_SYMBOLS = "sy AS (SELECT 's' || p_partkey AS id, p_partkey AS k, CASE p_partkey % 331 WHEN 1 THEN 'The' WHEN 2 THEN 'Der' WHEN 3 THEN 'And' ELSE 'Part' || p_partkey END AS name FROM part)"
+_KB_EDGES = "ed AS (SELECT 's' || k AS f, 's' || (k * m) AS t, m FROM (SELECT k, unnest([2, 3]) AS m FROM sy) WHERE k > 0 AND k * m <= (SELECT max(k) FROM sy))"
 _KB_ISSUES = "(SELECT n_nationkey AS id, 'Part' || (n_nationkey % 7) || ' und' AS title, 'the ' || n_name AS body FROM nation)"
 
 
 def _knowledge(spark: SparkSession, sf: str):  # noqa: ANN202
-    """An engine over a small knowledge base of parts and nations."""
+    """An engine over a knowledge base of all parts and nations."""
     from .engine import KnowledgeEngine
 
     k, n = F.col("p_partkey"), F.col("n_nationkey")
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
-    name = F.when(k % 9 == 1, "The").when(k % 9 == 2, "Der").when(k % 9 == 3, "And").otherwise(F.concat(F.lit("Part"), k.cast("string")))
-    part = _read(spark, sf, "part", "p_partkey").where(k <= 60)
+    name = F.when(k % 331 == 1, "The").when(k % 331 == 2, "Der").when(k % 331 == 3, "And").otherwise(F.concat(F.lit("Part"), k.cast("string")))
+    part = _read(spark, sf, "part", "p_partkey")
     sid = lambda c: F.concat(F.lit("s"), c.cast("string"))
     symbols = part.select(sid(k).alias("id"), name.alias("name"), F.lit("function").alias("kind"), F.lit("f.js").alias("file_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), none.alias("doc_comment"), empty.alias("exports"), empty.alias("imports"), none.alias("parent_class"))
     source = symbols.where("id <> 's15'").select(F.col("id").alias("symbol_id"), "name", F.concat(F.lit("code of "), "id").alias("code"))
-    edges = part.where(k > 0).select(k, F.explode(F.array(F.lit(2), F.lit(3))).alias("m")).where(k * F.col("m") <= 60)
+    last = part.agg(F.max(k).alias("last"))
+    edges = part.where(k > 0).select(k, F.explode(F.array(F.lit(2), F.lit(3))).alias("m")).crossJoin(F.broadcast(last)).where(k * F.col("m") <= F.col("last"))
     edges = edges.select(sid(k).alias("source_id"), sid(k * F.col("m")).alias("target_id"), F.lit("x").alias("source_name"), F.lit("y").alias("target_name"), F.lit("call").alias("edge_type"), F.lit(1.0).alias("weight"))
     issues = _read(spark, sf, "nation").select(n.cast("long").alias("id"), n.cast("long").alias("number"), F.concat(F.lit("Part"), (n % 7).cast("string"), F.lit(" und")).alias("title"), F.concat(F.lit("the "), "n_name").alias("body"), F.lit("open").alias("state"))
     lists = lambda c: F.create_map(*[x for i, r in enumerate(_PATTERN_ROWS) for x in (F.lit(r[0]), F.array(*map(F.lit, c(i))))])[F.col("id")]
@@ -243,8 +244,8 @@ def _listed(pack: DataFrame, **sections: str) -> DataFrame:
 
 @query(f"""
 WITH {_KB_SYMBOLS}, {_KB_EDGES}, one AS (SELECT t AS id, 1 AS d FROM ed WHERE f = 's5'), two AS (SELECT DISTINCT ed.t AS id, 2 AS d FROM ed JOIN one ON ed.f = one.id WHERE ed.t NOT IN (SELECT id FROM one)),
-c AS (SELECT id, d FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY d, id LIMIT 3), i AS ({_bm25(_KB_ISSUES, "id", ["title", "body"], ["part5"], 5)})
-SELECT 'source' AS section, CAST(row_number() OVER (ORDER BY d, id) - 1 AS INTEGER) AS place, {_CODE} AS value FROM (SELECT 's5' AS id, 0 AS d UNION ALL SELECT id, d FROM c WHERE id <> 's15')
+c AS (SELECT id, d FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE id <> 's15' ORDER BY d, id LIMIT 3), i AS ({_bm25(_KB_ISSUES, "id", ["title", "body"], ["part5"], 5)})
+SELECT 'source' AS section, CAST(row_number() OVER (ORDER BY d, id) - 1 AS INTEGER) AS place, {_CODE} AS value FROM (SELECT 's5' AS id, 0 AS d UNION ALL SELECT id, d FROM c)
 UNION ALL SELECT 'issues', CAST(row_number() OVER (ORDER BY score, id) - 1 AS INTEGER), CAST(id AS VARCHAR) FROM i
 UNION ALL SELECT 'callgraph', CAST(row_number() OVER (ORDER BY f, t) - 1 AS INTEGER), t FROM (SELECT f, t FROM ed WHERE f = 's5' UNION ALL SELECT f, t FROM ed WHERE f IN (SELECT id FROM one))""")
 def context_pack_tool(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,6 +280,77 @@ def diagnosis_tool(spark: SparkSession, sf: str) -> DataFrame:
     return _listed(pack, matched_patterns="id", related_symbols="id", related_source="code", callgraph="target_id", related_issues="number", render_stages="id", investigation_steps="", fix_suggestions="")
 
 
+_MANY = f"""{_MATCH}, m AS (SELECT *, query_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) AS r FROM ({_SCORED})), ls(id, st, iq, steps, fixes) AS (VALUES {_LISTS}), {_KB_SYMBOLS}, {_KB_EDGES}"""
+
+
+def _spread_many(column: str, source: str = "m JOIN ls ON ls.id = m.id") -> str:
+    return f"(SELECT doc_id, x, min((r, n)) AS pos FROM (SELECT doc_id, r, unnest({column}) AS x, generate_subscripts({column}, 1) AS n FROM {source}) GROUP BY doc_id, x)"
+
+
+def _sections(pack: DataFrame, **sections: str) -> DataFrame:
+    """(query_id, section, n, digest): how many values a section of each pack has, and a digest of them in their order."""
+    rows = None
+    for name, value in sections.items():
+        values = F.col(f"{name}.{value}" if value else name).cast("array<string>")
+        some = pack.select("query_id", F.lit(name).alias("section"), F.size(values).cast("long").alias("n"), F.md5(F.array_join(values, ",")).alias("digest"))
+        rows = some if rows is None else rows.unionByName(some)
+    return rows
+
+
+def _sections_sql(ids: str, **sections: str) -> str:
+    """The same of subqueries of (id of the pack, pos, value)."""
+    return " UNION ALL ".join(
+        f"SELECT q.doc_id AS query_id, '{name}' AS section, count(s.value) AS n, md5(coalesce(string_agg(s.value, ',' ORDER BY s.pos, s.value), '')) AS digest FROM {ids} AS q LEFT JOIN ({rows}) AS s ON s.doc_id = q.doc_id GROUP BY q.doc_id"
+        for name, rows in sections.items()
+    )
+
+
+_EVERY_DIAGNOSIS = _sections_sql(
+    "documents",
+    matched_patterns="SELECT doc_id, r AS pos, id AS value FROM m",
+    related_symbols="SELECT doc_id, pos, id AS value FROM y",
+    related_source=f"SELECT doc_id, pos, {_CODE} AS value FROM y WHERE id <> 's15'",
+    callgraph="SELECT doc_id, (f, t) AS pos, t AS value FROM ed JOIN y ON y.id = ed.f",
+    related_issues="SELECT doc_id, min((pos, score, id)) AS pos, CAST(id AS VARCHAR) AS value FROM iss GROUP BY doc_id, id",
+    render_stages=f"SELECT doc_id, list_position({_STAGE_IDS}, x) AS pos, x AS value FROM {_spread_many('st')}",
+    investigation_steps=f"SELECT doc_id, pos, x AS value FROM {_spread_many('steps')}",
+    fix_suggestions=f"SELECT doc_id, pos, x AS value FROM {_spread_many('fixes')}",
+)
+
+
+@query(f"""{_MANY}, y AS (SELECT doc_id, sy.id, pos FROM {_spread_many("rel", "m JOIN p ON p.id = m.id")} AS z JOIN sy ON sy.name = z.x), h AS ({_ISSUE_SEARCHES}),
+iss AS (SELECT doc_id, id, pos, score FROM h JOIN {_spread_many("iq")} AS z ON z.x = h.q) {_EVERY_DIAGNOSIS}""")
+def diagnosis_many(spark: SparkSession, sf: str) -> DataFrame:
+    """What every document's patterns lead to, each document being a question; all in one plan."""
+    asked = _read(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    packs = _knowledge(spark, sf).diagnose_many(folders.few_splits(asked), 5, 1_000_000)
+    return _sections(packs, matched_patterns="id", related_symbols="id", related_source="code", callgraph="target_id", related_issues="number", render_stages="id", investigation_steps="", fix_suggestions="")
+
+
+_EVERY_CONTEXT = _sections_sql(
+    "q",
+    source=f"SELECT doc_id, (d, id) AS pos, {_CODE} AS value FROM src",
+    callgraph="SELECT doc_id, (f, t) AS pos, t AS value FROM calls",
+    issues="SELECT doc_id, (score, id) AS pos, CAST(id AS VARCHAR) AS value FROM hits",
+)
+
+
+@query(f"""
+WITH {_KB_SYMBOLS}, {_KB_EDGES}, q AS (SELECT id AS doc_id, name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM sy) WHERE n = 1),
+one AS (SELECT q.doc_id, f, t, 1 AS d FROM q JOIN ed ON ed.f = q.doc_id), two AS (SELECT DISTINCT one.doc_id, ed.f, ed.t, 2 AS d FROM one JOIN ed ON ed.f = one.t), calls AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+near AS (SELECT doc_id, t AS id, min(d) AS d FROM calls WHERE t <> 's15' GROUP BY doc_id, t),
+src AS (SELECT doc_id, doc_id AS id, 0 AS d FROM q WHERE doc_id <> 's15' UNION ALL SELECT doc_id, id, d FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d, id) AS n FROM near) WHERE n <= 3),
+i AS (SELECT id, regexp_extract_all(lower(title || ' ' || body), '[a-z0-9]+') AS w FROM {_KB_ISSUES}), g AS (SELECT count(*) AS n, avg(len(w)) AS a FROM i),
+tf AS (SELECT id, len(w) AS dl, x, count(*) AS c FROM (SELECT id, w, unnest(w) AS x FROM i) GROUP BY ALL), df AS (SELECT x, count(*) AS df FROM tf GROUP BY x),
+hit AS (SELECT q.doc_id, tf.id, -(CASE WHEN ln((g.n - df + 0.5) / (df + 0.5)) > 0 THEN ln((g.n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / g.a)) AS score FROM q JOIN tf ON tf.x = lower(q.name) JOIN df USING (x), g),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, id) AS n FROM hit) WHERE n <= 5) {_EVERY_CONTEXT}""")
+def context_packs_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The pack of every part's name: source of the part and its nearest callees that have source, calls two steps deep, issues that name it."""
+    engine = _knowledge(spark, sf)
+    packs = engine.build_context_packs(folders.few_splits(engine.tables["symbols"].select(F.col("name").alias("query")).distinct()), 2, 100_000)
+    return _sections(packs.withColumn("query_id", F.col("symbol.id")), source="code", callgraph="target_id", issues="number")
+
+
 @query(f"""{_FOUND}, i AS ({_bm25(_KB_ISSUES, "id", ["title", "body"], ["the"], 5)})
 SELECT 'source' AS section, 0 AS place, 'code of s1' AS value UNION ALL SELECT 'callgraph', CAST(row_number() OVER (ORDER BY f, t) - 1 AS INTEGER), t FROM ed WHERE f = 's1'
 UNION ALL SELECT 'issues', CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER), CAST(id AS VARCHAR) FROM i UNION ALL SELECT 'matched_patterns', CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER), id FROM m WHERE r <= 3

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diff, evidence, extract, fts, graph, matching, packing, relational, vectors
+from ..operators import diff, evidence, extract, fts, graph, matching, packing, ranked, relational, vectors
 from ..sources import knowledge
+from . import batch
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
@@ -44,14 +46,31 @@ class KnowledgeEngine:
     def _search(self, name: str, key: str, columns: tuple[str, ...], query: str, limit: int, condition: Column | None = None) -> DataFrame:
         return fts.search(self._index(name, key, *columns), self.tables[name], key, query, limit, condition)
 
+    def search_many(self, name: str, key: str, columns: tuple[str, ...], questions: DataFrame, limit: int) -> DataFrame:
+        """(query_id, rank, key, score): the best rows of a table for each row of query_id and question; one plan, however many there are.
+
+        With an `index_root` the table's kept index is asked (and made from the table if there is none yet), else fresh lists of terms.
+        """
+        if self._index_root is None:
+            return fts.search_many(self._index(name, key, *columns), questions, limit, name=key)
+        index = ranked.Index(self.spark, f"{self._index_root.rstrip('/')}/{name}-kept", key, columns)
+        if not index.state().version:
+            index.upsert(self.tables[name])
+        return index.search(questions, limit)
+
+    def resolve_many(self, symbols: DataFrame) -> DataFrame:
+        """(query, symbol columns) for each row of query that means a symbol; each query once. See `resolve`."""
+        wanted = symbols.select("query").distinct()
+        plain = wanted.where(~F.contains("query", F.lit("."))).select(F.col("query").alias("query_id"), F.col("query").alias("question"))
+        best = self.search_many("symbols", "id", ("name", "doc_comment"), plain, 1).select(F.col("query_id").alias("query"), "id")
+        return relational.resolve_names(wanted, self.tables["symbols"], best.join(self.tables["symbols"], "id"))
+
     def _asked(self, question: str) -> DataFrame:
         return self.spark.range(1).select(F.lit("q").alias("query_id"), F.lit(question).alias("question"))
 
     def resolve(self, symbol: str) -> DataFrame:
-        """(query, symbol columns) of the symbol that a name means: `Class.member` exactly; else exactly; else the search's best of five."""
-        wanted = self.spark.range(1).select(F.lit(symbol).alias("query"))
-        best = self.search_symbol(symbol, 5).withColumn("__n", F.row_number().over(_by_score())).where("__n = 1").drop("__n", "score").withColumn("query", F.lit(symbol)) if "." not in symbol else None
-        return relational.resolve_names(wanted, self.tables["symbols"], best)
+        """(query, symbol columns) of the symbol that a name means: `Class.member` exactly; else exactly; else the search's best."""
+        return self.resolve_many(self.spark.range(1).select(F.lit(symbol).alias("query")))
 
     # --- retrieval ---
 
@@ -108,46 +127,29 @@ class KnowledgeEngine:
     # --- diagnosis ---
 
     def vector_scores(self, question: str) -> DataFrame:
-        """(query_id, id, vector_score) of patterns by the question's embedding."""
+        """(query_id, id, vector_score) of all patterns by the question's embedding."""
         points = self.tables["vectors"].where("type = 'pattern'")
-        found = vectors.similar(points, self.encoder([question])[0], 1000)
+        found = vectors.similar(points, self.encoder([question])[0], None)
         return found.select(F.lit("q").alias("query_id"), F.regexp_replace("node_id", "^pattern:", "").alias("id"), F.col("score").alias("vector_score"))
 
+    def vector_scores_of(self, questions: DataFrame) -> DataFrame:
+        """The same for each row of query_id and question. The executors call the encoder, so they must be able to import it."""
+        encode = F.pandas_udf(_batched(self.encoder), "array<double>")
+        asked = questions.select("query_id", encode(F.coalesce("question", F.lit(""))).alias("vector"))
+        points = self.tables["vectors"].where("type = 'pattern'").select(F.regexp_replace("node_id", "^pattern:", "").alias("id"), "vector")
+        return vectors.nearest(asked, points, max(1, points.count()), None).select("query_id", "id", F.col("score").alias("vector_score"))
+
     def match(self, question: str, limit: int | None = None, hybrid: bool = False) -> DataFrame:
         return matching.match_patterns(self._asked(question), self.patterns, limit, self.vector_scores(question) if hybrid else None)
 
+    def diagnose_many(self, questions: DataFrame, limit: int = 5, budget: int = 6000, hybrid: bool = False) -> DataFrame:
+        """For each row of query_id and question: patterns that match, and the symbols, source, edges, issues, stages, steps and fixes they
+        lead to, within the budget."""
+        return batch.diagnoses(self, questions, limit, budget, hybrid)
+
     def diagnose_problem(self, problem: str, limit: int = 5, budget: int = 6000, hybrid: bool = False) -> DataFrame:
-        """One row: patterns that match, and the symbols, source, edges, issues, stages, steps and fixes they lead to, within the budget."""
-        found = self.match(problem, limit, hybrid).persist()
-        order = F.struct((-F.col("score")).alias("s"), "ordinal")
-        listed = lambda c: found.select(order.alias("o"), F.posexplode(c).alias("n", "value"))
-        names = listed("relatedSymbols").groupBy("value").agg(F.min(F.struct("o", "n")).alias("at"))
-        symbols = relational.first_by(names.join(self.tables["symbols"], F.col("value") == F.col("name")), ["id"], ["at"]).persist()
-        sources = symbols.select("id", "at", "name").join(self.tables["source_code"].select(F.col("symbol_id").alias("id"), "code"), "id")
-        edges = graph.downstream(self.tables["call_edges"], symbols.select("id"), 1)
-        queries = [r[0] for r in listed("issueQueries").groupBy("value").agg(F.min(F.struct("o", "n")).alias("at")).orderBy("at").select("value").collect()]
-        issues = None
-        for k, q in enumerate(queries):
-            part = self._search("issues", "id", ("title", "body"), q, 3).select(F.lit(k).alias("k"), "score", "id", "number", "title", "body")
-            issues = part if issues is None else issues.unionByName(part)
-        stages = self.stages.join(listed("relatedStages").select(F.col("value").alias("id")), "id", "left_semi")
-        experiences = self._search("experience_node", "id", ("title", "summary"), problem, 5)
-        text_of = lambda c: listed(c).groupBy("value").agg(F.min(F.struct("o", "n")).alias("at"))
-        pack = _packed(found, "matched_patterns", ["s", "ordinal", "id", "name", "possibleCauses", "score", "matched"], {"s": -F.col("score")})
-        for frame, name, columns in (
-            (symbols, "related_symbols", ["at", "id", "name", "kind", "file_path"]),
-            (sources, "related_source", ["at", "id", "name", "code"]),
-            (edges, "callgraph", ["source_id", "target_id", "edge_type"]),
-            (experiences, "related_experiences", ["score", "id", "title", "type"]),
-            (stages, "render_stages", ["order", "id", "name", "description"]),
-        ):
-            pack = pack.crossJoin(_packed(frame, name, columns))
-        empty = self.spark.range(1).select(F.array().cast("array<struct<k:int,score:double,id:bigint,number:bigint,title:string,body:string>>").alias("related_issues"))
-        pack = pack.crossJoin(_packed(relational.first_by(issues, ["id"], ["k", "score"]), "related_issues", ["k", "score", "id", "number", "title", "body"]) if issues is not None else empty)
-        for name, column in (("investigation_steps", "investigationSteps"), ("fix_suggestions", "fixSuggestions")):
-            pack = pack.crossJoin(_packed(text_of(column), name, ["at", "value"])).withColumn(name, F.transform(name, lambda x: x["value"]))
-        cut = packing.diagnostic_pack(pack, budget)
-        return cut.withColumn("question", F.lit(problem))
+        """One row: see `diagnose_many`."""
+        return self.diagnose_many(self._asked(problem), limit, budget, hybrid).drop("query_id")
 
     def diagnose_root_cause(self, question: str, least_confidence: float = 0.3) -> DataFrame:
         return evidence.diagnose(self._asked(question), self.patterns, self.tables["shader_symbol"], least_confidence)
@@ -160,20 +162,14 @@ class KnowledgeEngine:
     def dispatch_skill(self, question: str) -> DataFrame:
         return matching.dispatch(self._asked(question), self.skills, self.entities(question))
 
+    def build_context_packs(self, symbols: DataFrame, depth: int = 2, budget: int = 5000) -> DataFrame:
+        """For each row of query that means a symbol: the symbol, its source and that of the nearest three callees that have source, its edges,
+        and up to five issues about its class."""
+        return batch.context_packs(self, symbols, depth, budget)
+
     def build_context_pack(self, symbol: str, depth: int = 2, budget: int = 5000) -> DataFrame:
-        """One row: a symbol, its source and that of up to three callees, its edges, and up to five issues about its class."""
-        found = self.resolve(symbol).limit(1).persist()
-        edges = graph.downstream(self.tables["call_edges"], found.select("id"), depth).persist()
-        code = self.tables["source_code"].select("symbol_id", F.col("name").alias("n"), "code")
-        main = found.select(F.lit(0).alias("k"), F.col("id").alias("symbol_id")).join(code, "symbol_id")
-        calls = edges.where(~F.col("target_id").isin([r["id"] for r in found.select("id").collect()])).groupBy("target_id").agg(F.min("depth").alias("d")).orderBy("d", "target_id").limit(3)
-        rest = calls.select(F.col("d").alias("k"), F.col("target_id").alias("symbol_id")).join(code, "symbol_id")
-        row = found.first()
-        about = (row["parent_class"] or row["name"]) if row else symbol
-        issues = self._search("issues", "id", ("title", "body"), about, 5)
-        pack = found.select(F.struct("id", "name", "kind", "file_path", "start_line", "end_line", "doc_comment", "exports", "imports", "parent_class").alias("symbol"))
-        pack = pack.crossJoin(_packed(main.unionByName(rest), "source", ["k", "symbol_id", "n", "code"])).crossJoin(_packed(edges, "callgraph", ["source_id", "target_id", "edge_type"])).crossJoin(_packed(issues, "issues", ["score", "number", "title", "body"]))
-        return packing.context_pack(pack, budget)
+        """One row: see `build_context_packs`."""
+        return self.build_context_packs(self.spark.range(1).select(F.lit(symbol).alias("query")), depth, budget).drop("query_id")
 
     def build_skill_pack(self, question: str, budget: int = 6000) -> DataFrame:
         """One row: what the question's skill asks for, within the budget."""
@@ -243,10 +239,12 @@ class KnowledgeEngine:
         return {"symbols": found.drop("code"), "source_code": extract.source_code(found), "call_edges": extract.call_edges(files, found)}
 
 
-def _by_score():  # noqa: ANN202
-    from pyspark.sql import Window
+def _batched(encoder: Encoder):  # noqa: ANN202
+    def encode(texts):  # noqa: ANN001, ANN202
+        return type(texts)([[float(x) for x in v] for v in encoder(texts.tolist())])
 
-    return Window.orderBy("score", "id")
+    encode.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return encode
 
 
 def _packed(frame: DataFrame, name: str, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:

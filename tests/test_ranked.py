@@ -71,6 +71,15 @@ def test_a_search_of_many_questions_equals_the_formula(spark, start, tmp_path):
     assert report["a"]["blocks"] > 10 and report["a"]["first"] + report["a"]["later"] < report["a"]["blocks"]
 
 
+def test_fresh_lists_answer_many_questions_too(spark, start):
+    lists = fts.Index.build(frame(spark, start), "id", ["title", "body"])
+    rows = fts.search_many(lists, spark.createDataFrame(QUESTIONS, "query_id string, question string"), 5).collect()
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((round(r["score"], 9), r["id"]))
+    assert out == plain(start, QUESTIONS, 5)
+
+
 def test_only_rows_that_meet_a_condition_are_ranked(spark, start, tmp_path):
     index = ranked.Index(spark, f"file://{tmp_path}/two", "id", ["title", "body"], block_documents=16)
     index.upsert(frame(spark, start))
@@ -85,7 +94,7 @@ def test_an_index_that_is_kept_equals_a_fresh_one(spark, start, tmp_path):
     assert found(index, spark, QUESTIONS, 5) == {}
     index.upsert(frame(spark, docs))
     files = lambda: {p.relative_to(tmp_path) for p in tmp_path.rglob("*.parquet")}
-    for step in range(5):
+    for step in range(4):
         before, listed = index.state(), files()
         changed = texts(rng, 12, first=step * 20) | texts(rng, 5, first=1000 + 10 * step)
         docs |= changed
@@ -114,7 +123,7 @@ def test_of_two_writers_from_one_version_one_fails(spark, tmp_path):
 
 def test_words_of_questions_are_those_of_single_searches(spark):
     texts = ["Alpha beta", "snake_case_word", "__", "é accent é", "x" * 50, "", None, "A1_b2 _c"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ranked.phrases("t").alias("p")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fts.phrases("t").alias("p")).collect()
     assert [r["p"] for r in rows] == [fts.query_phrases(t or "") for t in texts]
     one = spark.createDataFrame([([(1, 1, 5), (2, 3, 9), (3, 2, 9), (4, 3, 12), (5, 1, 4)],)], "d array<struct<doc_id:long,tf:long,dl:long>>")
     assert [(p["tf"], p["dl"]) for p in one.select(ranked.peaks("d").alias("p")).first()["p"]] == [(1, 4), (3, 9)]
