@@ -60,7 +60,7 @@ def test_stages(spark, folder):
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert [int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))] == list(range(1, 11)) and "pipeline" in names
+    assert [int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))] == list(range(1, 14)) and "pipeline" in names
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
