@@ -26,6 +26,12 @@ CLOSING = r"(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*#(\d+)"
 VERSION = r"1\.\d{2,3}(?:\.\d+)?"
 DOTTED = r"[A-Z][a-zA-Z]+\.[a-zA-Z]+"
 TRUNCATED = "\n... [truncated]"
+#: What questions are cleared of, phrases are cut by, a source path's module, tags, and what an id is made of (fixed values).
+NOT_ASKED = r"[^a-z0-9\s-]"
+PHRASE_BREAK = r"[\s_-]+"
+SOURCE_MODULE = r"Source/(.+?)/[^/]+\.js$"
+TAG = "<[^>]*>"
+NOT_IN_ID, ID_ENDS = "[^a-z0-9]+", "^_+|_+$"
 
 
 def _c(x: str | Column) -> Column:
@@ -46,7 +52,7 @@ def normal_kind(kind: str | Column) -> Column:
 
 def qualified_name(name: str | Column, parent: str | Column, file_path: str | Column) -> Column:
     """parent.name; else the path below Source as dots, then the name; else the name."""
-    module = F.regexp_replace(F.regexp_extract(F.coalesce(_c(file_path), F.lit("")), r"Source/(.+?)/[^/]+\.js$", 1), "/", ".")
+    module = F.regexp_replace(F.regexp_extract(F.coalesce(_c(file_path), F.lit("")), SOURCE_MODULE, 1), "/", ".")
     has_parent = F.coalesce(_c(parent), F.lit("")) != ""
     return F.when(has_parent, F.concat_ws(".", _c(parent), _c(name))).when(module != "", F.concat_ws(".", module, _c(name))).otherwise(_c(name))
 
@@ -90,7 +96,7 @@ def code_lines(content: str | Column, start: str | Column, end: str | Column) ->
 
 def strip_html(html: str | Column) -> Column:
     """Tags dropped, entities undone, white space collapsed, ends trimmed."""
-    text = F.regexp_replace(_c(html), "<[^>]*>", "")
+    text = F.regexp_replace(_c(html), TAG, "")
     text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -111,12 +117,12 @@ def summary(text: str | Column, most: int = 500) -> Column:
 
 def query_tokens(query: str | Column) -> Column:
     """Lower-cased tokens of a question, without punctuation (hyphens stay) and stop words; repeats stay."""
-    plain = F.regexp_replace(F.lower(_c(query)), r"[^a-z0-9\s-]", " ")
+    plain = F.regexp_replace(F.lower(_c(query)), NOT_ASKED, " ")
     return F.filter(F.split(plain, r"\s+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
 def phrase_tokens(phrase: Column) -> Column:
-    return F.filter(F.split(F.lower(phrase), r"[\s_-]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(phrase), PHRASE_BREAK), lambda t: t != "")
 
 
 def holds_phrase(tokens: Column, wanted: Column) -> Column:
@@ -133,7 +139,7 @@ def overlap(tokens: Column, wanted: Column) -> Column:
 
 
 def safe_id(text: str | Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(_c(text)), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 64)
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(_c(text)), NOT_IN_ID, "_"), ID_ENDS, ""), 1, 64)
 
 
 # --- token estimates ------------------------------------------------------------------------------------------------

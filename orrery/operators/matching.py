@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from . import phrases
 
 #: Bytes, as JSON, up to which a knowledge table is sent to every executor.
 KNOWLEDGE_BYTES = 16 << 20
@@ -35,12 +36,18 @@ def _named(kind: str) -> Callable[[Column], Column]:
     return lambda x: F.concat(F.lit(f"{kind}:"), x)
 
 
-def _lead_terms(patterns: DataFrame) -> DataFrame:
-    """(id, term): for each way to match strongly, the tokens of which a question must have one: an alias's first, a keyword, any of a
-    symptom's."""
-    first = F.transform(F.filter("__aliases", lambda p: F.size(p) > 0), lambda p: p[0])
-    terms = F.array_distinct(F.concat(first, "__keywords", F.flatten("__symptoms")))
-    return patterns.select("__place", F.explode(terms).alias("__term"))
+def _strong_pairs(asked: DataFrame, patterns: DataFrame, query: str) -> DataFrame:
+    """(query, __place) of the questions and patterns that match by an alias, a keyword or two tokens of a symptom.
+
+    All aliases, keywords and symptoms' tokens are sought in the padded questions in one pass; what is found is joined to the patterns that say so.
+    """
+    ways = lambda kind, lists: patterns.select("__place", F.lit(kind).alias("kind"), F.posexplode(lists).alias("n", "tokens"))
+    uses = ways("alias", F.col("__aliases")).unionByName(ways("keyword", F.transform("__keywords", lambda k: F.array(k)))).where(F.size("tokens") > 0).select("__place", "kind", "n", _padded(F.col("tokens")).alias("phrase"))
+    tokens = ways("symptom", F.col("__symptoms")).select("__place", "kind", "n", F.explode("tokens").alias("token"))
+    uses = uses.unionByName(tokens.select("__place", "kind", "n", _padded(F.array("token")).alias("phrase")))
+    found = phrases.held(asked, uses, query, "__text").join(uses, "phrase")
+    strong = found.groupBy(query, "__place", "kind", "n").agg(F.count(F.lit(1)).alias("hits")).where("kind <> 'symptom' or hits >= 2")
+    return strong.select(query, "__place").distinct()
 
 
 def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None = None, vector_scores: DataFrame | None = None, query: str = "query_id", question: str = "question", most_bytes: int = KNOWLEDGE_BYTES) -> DataFrame:
@@ -49,8 +56,8 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     An alias counts if its tokens stand in a row, a keyword if it is a token, a symptom if two of its tokens occur; these, or a
     vector score of `fixed.STRONG_VECTOR`, make a match strong. Symbols and the category only add. `matched` says by what.
 
-    Patterns of up to `most_bytes` meet every question on the executors. Beyond that, a question meets only the patterns of which it
-    has a leading term, or that its vector is near to: these are all that can match strongly.
+    Patterns of up to `most_bytes` meet every question on the executors. Beyond that, a question meets only the patterns that an automaton
+    over all their phrases finds it to match strongly, or that its vector is near to.
 
     Null and empty questions match nothing; null lists of a pattern count as empty ones; ties of the score go by the patterns'
     `ordinal` (or the order they come in); ids of questions must be unique, else a question's rows are ranked together.
@@ -67,8 +74,7 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     if small(patterns, most_bytes):
         pairs = asked.join(F.broadcast(held), F.lit(True))
     else:
-        terms = asked.select(query, F.explode(F.array_distinct("__tokens")).alias("__term"))
-        near = terms.join(_lead_terms(held), "__term").select(query, "__place")
+        near = _strong_pairs(asked, held, query)
         if scores is not None:
             near = near.union(scores.where(F.col("vector_score") >= fixed.STRONG_VECTOR).join(held.select("id", "__place"), "id").select(query, "__place"))
         pairs = near.distinct().join(asked, query).join(held, "__place")
@@ -189,7 +195,7 @@ def intents(issues: DataFrame, title: str = "title", body: str = "body", labels:
         first = (n == best) & (best > 0)
         intent = F.when(first, F.lit(name)).otherwise(intent)
         confidence = F.when(first, F.least(F.lit(0.95), 0.5 + weight * F.least(n, F.lit(5)) / 5)).otherwise(confidence)
-        reason = F.when(first, F.concat(F.lit("Keywords matched: "), F.array_join(F.slice(f"__{name}", 1, 3), ", "))).otherwise(reason)
+        reason = F.when(first, F.concat(F.lit(fixed.MESSAGES["keywords"]), F.array_join(F.slice(f"__{name}", 1, 3), ", "))).otherwise(reason)
     if labels is not None:
         low = F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.trim(F.lower(x)))
         for label, name, sure in reversed(label_rules):
@@ -198,7 +204,7 @@ def intents(issues: DataFrame, title: str = "title", body: str = "body", labels:
             reason = F.when(held, F.lit(f'Label "{label}" matches')).otherwise(reason)
     return out.withColumns({
         "intent": F.coalesce(intent, F.lit("unknown")), "confidence": F.coalesce(confidence, F.lit(0.1)), "method": F.lit("rule"),
-        "reason": F.coalesce(reason, F.lit("No matching labels or keywords")),
+        "reason": F.coalesce(reason, F.lit(fixed.MESSAGES["nothing"])),
     }).drop("__text", *(f"__{i}" for i, _, _ in keyword_rules))
 
 

@@ -94,11 +94,11 @@ def parse_intent(raw: str | Column) -> Column:
     good = make(F.when(got["intent"].isin(*INTENTS), got["intent"]).otherwise(F.lit("unknown")), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(got["confidence"], F.lit(0.5)))), got["reason"])
     low = F.lower(raw)
     return (
-        F.when(F.startswith(raw, F.lit("ERROR: ")), make(F.lit("unknown"), F.lit(0.1), F.concat(F.lit("LLM error: "), F.substring(raw, 8, 10_000))))
+        F.when(F.startswith(raw, F.lit("ERROR: ")), make(F.lit("unknown"), F.lit(0.1), F.concat(F.lit(fixed.MESSAGES["model_error"]), F.substring(raw, 8, 10_000))))
         .when(fine, good)
-        .when(F.contains(low, F.lit("bug")), make(F.lit("bug"), F.lit(0.6), F.lit("LLM mentioned 'bug'")))
-        .when(F.contains(low, F.lit("feature")), make(F.lit("feature_request"), F.lit(0.5), F.lit("LLM mentioned 'feature'")))
-        .otherwise(make(F.lit("unknown"), F.lit(0.2), F.lit("Failed to parse LLM response")))
+        .when(F.contains(low, F.lit("bug")), make(F.lit("bug"), F.lit(0.6), F.lit(fixed.MESSAGES["model_bug"])))
+        .when(F.contains(low, F.lit("feature")), make(F.lit("feature_request"), F.lit(0.5), F.lit(fixed.MESSAGES["model_feature"])))
+        .otherwise(make(F.lit("unknown"), F.lit(0.2), F.lit(fixed.MESSAGES["model_unread"])))
     )
 
 
@@ -259,7 +259,7 @@ def promote(entries: DataFrame, path: str | Path, most: int = 1000) -> int:
     for row in rows:
         other = next((h for h in held if h["id"] == row["id"] and h["candidateId"] != row["candidateId"]), None)
         if other:
-            raise ValueError(f'Promotion conflict: id "{row["id"]}" already used by candidate "{other["candidateId"]}"')
+            raise ValueError(fixed.MESSAGES["promoted_before"].format(row["id"], other["candidateId"]))
         at = next((i for i, h in enumerate(held) if h["candidateId"] == row["candidateId"]), None)
         if at is None:
             held.append(row)

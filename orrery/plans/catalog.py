@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import folders, text
-from ..operators import diff, evidence, fts, graph, matching, mining, packing, relational, vectors
+from ..operators import diff, evidence, fts, graph, matching, mining, packing, phrases, ranked, relational, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -106,6 +106,47 @@ def fts_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _documents_search(spark, sf, "de", 10, "lang = 'fr'")
 
 
+#: Every two words of each test item, as a question: item * 100000 + place.
+_PAIRS = """i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_]+') AS w FROM benchmark),
+q AS (SELECT item_id * 100000 + p AS query_id, unnest(list_slice(w, p, p + 1)) AS x FROM (SELECT item_id, w, unnest(range(1, len(w) + 1, 2)) AS p FROM i))"""
+
+
+def _ranked_many_sql(rows: str, limit: int) -> str:
+    return f"""
+WITH {_PAIRS}, l AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM {rows}), g AS (SELECT count(*) AS n, avg(len(w)) AS a FROM l),
+tf AS (SELECT doc_id, dl, x, count(*) AS c FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS x FROM l) GROUP BY ALL), df AS (SELECT x, count(*) AS df FROM tf GROUP BY x),
+u AS (SELECT query_id, x, count(*) AS times FROM q GROUP BY ALL), k AS (SELECT query_id, count(*) AS needed FROM u GROUP BY ALL),
+s AS (SELECT query_id, doc_id, count(*) AS held, -sum(times * (CASE WHEN ln((g.n - df + 0.5) / (df + 0.5)) > 0 THEN ln((g.n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / g.a))) AS score FROM u JOIN tf USING (x) JOIN df USING (x), g GROUP BY query_id, doc_id),
+r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s JOIN k USING (query_id) WHERE held = needed)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= {limit}"""
+
+
+def _pair_questions(spark: SparkSession, sf: str) -> DataFrame:
+    items = _read(spark, sf, "benchmark", "item_id", "text")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[0-9a-z_]+"), 0)
+    places = items.select("item_id", words.alias("w")).where(F.size("w") > 0).select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(2))).alias("p"))
+    return places.select((F.col("item_id") * 100_000 + F.col("p")).alias("query_id"), F.array_join(F.slice("w", F.col("p"), F.lit(2)), " ").alias("question"))
+
+
+@query(_ranked_many_sql("documents", 5))
+def ranked_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The best five documents for every two words of every test item, from a kept index, in a fixed number of jobs."""
+    index = ranked.Index(spark, folders.scratch(spark, "kept"), "doc_id", ["text"], block_documents=256)
+    index.upsert(folders.few_splits(_read(spark, sf, "documents", "doc_id", "text")))
+    return index.search(_pair_questions(spark, sf), 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_ranked_many_sql("(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'the new text of ' || coalesce(lang, '') ELSE text END AS text FROM documents WHERE coalesce(source, '') <> 'src1')", 5))
+def ranked_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after every third document got another text and one source's documents were deleted: what a fresh index would answer."""
+    docs = folders.few_splits(_read(spark, sf, "documents", "doc_id", "text", "lang", "source"))
+    index = ranked.Index(spark, folders.scratch(spark, "kept"), "doc_id", ["text"], block_documents=256)
+    index.upsert(docs)
+    index.upsert(docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("the new text of "), F.coalesce("lang", F.lit("")))))
+    index.delete(docs.where("source = 'src1'").select("doc_id"))
+    return index.search(_pair_questions(spark, sf), 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query(_bm25("documents", "doc_id", ["text"], ["of the"], 20, extra=", lang"))
 def fts_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return _documents_search(spark, sf, "of_the", 20)
@@ -286,6 +327,17 @@ def bfs_down(spark: SparkSession, sf: str) -> DataFrame:
     return graph.downstream(_edges(spark, sf), _roots(spark, "c:1", "c:2", "c:7"), 3, "s", "t").groupBy("s", "t", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""
+WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT 'n:' || n_nationkey AS root, 'n:' || n_nationkey AS node, 0 AS d FROM nation UNION SELECT root, e.s, w.d + 1 FROM w JOIN e ON e.t = w.node WHERE w.d < 2),
+m AS (SELECT root, node, min(d) AS d FROM w GROUP BY ALL)
+SELECT root, CAST(d + 1 AS INTEGER) AS depth, count(*) AS n, count(DISTINCT s) AS sources, md5(string_agg(s || '>' || t, ',' ORDER BY s, t)) AS digest FROM e JOIN m ON e.t = m.node WHERE d < 2 GROUP BY root, d""")
+def bfs_many_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """What leads to each nation within two steps, all nations at once: each root's edges are those of a search of its own."""
+    found = graph.search_many(_edges(spark, sf), _read(spark, sf, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id")), 2, "t", "s")
+    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "t"))), lambda e: F.concat_ws(">", e["s"], e["t"])), ","))
+    return found.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("sources"), digest.alias("digest"))
+
+
 @query(_bfs_sql("('p:5')", 2, False))
 def bfs_up(spark: SparkSession, sf: str) -> DataFrame:
     return graph.upstream(_edges(spark, sf), _roots(spark, "p:5"), 2, "s", "t").groupBy("s", "t", "depth").agg(F.count(F.lit(1)).alias("n"))
@@ -527,6 +579,26 @@ def pattern_match(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match_patterns(_plain_questions(spark, sf), _patterns(spark)).select("query_id", "id", "score")
 
 
+@query(f"{_MATCH} SELECT query_id, id, score FROM ({_SCORED})")
+def pattern_match_automaton(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the way of knowledge that is too large to send: one automaton for all phrases."""
+    return matching.match_patterns(_plain_questions(spark, sf), _patterns(spark), most_bytes=0).select("query_id", "id", "score")
+
+
+@query("""
+WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM benchmark), p AS (SELECT DISTINCT ' ' || array_to_string(list_slice(w, i, i + 3), ' ') || ' ' AS phrase FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM w)),
+d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents)
+SELECT doc_id, count(*) AS n, md5(string_agg(phrase, ',' ORDER BY phrase)) AS digest FROM d JOIN p ON contains(t, phrase) GROUP BY doc_id""")
+def phrases_held(spark: SparkSession, sf: str) -> DataFrame:
+    """Every four words in a row of every test item, sought in every document."""
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    items = _read(spark, sf, "benchmark", "text").select(words("text").alias("w")).where(F.size("w") >= 4)
+    wanted = items.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: padded(F.slice("w", i, F.lit(4))))).alias("phrase"))
+    docs = folders.few_splits(_read(spark, sf, "documents", "doc_id", "text")).select("doc_id", padded(words("text")).alias("text"))
+    return phrases.held(docs, wanted, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("phrase")), ",")).alias("digest"))
+
+
 @query(f"""
 {_MATCH}, v AS (SELECT *, CASE WHEN (query_id + o) % 5 = 0 THEN 0.8 WHEN (query_id + o) % 5 = 1 THEN 0.5 ELSE 0 END AS vs FROM x)
 SELECT query_id, id, round(CAST(3 * a + 2 * k + 2 * s + r + c + 3 * vs AS DOUBLE), 6) AS score FROM v WHERE 3 * a + 2 * k + 2 * s + r + c + 3 * vs > 0 AND (a + k + s > 0 OR vs >= 0.75)""")
