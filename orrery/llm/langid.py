@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,8 @@ UNKNOWN = "und"
 _SLICE = 2 << 20
 #: Words whose features are held at a time.
 _WORDS = 16_384
+#: Ranges of hashes that drawn pieces are counted by.
+_RANGES = 1024
 _PIECE, _SEQUENCES, _BATCH, _EPOCHS = 24, 6144, 256, 3
 #: Words of a training sequence, and the fewest of a stretch in one language (of a longer piece).
 _LENGTH, _STRETCH = 48, 4
@@ -245,8 +247,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Chain | None:
 def _pieces(docs: DataFrame, text: str, language: str, most: int) -> list[tuple[str, str]]:
     """Pieces of labelled texts with their languages: of each language those of least hashes, `most` in all at most.
 
-    Only pieces below a share of all hashes are shuffled. A language's bytes tell how many pieces it has at least, and so a share that some more
-    than its number of pieces fall below; words are mostly shorter, and then several times as many do.
+    Only pieces below a share of all hashes are drawn. A language's bytes tell how many pieces it has at least, and so a share that some more
+    than its number of pieces fall below; words are mostly shorter, and then several times as many do. Counts of the drawn pieces by ranges of
+    their hashes then tell up to which range they are needed, so that no language's pieces are sorted in one task.
     """
     usable = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(language).alias("l"))
     sizes = {r["l"]: r["b"] // (_PIECE * (WORD_BYTES + 3)) + 1 for r in usable.groupBy("l").agg(F.sum(F.octet_length("t")).alias("b")).collect()}
@@ -270,11 +273,23 @@ def _pieces(docs: DataFrame, text: str, language: str, most: int) -> list[tuple[
             at = np.flatnonzero(hashes.astype(float) < below)
             owner = np.repeat(np.arange(len(labels)), counts)[at]
             texts = [words.data[i:j].tobytes().decode() for i, j in zip(words.start[first][at], words.end[stop - 1][at], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([labels[k] for k in owner], pa.string()), pa.array(hashes[at].view(np.int64)), pa.array(texts, pa.string())], names=["l", "h", "t"])
-
-    drawn = usable.mapInArrow(run, "l string, h long, t string").dropDuplicates(["l", "h"])
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    return [(r["t"], r["l"]) for r in drawn.withColumn("n", place).where(F.col("n") <= each).orderBy("l", "h").select("t", "l").collect()]
+            place = (hashes[at].astype(float) / below[at] * _RANGES).astype(np.int32)
+            columns = [pa.array([labels[k] for k in owner], pa.string()), pa.array(hashes[at].view(np.int64)), pa.array(place), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["l", "h", "place", "t"])
+
+    drawn = scratch.stored(usable.mapInArrow(run, "l string, h long, place int, t string").dropDuplicates(["l", "h"]), "pieces")
+    held, last = dict.fromkeys(sizes, 0), dict.fromkeys(sizes, -1)
+    for r in sorted(drawn.groupBy("l", "place").count().collect()):
+        if held[r["l"]] < each:
+            held[r["l"]], last[r["l"]] = held[r["l"]] + r["count"], r["place"]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(list(last.items()), "l string, last int"))
+    out: list[tuple[str, str]] = []
+    kept = dict.fromkeys(sizes, 0)
+    for r in sorted(drawn.join(bounds, "l").where("place <= last").select("l", "place", "h", "t").collect()):
+        kept[r["l"]] += 1
+        if kept[r["l"]] <= each:
+            out.append((r["t"], r["l"]))
+    return out
 
 
 def train(docs: DataFrame, text: str = "text", language: str = "lang", pieces: int = SAMPLE_PIECES) -> Chain | None:

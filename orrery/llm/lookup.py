@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 CHUNK_BYTES = 4 << 20
 BUCKET_HASHES = 1_500_000
 #: Bytes of text for each word, at least so many in common prose; only the buckets' sizes depend on it.
@@ -23,13 +25,24 @@ def dealt(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES)
     """``docs`` with a `__chunk` of about so many bytes of text, and the bytes of all texts.
 
     Rows are also told apart by their place in the input, so that rows of one id and text don't all come to one chunk. A task that runs
-    again must read its rows in the same order, as tasks over files do.
+    again must read its rows in the same order, as tasks over files do; so what is not read from files as it stands is stored first.
     """
+    docs = docs if _read_from_files(docs) else scratch.stored(docs, "dealt")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     return docs.withColumn("__chunk", F.pmod(F.xxhash64(key, text, F.monotonically_increasing_id()), F.lit(chunks))), total
 
 
+def _read_from_files(docs: DataFrame) -> bool:
+    """Whether the rows come straight from files: nothing but columns and conditions in between."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("LogicalRelation", "Relation")) and bool(docs.inputFiles())
+
+
 def buckets(total_bytes: int, hashes_per_word: float = 1.0, most: int = BUCKET_HASHES) -> int:
     return max(1, int(total_bytes / _BYTES_PER_WORD * hashes_per_word / most) + 1)
 

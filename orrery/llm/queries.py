@@ -149,11 +149,7 @@ WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text,
 g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(len(w), 3) - 1), ' ') AS s
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-h AS (SELECT g.doc_id, s, n, row_number() OVER (PARTITION BY g.doc_id ORDER BY c, s) AS k
-      FROM g JOIN n USING (doc_id) JOIN (SELECT s, count(*) AS c FROM g GROUP BY s) USING (s)),
-f AS (SELECT doc_id, s FROM h WHERE k <= n - ceil(0.9 * n) + 2),
-c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f AS a JOIN f AS b USING (s) WHERE a.doc_id < b.doc_id),
-i AS (SELECT c.a, c.b, count(*) AS i FROM c JOIN g AS x ON x.doc_id = c.a JOIN g AS y ON y.doc_id = c.b AND x.s = y.s GROUP BY c.a, c.b),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g AS x JOIN g AS y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL),
 l AS (SELECT i.a, i.b FROM i JOIN n AS x ON x.doc_id = i.a JOIN n AS y ON y.doc_id = i.b WHERE 100 * i.i >= 90 * (x.n + y.n - i.i)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT DISTINCT a AS v, a AS t FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.t = e.a)
