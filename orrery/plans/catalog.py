@@ -363,25 +363,27 @@ def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     return graph.stats(_edges(spark, sf), "s", "t", 1_000_000)
 
 
-_STAGE_ROWS = [("input", []), ("update", ["input"]), ("select", ["update"]), ("terrain", ["update"]), ("cull", ["select", "terrain"]), ("shadow", ["cull"]), ("depth", ["cull"]), ("draw", ["shadow", "depth"]), ("blend", ["draw"]), ("pick", ["draw"]), ("post", ["blend"]), ("present", ["post", "pick"])]
-_STAGE_SQL = "s(id, d) AS (VALUES " + ", ".join(f"('{i}', {d if d else '[]::VARCHAR[]'})" for i, d in _STAGE_ROWS) + "), e AS (SELECT unnest(d) AS f, id AS t FROM s)"
+_STAGE_SQL = "s(id, d) AS (SELECT 'p' || p_partkey, CASE WHEN p_partkey > 0 THEN list_distinct(['p' || (p_partkey // 10), 'p' || (p_partkey // 7)]) ELSE []::VARCHAR[] END FROM part), e AS (SELECT unnest(d) AS f, id AS t FROM s)"
 
 
-def _stage_rows(spark: SparkSession) -> DataFrame:
-    return _values(spark, _STAGE_ROWS, "id string, dependsOn array<string>")
+def _stage_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part as a stage that depends on the parts of a tenth and a seventh of its number."""
+    k = F.col("p_partkey")
+    on = lambda n: F.concat(F.lit("p"), F.floor(k / n).cast("string"))
+    return _read(spark, sf, "part", "p_partkey").select(F.concat(F.lit("p"), k.cast("string")).alias("id"), F.when(k > 0, F.array_distinct(F.array(on(10), on(7)))).otherwise(F.array().cast("array<string>")).alias("dependsOn"))
 
 
 @query(f"WITH RECURSIVE {_STAGE_SQL}, r AS (SELECT id, 0 AS level FROM s WHERE len(d) = 0 UNION SELECT e.t, r.level + 1 FROM r JOIN e ON e.f = r.id) SELECT id, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY id")
 def dag_toposort(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.topological_levels(_stage_rows(spark))
+    return graph.topological_levels(_stage_rows(spark, sf))
 
 
 @query(f"""
-WITH RECURSIVE {_STAGE_SQL}, u AS (SELECT f AS id FROM e WHERE t = 'draw' UNION SELECT e.f FROM u JOIN e ON e.t = u.id), w AS (SELECT t AS id FROM e WHERE f = 'cull' UNION SELECT e.t FROM w JOIN e ON e.f = w.id)
-SELECT id, 'before draw' AS side FROM u UNION ALL SELECT id, 'after cull' FROM w""")
+WITH RECURSIVE {_STAGE_SQL}, u AS (SELECT f AS id FROM e WHERE t = 'p199' UNION SELECT e.f FROM u JOIN e ON e.t = u.id), w AS (SELECT t AS id FROM e WHERE f = 'p2' UNION SELECT e.t FROM w JOIN e ON e.f = w.id)
+SELECT id, 'before p199' AS side FROM u UNION ALL SELECT id, 'after p2' FROM w""")
 def stage_deps(spark: SparkSession, sf: str) -> DataFrame:
-    s = _stage_rows(spark)
-    return graph.reachable(s, "draw", down=False).withColumn("side", F.lit("before draw")).unionByName(graph.reachable(s, "cull", down=True).withColumn("side", F.lit("after cull")))
+    s = _stage_rows(spark, sf)
+    return graph.reachable(s, "p199", down=False).withColumn("side", F.lit("before p199")).unionByName(graph.reachable(s, "p2", down=True).withColumn("side", F.lit("after p2")))
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
@@ -426,11 +428,11 @@ def normalise_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-WITH q AS (SELECT conv_id * 1000 + turn AS query_id, 'Since 1.' || (100 + turn) || ' ' || text AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+WITH q AS (SELECT conv_id * 1000 + turn AS query_id, 'Since 1.' || (100 + turn) || ' ' || coalesce(text, '') AS q FROM conversations)
 SELECT DISTINCT query_id, 'version' AS type, unnest(regexp_extract_all(q, '1\.\d{2,3}(?:\.\d+)?')) AS value FROM q""")
 def entities(spark: SparkSession, sf: str) -> DataFrame:
-    turns = _read(spark, sf, "conversations").where("role = 'user' and text is not null")
-    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("Since 1."), (100 + F.col("turn")).cast("string"), F.lit(" "), "text").alias("question"))
+    turns = _read(spark, sf, "conversations")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("Since 1."), (100 + F.col("turn")).cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("question"))
     return matching.entities(asked).where("type = 'version'").select("query_id", "type", "value").distinct()
 
 
@@ -638,7 +640,7 @@ def intent_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SKILLS = [("debug", ["thand", "erst"]), ("performance", ["ing the"]), ("shader", ["und", "der"]), ("api", ["que", "de la"]), ("general", ["the"])]
-_TURNS = "SELECT conv_id * 1000 + turn AS query_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL"
+_TURNS = "SELECT conv_id * 1000 + turn AS query_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS q FROM conversations"
 
 
 @query(f"""
@@ -647,8 +649,8 @@ x AS (SELECT query_id, id, o, CASE WHEN id = 'general' THEN 0 ELSE len(list_filt
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, o) AS k FROM x)
 SELECT query_id, CASE WHEN n > 0 THEN id ELSE 'general' END AS skill, round(floor(CASE WHEN w > 0 THEN least(n / w, 1.0) ELSE 0 END * 100 + 0.5) / 100, 6) AS confidence FROM r WHERE k = 1""")
 def skill_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    asked = _read(spark, sf, "conversations").where("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), low.alias("question"))
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    asked = _read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), low.alias("question"))
     skills = _values(spark, [(i, k, o) for o, (i, k) in enumerate(_SKILLS)], "id string, triggerKeywords array<string>, ordinal int")
     none = _values(spark, [], "query_id long, type string, value string, position int")
     return matching.dispatch(asked, skills, none).select("query_id", "skill", F.round("confidence", 6).alias("confidence"))

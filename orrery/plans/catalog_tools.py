@@ -126,16 +126,17 @@ def resolve_by_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 {_MATCH}, m AS ({_SCORED}), y AS (SELECT m.query_id, m.score, m.o, unnest(rel) AS name, generate_subscripts(rel, 1) AS n FROM m JOIN p ON p.id = m.id),
-b AS (SELECT query_id, name, min((-score, o, n)) AS pos FROM y GROUP BY query_id, name), s AS (SELECT l_orderkey * 8 + l_linenumber AS id, CASE l_linenumber WHEN 1 THEN 'The' WHEN 2 THEN 'Der' WHEN 3 THEN 'La' WHEN 4 THEN 'Des' ELSE 'none' END AS name, l_quantity FROM lineitem WHERE l_orderkey < 40),
+b AS (SELECT query_id, name, min((-score, o, n)) AS pos FROM y GROUP BY query_id, name), s AS (SELECT l_orderkey * 8 + l_linenumber AS id, CASE (l_orderkey * 8 + l_linenumber) % 2003 WHEN 1 THEN 'The' WHEN 2 THEN 'Der' WHEN 3 THEN 'La' WHEN 4 THEN 'Des' ELSE 'none' END AS name, l_quantity FROM lineitem),
 j AS (SELECT query_id, id, name, l_quantity, row_number() OVER (PARTITION BY query_id, id ORDER BY pos) AS r FROM b JOIN s USING (name)), c AS (SELECT id, 'code ' || id AS code FROM s WHERE l_quantity > 10)
-SELECT query_id, j.id, name, code FROM j JOIN c ON c.id = j.id WHERE r = 1 AND query_id % 10 = 0""")
+SELECT query_id, j.id, name, code FROM j JOIN c ON c.id = j.id WHERE r = 1""")
 def pattern_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols that a question's patterns name, each once, with their source where there is one."""
     found = matching.match_patterns(_plain_questions(spark, sf), _patterns(spark))
-    name = F.when(F.col("l_linenumber") == 1, "The").when(F.col("l_linenumber") == 2, "Der").when(F.col("l_linenumber") == 3, "La").when(F.col("l_linenumber") == 4, "Des").otherwise("none")
-    rows = _read(spark, sf, "lineitem").where("l_orderkey < 40").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), name.alias("name"), "l_quantity")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    name = F.when(key % 2003 == 1, "The").when(key % 2003 == 2, "Der").when(key % 2003 == 3, "La").when(key % 2003 == 4, "Des").otherwise("none")
+    rows = _read(spark, sf, "lineitem").select(key.alias("id"), name.alias("name"), "l_quantity")
     code = rows.where("l_quantity > 10").select("id", F.concat(F.lit("code "), F.col("id").cast("string")).alias("code"))
-    return matching.related_symbols(found, rows).join(code, "id").where("query_id % 10 = 0").select("query_id", "id", "name", "code")
+    return matching.related_symbols(found, rows).join(code, "id").select("query_id", "id", "name", "code")
 
 
 @query("""
@@ -324,15 +325,15 @@ def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT 'issue:' || o_orderkey AS id, 'issue' AS type, CAST(0.5 AS DOUBLE) AS importance, 384 AS width FROM orders WHERE o_orderkey % 50 = 0
-UNION ALL SELECT 'pattern:' || p_partkey, 'pattern', CASE WHEN p_size % 3 = 0 THEN 3.0 WHEN p_size % 3 = 1 THEN 2.0 ELSE 1.0 END, 384 FROM part WHERE p_partkey % 20 = 0
+SELECT 'issue:' || o_orderkey AS id, 'issue' AS type, CAST(0.5 AS DOUBLE) AS importance, 384 AS width FROM orders
+UNION ALL SELECT 'pattern:' || p_partkey, 'pattern', CASE WHEN p_size % 3 = 0 THEN 3.0 WHEN p_size % 3 = 1 THEN 2.0 ELSE 1.0 END, 384 FROM part
 UNION ALL SELECT 'stage:' || n_nationkey, 'stage', CASE WHEN n_nationkey % 2 = 0 THEN 3.0 ELSE 1.0 END, 384 FROM nation""")
 def embedded_points(spark: SparkSession, sf: str) -> DataFrame:
     """Points of issues, patterns and stages, embedded in batches by the encoder that comes with the engine."""
     empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
-    issues = _feeds(spark, sf)[0].where("id % 50 = 0")
+    issues = _feeds(spark, sf)[0]
     k, n, s = F.col("p_partkey"), F.col("n_nationkey"), F.col("p_size") % 3
-    patterns = _read(spark, sf, "part").where(k % 20 == 0).select(k.cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.when(s == 0, "high").when(s == 1, "medium").otherwise("low").alias("severity"), *[empty.alias(c) for c in ("aliases", "triggerKeywords", "symptoms", "possibleCauses")])
+    patterns = _read(spark, sf, "part").select(k.cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.when(s == 0, "high").when(s == 1, "medium").otherwise("low").alias("severity"), *[empty.alias(c) for c in ("aliases", "triggerKeywords", "symptoms", "possibleCauses")])
     stages = _read(spark, sf, "nation").select(n.cast("string").alias("id"), F.col("n_name").alias("name"), none.alias("description"), empty.alias("keySymbols"), empty.alias("symptomHints"), (n % 2 == 0).alias("perfHotspot"))
     points = vectors.knowledge_points(None, issues, patterns, stages)
     return points.select("id", "type", "importance", F.size("vector").alias("width"))
@@ -375,13 +376,13 @@ def all_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id AS query_id, text AS q FROM documents WHERE text IS NOT NULL), n AS (SELECT DISTINCT regexp_extract(text, '[A-Z][a-zA-Z]{2,}') AS name FROM documents WHERE doc_id % 7 = 0),
+WITH d AS (SELECT doc_id AS query_id, text AS q FROM documents WHERE text IS NOT NULL), n AS (SELECT DISTINCT regexp_extract(text, '[A-Z][a-zA-Z]{2,}') AS name FROM documents),
 c AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(q, '[A-Z][a-zA-Z]{2,}')) AS value FROM d), t AS (SELECT query_id, split_part(x, '.', 1) AS value FROM (SELECT query_id, unnest(regexp_extract_all(q, '[A-Z][a-zA-Z]+\\.[a-zA-Z]+')) AS x FROM d))
 SELECT query_id, value FROM c WHERE value IN (SELECT name FROM n) UNION SELECT query_id, value FROM t""")
 def symbol_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Names in questions that symbols have, and classes of members."""
     docs = _read(spark, sf, "documents", "doc_id", "text").where("text is not null")
-    names = docs.where("doc_id % 7 = 0").select(F.regexp_extract("text", text.CAMEL_CASE, 0).alias("name")).distinct()
+    names = docs.select(F.regexp_extract("text", text.CAMEL_CASE, 0).alias("name")).distinct()
     found = matching.entities(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), None, None, names)
     return found.where("type = 'symbol'").select("query_id", "value")
 
@@ -410,14 +411,14 @@ def skill_dispatch_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT n_nationkey AS query_id, CASE n_nationkey % 5 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'r' WHEN 2 THEN 'Widget' WHEN 3 THEN ' ' ELSE 'zzz' END AS q FROM nation), h AS (SELECT query_id, p_partkey, p_name, p_type, p_brand FROM q JOIN part ON contains(lower(p_name), lower(q)) WHERE p_partkey % 40 = 0)
+WITH q AS (SELECT n_nationkey AS query_id, CASE n_nationkey % 5 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'r' WHEN 2 THEN 'Widget' WHEN 3 THEN ' ' ELSE 'zzz' END AS q FROM nation), h AS (SELECT query_id, p_partkey, p_name, p_type, p_brand FROM q JOIN part ON contains(lower(p_name), lower(q)))
 SELECT query_id, 'shader/' || p_partkey AS source, 'Shader Symbol: ' || p_name || ' (' || p_type || ') in ' || p_brand AS description, CAST(0.36 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p_name, 'shader/' || p_partkey) AS INTEGER) AS rank FROM h""")
 def shader_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Shaders whose name holds a short question, as evidence."""
     k, p = F.col("n_nationkey"), F.col("p_partkey")
     asks = F.array(*[F.lit(x) for x in ("SMALL", "r", "Widget", " ", "zzz")])
     asked = _read(spark, sf, "nation").select(k.alias("query_id"), F.get(asks, k % 5).alias("question"))
-    shaders = _read(spark, sf, "part").where(p % 40 == 0).select(F.concat(F.lit("shader/"), p.cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("file"))
+    shaders = _read(spark, sf, "part").select(F.concat(F.lit("shader/"), p.cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("file"))
     found = evidence.rank(evidence.collect(asked, _patterns(spark), shaders))
     return found.where("type = 'shader'").select("query_id", "source", "description", F.round("score", 6).alias("score"), "rank")
 
