@@ -42,6 +42,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stored(frame: DataFrame, what: str) -> DataFrame:
+    """Written below the shared folder and read back: later steps neither compute it again nor carry its plan."""
+    path = scratch(frame.sparkSession, what)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def few_splits(frame: DataFrame) -> DataFrame:
     """``frame`` dealt over all cores where its source has fewer splits than there are cores, as one small file has; else as it is."""
     cores = frame.sparkSession.sparkContext.defaultParallelism

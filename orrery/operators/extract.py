@@ -2,7 +2,7 @@
 
 Files are scanned one by one in Python, since the scans carry state from line to line; names are then resolved by joins. The script
 scanner reads tokens and braces, not types: it covers classes and their methods, functions, prototype methods, tagged aliases and
-enums, exports and imports, and the call forms `new X()`, `this.m()`, `X.m()` and `value.m()`.
+enums, exports and imports, and the call forms `new X()`, `this.m()`, `X.m()` and `value.m()`; the type of a value is found by `types`.
 
 Defined cases: files without content have no symbols; source that does not close its braces, comments or strings is read to its end;
 of symbols with equal ids the last in the file stays; names that several classes have resolve to none; a file must fit one task.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 
 SYMBOL_ROWS = "path string, ordinal int, name string, kind string, start_line int, end_line int, doc_comment string, parent_class string, exports array<string>, imports array<string>, code string"
-CALL_ROWS = "path string, ordinal int, enclosing string, enclosing_class string, form string, object string, member string"
+CALL_ROWS = "path string, ordinal int, enclosing string, enclosing_class string, form string, object string, member string, place int"
 SHADER_ROWS = "path string, ordinal int, name string, type string, file string, source string, doc_comment string, start_line int, end_line int"
 
 _NAME = r"[A-Za-z_$][\w$]*"
@@ -109,7 +109,8 @@ def tagged(doc: str | None, tag: str) -> str | None:
 def script_symbols(source: str) -> list[dict]:
     """Symbols of one script, in the order: classes and methods, functions, variables, prototype methods."""
     code = masked(source)
-    line = lambda at: source.count("\n", 0, at) + 1
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    line = lambda at: bisect_right(starts, at)
     lines = source.split("\n")
     imports = re.findall(r"""^\s*import\b[^;]*?["']([^"']+)["']""", source, re.M)
     exported: list[str] = []
@@ -179,7 +180,8 @@ def script_symbols(source: str) -> list[dict]:
 def script_calls(source: str) -> list[dict]:
     """Calls in one script with the function or method around them; a bare call has the form `bare`."""
     code = masked(source)
-    line_at = lambda at: source.count("\n", 0, at) + 1
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    line_at = lambda at: bisect_right(starts, at)
     around = sorted((s["start_line"], -s["end_line"], s["name"], s["parent_class"]) for s in script_symbols(source) if s["kind"] in ("method", "function", "class", "constant"))
     for m in re.finditer(rf"^(?:async\s+)?function\s+({_NAME})\s*\(", code, re.M):
         body = code.find("{", close_of(code, m.end() - 1, "()"))
@@ -203,7 +205,7 @@ def script_calls(source: str) -> list[dict]:
             if m.group(4) in _NOT_METHODS | {"super"} or re.search(r"(?:function|new)\s*\*?\s*$", code[max(0, m.start() - 40) : m.start()]) or re.match(r"[^()]*\)\s*\{", code[m.end() :]):
                 continue
             kind, object_, member = "bare", None, m.group(4)
-        out.append({"enclosing": inner[2] if inner else None, "enclosing_class": inner[3] if inner else None, "form": kind, "object": object_, "member": member})
+        out.append({"enclosing": inner[2] if inner else None, "enclosing_class": inner[3] if inner else None, "form": kind, "object": object_, "member": member, "place": m.start()})
     return [c | {"ordinal": i} for i, c in enumerate(out)]
 
 
@@ -370,8 +372,14 @@ def method_owners(found: DataFrame) -> DataFrame:
     return found.where("kind = 'method' and parent_class is not null").groupBy("name").agg(F.sort_array(F.collect_set("parent_class")).alias("owners"))
 
 
-def call_edges(files: DataFrame, found: DataFrame) -> DataFrame:
-    """Edges of calls whose both ends are known: construct, call and static_call; each once."""
+def call_edges(files: DataFrame, found: DataFrame, typed: bool = True) -> DataFrame:
+    """Edges of calls whose both ends are known: construct, call and static_call; each once.
+
+    A call on a value goes to the class that it names; else to the method of the value's type, if `typed` (see `types`); else to the only class that
+    has a method of that name.
+    """
+    from . import types
+
     calls = _each(files, lambda c, p: script_calls(c), CALL_ROWS).where("form <> 'bare' and enclosing is not null")
     known = symbol_map(found).select("key", "id", "name", "parent_class").persist()
     source = known.select(F.col("key").alias("__from"), F.col("id").alias("source_id"), F.col("key").alias("source_name"))
@@ -381,11 +389,18 @@ def call_edges(files: DataFrame, found: DataFrame) -> DataFrame:
     rows = calls.withColumn("__from", here).join(source, "__from")
     direct = F.when(F.col("form") == "new", F.col("object")).when(F.col("form") == "this", F.concat_ws(".", "enclosing_class", "member")).otherwise(F.concat_ws(".", "object", "member"))
     exact = rows.withColumn("__to", direct).join(target, "__to", "left")
-    guess = F.when((F.col("form") == "member") & F.col("target_id").isNull() & F.col("__owner").isNotNull(), F.concat_ws(".", "__owner", "member"))
+    if typed:
+        told, above = types.call_types(files)
+        open_calls = exact.where("target_id is null and form <> 'new'").select("path", "place", "member").join(told, ["path", "place"])
+        exact = exact.join(types.targets(open_calls, above, known), ["path", "place"], "left")
+    else:
+        exact = exact.withColumns({"typed_id": F.lit(None).cast("string"), "typed_name": F.lit(None).cast("string")})
+    guess = F.when((F.col("form") == "member") & F.coalesce("target_id", "typed_id").isNull() & F.col("__owner").isNotNull(), F.concat_ws(".", "__owner", "member"))
     again = exact.join(owners, "member", "left").withColumn("__guess", guess).join(target.select(F.col("__to").alias("__guess"), F.col("target_id").alias("__id")), "__guess", "left")
     upper = F.substring("object", 1, 1).rlike("[A-Z]")
     kind = F.when(F.col("form") == "new", "construct").when((F.col("form") == "member") & F.col("target_id").isNotNull() & upper, "static_call").otherwise("call")
-    edges = again.select("source_id", F.coalesce("target_id", "__id").alias("target_id"), "source_name", F.when(F.col("target_id").isNotNull(), F.col("__to")).otherwise(F.col("__guess")).alias("target_name"), kind.alias("edge_type"), F.lit(1.0).alias("weight"))
+    name = F.when(F.col("target_id").isNotNull(), F.col("__to")).when(F.col("typed_id").isNotNull(), F.col("typed_name")).otherwise(F.col("__guess"))
+    edges = again.select("source_id", F.coalesce("target_id", "typed_id", "__id").alias("target_id"), "source_name", name.alias("target_name"), kind.alias("edge_type"), F.lit(1.0).alias("weight"))
     return edges.where("target_id is not null").dropDuplicates(["source_id", "target_id", "edge_type"])
 
 

@@ -252,7 +252,7 @@ class Index:
         begins = spread.groupBy("unit", "length", "block", "doc_id", "dl", F.col("place.col").alias("col"), (F.col("place.pos") - F.col("step")).alias("begin")).agg(F.count(F.lit(1)).alias("steps"))
         held = self._present(begins.where("steps = length"), state).groupBy("unit", "block", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
         found = held.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("documents"))
-        return _stored(found.withColumn("peaks", peaks("documents")), "phrases")
+        return folders.stored(found.withColumn("peaks", peaks("documents")), "phrases")
 
     def search(self, questions: DataFrame, limit: int = 10, key: str = "query_id", text: str = "question", condition: DataFrame | None = None, report: bool = False) -> DataFrame:
         """(`key`, rank from 1, the index's key, score) of each question's best documents; those of `condition` only, if these keys are given.
@@ -260,7 +260,7 @@ class Index:
         With `report` instead a row for each question: the blocks that hold all its words, and how many of them were scored first and later.
         """
         state = self.state()
-        asked = _stored(fts.asked(questions, key, text), "asked")
+        asked = folders.stored(fts.asked(questions, key, text), "asked")
         needed = asked.groupBy("q").agg(F.countDistinct("unit").alias("units"))
         heads = self._scanned("heads", state, asked.where(F.size("terms") == 1).select(F.col("unit").alias("term")).distinct())
         own_key = self.spark.read.parquet(f"{self.root}/docs/segment={next(iter(state.segments))}").schema["doc_id"].dataType if state.segments else None
@@ -274,11 +274,11 @@ class Index:
         if long is not None:
             heads = heads.unionByName(long.select("unit", "block", "n", "peaks"))
         heads = heads.groupBy("unit", "block").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("peaks")).alias("peaks")).where("n > 0")
-        heads = _stored(heads, "heads")
+        heads = folders.stored(heads, "heads")
 
         documents, mean = float(state.documents), state.mean_length
         idf = heads.groupBy("unit").agg(F.sum("n").cast("double").alias("df")).select("unit", fts.weight(F.col("df"), F.lit(documents)).alias("idf"))
-        weighed = _stored(asked.join(idf, "unit").select("q", "phrase", "unit", "idf"), "weighed")
+        weighed = folders.stored(asked.join(idf, "unit").select("q", "phrase", "unit", "idf"), "weighed")
 
         def part(idf: Column, tf: Column, dl: Column) -> Column:
             return fts.part(idf, tf, dl, F.lit(mean))
@@ -287,7 +287,7 @@ class Index:
         bounds = weighed.join(heads, "unit").select("q", "block", "unit", "n", most.alias("most"))
         bounds = bounds.groupBy("q", "block").agg(F.sum("most").alias("bound"), F.countDistinct("unit").alias("held"), F.min("n").alias("n")).join(needed, "q").where("held = units")
         ahead = Window.partitionBy("q").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
-        bounds = _stored(bounds.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select("q", "block", "bound", (F.col("before") < 2 * limit).alias("first")), "bounds")
+        bounds = folders.stored(bounds.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select("q", "block", "bound", (F.col("before") < 2 * limit).alias("first")), "bounds")
 
         units = weighed.groupBy("q", "unit", "idf").agg(F.collect_list("phrase").alias("phrases"))
         chosen = None if condition is None else condition.select(F.col(self.key).alias("doc_id")).distinct()
@@ -311,11 +311,11 @@ class Index:
         def best(rows: DataFrame) -> DataFrame:
             return rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "doc_id"))).where(F.col("rank") <= limit)
 
-        first = _stored(best(scored(bounds.where("first"))), "first")
+        first = folders.stored(best(scored(bounds.where("first"))), "first")
         kth = first.where(F.col("rank") == limit).select("q", (-F.col("score")).alias("kth"))
         # bounds are sums in another order than scores: what may be below by rounding alone is read
         later = bounds.where("not first").join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("bound") * (1 + 1e-9) >= F.col("kth"))).select("q", "block", "bound", "first")
-        later = _stored(later, "later")
+        later = folders.stored(later, "later")
         if report:
             counts = bounds.groupBy("q").agg(F.count(F.lit(1)).alias("blocks"), F.count_if("first").alias("first"))
             return counts.join(later.groupBy("q").agg(F.count(F.lit(1)).alias("later")), "q", "left").select(F.col("q").alias(key), "blocks", "first", F.coalesce("later", F.lit(0)).alias("later"))
@@ -329,10 +329,3 @@ def _bucket(term: str) -> int:
     import zlib
 
     return zlib.crc32(term.encode()) % BUCKETS
-
-
-def _stored(frame: DataFrame, what: str) -> DataFrame:
-    """Written to the shared folder and read back, so that later steps neither compute it again nor lose it."""
-    path = folders.scratch(frame.sparkSession, what)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -21,13 +21,6 @@ if TYPE_CHECKING:
 ISSUES_A_QUERY, EXPERIENCES, CALLEES, ISSUES_A_SYMBOL = 3, 5, 3, 5
 
 
-def stored(frame: DataFrame, what: str) -> DataFrame:
-    """Written to the shared folder and read back."""
-    path = folders.scratch(frame.sparkSession, what)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def with_section(packs: DataFrame, frame: DataFrame, name: str, columns: list[str], value: Column | None = None) -> DataFrame:
     """``packs`` with each question's rows as a list of structs in the order of their columns, or of one `value` of them; empty for none."""
     listed = frame.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
@@ -40,10 +33,10 @@ def with_section(packs: DataFrame, frame: DataFrame, name: str, columns: list[st
 def diagnoses(engine: KnowledgeEngine, questions: DataFrame, limit: int = 5, budget: int = 6000, hybrid: bool = False) -> DataFrame:
     """A pack for each row of query_id and question: patterns that match, and what they lead to, within the budget."""
     asked = questions.select("query_id", "question")
-    found = stored(matching.match_patterns(asked, engine.patterns, limit, engine.vector_scores_of(asked) if hybrid else None), "matches")
+    found = folders.stored(matching.match_patterns(asked, engine.patterns, limit, engine.vector_scores_of(asked) if hybrid else None), "matches")
     order = F.struct((-F.col("score")).alias("s"), "ordinal")
     listed = lambda c: found.select("query_id", order.alias("o"), F.posexplode(c).alias("n", "value")).groupBy("query_id", "value").agg(F.min(F.struct("o", "n")).alias("at"))
-    symbols = stored(matching.related_symbols(found, engine.tables["symbols"]), "symbols")
+    symbols = folders.stored(matching.related_symbols(found, engine.tables["symbols"]), "symbols")
     sources = symbols.select("query_id", "at", "id", "name").join(engine.tables["source_code"].select(F.col("symbol_id").alias("id"), "code"), "id")
     edges = symbols.select("query_id", F.col("id").alias("source_id")).join(engine.tables["call_edges"], "source_id")
     queries = listed("issueQueries").withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("at")) - 1)
@@ -70,8 +63,8 @@ def diagnoses(engine: KnowledgeEngine, questions: DataFrame, limit: int = 5, bud
 def context_packs(engine: KnowledgeEngine, symbols: DataFrame, depth: int = 2, budget: int = 5000) -> DataFrame:
     """A pack for each row of query (a symbol's name) that means a symbol: the symbol, its source and that of the nearest three of its callees that
     have source, its edges, and up to five issues about its class."""
-    found = stored(engine.resolve_many(symbols), "resolved").withColumnRenamed("query", "query_id")
-    edges = stored(graph.search_many(engine.tables["call_edges"], found.select("id"), depth), "edges")
+    found = folders.stored(engine.resolve_many(symbols), "resolved").withColumnRenamed("query", "query_id")
+    edges = folders.stored(graph.search_many(engine.tables["call_edges"], found.select("id"), depth), "edges")
     code = engine.tables["source_code"].select("symbol_id", F.col("name").alias("n"), "code")
     main = found.select("query_id", F.lit(0).alias("k"), F.col("id").alias("symbol_id")).join(code, "symbol_id")
     calls = edges.where(F.col("target_id") != F.col("root")).groupBy("root", F.col("target_id").alias("symbol_id")).agg(F.min("depth").alias("k")).join(code, "symbol_id")

@@ -591,3 +591,49 @@ def symbol_identities(spark: SparkSession, sf: str) -> DataFrame:
     moved = F.when(F.col("k") % 7 == 0, F.col("parent")).otherwise(F.concat("parent", F.lit("x")))
     rows = rows.withColumns({"a": text.identity("name", "kind", "parent", path), "b": text.identity("name", F.upper("kind"), moved, path)})
     return rows.select("k", "a.kind", "a.fqn", text.same_identity(F.col("a"), F.col("b")).alias("same"))
+
+
+# --- calls by types -------------------------------------------------------------------------------------------------
+
+_CLASS_FILE = """import { make~ } from "./~.js";
+export class C# {
+  constructor() { this.held = make~(); }
+  go() {
+    const a = this.held;
+    a.stop();
+    this.held.go();
+  }
+  stop() {
+  }
+}
+export function make#() { return new C#(); }
+"""
+_PROTOTYPE_FILE = """import { make~ as produce } from "./~.js";
+/** Made by prototypes.
+ * @alias C#
+ */
+function C#() { }
+C#.prototype.go = function() {
+  let first = produce();
+  let again = first;
+  again.stop();
+};
+C#.prototype.stop = function() { };
+export function make#() {
+  const made = new C#();
+  return made;
+}
+"""
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey // 3 AS j FROM part)
+SELECT 'make' || k AS source_name, 'C' || k AS target_name, 'construct' AS edge_type FROM p
+UNION ALL SELECT 'C' || k || '.go', 'C' || j || '.stop', 'call' FROM p UNION ALL SELECT 'C' || k || '.go', 'C' || j || '.go', 'call' FROM p WHERE k % 2 = 0""")
+def typed_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls between the classes of a file for each part; every class has the same methods, so only a value's type tells whose is called."""
+    k = F.col("p_partkey")
+    of = lambda body: F.replace(F.replace(F.lit(body), F.lit("#"), k.cast("string")), F.lit("~"), F.floor(k / 3).cast("string"))
+    files = _read(spark, sf, "part", "p_partkey").select(F.concat(F.lit("Source/P/"), k.cast("string"), F.lit(".js")).alias("path"), F.when(k % 2 == 0, of(_CLASS_FILE)).otherwise(of(_PROTOTYPE_FILE)).alias("content"))
+    files = folders.few_splits(files)
+    return extract.call_edges(files, extract.symbols(files).persist()).select("source_name", "target_name", "edge_type")
