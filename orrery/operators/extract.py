@@ -391,7 +391,7 @@ def call_edges(files: DataFrame, found: DataFrame, typed: bool = True) -> DataFr
     exact = rows.withColumn("__to", direct).join(target, "__to", "left")
     if typed:
         told, above = types.call_types(files)
-        open_calls = exact.where("target_id is null and form <> 'new'").select("path", "place", "member").join(told, ["path", "place"])
+        open_calls = exact.where("target_id is null and (form = 'member' or form = 'this' and enclosing_class is not null)").select("path", "place", "member").join(told, ["path", "place"])
         exact = exact.join(types.targets(open_calls, above, known), ["path", "place"], "left")
     else:
         exact = exact.withColumns({"typed_id": F.lit(None).cast("string"), "typed_name": F.lit(None).cast("string")})
