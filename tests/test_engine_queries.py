@@ -1,4 +1,4 @@
-"""Every issue query of the matched patterns is run, in the order of the patterns' ranks."""
+"""Every issue query of the matched patterns is run, in the order of the patterns' ranks; callees and scores are not cut early."""
 
 from __future__ import annotations
 
@@ -8,21 +8,44 @@ from orrery.plans.engine import KnowledgeEngine
 from orrery.sources import knowledge
 
 QUESTION = "surface flicker in the scene"
+ISSUES = "id long, number long, title string, body string, state string"
 
 
-def test_diagnosis_runs_all_issue_queries(spark, monkeypatch):
-    queries = [f"query {k}" for k in range(30, 0, -1)]
+def test_diagnosis_runs_all_issue_queries(spark):
+    queries = [f"query{k}" for k in range(30, 0, -1)]
     patterns = knowledge.patterns(spark).withColumn("issueQueries", F.array(*map(F.lit, [*queries, queries[3]])))
-    engine = KnowledgeEngine(spark, {}, patterns)
-    found = spark.createDataFrame([(1.0, 1, 1, "t", "b")], "score double, id long, number long, title string, body string")
-    search, asked = engine._search, []
-
-    def spy(table, key, columns, query, limit):
-        if table != "issues":
-            return search(table, key, columns, query, limit)
-        asked.append(query)
-        return found
-
-    monkeypatch.setattr(engine, "_search", spy)
-    assert engine.diagnose_problem(QUESTION).first()["related_issues"][0]["number"] == 1
-    assert asked == queries
+    issues = spark.createDataFrame([(k, k, f"query{k}", "b", "open") for k in range(1, 31)] + [(99, 99, "none of them", "b", "open")], ISSUES)
+    engine = KnowledgeEngine(spark, {"issues": issues}, patterns)
+    found = engine.diagnose_problem(QUESTION, budget=1_000_000).first()["related_issues"]
+    assert [r["number"] for r in found] == list(range(30, 0, -1))
+
+
+def test_many_packs_are_those_of_single_calls(spark, tmp_path):
+    symbols = spark.createDataFrame([(f"s{i}", f"Name{i}", "function", "f.js", 1, 2, "doc", ["e"], ["i"], None if i else "Owner") for i in range(8)], "id string, name string, kind string, file_path string, start_line int, end_line int, doc_comment string, exports array<string>, imports array<string>, parent_class string")
+    # the two nearest callees of s1 have no source: they use up no place
+    edges = spark.createDataFrame([("s1", f"s{i}", "a", "b", "call", 1.0) for i in (2, 3, 4, 5)] + [("s5", "s6", "a", "b", "call", 1.0), ("s1", "s1", "a", "a", "call", 1.0)], "source_id string, target_id string, source_name string, target_name string, edge_type string, weight double")
+    source = spark.createDataFrame([(f"s{i}", f"Name{i}", f"code {i}") for i in (1, 4, 5, 6, 7)], "symbol_id string, name string, code string")
+    issues = spark.createDataFrame([(k, k, f"Name{k % 3} surface", "flicker", "open") for k in range(12)], ISSUES)
+    tables = {"symbols": symbols, "call_edges": edges, "source_code": source, "issues": issues}
+    engine, stored = KnowledgeEngine(spark, tables), KnowledgeEngine(spark, tables, index_root=f"file://{tmp_path}")
+    assert [r["code"] for r in engine.build_context_pack("Name1").first()["source"]] == ["code 1", "code 4", "code 5", "code 6"]
+    names = spark.createDataFrame([("Name1",), ("Name5",), ("Owner.Name0",), ("name2",), ("nothing",), (None,)], "query string")
+    many = {r["query_id"]: r.asDict() for r in engine.build_context_packs(names).collect()}
+    assert set(many) == {"Name1", "Name5", "Owner.Name0", "name2"} and many["name2"]["symbol"]["id"] == "s2"
+    for name in ("Name1", "Owner.Name0"):
+        assert many[name] == engine.build_context_pack(name).first().asDict() | {"query_id": name}
+    asked = spark.createDataFrame([(1, QUESTION), (2, "nothing at all"), (3, None), (4, "z-fighting flicker")], "query_id long, question string")
+    packs = {r["query_id"]: r.asDict() for r in engine.diagnose_many(asked).collect()}
+    assert set(packs) == {1, 2, 3, 4} and packs[2]["matched_patterns"] == packs[3]["matched_patterns"] == []
+    assert packs[1] == engine.diagnose_problem(QUESTION).first().asDict() | {"query_id": 1}
+    assert packs == {r["query_id"]: r.asDict() for r in stored.diagnose_many(asked).collect()}
+
+
+def test_hybrid_scores_are_those_of_all_patterns(spark):
+    points = spark.createDataFrame([(f"pattern:{i:05d}", f"pattern:{i:05d}", "pattern", [1.0, float(i)]) for i in range(1200)] + [("x", "x", "stage", [1.0, 0.0])], "id string, node_id string, type string, vector array<double>")
+    engine = KnowledgeEngine(spark, {"vectors": points}, encoder=lambda texts: [[1.0, 0.0] for _ in texts])
+    one = {r["id"]: round(r["vector_score"], 9) for r in engine.vector_scores("anything").collect()}
+    assert len(one) == 1200 and min(one, key=one.get) == "01199"
+    asked = spark.createDataFrame([("a", "anything"), ("b", None)], "query_id string, question string")
+    many = engine.vector_scores_of(asked).collect()
+    assert {(r["query_id"], r["id"]): round(r["vector_score"], 9) for r in many} == {(q, i): s for q in "ab" for i, s in one.items()}
