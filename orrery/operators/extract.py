@@ -19,58 +19,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, folders, text
 
 SYMBOL_ROWS = "path string, ordinal int, name string, kind string, start_line int, end_line int, doc_comment string, parent_class string, exports array<string>, imports array<string>, code string"
 CALL_ROWS = "path string, ordinal int, enclosing string, enclosing_class string, form string, object string, member string, place int"
 SHADER_ROWS = "path string, ordinal int, name string, type string, file string, source string, doc_comment string, start_line int, end_line int"
 
+#: Characters of source whose rows a worker holds at a time.
+_SLICE = 1 << 18
+
 _NAME = r"[A-Za-z_$][\w$]*"
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "constructor", "function", "return", "with"}
 
 
+#: Comments and strings; what does not close goes to the end of the text, or of the line.
+_HIDDEN = re.compile(r"""(//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(["'])((?:\\[\s\S]?|(?!\2)[^\\\n])*)(\2?)|`((?:\\[\s\S]?|[^`\\])*)(`?)""")
+_VISIBLE = re.compile(r"[^\n]")
+_BRACKETS = {pair: re.compile(f"[{re.escape(pair)}]") for pair in ("{}", "()", "[]")}
+
+
 def masked(source: str) -> str:
     """The text with comments and the insides of strings blanked, line by line in place."""
-    out, i, n = list(source), 0, len(source)
-
-    def blank(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
-    while i < n:
-        two = source[i : i + 2]
-        if two == "//":
-            end = source.find("\n", i)
-            end = n if end < 0 else end
-            blank(i, end)
-            i = end
-        elif two == "/*":
-            end = source.find("*/", i + 2)
-            end = n if end < 0 else end + 2
-            blank(i, end)
-            i = end
-        elif source[i] in "\"'`":
-            quote, k = source[i], i + 1
-            while k < n and source[k] != quote and not (source[k] == "\n" and quote != "`"):
-                k += 2 if source[k] == "\\" else 1
-            blank(i + 1, k)
-            i = k + 1
-        else:
-            i += 1
-    return "".join(out)
+    def blank(m: re.Match) -> str:
+        comment, quote, inner, closing, template, end = m.groups()
+        if comment is not None:
+            return _VISIBLE.sub(" ", comment)
+        return quote + _VISIBLE.sub(" ", inner) + closing if quote else "`" + _VISIBLE.sub(" ", template) + end
+
+    return _HIDDEN.sub(blank, source)
 
 
 def close_of(code: str, at: int, pair: str = "{}") -> int:
     """Place of the bracket that closes the one at `at`; the end of the text if none does."""
     depth = 0
-    for k in range(at, len(code)):
-        if code[k] == pair[0]:
+    for m in _BRACKETS[pair].finditer(code, at):
+        if m.group() == pair[0]:
             depth += 1
-        elif code[k] == pair[1]:
+        else:
             depth -= 1
             if not depth:
-                return k
+                return m.start()
     return len(code) - 1
 
 
@@ -323,11 +311,19 @@ def shader_symbols(source: str, path: str) -> list[dict]:
 
 
 def _each(files: DataFrame, scan, schema: str) -> DataFrame:  # noqa: ANN001
+    """Rows of all files' scans; a worker holds those of some `_SLICE` characters of source at a time."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [{"path": p} | r for p, c in zip(f.path, f.content, strict=True) if isinstance(c, str) for r in scan(c, p)]
+            rows, held = [], 0
+            for p, c in zip(f.path, f.content, strict=True):
+                if isinstance(c, str):
+                    rows += [{"path": p} | r for r in scan(c, p)]
+                    held += len(c)
+                if held > _SLICE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, schema)
@@ -372,31 +368,39 @@ def method_owners(found: DataFrame) -> DataFrame:
     return found.where("kind = 'method' and parent_class is not null").groupBy("name").agg(F.sort_array(F.collect_set("parent_class")).alias("owners"))
 
 
-def call_edges(files: DataFrame, found: DataFrame, typed: bool = True) -> DataFrame:
+def calls_of(files: DataFrame) -> DataFrame:
+    """All calls of the files, scanned once and stored."""
+    return folders.stored(_each(files, lambda c, p: script_calls(c), CALL_ROWS), "calls")
+
+
+def call_edges(files: DataFrame, found: DataFrame, typed: bool = True, calls: DataFrame | None = None) -> DataFrame:
     """Edges of calls whose both ends are known: construct, call and static_call; each once.
 
+    Symbols and calls (`calls_of`, if they are at hand) are as many as the files, so all joins are by sorting: none is sent to the driver and all executors.
+
     A call on a value goes to the class that it names; else to the method of the value's type, if `typed` (see `types`); else to the only class that
     has a method of that name.
     """
     from . import types
 
-    calls = _each(files, lambda c, p: script_calls(c), CALL_ROWS).where("form <> 'bare' and enclosing is not null")
-    known = symbol_map(found).select("key", "id", "name", "parent_class").persist()
-    source = known.select(F.col("key").alias("__from"), F.col("id").alias("source_id"), F.col("key").alias("source_name"))
-    target = known.select(F.col("key").alias("__to"), F.col("id").alias("target_id"))
-    owners = method_owners(found).where(F.size("owners") == 1).select(F.col("name").alias("member"), F.col("owners")[0].alias("__owner"))
+    calls = (calls_of(files) if calls is None else calls).where("form <> 'bare' and enclosing is not null")
+    found = folders.stored(found.select("id", "name", "kind", "file_path", "start_line", "parent_class"), "symbols")
+    known = folders.stored(symbol_map(found).select("key", "id", "name", "parent_class"), "names").hint("merge")
+    source = known.select(F.col("key").alias("__from"), F.col("id").alias("source_id"), F.col("key").alias("source_name")).hint("merge")
+    target = known.select(F.col("key").alias("__to"), F.col("id").alias("target_id")).hint("merge")
+    owners = method_owners(found).where(F.size("owners") == 1).select(F.col("name").alias("member"), F.col("owners")[0].alias("__owner")).hint("merge")
     here = F.when(F.col("enclosing_class").isNotNull(), F.concat_ws(".", "enclosing_class", "enclosing")).otherwise(F.col("enclosing"))
     rows = calls.withColumn("__from", here).join(source, "__from")
     direct = F.when(F.col("form") == "new", F.col("object")).when(F.col("form") == "this", F.concat_ws(".", "enclosing_class", "member")).otherwise(F.concat_ws(".", "object", "member"))
     exact = rows.withColumn("__to", direct).join(target, "__to", "left")
     if typed:
         told, above = types.call_types(files)
-        open_calls = exact.where("target_id is null and (form = 'member' or form = 'this' and enclosing_class is not null)").select("path", "place", "member").join(told, ["path", "place"])
-        exact = exact.join(types.targets(open_calls, above, known), ["path", "place"], "left")
+        open_calls = exact.where("target_id is null and (form = 'member' or form = 'this' and enclosing_class is not null)").select("path", "place", "member").join(told.hint("merge"), ["path", "place"])
+        exact = exact.join(types.targets(open_calls, above, known).hint("merge"), ["path", "place"], "left")
     else:
         exact = exact.withColumns({"typed_id": F.lit(None).cast("string"), "typed_name": F.lit(None).cast("string")})
     guess = F.when((F.col("form") == "member") & F.coalesce("target_id", "typed_id").isNull() & F.col("__owner").isNotNull(), F.concat_ws(".", "__owner", "member"))
-    again = exact.join(owners, "member", "left").withColumn("__guess", guess).join(target.select(F.col("__to").alias("__guess"), F.col("target_id").alias("__id")), "__guess", "left")
+    again = exact.join(owners, "member", "left").withColumn("__guess", guess).join(target.select(F.col("__to").alias("__guess"), F.col("target_id").alias("__id")).hint("merge"), "__guess", "left")
     upper = F.substring("object", 1, 1).rlike("[A-Z]")
     kind = F.when(F.col("form") == "new", "construct").when((F.col("form") == "member") & F.col("target_id").isNotNull() & upper, "static_call").otherwise("call")
     name = F.when(F.col("target_id").isNotNull(), F.col("__to")).when(F.col("typed_id").isNotNull(), F.col("typed_name")).otherwise(F.col("__guess"))
@@ -406,9 +410,9 @@ def call_edges(files: DataFrame, found: DataFrame, typed: bool = True) -> DataFr
 
 def call_stats(files: DataFrame, found: DataFrame) -> DataFrame:
     """(outcome, n): calls by form, and edges by type."""
-    calls = _each(files, lambda c, p: script_calls(c), CALL_ROWS)
+    calls = calls_of(files)
     forms = calls.groupBy(F.concat(F.lit("form:"), "form").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-    edges = call_edges(files, found).groupBy(F.concat(F.lit("edge:"), "edge_type").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    edges = call_edges(files, found, calls=calls).groupBy(F.concat(F.lit("edge:"), "edge_type").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
     return forms.unionByName(edges)
 
 

@@ -239,10 +239,10 @@ def facts(files: DataFrame) -> DataFrame:
 
 def ancestors(found: DataFrame) -> DataFrame:
     """(class, ancestor, steps): each class itself at 0 steps, and those it extends."""
-    up = found.where("kind = 'extends'").select(F.col("target").alias("c"), F.col("source").alias("a")).distinct()
+    up = found.where("kind = 'extends'").select(F.col("target").alias("c"), F.col("source").alias("a")).distinct().hint("merge")
     out = step = _kept(up.select(F.col("c").alias("class"), F.col("a").alias("ancestor"), F.lit(1).alias("steps")))
     for n in range(2, MOST_ANCESTORS + 1):
-        step = _kept(step.join(up, step["ancestor"] == up["c"]).select("class", F.col("a").alias("ancestor"), F.lit(n).alias("steps")).where("class <> ancestor").join(out, ["class", "ancestor"], "left_anti").distinct())
+        step = _kept(step.join(up, step["ancestor"] == up["c"]).select("class", F.col("a").alias("ancestor"), F.lit(n).alias("steps")).where("class <> ancestor").join(out.hint("merge"), ["class", "ancestor"], "left_anti").distinct())
         if step.isEmpty():
             break
         out = out.unionByName(step)
@@ -250,24 +250,27 @@ def ancestors(found: DataFrame) -> DataFrame:
 
 
 def spread(found: DataFrame) -> DataFrame:
-    """(value, type, is_class): all that values may be, by rounds of joins until nothing new is found."""
+    """(value, type, is_class): all that values may be, by rounds of joins until nothing new is found.
+
+    Facts and values are as many as the files, so joins are by sorting; each round stores what it found, and only the last rounds' folders make a plan.
+    """
     kind = lambda k: found.where(F.col("kind") == k)
-    above = ancestors(found)
-    members = kind("field").unionByName(kind("result")).select("target", "kind", "source", "member").distinct()
+    above = ancestors(found).hint("merge")
+    members = _kept(kind("field").unionByName(kind("result")).select("target", "kind", "source", "member").distinct()).hint("merge")
     known = new = _kept(kind("is").select(F.col("target").alias("value"), F.col("source").alias("type"), F.lit(False).alias("is_class")).union(kind("class").select("target", "source", F.lit(True))).distinct())
     same = _kept(kind("same").select("target", "source").distinct())
-    made = kind("new").select("target", "source").distinct()
+    made = _kept(kind("new").select("target", "source").distinct()).hint("merge")
     while not new.isEmpty():
         on = new.where("not is_class").join(members, new["value"] == members["source"])
         direct = on.select("target", "kind", "type", "member")
         inherited = direct.join(above, direct["type"] == above["class"]).select("target", "kind", F.col("ancestor").alias("type"), "member")
         way = direct.unionByName(inherited).select("target", F.concat("kind", F.lit(":"), "type", F.lit("."), "member").alias("source")).distinct()
-        way = way.join(same, ["target", "source"], "left_anti")
-        more = known.join(way, known["value"] == way["source"]).select(F.col("target").alias("value"), "type", "is_class")
-        along = new.join(same, new["value"] == same["source"]).select(F.col("target").alias("value"), "type", "is_class")
+        way = _kept(way.join(same.hint("merge"), ["target", "source"], "left_anti"))
+        more = known.join(way.hint("merge"), known["value"] == way["source"]).select(F.col("target").alias("value"), "type", "is_class")
+        along = new.join(same.hint("merge"), new["value"] == same["source"]).select(F.col("target").alias("value"), "type", "is_class")
         objects = new.where("is_class").join(made, new["value"] == made["source"]).select(F.col("target").alias("value"), "type", F.lit(False).alias("is_class"))
-        new = _kept(more.unionByName(along).unionByName(objects).distinct().join(known, ["value", "type", "is_class"], "left_anti"))
-        same, known = _kept(same.unionByName(way)), known.unionByName(new)
+        new = _kept(more.unionByName(along).unionByName(objects).distinct().join(known.hint("merge"), ["value", "type", "is_class"], "left_anti"))
+        same, known = same.unionByName(way), known.unionByName(new)
     return known
 
 
@@ -276,7 +279,7 @@ def call_types(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = _kept(facts(files))
     held = spread(found).where("not is_class").groupBy("value").agg(F.collect_set("type").alias("types")).where(F.size("types") == 1)
     calls = found.where("kind = 'calls'").select("path", F.col("target").cast("int").alias("place"), F.col("source").alias("value"))
-    return calls.join(held, "value").select("path", "place", F.col("types")[0].alias("type")).distinct(), ancestors(found)
+    return calls.join(held.hint("merge"), "value").select("path", "place", F.col("types")[0].alias("type")).distinct(), ancestors(found)
 
 
 def targets(calls: DataFrame, above: DataFrame, known: DataFrame) -> DataFrame:
@@ -285,7 +288,7 @@ def targets(calls: DataFrame, above: DataFrame, known: DataFrame) -> DataFrame:
     calls: path, place, type, member; known: key and id, as `extract.symbol_map` has them.
     """
     own = calls.select("path", "place", "member", F.col("type").alias("owner"), F.lit(0).alias("steps"))
-    up = calls.join(above, calls["type"] == above["class"]).select("path", "place", "member", F.col("ancestor").alias("owner"), "steps")
-    hits = own.unionByName(up).withColumn("key", F.concat_ws(".", "owner", "member")).join(known.select("key", "id"), "key")
+    up = calls.join(above.hint("merge"), calls["type"] == above["class"]).select("path", "place", "member", F.col("ancestor").alias("owner"), "steps")
+    hits = own.unionByName(up).withColumn("key", F.concat_ws(".", "owner", "member")).join(known.select("key", "id").hint("merge"), "key")
     nearest = F.row_number().over(Window.partitionBy("path", "place").orderBy("steps", "key"))
     return hits.withColumn("__n", nearest).where("__n = 1").select("path", "place", F.col("id").alias("typed_id"), F.col("key").alias("typed_name"))
