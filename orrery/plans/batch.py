@@ -57,7 +57,7 @@ def diagnoses(engine: KnowledgeEngine, questions: DataFrame, limit: int = 5, bud
         packs = with_section(packs, frame, name, columns)
     for name, column in (("investigation_steps", "investigationSteps"), ("fix_suggestions", "fixSuggestions")):
         packs = with_section(packs, listed(column), name, ["at", "value"], F.col("value"))
-    return packing.diagnostic_pack(packs, budget).join(asked, "query_id")
+    return packing.diagnostic_pack(folders.stored(packs.join(asked, "query_id"), "sections"), budget)
 
 
 def context_packs(engine: KnowledgeEngine, symbols: DataFrame, depth: int = 2, budget: int = 5000) -> DataFrame:
@@ -82,4 +82,4 @@ def context_packs(engine: KnowledgeEngine, symbols: DataFrame, depth: int = 2, b
         (issues, "issues", ["score", "number", "title", "body"]),
     ):
         packs = with_section(packs, frame, name, columns)
-    return packing.context_pack(packs, budget)
+    return packing.context_pack(folders.stored(packs, "sections"), budget)

@@ -37,3 +37,19 @@ def test_scans_leave_a_worker_in_slices(spark, monkeypatch):
 
     extract._each(Files(), lambda c, p: [{"name": c[0]}], "path string, name string")
     assert [list(f.name) for f in taken] == [["x"], ["y"], ["z"]]
+
+
+def test_sections_make_their_packs_once(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.plans import catalog_packs
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        made.add(1)
+        return [str(k)]
+
+    pack = spark.range(3).select(F.col("id").alias("query_id"), F.udf(seen, "array<string>").asNondeterministic()("id").alias("a")).withColumn("b", F.col("a"))
+    rows = catalog_packs._sections(pack, a="", b="").collect()
+    assert len(rows) == 6 and {r["n"] for r in rows} == {1} and made.value == 3
