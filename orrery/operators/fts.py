@@ -16,10 +16,12 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,38 @@ _POSTING = "bucket int, term string, doc_id {key}, tf long, places array<struct<
 _CORPUS = "n double, avgdl double, buckets int"
 
 
+#: Documents whose postings a worker makes at a time.
+_DOCUMENTS = 256
+
+
+def _postings(sized: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(doc_id, dl, term, tf, places) of documents with lists of terms; a document's terms stand in one row, so no word is exchanged by itself."""
+    places = pa.struct([("col", pa.int32()), ("pos", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, _DOCUMENTS):
+                batch = whole_batch.slice(at, _DOCUMENTS)
+                lengths = [batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in columns]
+                words = pa.concat_arrays([batch.column(c).flatten() for c in columns]).dictionary_encode()
+                doc = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in lengths])
+                if not len(doc):
+                    continue
+                col = np.repeat(np.arange(len(columns), dtype=np.int32), [n.sum() for n in lengths])
+                pos = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in lengths]).astype(np.int32)
+                key = doc * len(words.dictionary) + words.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                begins = np.flatnonzero(np.diff(key[order], prepend=-1)).astype(np.int32)
+                ends = np.append(begins, np.int32(len(order)))
+                first = order[begins]
+                whose = pa.array(doc[first])
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(col[order]), pa.array(pos[order])], fields=list(places)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(whose), batch.column("dl").take(whose), words.dictionary.take(words.indices.take(pa.array(first))), pa.array(np.diff(ends).astype(np.int64)), listed], names=["doc_id", "dl", "term", "tf", "places"])
+
+    kind = dict(sized.dtypes)["doc_id"]
+    return sized.select("doc_id", "dl", *columns).mapInArrow(run, f"doc_id {kind}, dl long, term string, tf long, places array<struct<col:int,pos:int>>")
+
+
 @dataclass
 class Index:
     """Either `lists` (doc_id, and each column's terms as a list), as an index that has just been built has: a query then counts its
@@ -84,11 +118,7 @@ class Index:
         columns = [c for c in self.lists.columns if c != "doc_id"]
         length = sum((F.size(c) for c in columns), F.lit(0)).cast("long")
         sized = self.lists.withColumn("dl", length)
-        every = None
-        for i, c in enumerate(columns):
-            rows = sized.select("doc_id", "dl", F.lit(i).alias("col"), F.posexplode(c).alias("pos", "term"))
-            every = rows if every is None else every.unionByName(rows)
-        held = every.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list(F.struct("col", "pos"))).alias("places"), F.first("dl").alias("dl"))
+        held = _postings(sized, columns)
         dealt = held.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         figures = sized.agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), F.lit(buckets).alias("buckets"))

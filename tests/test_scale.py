@@ -53,3 +53,28 @@ def test_sections_make_their_packs_once(spark):
     pack = spark.range(3).select(F.col("id").alias("query_id"), F.udf(seen, "array<string>").asNondeterministic()("id").alias("a")).withColumn("b", F.col("a"))
     rows = catalog_packs._sections(pack, a="", b="").collect()
     assert len(rows) == 6 and {r["n"] for r in rows} == {1} and made.value == 3
+
+
+def test_related_symbols_deal_a_frequent_name_and_rank_only_repeated_ids(spark, monkeypatch):
+    from orrery.operators import matching
+
+    stored = []
+    keep = matching.folders.stored
+    monkeypatch.setattr(matching.folders, "stored", lambda frame, what: stored.append(what) or keep(frame, what))
+    found = spark.createDataFrame([(q, 2.0, 0, ["B", "A"]) for q in range(200)], "query_id long, score double, ordinal int, relatedSymbols array<string>")
+    symbols = spark.createDataFrame([(i, "A") for i in range(20)] + [(0, "B"), (99, "C")], "id long, name string")
+    out = matching.related_symbols(found, symbols).collect()
+    assert stored == ["named", "wanted"]
+    assert len(out) == 200 * 20 and {r["name"] for r in out if r["id"] == 0} == {"B"}
+
+
+def test_a_stored_index_exchanges_postings_once(spark):
+    from orrery.operators import fts
+
+    sized = fts.Index.build(spark.createDataFrame([(1, "b a b", "a"), (2, None, ""), (3, "", "c é")], "k long, x string, y string"), "k", ["x", "y"]).lists
+    from pyspark.sql import functions as F
+
+    rows = fts._postings(sized.withColumn("dl", (F.size("c0") + F.size("c1")).cast("long")), ["c0", "c1"])
+    assert "Exchange" not in _plan(rows)
+    got = {(r["doc_id"], r["term"], r["tf"], tuple((p["col"], p["pos"]) for p in r["places"]), r["dl"]) for r in rows.collect()}
+    assert got == {(1, "a", 2, ((0, 1), (1, 0)), 4), (1, "b", 2, ((0, 0), (0, 2)), 4), (3, "c", 1, ((1, 0),), 2), (3, "e", 1, ((1, 1),), 2)}
