@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +71,18 @@ def _completed(frame: DataFrame, prompt: str, backend: Backend, column: str) ->
 
     schema = T.StructType([*frame.schema.fields, T.StructField(column, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(p: str) -> str:
             try:
                 return backend.complete(p)
             except Exception as e:  # noqa: BLE001  a failed item must not fail the others
                 return f"ERROR: {e}"
 
-        for f in frames:
-            yield f.assign(**{column: [one(p) for p in f[prompt]]})
+        for b in batches:
+            said = pa.array([one(p) for p in b.column(prompt).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, said], names=[*b.schema.names, column])
 
-    return frame.mapInPandas(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
 def parse_intent(raw: str | Column) -> Column:
@@ -104,9 +105,10 @@ def parse_intent(raw: str | Column) -> Column:
 
 def classify(issues: DataFrame, backend: Backend | None = None, least: float = 0.6, only_model: bool = False) -> DataFrame:
     """Intents by rule; with a backend, a model is asked where the rule is less sure than `least`, or always."""
-    ruled = matching.intents(issues)
     if backend is None:
-        return ruled
+        return matching.intents(issues)
+    # dealt over all cores, and stored: the filters below would have the rules worked out again, before the rows are dealt
+    ruled = folders.stored(matching.intents(folders.few_splits(issues)), "ruled")
     sure = F.lit(False) if only_model else F.col("confidence") >= least
     ask = F.concat(F.lit("Classify this issue as bug, feature_request, enhancement or refactor. Answer with JSON: intent, confidence, reason.\n\nTitle: "), "title", F.coalesce(F.concat(F.lit("\nLabels: "), F.nullif(F.array_join("labels", ", "), F.lit(""))), F.lit("")), F.coalesce(F.concat(F.lit("\nBody: "), F.substring("body", 1, 500)), F.lit("")))
     asked = _completed(ruled.where(~sure).withColumn("__prompt", ask), "__prompt", backend, "__raw").withColumn("__i", parse_intent("__raw"))

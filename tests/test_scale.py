@@ -137,3 +137,24 @@ def test_nearest_scores_pieces_and_ties_go_by_key(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [1.0])], "id long, vector array<float>")
     found = vectors.nearest(frame.withColumnRenamed("id", "query_id"), frame, 4).collect()
     assert {(r["query_id"], r["rank"], r["id"]) for r in found} == {(q, k, j) for q, hits in want.items() for k, (_, j) in enumerate(hits, 1)}
+
+
+class _Says:
+    def complete(self, prompt):
+        return '{"intent": "refactor", "confidence": 0.7}'
+
+
+def test_rules_are_worked_out_once_and_asked_on_all_cores(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.operators import mining
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(title):
+        made.add(1)
+        return title
+
+    issues = spark.range(0, 8, 1, 1).select("id", F.udf(seen)(F.col("id").cast("string")).alias("title"), F.lit("").alias("body"), F.when(F.col("id") < 2, F.array(F.lit("bug"))).otherwise(F.array().cast("array<string>")).alias("labels"))
+    rows = mining.classify(issues, _Says()).collect()
+    assert {r["id"]: (r["intent"], r["method"]) for r in rows} == {i: ("bug", "rule") if i < 2 else ("refactor", "llm") for i in range(8)} and made.value == 8
