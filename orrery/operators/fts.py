@@ -25,6 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import folders
+
+#: Terms of all questions up to which they are sent to every executor.
+BROADCAST_TERMS = 100_000
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TERM = r"[\p{L}\p{N}]+"
 
@@ -249,14 +253,18 @@ def search_many(index: Index, questions: DataFrame, limit: int = 10, key: str =
     columns = [c for c in lists.columns if c != "doc_id"]
     sized = lists.withColumn("dl", sum((F.size(c) for c in columns), F.lit(0)).cast("long"))
     figures = sized.agg(F.count(F.lit(1)).cast("double").alias("documents"), F.avg("dl").alias("mean"))
-    words = asked(questions, key, text)
+    words = folders.stored(asked(questions, key, text), "asked")
     needed = words.groupBy("q").agg(F.countDistinct("unit").alias("units"))
     units = words.select("unit", "terms").distinct()
-    spread = sized.select("doc_id", "dl", F.explode(F.concat(*columns)).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    single = spread.join(units.where(F.size("terms") == 1).select("unit"), F.col("term") == F.col("unit")).select("unit", "doc_id", "tf", "dl")
-    begun = spread.select("doc_id", "term").join(units.where(F.size("terms") > 1), F.col("term") == F.get("terms", F.lit(0))).select("unit", "terms", "doc_id").join(sized, "doc_id")
-    times = lambda c: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(c) - F.size("terms") + 1, F.lit(1))), lambda i: F.slice(c, i, F.size("terms")) == F.col("terms")))
-    several = begun.select("unit", "doc_id", sum((times(c) for c in columns), F.lit(0)).cast("long").alias("tf"), "dl").where("tf > 0")
+    wanted = units.select(F.explode("terms").alias("term")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    # documents' terms are counted where they are read, and of them only what questions ask for goes on
+    held = folders.stored(_postings(sized, columns).join(wanted, "term", "left_semi"), "held")
+    single = held.join(units.where(F.size("terms") == 1).select("unit"), F.col("term") == F.col("unit")).select("unit", "doc_id", "tf", "dl")
+    steps = units.where(F.size("terms") > 1).select("unit", F.size("terms").alias("length"), F.posexplode("terms").alias("step", "term"))
+    places = held.join(steps, "term").select("unit", "length", "step", "doc_id", "dl", F.explode("places").alias("place"))
+    begins = places.groupBy("unit", "length", "doc_id", "dl", F.col("place.col").alias("col"), (F.col("place.pos") - F.col("step")).alias("begin")).agg(F.count(F.lit(1)).alias("steps"))
+    several = begins.where("steps = length").groupBy("unit", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("unit", "doc_id", "tf", "dl")
     found = single.unionByName(several)
     idf = found.groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(figures)).select("unit", "mean", weight(F.col("df"), F.col("documents")).alias("idf"))
     units_of = words.groupBy("q", "unit").agg(F.collect_list("phrase").alias("phrases")).join(idf, "unit")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import folders
 from ..operators import diff, evidence, extract, fts, graph, matching, packing, ranked, relational, vectors
 from ..sources import knowledge
 from . import batch
@@ -62,7 +63,8 @@ class KnowledgeEngine:
         """(query, symbol columns) for each row of query that means a symbol; each query once. See `resolve`."""
         wanted = symbols.select("query").distinct()
         plain = wanted.where(~F.contains("query", F.lit("."))).select(F.col("query").alias("query_id"), F.col("query").alias("question"))
-        best = self.search_many("symbols", "id", ("name", "doc_comment"), plain, 1).select(F.col("query_id").alias("query"), "id")
+        best = folders.stored(self.search_many("symbols", "id", ("name", "doc_comment"), plain, 1).select(F.col("query_id").alias("query"), "id"), "best")
+        best = F.broadcast(best) if best.count() <= graph.BROADCAST_ROWS else best  # so that the symbols' texts are not exchanged
         return relational.resolve_names(wanted, self.tables["symbols"], best.join(self.tables["symbols"], "id"))
 
     def _asked(self, question: str) -> DataFrame:

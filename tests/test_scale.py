@@ -158,3 +158,17 @@ def test_rules_are_worked_out_once_and_asked_on_all_cores(spark):
     issues = spark.range(0, 8, 1, 1).select("id", F.udf(seen)(F.col("id").cast("string")).alias("title"), F.lit("").alias("body"), F.when(F.col("id") < 2, F.array(F.lit("bug"))).otherwise(F.array().cast("array<string>")).alias("labels"))
     rows = mining.classify(issues, _Says()).collect()
     assert {r["id"]: (r["intent"], r["method"]) for r in rows} == {i: ("bug", "rule") if i < 2 else ("refactor", "llm") for i in range(8)} and made.value == 8
+
+
+def test_searches_of_fresh_lists_exchange_only_terms_that_are_asked_for(spark, monkeypatch):
+    from orrery.operators import fts
+
+    kept = {}
+    keep = fts.folders.stored
+    monkeypatch.setattr(fts.folders, "stored", lambda frame, what: kept.setdefault(what, keep(frame, what)))
+    docs = spark.createDataFrame([(1, "a b a b c", "a"), (2, None, "b a b a"), (3, "", "c é")], "k long, x string, y string")
+    asked = spark.createDataFrame([(1, "a_b"), (2, "b"), (3, "a_b_a b"), (4, "")], "query_id long, question string")
+    rows = fts.search_many(fts.Index.build(docs, "k", ["x", "y"]), asked, 5)
+    assert {(r["term"], r["doc_id"], r["tf"]) for r in kept["held"].collect()} == {("a", 1, 3), ("b", 1, 2), ("a", 2, 2), ("b", 2, 2)}
+    assert "Exchange" not in _plan(kept["held"])
+    assert {(r["query_id"], r["id"]) for r in rows.collect()} == {(q, k) for q in (1, 2, 3) for k in (1, 2)}
