@@ -229,8 +229,12 @@ def weight(held: Column, documents: Column) -> Column:
 
 def part(idf: Column, tf: Column, dl: Column, mean: Column) -> Column:
     """What one word adds to a document's score."""
-    times = tf.cast("double")
-    return idf * times * (K1 + 1) / (times + K1 * (1 - B + B * dl / mean))
+    return part_of(idf, tf.cast("double"), dl, mean)
+
+
+def part_of(idf, tf, dl, mean):  # noqa: ANN001, ANN201
+    """The same of columns or of arrays of double numbers, by the same steps."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
 def whole(parts: DataFrame, needed: DataFrame) -> DataFrame:

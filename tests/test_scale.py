@@ -172,3 +172,37 @@ def test_searches_of_fresh_lists_exchange_only_terms_that_are_asked_for(spark, m
     assert {(r["term"], r["doc_id"], r["tf"]) for r in kept["held"].collect()} == {("a", 1, 3), ("b", 1, 2), ("a", 2, 2), ("b", 2, 2)}
     assert "Exchange" not in _plan(kept["held"])
     assert {(r["query_id"], r["id"]) for r in rows.collect()} == {(q, k) for q in (1, 2, 3) for k in (1, 2)}
+
+
+def test_a_block_gives_back_the_best_documents_of_a_question_only(spark):
+    import pyarrow as pa
+
+    from orrery.operators import fts, ranked
+
+    docs = list(range(40, 0, -1))
+    rows = pa.table({
+        "kind": [ranked._HOLDS, ranked._HOLDS, ranked._WENT], "unit": ["a", "b", None], "idf": [2.0, 1.0, None],
+        "ids": pa.array([docs, docs[::2], [40, 2]]), "tfs": pa.array([[1 + d % 3 for d in docs], [1] * 20, None]), "dls": pa.array([[9] * 40, [9] * 20, None]),
+    })
+    part = lambda idf, tf: fts.part_of(idf, float(tf), 9.0, 7.0)
+    asked = pa.table({"q": [7, 8, 9, 10], "words": pa.array([["a"], ["a", "b", "a"], ["a", "c"], ["b"]]), "least": pa.array([None, None, None, part(1.0, 1) * 2], pa.float64())})
+    found = [(r["q"], r["doc_id"], r["score"]) for r in ranked._best_of_block(3, 7.0, False)(asked, rows).to_pylist()]
+    want = {7: sorted((-part(2.0, 1 + d % 3), d) for d in docs if d not in (40, 2)), 8: sorted((-(part(2.0, 1 + d % 3) + part(1.0, 1) + part(2.0, 1 + d % 3)), d) for d in docs[::2] if d not in (40, 2))}
+    assert found == [(q, d, s) for q in (7, 8) for s, d in want[q][:3]]
+
+
+def test_a_segment_exchanges_documents_and_not_their_words(spark, tmp_path, monkeypatch):
+    from orrery.operators import ranked
+
+    exchanged = []
+    kind = type(spark.range(1).groupBy("id"))
+    run = kind.applyInArrow
+    monkeypatch.setattr(kind, "applyInArrow", lambda self, f, schema: exchanged.append(self._df.count()) or run(self, f, schema))
+    index = ranked.Index(spark, f"file://{tmp_path}/kept", "id", ["t"], block_documents=4)
+    index.upsert(spark.createDataFrame([(i, "a b c a") for i in range(9)] + [(9, None), (9, "z")], "id long, t string"))
+    assert exchanged[0] in (9, 10)
+    rows = index._of("postings", list(index.state().segments)).withColumn("plain", ranked.peaks("documents")).collect()
+    assert all(r["peaks"] == r["plain"] for r in rows)
+    held = {(r["term"], d["doc_id"], d["tf"], d["dl"], tuple(p["pos"] for p in d["places"])) for r in rows for d in r["documents"]}
+    assert {h for h in held if h[1] < 9} == {(t, i, n, 4, p) for i in range(9) for t, n, p in (("a", 2, (0, 3)), ("b", 1, (1,)), ("c", 1, (2,)))}
+    assert all(r["n"] == len(r["documents"]) for r in rows)
