@@ -113,18 +113,21 @@ def stage_edges(stages: DataFrame) -> DataFrame:
 
 
 def topological_levels(stages: DataFrame) -> DataFrame:
-    """(id, level): stages by how many stages come before them at least; stages on or behind a cycle are missing."""
-    edges = _kept(stage_edges(stages).join(stages.select(F.col("id").alias("from")), "from", "left_semi"))
+    """(id, level): stages by how many stages come before them at least; stages on or behind a cycle are missing.
+
+    Stages of a level may be as many as all stages, so every join is by sorting: none is sent to the driver and all executors.
+    """
+    edges = _kept(stage_edges(stages).join(stages.select(F.col("id").alias("from")).hint("merge"), "from", "left_semi"))
     left = _kept(stages.select("id").distinct())
     done = left.limit(0).withColumn("level", F.lit(0))
     level = 0
     while not left.isEmpty():
-        held = edges.join(left.withColumnRenamed("id", "from"), "from", "left_semi").select(F.col("to").alias("id")).distinct()
-        free = _kept(left.join(held, "id", "left_anti"))
+        held = edges.join(left.withColumnRenamed("id", "from").hint("merge"), "from", "left_semi").select(F.col("to").alias("id")).distinct()
+        free = _kept(left.join(held.hint("merge"), "id", "left_anti"))
         if free.isEmpty():
             break
         done = done.unionByName(free.withColumn("level", F.lit(level)))
-        left = _kept(left.join(free, "id", "left_anti"))
+        left = _kept(left.join(free.hint("merge"), "id", "left_anti"))
         level += 1
     return done
 

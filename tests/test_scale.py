@@ -206,3 +206,14 @@ def test_a_segment_exchanges_documents_and_not_their_words(spark, tmp_path, monk
     held = {(r["term"], d["doc_id"], d["tf"], d["dl"], tuple(p["pos"] for p in d["places"])) for r in rows for d in r["documents"]}
     assert {h for h in held if h[1] < 9} == {(t, i, n, 4, p) for i in range(9) for t, n, p in (("a", 2, (0, 3)), ("b", 1, (1,)), ("c", 1, (2,)))}
     assert all(r["n"] == len(r["documents"]) for r in rows)
+
+
+def test_levels_of_stages_send_none_of_them_to_all_executors(spark, monkeypatch):
+    from orrery.operators import graph
+
+    plans = []
+    keep = graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda frame: plans.append(_plan(frame)) or keep(frame))
+    stages = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["a", "b"]), ("x", ["y"]), ("y", ["x"]), ("z", ["gone"])], "id string, dependsOn array<string>")
+    assert {(r["id"], r["level"]) for r in graph.topological_levels(stages).collect()} == {("a", 0), ("z", 0), ("b", 1), ("c", 2)}
+    assert plans and not any("Broadcast" in p for p in plans)
