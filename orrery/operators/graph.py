@@ -66,6 +66,8 @@ def search_many(edges: DataFrame, roots: DataFrame, depth: int, source: str = "s
         small = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
         found = _kept(edges.join(small, edges[source] == frontier["node"]).select("group", "bits", *edges.columns))
         out = out.unionByName(found.withColumn("depth", F.lit(step)))
+        if step == depth:
+            break  # no step needs what the last one reached
         reached = found.select(F.col(target).alias("node"), "group", "bits").where("node is not null").groupBy("node", "group").agg(F.bit_or("bits").alias("bits"))
         both = seen.select("node", "group", F.col("bits").alias("old")).join(reached, ["node", "group"], "full_outer").withColumns({"old": F.coalesce("old", F.lit(0)), "bits": F.coalesce("bits", F.lit(0))})
         both = _kept(both.select("node", "group", F.col("old").bitwiseOR(F.col("bits")).alias("all"), F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("new")))

@@ -217,3 +217,15 @@ def test_levels_of_stages_send_none_of_them_to_all_executors(spark, monkeypatch)
     stages = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["a", "b"]), ("x", ["y"]), ("y", ["x"]), ("z", ["gone"])], "id string, dependsOn array<string>")
     assert {(r["id"], r["level"]) for r in graph.topological_levels(stages).collect()} == {("a", 0), ("z", 0), ("b", 1), ("c", 2)}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_the_last_step_of_a_search_gathers_no_frontier(spark, monkeypatch):
+    from orrery.operators import graph
+
+    kept = []
+    keep = graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda frame: kept.append(frame.columns) or keep(frame))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "b"), ("a", "b")], "s string, t string")
+    rows = graph.search_many(edges, spark.createDataFrame([("a",), ("x",), (None,)], "id string"), 2, "s", "t")
+    assert sorted((r["root"], r["s"], r["t"], r["depth"]) for r in rows.collect()) == [("a", "a", "b", 1), ("a", "a", "b", 1), ("a", "b", "c", 2), ("x", "b", "c", 2), ("x", "x", "b", 1)]
+    assert sum("new" in c for c in kept) == 1
