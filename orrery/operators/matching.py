@@ -74,6 +74,7 @@ def match_patterns(queries: DataFrame, patterns: DataFrame, limit: int | None =
     if small(patterns, most_bytes):
         pairs = asked.join(F.broadcast(held), F.lit(True))
     else:
+        asked = folders.stored(asked, "asked")  # tokens are worked out once, not for the automaton and again for the join
         near = _strong_pairs(asked, held, query)
         if scores is not None:
             near = near.union(scores.where(F.col("vector_score") >= fixed.STRONG_VECTOR).join(held.select("id", "__place"), "id").select(query, "__place"))

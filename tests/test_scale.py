@@ -229,3 +229,15 @@ def test_the_last_step_of_a_search_gathers_no_frontier(spark, monkeypatch):
     rows = graph.search_many(edges, spark.createDataFrame([("a",), ("x",), (None,)], "id string"), 2, "s", "t")
     assert sorted((r["root"], r["s"], r["t"], r["depth"]) for r in rows.collect()) == [("a", "a", "b", 1), ("a", "a", "b", 1), ("a", "b", "c", 2), ("x", "b", "c", 2), ("x", "x", "b", 1)]
     assert sum("new" in c for c in kept) == 1
+
+
+def test_questions_meet_the_automaton_and_their_patterns_with_tokens_worked_out_once(spark, monkeypatch):
+    from orrery.operators import matching
+
+    stored = []
+    keep = matching.folders.stored
+    monkeypatch.setattr(matching.folders, "stored", lambda frame, what: stored.append(what) or keep(frame, what))
+    patterns = spark.createDataFrame([("p", "P", "c", ["b c"], ["a"], [], [], 0)], "id string, name string, category string, aliases array<string>, triggerKeywords array<string>, symptoms array<string>, relatedSymbols array<string>, ordinal int")
+    asked = spark.createDataFrame([(1, "x bb cc"), (2, "aa"), (3, None)], "query_id long, question string")
+    rows = [{(r["query_id"], r["id"], r["score"]) for r in matching.match_patterns(asked, patterns, most_bytes=n).collect()} for n in (0, 1 << 20)]
+    assert rows[0] == rows[1] and stored == ["asked"]
