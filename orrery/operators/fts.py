@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import folders
+from . import relational
 
-#: Terms of all questions up to which they are sent to every executor.
+#: Terms of all questions, or places where they are found, up to which they are sent to every executor.
 BROADCAST_TERMS = 100_000
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TERM = r"[\p{L}\p{N}]+"
@@ -258,23 +259,29 @@ def search_many(index: Index, questions: DataFrame, limit: int = 10, key: str =
     sized = lists.withColumn("dl", sum((F.size(c) for c in columns), F.lit(0)).cast("long"))
     figures = sized.agg(F.count(F.lit(1)).cast("double").alias("documents"), F.avg("dl").alias("mean"))
     words = folders.stored(asked(questions, key, text), "asked")
+    few_words = words.count() <= BROADCAST_TERMS
     needed = words.groupBy("q").agg(F.countDistinct("unit").alias("units"))
-    units = words.select("unit", "terms").distinct()
+    units = folders.stored(words.select("unit", "terms").distinct(), "units")
     wanted = units.select(F.explode("terms").alias("term")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    wanted = relational.side(wanted, wanted.count() <= BROADCAST_TERMS)
     # documents' terms are counted where they are read, and of them only what questions ask for goes on
     held = folders.stored(_postings(sized, columns).join(wanted, "term", "left_semi"), "held")
-    single = held.join(units.where(F.size("terms") == 1).select("unit"), F.col("term") == F.col("unit")).select("unit", "doc_id", "tf", "dl")
+    alone = units.where(F.size("terms") == 1).select("unit")
+    few_alone = alone.count() <= BROADCAST_TERMS
+    counted = held.select("term", "doc_id", "tf", "dl")
+    counted = counted if few_alone else relational.side(counted, held.count() <= BROADCAST_TERMS)
+    single = counted.join(F.broadcast(alone) if few_alone else alone, F.col("term") == F.col("unit")).select("unit", "doc_id", "tf", "dl")
     steps = units.where(F.size("terms") > 1).select("unit", F.size("terms").alias("length"), F.posexplode("terms").alias("step", "term"))
-    places = held.join(steps, "term").select("unit", "length", "step", "doc_id", "dl", F.explode("places").alias("place"))
+    places = held.join(relational.side(steps, steps.count() <= BROADCAST_TERMS), "term").select("unit", "length", "step", "doc_id", "dl", F.explode("places").alias("place"))
     begins = places.groupBy("unit", "length", "doc_id", "dl", F.col("place.col").alias("col"), (F.col("place.pos") - F.col("step")).alias("begin")).agg(F.count(F.lit(1)).alias("steps"))
     several = begins.where("steps = length").groupBy("unit", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("unit", "doc_id", "tf", "dl")
-    found = single.unionByName(several)
+    found = folders.stored(single.unionByName(several), "found")
+    few_found = found.count() <= BROADCAST_TERMS
     idf = found.groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(figures)).select("unit", "mean", weight(F.col("df"), F.col("documents")).alias("idf"))
-    units_of = words.groupBy("q", "unit").agg(F.collect_list("phrase").alias("phrases")).join(idf, "unit")
-    parts = found.join(units_of, "unit").select("q", "doc_id", F.transform("phrases", lambda p: F.struct(p.alias("phrase"), part(F.col("idf"), F.col("tf"), F.col("dl"), F.col("mean")).alias("part"))).alias("parts"))
+    units_of = words.groupBy("q", "unit").agg(F.collect_list("phrase").alias("phrases")).join(relational.side(idf, few_words or few_found), "unit")
+    parts = (found.join(F.broadcast(units_of), "unit") if few_words else relational.side(found, few_found).join(units_of, "unit")).select("q", "doc_id", F.transform("phrases", lambda p: F.struct(p.alias("phrase"), part(F.col("idf"), F.col("tf"), F.col("dl"), F.col("mean")).alias("part"))).alias("parts"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "doc_id"))
-    best = whole(parts, needed).withColumn("rank", rank).where(F.col("rank") <= limit)
+    best = whole(parts, relational.side(needed, few_words)).withColumn("rank", rank).where(F.col("rank") <= limit)
     return best.select(F.col("q").alias(key), "rank", F.col("doc_id").alias(name), "score")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import folders
+from . import relational
 
 MOST_DEPTH = 10
 #: Rows of a frontier up to which it is sent to every executor.
@@ -63,7 +64,7 @@ def search_many(edges: DataFrame, roots: DataFrame, depth: int, source: str = "s
         size = frontier.count()
         if not size:
             break
-        small = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
+        small = relational.side(frontier, size <= BROADCAST_ROWS)
         found = _kept(edges.join(small, edges[source] == frontier["node"]).select("group", "bits", *edges.columns))
         out = out.unionByName(found.withColumn("depth", F.lit(step)))
         if step == depth:
@@ -74,7 +75,7 @@ def search_many(edges: DataFrame, roots: DataFrame, depth: int, source: str = "s
         seen, frontier = both.select("node", "group", F.col("all").alias("bits")), both.where("new <> 0").select("node", "group", F.col("new").alias("bits"))
     ones = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
     spread = out.withColumn("__bit", F.explode(ones)).withColumn("number", F.shiftleft("group", 6) + F.col("__bit")).drop("group", "bits", "__bit")
-    return spread.join(numbered, "number").select("root", *edges.columns, "depth")
+    return spread.join(relational.side(numbered, numbered.count() <= BROADCAST_ROWS), "number").select("root", *edges.columns, "depth")
 
 
 def downstream(edges: DataFrame, roots: DataFrame, depth: int = 2, source: str = "source_id", target: str = "target_id") -> DataFrame:

@@ -27,7 +27,7 @@ def with_section(packs: DataFrame, frame: DataFrame, name: str, columns: list[st
     if value is not None:
         listed = listed.withColumn(name, F.transform(name, lambda x: x["value"]))
     kind = dict(listed.dtypes)[name]
-    return packs.join(listed, "query_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return packs.join(listed.hint("merge"), "query_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
 def diagnoses(engine: KnowledgeEngine, questions: DataFrame, limit: int = 5, budget: int = 6000, hybrid: bool = False) -> DataFrame:
@@ -65,17 +65,22 @@ def context_packs(engine: KnowledgeEngine, symbols: DataFrame, depth: int = 2, b
     have source, its edges, and up to five issues about its class."""
     found = folders.stored(engine.resolve_many(symbols), "resolved").withColumnRenamed("query", "query_id")
     edges = folders.stored(graph.search_many(engine.tables["call_edges"], found.select("id"), depth), "edges")
+    few, few_edges = found.count() <= graph.BROADCAST_ROWS, edges.count() <= graph.BROADCAST_ROWS
     code = engine.tables["source_code"].select("symbol_id", F.col("name").alias("n"), "code")
-    main = found.select("query_id", F.lit(0).alias("k"), F.col("id").alias("symbol_id")).join(code, "symbol_id")
-    calls = edges.where(F.col("target_id") != F.col("root")).groupBy("root", F.col("target_id").alias("symbol_id")).agg(F.min("depth").alias("k")).join(code, "symbol_id")
+    main = relational.side(found.select("query_id", F.lit(0).alias("k"), F.col("id").alias("symbol_id")), few).join(code, "symbol_id")
+    calls = edges.where(F.col("target_id") != F.col("root")).groupBy("root", F.col("target_id").alias("symbol_id")).agg(F.min("depth").alias("k"))
+    calls = relational.side(calls, few_edges).join(code, "symbol_id")
     nearest = F.row_number().over(Window.partitionBy("root").orderBy("k", "symbol_id"))
     calls = calls.withColumn("place", nearest).where(F.col("place") <= CALLEES)
-    rest = found.select("query_id", F.col("id").alias("root")).join(calls, "root").select("query_id", "k", "symbol_id", "n", "code")
+    roots = relational.side(found.select("query_id", F.col("id").alias("root")), few)
+    rest = roots.join(calls, "root").select("query_id", "k", "symbol_id", "n", "code")
     about = found.select("query_id", F.coalesce("parent_class", "name").alias("value"))
     hits = engine.search_many("issues", "id", ("title", "body"), about.select(F.col("value").alias("query_id"), F.col("value").alias("question")).distinct(), ISSUES_A_SYMBOL)
-    issues = about.join(hits.withColumnRenamed("query_id", "value"), "value").join(engine.tables["issues"].select("id", "number", "title", "body"), "id")
+    hits = folders.stored(hits.withColumnRenamed("query_id", "value"), "hits")
+    told = relational.side(hits, hits.count() <= graph.BROADCAST_ROWS).join(engine.tables["issues"].select("id", "number", "title", "body"), "id")
+    issues = relational.side(about, few).join(told, "value")
     packs = found.select("query_id", F.struct("id", "name", "kind", "file_path", "start_line", "end_line", "doc_comment", "exports", "imports", "parent_class").alias("symbol"))
-    own = found.select("query_id", F.col("id").alias("root")).join(edges, "root")
+    own = roots.join(edges, "root")
     for frame, name, columns in (
         (main.select("query_id", "k", "symbol_id", "n", "code").unionByName(rest), "source", ["k", "symbol_id", "n", "code"]),
         (own, "callgraph", ["source_id", "target_id", "edge_type"]),

@@ -61,11 +61,17 @@ class KnowledgeEngine:
 
     def resolve_many(self, symbols: DataFrame) -> DataFrame:
         """(query, symbol columns) for each row of query that means a symbol; each query once. See `resolve`."""
-        wanted = symbols.select("query").distinct()
-        plain = wanted.where(~F.contains("query", F.lit("."))).select(F.col("query").alias("query_id"), F.col("query").alias("question"))
+        wanted = folders.stored(symbols.select("query").distinct(), "wanted")
+        few = wanted.count() <= graph.BROADCAST_ROWS
+        exact = folders.stored(relational.resolve_names(relational.side(wanted, few), self.tables["symbols"]), "exact")
+        # only names that mean no symbol exactly are searched for
+        left = wanted.where(~F.contains("query", F.lit("."))).join(relational.side(exact.select("query"), few), "query", "left_anti")
+        plain = folders.stored(left.select(F.col("query").alias("query_id"), F.col("query").alias("question")), "plain")
+        if plain.isEmpty():
+            return exact
         best = folders.stored(self.search_many("symbols", "id", ("name", "doc_comment"), plain, 1).select(F.col("query_id").alias("query"), "id"), "best")
-        best = F.broadcast(best) if best.count() <= graph.BROADCAST_ROWS else best  # so that the symbols' texts are not exchanged
-        return relational.resolve_names(wanted, self.tables["symbols"], best.join(self.tables["symbols"], "id"))
+        best = relational.side(best, best.count() <= graph.BROADCAST_ROWS)  # few: the symbols' texts are not exchanged
+        return exact.unionByName(best.join(self.tables["symbols"], "id").select(*exact.columns))
 
     def _asked(self, question: str) -> DataFrame:
         return self.spark.range(1).select(F.lit("q").alias("query_id"), F.lit(question).alias("question"))

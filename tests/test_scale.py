@@ -241,3 +241,40 @@ def test_questions_meet_the_automaton_and_their_patterns_with_tokens_worked_out_
     asked = spark.createDataFrame([(1, "x bb cc"), (2, "aa"), (3, None)], "query_id long, question string")
     rows = [{(r["query_id"], r["id"], r["score"]) for r in matching.match_patterns(asked, patterns, most_bytes=n).collect()} for n in (0, 1 << 20)]
     assert rows[0] == rows[1] and stored == ["asked"]
+
+
+def test_context_packs_send_no_table_to_all_executors(spark, monkeypatch):
+    from orrery.functions import folders
+    from orrery.operators import fts, graph
+    from orrery.plans.engine import KnowledgeEngine
+
+    symbols = spark.createDataFrame([(f"s{i}", f"name{i}" if i < 6 else f"name_{i}", "function", "f.js", 1, 2, None, [], [], None if i else "Owner") for i in range(9)], "id string, name string, kind string, file_path string, start_line int, end_line int, doc_comment string, exports array<string>, imports array<string>, parent_class string")
+    edges = spark.createDataFrame([(f"s{i}", f"s{i * m}", "a", "b", "call", 1.0) for i in range(1, 9) for m in (2, 3) if i * m < 9], "source_id string, target_id string, source_name string, target_name string, edge_type string, weight double")
+    source = spark.createDataFrame([(f"s{i}", f"name{i}", f"code {i}") for i in range(8)], "symbol_id string, name string, code string")
+    issues = spark.createDataFrame([(k, k, f"name{k} x" if k < 6 else f"the name_{k}", "b", "open") for k in range(8)], "id long, number long, title string, body string, state string")
+    tables = {"symbols": symbols, "call_edges": edges, "source_code": source, "issues": issues}
+    names = spark.createDataFrame([("name1",), ("name_6",), ("Owner.name0",), ("NAME2",), ("nothing",), (None,)], "query string")
+
+    def packs():
+        engine, searched = KnowledgeEngine(spark, tables), []
+        search = engine.search_many
+        engine.search_many = lambda name, key, columns, questions, limit: searched.append((name, {r["question"] for r in questions.collect()})) or search(name, key, columns, questions, limit)
+        found = {r["query_id"]: r.asDict(recursive=True) for r in engine.build_context_packs(names).collect()}
+        return found, searched
+
+    few, searched = packs()
+    assert {q: [p["symbol"]["id"], [s["code"] for s in p["source"]], [(e["source_id"], e["target_id"]) for e in p["callgraph"]], [i["number"] for i in p["issues"]]] for q, p in few.items()} == {
+        "name1": ["s1", ["code 1", "code 2", "code 3", "code 4"], [("s1", "s2"), ("s1", "s3"), ("s2", "s4"), ("s2", "s6"), ("s3", "s6")], [1]],
+        "name_6": ["s6", ["code 6"], [], [6]], "Owner.name0": ["s0", ["code 0"], [], []],
+        "NAME2": ["s2", ["code 2", "code 4", "code 6"], [("s2", "s4"), ("s2", "s6"), ("s4", "s8")], [2]],
+    }
+    # names that mean a symbol exactly are not searched for
+    assert searched == [("symbols", {"NAME2", "nothing"}), ("issues", {"name1", "name_6", "Owner", "name2"})]
+    plans = []
+    stored, kept = folders.stored, graph._kept
+    monkeypatch.setattr(folders, "stored", lambda frame, what: plans.append(_plan(frame)) or stored(frame, what))
+    monkeypatch.setattr(graph, "_kept", lambda frame: plans.append(_plan(frame)) or kept(frame))
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(fts, "BROADCAST_TERMS", -1)
+    assert packs()[0] == few
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
