@@ -155,6 +155,10 @@ class KnowledgeEngine:
         lead to, within the budget."""
         return batch.diagnoses(self, questions, limit, budget, hybrid)
 
+    def diagnose_shared(self, questions: DataFrame, limit: int = 5, budget: int = 6000, hybrid: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The same packs, each different one once, and which of them each question has: see `batch.shared_diagnoses`."""
+        return batch.shared_diagnoses(self, questions, limit, budget, hybrid)
+
     def diagnose_problem(self, problem: str, limit: int = 5, budget: int = 6000, hybrid: bool = False) -> DataFrame:
         """One row: see `diagnose_many`."""
         return self.diagnose_many(self._asked(problem), limit, budget, hybrid).drop("query_id")

@@ -49,3 +49,47 @@ def test_hybrid_scores_are_those_of_all_patterns(spark):
     asked = spark.createDataFrame([("a", "anything"), ("b", None)], "query_id string, question string")
     many = engine.vector_scores_of(asked).collect()
     assert {(r["query_id"], r["id"]): round(r["vector_score"], 9) for r in many} == {(q, i): s for q in "ab" for i, s in one.items()}
+
+
+def test_questions_with_the_same_patterns_share_a_pack_but_not_its_scores(spark, monkeypatch):
+    from orrery.plans import batch
+
+    rows = {}
+    keep = batch.folders.stored
+
+    def counted(frame, what):
+        out = keep(frame, what)
+        rows[what] = out.count()
+        return out
+
+    monkeypatch.setattr(batch.folders, "stored", counted)
+    monkeypatch.setattr(batch, "MEMBERS", 2, raising=False)
+    texts = "array<string>"
+    patterns = spark.createDataFrame(
+        [("p1", "one", "c1", ["red sun"], ["sun"], [], ["A", "B"], ["c"], ["sun"], ["st"], ["look"], ["fix 1"], 0), ("p2", "two", "c2", ["blue moon"], ["moon"], [], ["B", "A"], [], ["moon"], [], ["look", "wait"], [], 1)],
+        f"id string, name string, category string, aliases {texts}, triggerKeywords {texts}, symptoms {texts}, relatedSymbols {texts}, possibleCauses {texts}, issueQueries {texts}, relatedStages {texts}, investigationSteps {texts}, fixSuggestions {texts}, ordinal int",
+    )
+    symbols = spark.createDataFrame([(f"{n}{i}", n, "function", "f.js") for n in "AB" for i in range(3)], "id string, name string, kind string, file_path string")
+    source = spark.createDataFrame([("A1", "A", "code"), ("B2", "B", "code")], "symbol_id string, name string, code string")
+    edges = spark.createDataFrame([("A0", "B0", "call")], "source_id string, target_id string, edge_type string")
+    nodes = spark.createDataFrame([("e1", "tide", "tide and sand", "issue"), ("e2", "tide", "tide, tide and more", "issue")], "id string, title string, summary string, type string")
+    engine = KnowledgeEngine(spark, {"symbols": symbols, "source_code": source, "call_edges": edges, "experience_node": nodes}, patterns)
+    said = ["sun", "red sun", "moon", "blue moon and sun", "red sun and moon", "tide", "nothing", None]
+    asked = spark.createDataFrame([(i, said[i % 8]) for i in range(48)], "query_id long, question string")
+    got = {r["query_id"]: r.asDict(recursive=True) for r in engine.diagnose_many(asked).collect()}
+    assert set(got) == set(range(48)) and rows["symbols"] == 4 * 6  # once for each of the four lists of patterns, not for each of 30 questions
+    score = {"sun": {"p1": 2.0}, "red sun": {"p1": 5.0}, "moon": {"p2": 2.0}, "blue moon and sun": {"p2": 5.0, "p1": 2.0}, "red sun and moon": {"p1": 5.0, "p2": 2.0}}
+    for i, pack in got.items():
+        want = score.get(said[i % 8], {})
+        assert pack["question"] == said[i % 8] and {m["id"]: m["score"] for m in pack["matched_patterns"]} == want and list(want) == [m["id"] for m in pack["matched_patterns"]]
+        assert [m["s"] for m in pack["matched_patterns"]] == [-s for s in want.values()] and all(m["matched"] for m in pack["matched_patterns"])
+        first = next(iter(want), None)  # names both symbols, so all are where it names them
+        names = {"p1": "AB", "p2": "BA"}.get(first, "")
+        assert [(s["at"]["o"]["s"], s["at"]["o"]["ordinal"], s["at"]["n"], s["id"]) for s in pack["related_symbols"]] == [(-want[first], int(first == "p2"), n, f"{x}{k}") for n, x in enumerate(names) for k in range(3)]
+        assert [(s["at"]["o"]["s"], s["id"]) for s in pack["related_source"]] == [(-want[first], {"A": "A1", "B": "B2"}[x]) for x in names]
+        assert pack["investigation_steps"] == (["look", "wait"] if "p2" in want else ["look"] if want else [])
+        assert [(e["id"], e["score"] < 0) for e in pack["related_experiences"]] == ([("e2", True), ("e1", True)] if said[i % 8] == "tide" else []) and len(pack["callgraph"]) == bool(want)
+    cut = {r["query_id"]: r for r in engine.diagnose_many(asked, budget=60).collect()}
+    assert cut[5]["related_experiences"] and not cut[1]["related_source"] and cut[1]["truncated"] and cut[1]["matched_patterns"][0]["score"] == 5.0
+    packs, members = engine.diagnose_shared(asked)
+    assert packs.count() == 6 and members.count() == 48  # four lists of patterns, one of experiences, and none of either
