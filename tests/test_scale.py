@@ -278,3 +278,41 @@ def test_context_packs_send_no_table_to_all_executors(spark, monkeypatch):
     monkeypatch.setattr(fts, "BROADCAST_TERMS", -1)
     assert packs()[0] == few
     assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_a_block_of_questions_meets_each_symbol_in_a_row(spark, monkeypatch):
+    from orrery.operators import matching
+
+    monkeypatch.setattr(matching, "_DEALS", 2)
+    monkeypatch.setattr(matching, "_BLOCK", 25, raising=False)
+    found = spark.createDataFrame([(q, 2.0, 0, ["A"]) for q in range(200)], "query_id long, score double, ordinal int, relatedSymbols array<string>")
+    symbols = spark.createDataFrame([(i, "A", i % 3) for i in range(20)], "id long, name string, lines int")
+    out = matching.related_symbols(found, symbols).collect()
+    assert {(r["query_id"], r["id"], r["lines"]) for r in out} == {(q, i, i % 3) for q in range(200) for i in range(20)} and len(out) == 4000
+    runs = {}
+    for n, r in enumerate(out):
+        if not n or out[n - 1]["id"] != r["id"]:
+            run = []
+            runs.setdefault(r["id"], []).append(run)
+        run.append(r["query_id"])
+    # questions of a block come in the same order for every symbol, and no block holds many
+    assert all(sorted(r) == sorted(runs[0]) for r in runs.values()) and max(map(len, runs[0])) <= 60
+
+
+def test_lines_of_names_that_no_pattern_has_are_not_exchanged(spark, tmp_path, monkeypatch):
+    from orrery.plans import catalog_tools
+
+    quantity = lambda k: 10 if k % 5 == 0 else 11
+    orders = [(k // 8, k % 8, quantity(k)) for k in (*range(1, 9000), 2004, 2004, 2)]
+    spark.createDataFrame(orders, "l_orderkey long, l_linenumber int, l_quantity int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "erst"), (2, "der die und le de")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    given = []
+    meet = catalog_tools.matching.related_symbols
+    monkeypatch.setattr(catalog_tools.matching, "related_symbols", lambda found, symbols: given.append(symbols) or meet(found, symbols))
+    rows = sorted((r["query_id"], r["id"], r["code"]) for r in catalog_tools.pattern_symbols(spark, str(tmp_path)).collect())
+    names = {1: "The", 2: "Der", 3: "La", 4: "Des"}
+    asked = {1: {"The", "And"}, 2: {"Der", "Le", "Des"}}
+    want = [(q, o * 8 + n, f"code {o * 8 + n}") for q, of in asked.items() for o, n, x in orders if names.get((o * 8 + n) % 2003) in of and x > 10]
+    assert rows == sorted(want) and rows.count((1, 2004, "code 2004")) == 3
+    plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning(id") == 1
